@@ -63,9 +63,15 @@ def bitmap_filter(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Col
     return df.withColumn("_cell", cell(key)).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+#: Rows up to which a one-row-a-key side, once counted, is broadcast whole.
+BROADCAST_ROWS = 20_000
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: Column, rows: int | None = None) -> DataFrame:
     """Left join (null-safe) with a side that has one row a key; ``hot`` marks the right rows whose key may be frequent on the left.
 
+    ``rows``: the right side's counted rows, if known; up to ``BROADCAST_ROWS`` it is broadcast whole and nothing is shuffled.
+
     Hot rows are few by the caller's threshold (rows of a key >= total / constant), so they are broadcast and their
     left rows never meet in one task; the rest is a shuffle join, for which the left hot rows carry a spread-out key.
     """
@@ -73,6 +79,8 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: Column)
     on = lambda a, b, names: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[n]) for k, n in zip(keys, names, strict=True)))
     r = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*values).alias("_v"), F.coalesce(hot, F.lit(False)).alias("_hot"))
     names = [f"_k{i}" for i in range(len(keys))]
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(r), on(left, r, names), "left").select(*left.columns, *(F.col("_v")[c].alias(c) for c in values))
     h = r.where("_hot").select(*names, F.col("_v").alias("_h"))
     out = left.join(F.broadcast(h), on(left, h, names), "left").drop(*names)
     out = out.withColumn("_s", F.when(F.col("_h").isNull(), 0).otherwise(1 + F.abs(F.xxhash64(F.monotonically_increasing_id())) % 1_000_003))
@@ -83,6 +91,11 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: Column)
     return joined.select(*left.columns, *(v[c].alias(c) for c in values))
 
 
+def words_of(text: Column, separators: str = r"[\x20\x09-\x0D]+") -> Column:
+    """Words between separators, null as empty."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
+
+
 def hot_rows(total: int, least: int = 1000, parts: int = 2000) -> int:
     """Rows from which a key counts as hot: at most ``parts`` keys can reach it."""
     return max(least, total // parts)

@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracles
+from .decontaminate import contamination
+from .exact_dedup import exact_duplicates
+from .mixing import mix_plan
 from .near_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +24,29 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_near_dedup": op2_near_dedup,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_mixing": op7_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_near_dedup": oracles.OP2,
+    "op4_exact_dedup": oracles.OP4,
+    "op5_decontaminate": oracles.OP5,
+    "op7_mixing": oracles.OP7,
+}
