@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .mixing import mix_plan
 from .near_dedup import near_duplicates
+from .substring_dedup import drop_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,11 +38,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op2_near_dedup": op2_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op7_mixing": op7_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -49,4 +55,5 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": oracles.OP4,
     "op5_decontaminate": oracles.OP5,
     "op7_mixing": oracles.OP7,
+    "op9_substring_dedup": oracles.OP9,
 }
