@@ -52,14 +52,17 @@ def lower_az(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def bitmap_filter(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 19) -> DataFrame:
-    """Rows whose key may be in ``wanted``: a semi join on ``bits`` bits of a hash.
+def bitmap_filter(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 19, keep: str = "maybe") -> DataFrame:
+    """Rows whose key may be in ``wanted``: a semi join on ``bits`` bits of a hash.  ``keep="both"``: all rows, marked in ``_maybe``.
 
     What is broadcast is a set of at most ``2**bits`` small integers whatever the input, so its size is bounded by
     construction; with more distinct keys it lets more rows through and an exact join must follow.
     """
     cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
     cells = wanted.select(cell(wanted_key).alias("_cell")).distinct()
+    if keep == "both":
+        marked = df.withColumn("_cell", cell(key)).join(F.broadcast(cells.withColumn("_maybe", F.lit(True))), "_cell", "left")
+        return marked.drop("_cell").withColumn("_maybe", F.coalesce("_maybe", F.lit(False)))
     return df.withColumn("_cell", cell(key)).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
 
 

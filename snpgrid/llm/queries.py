@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .archive import read_archive, write_archive
+from .common import Scratch
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .mixing import mix_plan
 from .near_dedup import near_duplicates
+from .pii import KINDS as PII_KINDS
+from .pii import find_pii
+from .secrets import KINDS as SECRET_KINDS
+from .secrets import find_secrets
 from .substring_dedup import drop_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _span_columns(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """doc_id, a count of base spans per kind, the digest of the base spans and all spans as text."""
+    named = lambda column: F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_columns(find_pii(table(spark, sf_dir, "documents")), PII_KINDS)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_columns(find_secrets(table(spark, sf_dir, "documents")), SECRET_KINDS)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op3")
+    write_archive(table(spark, sf_dir, "pages"), scratch.path("archive"))
+    records = read_archive(spark, scratch.path("archive"))
+    scratch.drop("archive")  # its candidates are a written table by now
+    return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,15 +77,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
+    "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op7_mixing": op7_mixing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
     "op2_near_dedup": oracles.OP2,
+    "op3_warc": oracles.OP3,
     "op4_exact_dedup": oracles.OP4,
     "op5_decontaminate": oracles.OP5,
     "op7_mixing": oracles.OP7,
