@@ -23,6 +23,10 @@ _TABLE = np.random.default_rng(20240817).integers(1, 1 << 63, 256, dtype=np.uint
 #: Bytes that separate words under ``[^\x20\x09-\x0D]+``.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes that are no part of ``[0-9a-z]`` (after lower-casing A-Z) or of a character beyond ASCII.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[128:] = False
+NOT_ALNUM[ord("0") : ord("9") + 1] = NOT_ALNUM[ord("a") : ord("z") + 1] = NOT_ALNUM[ord("A") : ord("Z") + 1] = False
 #: A-Z to a-z, everything else unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -55,7 +59,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a chunk: byte ``start``/``end`` in ``buf``, ``hash`` and, per text, ``first`` (index of its first word; length texts + 1)."""
 
-    __slots__ = ("buf", "start", "end", "hash", "first")
+    __slots__ = ("buf", "start", "end", "hash", "first", "_total", "_down")
 
     def __init__(self, texts: list[bytes], separators: np.ndarray = SPACES, lower: bool = True):
         joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -69,9 +73,18 @@ class Words:
         total = _TABLE[self.buf]
         total *= up[: len(self.buf)]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(total)])
-        h = total[self.end] - total[self.start]
-        h *= down[self.start]
-        self.hash = mix(h ^ (self.end - self.start).astype(np.uint64))
+        self._total, self._down = total, down
+        self.hash = self._spans(self.start, self.end)
+
+    def _spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = self._total[end] - self._total[start]
+        h *= self._down[start]
+        return mix(h ^ (end - start).astype(np.uint64))
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, hashes) of the first n bytes of the words longer than that."""
+        longer = np.flatnonzero(self.end - self.start > n)
+        return longer, self._spans(self.start[longer], self.start[longer] + n)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

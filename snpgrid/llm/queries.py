@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import oracles
 from .archive import read_archive, write_archive
 from .common import Scratch
@@ -16,9 +18,11 @@ from .mixing import mix_plan
 from .near_dedup import near_duplicates
 from .pii import KINDS as PII_KINDS
 from .pii import find_pii
+from .quality import resample
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import find_secrets
 from .substring_dedup import drop_repeats
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +71,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return resample(table(spark, sf_dir, "documents"), good)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -82,9 +95,12 @@ QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secrets": op10_secrets,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
@@ -95,3 +111,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": oracles.OP7,
     "op9_substring_dedup": oracles.OP9,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
