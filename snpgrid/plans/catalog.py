@@ -5,6 +5,338 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import sequence, stats
+from ..operators import associate, canonical, distance, evaluate, hierarchy, rules, sites
+from . import oracles
+from .domain import CTE, Domain, load
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: Scheme positions of the derived calls.
+SCHEME = "pos >= 1000"
+#: Sample ids that look like integers, labels and other parameters of the registered queries.
+FIELDS, GENOME_LENGTH, K = ["host", "location"], 3000, 9
+
+
+def query(oracle: str | None = None) -> Callable[[Callable[[Domain], DataFrame]], Query]:
+    """Registers a function of the derived tables under its name."""
+
+    def register(fn: Callable[[Domain], DataFrame]) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(load(spark, sf_dir))
+
+        QUERIES[fn.__name__] = run
+        if oracle is not None:
+            # a recursive oracle names the place of the shared CTEs itself
+            ORACLES[fn.__name__] = oracle.replace("{cte}", CTE.strip().removeprefix("WITH").join(" \n")) if "{cte}" in oracle else CTE + oracle
+        return run
+
+    return register
+
+
+def with_genotypes(d: Domain) -> DataFrame:
+    return d.samples.select("sample_id", "ord", F.array_join(F.slice("path", 1, 3), ".").alias("genotype"))
+
+
+def labels(d: Domain) -> DataFrame:
+    """Submitted labels, and predictions that lose their last level for every seventh sample."""
+    p = F.array_join(F.slice("path", 1, 3), ".")
+    wrong = F.array_join(F.slice("path", 1, 2), ".")
+    return d.samples.select("sample_id", p.alias("submitted"), F.when(F.col("ord") % 7 == 0, wrong).otherwise(p).alias("predicted"))
+
+
+def scheme_rules(d: Domain) -> DataFrame:
+    return rules.base_rules(d.calls.where(SCHEME), with_genotypes(d))
+
+
+def scheme_features(d: Domain) -> DataFrame:
+    """(pos, ref_state, alt_state, mutation_key) of the scheme positions."""
+    alts = d.calls.where(SCHEME).where("base <> ref").select("pos", F.col("ref").alias("ref_state"), F.col("base").alias("alt_state")).distinct()
+    return alts.withColumn("mutation_key", sequence.mutation_name(F.col("ref_state"), F.col("pos"), F.col("alt_state")))
+
+
+@query(oracles.GENOTYPE_CALLS)
+def genotype_calls(d: Domain) -> DataFrame:
+    return rules.call_report(d.calls.where(SCHEME), scheme_rules(d), scheme_features(d), d.samples)
+
+
+@query(oracles.SITE_FILTER)
+def site_filter(d: Domain) -> DataFrame:
+    n = d.samples.agg(F.count("*").alias("n_samples"))
+    counts = sites.base_counts(d.calls)
+    have = F.col("n_a") + F.col("n_c") + F.col("n_g") + F.col("n_t")
+    out = counts.join(n).withColumn("missing", 1 - have / F.col("n_samples"))
+    distinct = sum((F.col(f"n_{b}") > 0).cast("int") for b in "acgt")
+    return out.select("chrom", "pos", F.round("missing", 9).alias("missing"), distinct.cast("long").alias("states"), ((F.col("missing") > 0.05) | (distinct == 1)).alias("removed"))
+
+
+@query(oracles.FILTERED_CALLS)
+def filtered_calls(d: Domain) -> DataFrame:
+    kept, _ = sites.filter_sites(d.calls.where("pos < 1000 OR pos >= 2000"), max_states=3, max_missing=0.5)
+    return kept.groupBy("pos").agg(F.count("*").alias("n_calls"))
+
+
+@query(oracles.BASE_COUNTS)
+def base_counts(d: Domain) -> DataFrame:
+    return sites.base_counts(d.calls)
+
+
+@query(oracles.VARIANT_POSITIONS)
+def variant_positions(d: Domain) -> DataFrame:
+    return sites.variant_positions(d.calls)
+
+
+@query(oracles.CONSENSUS)
+def consensus_codes(d: Domain) -> DataFrame:
+    return sites.consensus(d.calls)
+
+
+@query(oracles.ALT_BASES)
+def alternative_bases(d: Domain) -> DataFrame:
+    return sites.alternative_bases(d.calls, d.calls.where(SCHEME).select("chrom", "pos").distinct())
+
+
+@query(oracles.SPARSE)
+def sparse_variants(d: Domain) -> DataFrame:
+    return sites.sparse_variants(d.calls).groupBy("sample_id").agg(F.count("*").alias("n_variants"))
+
+
+@query(oracles.DISTANCES)
+def snp_distances(d: Domain) -> DataFrame:
+    return distance.snp_distances(d.calls, d.samples)
+
+
+@query(oracles.HISTOGRAM)
+def distance_histogram(d: Domain) -> DataFrame:
+    return distance.histogram(distance.snp_distances(d.calls, d.samples))
+
+
+@query(oracles.TROUGHS)
+def distance_troughs(d: Domain) -> DataFrame:
+    return stats.troughs(distance.histogram(distance.snp_distances(d.calls, d.samples)))
+
+
+@query(oracles.WITHIN)
+def within_clade_distances(d: Domain) -> DataFrame:
+    return distance.within_clades(distance.snp_distances(d.calls, d.samples), d.samples).select("clade", "total_within", "n_within", F.round("ave_within", 9).alias("ave_within"))
+
+
+@query(oracles.OUTSIDE)
+def outside_clade_distances(d: Domain) -> DataFrame:
+    return distance.outside_clades(distance.snp_distances(d.calls, d.samples), d.samples)
+
+
+@query(oracles.CONSERVED)
+def conserved_gap(d: Domain) -> DataFrame:
+    return distance.conserved_gap(d.calls, GENOME_LENGTH)
+
+
+@query(oracles.CANONICAL)
+def canonical_snps(d: Domain) -> DataFrame:
+    return canonical.canonical_snps(d.calls, d.samples)
+
+
+@query(oracles.ASSIGNED)
+def assigned_snps(d: Domain) -> DataFrame:
+    out = canonical.assigned_snps(d.calls, d.samples)
+    return out.select("chrom", "pos", "base", F.coalesce("clade", F.lit("-1")).alias("clade"), "is_canonical", "num_clade_members", "num_members", F.when(F.col("oddsr") == float("inf"), -1.0).otherwise(F.round("oddsr", 6)).alias("oddsr"), F.round("p_value", 6).alias("p_value"))
+
+
+@query(oracles.SNP_SUMMARY)
+def snp_summary(d: Domain) -> DataFrame:
+    c = canonical.canonical_snps(d.calls, d.samples).select("chrom", "pos", "base", F.lit(True).alias("k"))
+    every = d.calls.select("chrom", "pos", "base").distinct().join(c, ["chrom", "pos", "base"], "left")
+    return canonical.snp_summary(every.select("chrom", "pos", F.coalesce("k", F.lit(False)).alias("is_canonical")))
+
+
+@query(oracles.CLADE_SNPS)
+def clade_snps(d: Domain) -> DataFrame:
+    return canonical.clade_snps(canonical.canonical_snps(d.calls, d.samples))
+
+
+@query(oracles.PRUNED)
+def pruned_snps(d: Domain) -> DataFrame:
+    return canonical.prune_snps(canonical.canonical_snps(d.calls, d.samples).where("chrom = '1'"), 1).select("clade", "pos", "base")
+
+
+@query(oracles.VALID_NODES)
+def valid_nodes(d: Domain) -> DataFrame:
+    return canonical.valid_nodes(canonical.canonical_snps(d.calls, d.samples), d.samples)
+
+
+@query(oracles.SUPPORTED)
+def supported_genotypes(d: Domain) -> DataFrame:
+    return hierarchy.genotypes(d.samples, canonical.valid_nodes(canonical.canonical_snps(d.calls, d.samples), d.samples))
+
+
+@query(oracles.NODE_COUNTS)
+def node_member_counts(d: Domain) -> DataFrame:
+    return hierarchy.node_counts(d.samples)
+
+
+@query(oracles.EDGES)
+def hierarchy_edges(d: Domain) -> DataFrame:
+    return hierarchy.edges(d.samples)
+
+
+@query(oracles.BIFURCATING)
+def bifurcating_nodes(d: Domain) -> DataFrame:
+    return hierarchy.bifurcating(d.samples)
+
+
+@query(oracles.TERMINAL)
+def terminal_nodes(d: Domain) -> DataFrame:
+    return hierarchy.terminal(d.samples)
+
+
+@query(oracles.PREFIXES)
+def prefix_membership(d: Domain) -> DataFrame:
+    return hierarchy.prefix_membership(with_genotypes(d)).groupBy("node").agg(F.count("*").alias("n"))
+
+
+@query(oracles.DELIMITER)
+def delimiter_detection(d: Domain) -> DataFrame:
+    return hierarchy.delimiter_counts(with_genotypes(d)).select("delimiter", "n")
+
+
+@query(oracles.BINS)
+def distance_bins(d: Domain) -> DataFrame:
+    nodes = distance.within_clades(distance.snp_distances(d.calls, d.samples), d.samples).select("clade", F.col("ave_within").alias("dist"))
+    steps = nodes.agg(F.explode(F.array(*(F.lit(float(x)) for x in (120, 130, 136, 1000)))).alias("threshold"))
+    return hierarchy.distance_bins(nodes, steps)
+
+
+@query(oracles.PARTITIONS)
+def distance_partitions(d: Domain) -> DataFrame:
+    return hierarchy.partition_thresholds(distance.snp_distances(d.calls, d.samples), "d")
+
+
+@query(oracles.REDUNDANT)
+def redundant_nodes(d: Domain) -> DataFrame:
+    nodes = hierarchy.membership(d.samples).select("clade").distinct()
+    return hierarchy.redundant_nodes(d.samples, nodes.select(F.lit(0).alias("bin"), "clade"))
+
+
+@query(oracles.GENOTYPE_COUNTS)
+def genotype_base_counts(d: Domain) -> DataFrame:
+    return rules.genotype_base_counts(d.calls, with_genotypes(d))
+
+
+@query(oracles.RULES)
+def snp_rules(d: Domain) -> DataFrame:
+    return rules.base_rules(d.calls, with_genotypes(d)).select("pos", "base", F.array_join("positive", ",").alias("positive"), F.array_join("partial", ",").alias("partial"))
+
+
+@query(oracles.STATES)
+def genotype_states(d: Domain) -> DataFrame:
+    return rules.genotype_states(d.calls, with_genotypes(d))
+
+
+@query(oracles.ALLOWED)
+def allowed_bases(d: Domain) -> DataFrame:
+    return rules.allowed_bases(scheme_rules(d)).select("genotype", "pos", F.array_join("allowed", "").alias("allowed"))
+
+
+@query(oracles.MUTATIONS)
+def detected_mutations(d: Domain) -> DataFrame:
+    return rules.alt_mutations(d.calls, scheme_features(d))
+
+
+@query(oracles.METADATA)
+def metadata_counts(d: Domain) -> DataFrame:
+    return associate.metadata_counts(d.samples, FIELDS)
+
+
+@query(oracles.FISHER)
+def fisher_associations(d: Domain) -> DataFrame:
+    out = associate.fisher_associations(d.samples, FIELDS)
+    odds = F.when(F.isnan("oddsr"), -2.0).when(F.col("oddsr") == float("inf"), -1.0).otherwise(F.round("oddsr", 6))
+    return out.select("clade", "field", "value", "pp", "pn", "np", "nn", odds.alias("oddsr"), F.round("p", 6).alias("p"))
+
+
+@query(oracles.TEMPORAL)
+def temporal_signal(d: Domain) -> DataFrame:
+    out = associate.temporal_signal(distance.snp_distances(d.calls, d.samples), d.samples)
+    return out.select("clade", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+@query(oracles.RANGES)
+def integer_ranges(d: Domain) -> DataFrame:
+    return stats.integer_ranges(d.calls, "pos", ["chrom"])
+
+
+@query(oracles.F1)
+def f1_scores(d: Domain) -> DataFrame:
+    return evaluate.f1_scores(labels(d)).select("label", "num_submitted", "num_predicted", F.round("f1_score", 9).alias("f1_score"))
+
+
+@query(oracles.INCLUDE)
+def label_include(d: Domain) -> DataFrame:
+    return evaluate.include(labels(d), "0.r1")
+
+
+@query(oracles.EXCLUDE)
+def label_exclude(d: Domain) -> DataFrame:
+    return evaluate.exclude(labels(d), "0.r1")
+
+
+@query(oracles.LABEL_COUNTS)
+def label_counts(d: Domain) -> DataFrame:
+    return evaluate.label_counts(labels(d), "predicted")
+
+
+@query(oracles.PROBLEMS)
+def problem_bases(d: Domain) -> DataFrame:
+    moved = d.samples.select("sample_id", "ord", "nation").join(d.samples.select(F.col("nation").alias("m"), F.array_join(F.slice("path", 1, 3), ".").alias("submitted")).distinct(), (F.col("nation") + 1) % 25 == F.col("m"))
+    own = moved.where("ord % 5 = 0").select("sample_id", "submitted", F.lit("?").alias("predicted"))
+    return evaluate.problem_bases(own, d.calls.where(SCHEME), rules.allowed_bases(scheme_rules(d)))
+
+
+@query(oracles.RENAME)
+def renamed_paths(d: Domain) -> DataFrame:
+    names = d.samples.select(F.element_at("path", 2).alias("node"), F.col("location").alias("name")).distinct()
+    return evaluate.rename(d.samples.select("sample_id", F.array_join("path", ",").alias("nodes")), "nodes", "sample_id", names)
+
+
+@query(oracles.MISSING)
+def missing_ids(d: Domain) -> DataFrame:
+    return evaluate.missing_ids({"tree": d.samples.where("ord % 10 <> 0"), "calls": d.calls.where("sample_id <> 'S3'").select("sample_id").distinct(), "meta": d.samples.where("ord % 11 <> 0")})
+
+
+@query(oracles.INTEGER_IDS)
+def integer_like_ids(d: Domain) -> DataFrame:
+    ids = d.samples.select("sample_id", F.col("ord").cast("string").alias("number"))
+    like = lambda c: F.col(c).rlike(r"^\s*[+-]?[0-9]+\s*$")
+    return ids.select("sample_id", like("sample_id").alias("id_is_int"), like("number").alias("number_is_int"))
+
+
+@query(oracles.SEQUENCES)
+def sequence_functions(d: Domain) -> DataFrame:
+    s = F.col("seq")
+    return d.seqs.select("seq_id", F.length(s).cast("long").alias("len"), F.md5(sequence.revcomp(s)).alias("revcomp_md5"), F.md5(s).alias("md5"), sequence.longest_homopolymer(s).cast("long").alias("homopolymer"))
+
+
+@query(oracles.KMERS)
+def canonical_kmer_counts(d: Domain) -> DataFrame:
+    return d.seqs.select(F.explode(sequence.kmers(F.col("seq"), K)).alias("k")).select(sequence.canonical_kmer(F.col("k")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query(oracles.CODONS)
+def codon_translation(d: Domain) -> DataFrame:
+    codons = d.seqs.where("length(seq) >= 3").select("seq_id", sequence.translate_codon(F.substring("seq", 1, 3)).alias("aa"))
+    return codons.groupBy("aa").agg(F.count("*").alias("n"))
+
+
+@query(oracles.ENTROPY)
+def genotype_entropy(d: Domain) -> DataFrame:
+    n = rules.base_rules(d.calls, with_genotypes(d)).select("pos", "base", F.transform(F.array_union("positive", "partial"), lambda x: F.lit(1.0)).alias("ones"))
+    return n.select("pos", "base", F.round(stats.entropy(F.col("ones")), 9).alias("entropy"))
+
+
+@query(oracles.ARI)
+def adjusted_rand_index(d: Domain) -> DataFrame:
+    return stats.adjusted_rand(labels(d), "submitted", "predicted").select(F.round("ari", 9).alias("ari"))
