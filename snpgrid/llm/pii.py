@@ -3,7 +3,7 @@
 A finite transducer rewrites a text (homoglyphs and full-width forms to ASCII, invisible characters to nothing, runs of
 spelled digits to digits, bracketed or spelled at/dot disguises to ``@`` and ``.``) and keeps, for each output character, the source span that it
 came from.  The detectors run on the source (base spans) and again on the rewritten text; hits there that touch rewritten
-characters are mapped back to source offsets and added where no base span of their kind overlaps.
+characters are mapped back to source offsets and added unless a base span of their kind already holds them.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ def spans(t: str) -> list[tuple[int, int, int, bool]]:
     more = []
     if added := deobfuscated(t):
         for k, s, e in added:
-            if not any(k == b and s < y and x < e for b, x, y in base):
+            if not any(k == b and x <= s and e <= y for b, x, y in base):
                 more.append((k, s, e, False))
     return sorted([(*b, True) for b in base] + more)
 
@@ -178,8 +178,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end, base) of each row of ``docs`` (doc_id, text), ordered by kind as in KINDS, then start.
 
-    Whole texts are searched; null counts as empty and has no spans.  Repeated rows and null ids give a row each.  Spans of one kind do not
-    overlap a base span; equal starts cannot occur within a kind.  Other columns are ignored; an empty table gives
+    Whole texts are searched; null counts as empty and has no spans.  Repeated rows and null ids give a row each.  An added span may
+    reach beyond a base span of its kind that saw only a part; ties of start are ordered by end.  Other columns are ignored; an empty table gives
     an empty result.  Time is linear in a text's length, also for long runs of digits or of address characters.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_run, SCHEMA)

@@ -1,0 +1,166 @@
+"""PII, secrets, archives, quality and toxicity."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from snpgrid.llm import pii, secrets
+from snpgrid.llm.archive import read_archive, write_archive
+from snpgrid.llm.quality import resample
+from snpgrid.llm.toxicity import BlockMaxIndex, toxicity
+
+
+def brute_pii(t: str) -> list[tuple[int, int, int]]:
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[ -]", "", m.group())
+        if 13 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            out.append((2, *m.span()))
+    out += [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return sorted(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1.@-_ +(9)4é", max_size=60))
+def test_pii_base_spans(t):
+    assert [s[:3] for s in pii.spans(t) if s[3]] == brute_pii(t)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("é write bob (at) mail [dot] example {dot} com now", "email", "bob (at) mail [dot] example {dot} com"),
+        ("mail bоb@exаmple.com x", "email", "bоb@exаmple.com"),
+        ("john at mail dot example dot com", "email", "john at mail dot example dot com"),
+        ("call +one two three four five six seven eight nine zero!", "phone", "+one two three four five six seven eight nine zero"),
+        ("call ＋1 (675) 555-4554", "phone", "＋1 (675) 555-4554"),
+        ("pay four one one one 1 1 1 1 1 1 1 1 1 1 1 1 ok", "card", "four one one one 1 1 1 1 1 1 1 1 1 1 1 1"),
+        ("a​b@c.de", "email", "a​b@c.de"),
+    ],
+)
+def test_pii_disguises(text, kind, found):
+    added = [(pii.KINDS[k], text[s:e]) for k, s, e, base in pii.spans(text) if not base]
+    assert (kind, found) in added
+
+
+def test_pii_long_runs_are_linear():
+    assert pii.spans("1" * 300_000) == [] and pii.spans("a" * 300_000 + "@") == [] and pii.spans("+" + "1 " * 100_000) == []
+    assert pii.spans("9" * 5000 + ".1.1.1") == []
+
+
+def test_pii_and_secrets_tables(spark):
+    rows = [(1, None, 0), (2, "", 0), (None, "x@y.zz", 0), (3, "x@y.zz", 0), (3, "x@y.zz", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = pii.find_pii(docs).collect()
+    assert sorted(len(r["spans"]) for r in got) == [0, 0, 1, 1, 1]
+    assert secrets.find_secrets(docs).count() == 5
+    assert pii.find_pii(docs.limit(0)).count() == 0 and secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def brute_secrets(t: str) -> list[tuple[int, int, int]]:
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 18]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 16])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "TOKEN", "=", ": ", '"', "AKIA", "ABCDEF0123456789", "0123456789abcdef", "x", " ", "ApiKey", "api_key", "é"]), max_size=12).map("".join))
+def test_secret_base_spans(t):
+    assert [(s, k, e) for s, k, e, _ in secrets.base_spans(t)] == brute_secrets(t)
+
+
+def test_secret_inference(spark):
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=32))
+    like = key()[:10] + "-" + key()[:10] + "-" + key()[:10]
+    rows = [(i, f"token = {key()[:8]}-{key()[:8]}-{key()[:12]} plain words") for i in range(120)]
+    rows += [(200, f"here {like} stands"), (201, "see documentation/pages_about.everything2-or-more")] + [(300 + i, f"readme_of-the.project{i}version") for i in range(40)]
+    out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [s["kind"] for s in out[200]] == ["inferred"] and not out[201]
+    assert all(any(s["base"] for s in out[i]) for i in range(120))
+
+
+def test_archive_round_trip(spark, tmp_path):
+    trap = "x\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\ny"
+    rows = [(i, f"http://h/{i}", t) for i, t in enumerate(["a", "a", None, "", trap, "é" * 5000, trap, "\r\n\r\n", "WARC/1.0\r\n", "b" * 40_000])]
+    rows += [(None, "http://null", "a"), (None, "http://null2", "lonely"), (7, "http://h/7", "\r\n\r\n"), (90, None, "u")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("url", "url")
+    write_archive(pages, str(tmp_path / "w"), file_records=5)
+    for block in (300, 4 << 20):
+        got = read_archive(spark, str(tmp_path / "w"), block_bytes=block).collect()
+        assert len(got) == len(rows) and all(r["sound"] for r in got)
+        want = []
+        for i, _, t in rows:
+            p = (t or "").encode()
+            same = [j for j, _, u in rows if (u or "") == (t or "") and j is not None]
+            top = max(same) if same else None
+            visit = top is not None and i != top
+            want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if visit else "response", top if visit else None))
+        assert sorted(map(str, want)) == sorted(str((r["page_id"], r["payload_bytes"], r["digest"], r["type"], r["refers_to"])) for r in got)
+
+
+def test_empty_archive(spark, tmp_path):
+    write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
+    assert read_archive(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_resample_prefers_the_target(spark):
+    rng = random.Random(2)
+    good = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = [(i, " ".join(rng.choices(good if i % 2 else ["###", "$$$", "%%%"] + good[:1], k=60)), 1.0) for i in range(400)] + [(None, None, 1.0), (900, "", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, log_weight double")
+    labels = spark.createDataFrame([(i,) for i in range(1, 200, 2)] + [(None,), (5000,)], "doc_id long")
+    got = resample(docs, labels)
+    kept = [r["doc_id"] for r in got.collect()]
+    assert len(kept) == 201 and sum(1 for i in kept if i is not None and i < 400 and i % 2 == 0) < 10
+    assert sorted(map(str, kept)) == sorted(str(r["doc_id"]) for r in resample(docs, labels).collect())
+    assert resample(docs.limit(0), labels).count() == 0 and resample(docs, labels.limit(0)).count() == 201
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(4)
+    calm = ["".join(rng.choices("bdgklmnprst", k=2)) + rng.choice("aeiou") for _ in range(300)]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        w = rng.choices(calm, k=60) + (rng.choices(["vileword", "nastyword", "grimword", "foulness"], k=4) if bad else [])
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), 9))
+        labels.append((i, int(bad)))
+    rows += [(1000, None, 9), (1001, "", 9), (None, "vileword nastyword grimword", 9), (5, rows[5][1], 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    got = toxicity(docs, spark.createDataFrame([*labels, (None, 1), (7777, 1)], "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    held = [(r["predicted"], int(r["doc_id"] % 5 == 0)) for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 600]
+    assert len(held) > 100 and sum(p == y for p, y in held) / len(held) > 0.97
+    assert next(r for r in got if r["doc_id"] is None)["predicted"] == 1 and next(r for r in got if r["doc_id"] == 1000)["predicted"] == 0
+    assert toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+    assert toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).where("predicted = 1").count() == 0
+
+
+def test_block_max_index_is_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    dense = np.zeros((1200, 80))
+    for row in dense:
+        at = rng.choice(80, rng.integers(1, 12), replace=False)
+        row[at] = rng.random(len(at))
+        row /= np.linalg.norm(row)
+    owner, term = np.nonzero(dense)
+    index = BlockMaxIndex(80, owner, term, dense[owner, term].astype(np.float32), np.zeros(1200, int), np.arange(1200))
+    for i in range(0, 1200, 40):
+        t = np.flatnonzero(dense[i])
+        _, s = index.nearest(t, dense[i, t].astype(np.float32), 15, leave=i)
+        want = dense @ dense[i]
+        want[i] = 0
+        want = np.sort(want)[::-1][:15]
+        assert np.allclose(s, want[: len(s)], atol=1e-5) and (len(s) == 15 or want[len(s)] < 1e-9)
