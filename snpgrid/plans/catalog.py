@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence, stats
-from ..operators import associate, canonical, distance, evaluate, hierarchy, rules, sites
+from ..operators import associate, canonical, cluster, distance, evaluate, hierarchy, kmers, rules, scheme, sites
 from . import oracles
 from .domain import CTE, Domain, load
 
@@ -340,3 +340,98 @@ def genotype_entropy(d: Domain) -> DataFrame:
 @query(oracles.ARI)
 def adjusted_rand_index(d: Domain) -> DataFrame:
     return stats.adjusted_rand(labels(d), "submitted", "predicted").select(F.round("ari", 9).alias("ari"))
+
+
+def probes(d: Domain) -> DataFrame:
+    """K-mers around two target positions of the derived sequences."""
+    at = d.samples.sparkSession.createDataFrame([(20,), (50,)], "pos int")
+    return kmers.extract_kmers(d.seqs, at, K)
+
+
+def seq_genotypes(d: Domain) -> DataFrame:
+    return d.seqs.select(F.col("seq_id").alias("sample_id"), F.concat(F.lit("g"), (F.col("seq_id") % 5).cast("string")).alias("genotype"))
+
+
+def some_probes(d: Domain) -> DataFrame:
+    """The k-mers that start at position 15 of a sequence."""
+    return probes(d).where("pos = 20 AND start = 15").select("kmer").distinct()
+
+
+@query(oracles.KMER_EXTRACTION)
+def kmer_extraction(d: Domain) -> DataFrame:
+    return probes(d).groupBy("pos", "start", "end", "kmer").agg(F.count("*").alias("n"))
+
+
+@query(oracles.KMER_SEARCH)
+def kmer_search(d: Domain) -> DataFrame:
+    return kmers.search_kmers(d.seqs, some_probes(d), K)
+
+
+@query(oracles.KMER_RULES)
+def kmer_rules(d: Domain) -> DataFrame:
+    out = kmers.kmer_rules(kmers.search_kmers(d.seqs, some_probes(d), K), seq_genotypes(d))
+    return out.select("kmer", F.array_join("positive", ",").alias("positive"), F.array_join("partial", ",").alias("partial"))
+
+
+@query(oracles.KMER_MULTI)
+def multi_hit_kmers(d: Domain) -> DataFrame:
+    return kmers.multi_hits(kmers.search_kmers(d.seqs, some_probes(d), K))
+
+
+@query(oracles.WITHOUT_KMER)
+def positions_without_kmer(d: Domain) -> DataFrame:
+    states = rules.genotype_states(d.calls, with_genotypes(d))
+    shown = d.calls.where("pos % 3 = 0 AND base IN ('A', 'C')").select("pos", "base").distinct()
+    return kmers.positions_without_kmer(states, shown)
+
+
+@query(oracles.OPTIMAL_STARTS)
+def optimal_starts(d: Domain) -> DataFrame:
+    variable = sites.variant_positions(d.calls).select("pos", F.lit(True).alias("is_variable"), (F.col("pos") % 5 == 0).alias("is_gapped"))
+    return kmers.optimal_starts(variable, variable.select("pos"), 18).select("pos", "start", "n_variable", "n_gapped")
+
+
+@query(oracles.SNP_SCHEME)
+def snp_scheme(d: Domain) -> DataFrame:
+    rows = scheme.snp_scheme(scheme_rules(d), d.calls.where(SCHEME).select("pos", "ref").distinct())
+    return rows.select("mutation_key", "dna_name", "state", "ref_state", "alt_state", "target_variant", F.col("variant_start").cast("long").alias("variant_start"), F.round("kmer_entropy", 9).alias("kmer_entropy"), "positive_genotypes", "partial_genotypes")
+
+
+@query(oracles.SCHEME_SUMMARY)
+def scheme_summary(d: Domain) -> DataFrame:
+    return scheme.scheme_summary(scheme.snp_scheme(scheme_rules(d), d.calls.where(SCHEME).select("pos", "ref").distinct()))
+
+
+@query(oracles.FEATURES)
+def overlapping_features(d: Domain) -> DataFrame:
+    n = d.samples.select((F.col("ord") * 37 % 2300).cast("int").alias("a"), F.col("ord").alias("ord"), F.col("sample_id").alias("gene_name"))
+    features = n.select("ord", "gene_name", F.col("a").alias("gene_start"), (F.col("a") + 60).alias("gene_end"), F.lit("").alias("dna_seq"), F.col("a").alias("seg_start"), (F.col("a") + 60).alias("seg_end"))
+    places = d.calls.select("pos").distinct().select("pos", F.col("pos").alias("start"), F.col("pos").alias("end"))
+    return scheme.overlapping_feature(places, features, ["pos"]).select("pos", F.coalesce("f.gene_name", F.lit("")).alias("gene_name"))
+
+
+@query(oracles.REFINED)
+def refined_rules(d: Domain) -> DataFrame:
+    g = with_genotypes(d)
+    r = rules.base_rules(d.calls.where("pos < 200"), g)
+    fallback = g.select("genotype").distinct().join(r.select("pos").distinct()).withColumn("base", F.lit("A"))
+    out = kmers.refine_rules(r, g, fallback)
+    return out.select("pos", "base", F.array_join("positive", ",").alias("positive"), F.array_join("partial", ",").alias("partial"))
+
+
+@query(oracles.BEST_FIT)
+def cluster_best_fit(d: Domain) -> DataFrame:
+    clusters = d.samples.select("sample_id", (F.col("nation") * 2 + F.when(F.col("ord") % 3 == 0, 1).otherwise(0)).alias("cluster"))
+    return cluster.best_fit(clusters, hierarchy.membership(d.samples))
+
+
+@query()
+def nested_clusters(d: Domain) -> DataFrame:
+    dist = distance.snp_distances(d.calls, d.samples)
+    return cluster.cluster_table(d.samples.sparkSession, dist, d.samples, [120.0, 130.0, 140.0])
+
+
+@query()
+def degenerate_expansion(d: Domain) -> DataFrame:
+    codes = F.translate(F.substring("seq", 1, 5), "ACGT", "RYNT")
+    return d.seqs.select("seq_id", codes.alias("code"), F.size(sequence.expand_degenerate(codes)).cast("long").alias("n"))

@@ -140,3 +140,33 @@ CODONS = """SELECT substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVA
 ENTROPY = _RULES.format(where="") + " SELECT pos, base, round(ln(count(*)), 9) AS entropy FROM full_ GROUP BY 1, 2"
 ARI = _LABELS + """, c AS (SELECT submitted, predicted, count(*) AS k FROM labels_ GROUP BY 1, 2), i AS (SELECT sum(k * (k - 1) / 2) AS i, sum(k) AS n FROM c), x AS (SELECT sum(k * (k - 1) / 2) AS x FROM (SELECT sum(k) AS k FROM c GROUP BY submitted)),
 y AS (SELECT sum(k * (k - 1) / 2) AS y FROM (SELECT sum(k) AS k FROM c GROUP BY predicted)) SELECT round((i - x * y / (n * (n - 1) / 2)) / ((x + y) / 2 - x * y / (n * (n - 1) / 2)), 9) AS ari FROM i, x, y"""
+_PROBES = """, pr AS (SELECT seq_id, pos, unnest(generate_series(greatest(0, pos - 8), pos - 1)) AS st, seq FROM seqs, (SELECT unnest([20, 50]) AS pos) WHERE length(seq) > pos),
+ex AS (SELECT seq_id, pos, st, substr(seq, st + 1, 9) AS kmer FROM pr WHERE length(substr(seq, st + 1, 9)) = 9),
+pk AS (SELECT DISTINCT kmer FROM ex WHERE pos = 20 AND st = 15),
+win AS (SELECT seq_id, substr(seq, i, 9) AS w FROM (SELECT seq_id, seq, unnest(generate_series(1, length(seq) - 8)) AS i FROM seqs WHERE length(seq) >= 9)),
+hits AS (SELECT kmer, seq_id, count(*) AS n FROM win JOIN (SELECT kmer, kmer AS w FROM pk UNION SELECT kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) FROM pk) USING (w) GROUP BY 1, 2)"""
+KMER_EXTRACTION = _PROBES + ' SELECT CAST(pos AS INT) AS pos, CAST(st AS INT) AS start, CAST(st + 9 AS INT) AS "end", kmer, count(*) AS n FROM ex GROUP BY 1, 2, 3, 4'
+KMER_SEARCH = _PROBES + " SELECT kmer, seq_id, n FROM hits"
+KMER_RULES = _PROBES + """, g AS (SELECT seq_id, 'g' || (seq_id % 5) AS genotype FROM seqs), z AS (SELECT genotype, count(*) AS size FROM g GROUP BY 1), s AS (SELECT kmer, genotype, count(DISTINCT seq_id) AS k FROM hits JOIN g USING (seq_id) GROUP BY 1, 2)
+SELECT kmer, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (WHERE k >= 0.1 * size), '') AS positive, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (WHERE k < 0.1 * size), '') AS partial FROM s JOIN z USING (genotype) GROUP BY 1"""
+KMER_MULTI = _PROBES + " SELECT DISTINCT kmer FROM hits WHERE n > 1"
+WITHOUT_KMER = f" SELECT DISTINCT pos, base FROM calls WHERE {CALLED} EXCEPT SELECT pos, base FROM calls WHERE pos % 3 = 0 AND base IN ('A', 'C')"
+OPTIMAL_STARTS = f""", v AS (SELECT pos FROM calls WHERE {CALLED} GROUP BY chrom, pos HAVING count(DISTINCT base) > 1), st AS (SELECT pos, unnest(generate_series(greatest(0, pos - 17), pos)) AS start FROM v),
+c AS (SELECT st.pos, st.start, count(v.pos) AS nv, count(v.pos) FILTER (WHERE v.pos % 5 = 0) AS ng FROM st LEFT JOIN v ON v.pos BETWEEN st.start AND st.pos GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY nv, ng, start DESC) AS rn FROM c) SELECT pos, CAST(start AS INT) AS start, nv AS n_variable, ng AS n_gapped FROM r WHERE rn = 1"""
+_SCHEME = _SCHEME_RULES + """, rl AS (SELECT pos, base, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (WHERE f), '') AS positive, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (WHERE NOT f), '') AS partial, count(*) AS n, count(*) FILTER (WHERE f) AS np FROM full_ GROUP BY 1, 2),
+rf AS (SELECT DISTINCT pos, ref FROM calls WHERE pos >= 1000), al AS (SELECT rl.pos, ref, base AS alt FROM rl JOIN rf USING (pos) WHERE base <> ref),
+ro AS (SELECT al.*, state, CASE WHEN state = 'alt' THEN alt ELSE ref END AS base FROM al, (SELECT unnest(['ref', 'alt']) AS state)),
+rw AS (SELECT ro.*, coalesce(positive, '') AS positive, coalesce(partial, '') AS partial, coalesce(n, 0) AS n, max(coalesce(np, 0)) OVER (PARTITION BY ro.pos, alt) AS best FROM ro LEFT JOIN rl ON rl.pos = ro.pos AND rl.base = ro.base),
+sc AS (SELECT *, CASE WHEN n > 0 THEN ln(n) ELSE (SELECT max(ln(n)) FROM rw WHERE n > 0 AND best > 0) END AS e FROM rw WHERE best > 0)"""
+SNP_SCHEME = _SCHEME + """ SELECT 'snp_' || ref || '_' || (pos + 1) || '_' || alt AS mutation_key, ref || (pos + 1) || base AS dna_name, state, ref AS ref_state, alt AS alt_state, base AS target_variant, CAST(pos + 1 AS BIGINT) AS variant_start, round(e, 9) AS kmer_entropy,
+  positive AS positive_genotypes, partial AS partial_genotypes FROM sc"""
+SCHEME_SUMMARY = _SCHEME + " SELECT count(*) AS n_features, count(DISTINCT pos) AS n_positions, count(DISTINCT ref || pos || alt) AS n_mutations FROM sc"
+FEATURES = """, f AS (SELECT ord, sample_id AS gene, ord * 37 % 2300 AS a FROM samples), p AS (SELECT DISTINCT pos FROM calls), h AS (SELECT pos, arg_min(gene, ord) AS gene FROM p JOIN f ON pos BETWEEN a AND a + 60 GROUP BY 1)
+SELECT p.pos, coalesce(gene, '') AS gene_name FROM p LEFT JOIN h ON h.pos = p.pos"""
+REFINED = _RULES.format(where="AND pos < 200") + """, w AS (SELECT *, bool_or(f) OVER (PARTITION BY pos, genotype) AS settled, count(*) OVER (PARTITION BY pos, genotype) AS nb FROM full_),
+r AS (SELECT pos, base, genotype, f OR (NOT settled AND nb = 1) AS f FROM w UNION ALL SELECT p.pos, 'A', g.genotype, true FROM (SELECT DISTINCT pos FROM full_) p CROSS JOIN (SELECT DISTINCT genotype FROM genotypes) g WHERE NOT EXISTS (SELECT 1 FROM full_ x WHERE x.pos = p.pos AND x.genotype = g.genotype))
+SELECT pos, base, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (WHERE f), '') AS positive, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (WHERE NOT f), '') AS partial FROM r GROUP BY 1, 2"""
+BEST_FIT = """, c AS (SELECT sample_id, nation * 2 + CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END AS cluster FROM samples), n AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1), z AS (SELECT clade, count(*) AS nn, min(ord) AS o, min(depth) AS dp FROM membership GROUP BY 1),
+k AS (SELECT cluster, clade, count(*) AS k FROM c JOIN membership USING (sample_id) GROUP BY 1, 2), b AS (SELECT cluster, clade, row_number() OVER (PARTITION BY cluster ORDER BY nn - n, o, dp) AS rn FROM k JOIN n USING (cluster) JOIN z USING (clade) WHERE k = n)
+SELECT n.cluster, coalesce(clade, '0') AS clade FROM n LEFT JOIN b ON b.cluster = n.cluster AND rn = 1"""
