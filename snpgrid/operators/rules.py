@@ -49,9 +49,12 @@ def call_genotypes(calls: DataFrame, allowed: DataFrame, samples: DataFrame, max
     return samples.select("sample_id").join(best, "sample_id", "left").select("sample_id", F.coalesce("genotypes", F.array().cast("array<string>")).alias("genotypes"), F.coalesce("dist", F.lit(1.0)).alias("dist"))
 
 
-def alt_mutations(calls: DataFrame, features: DataFrame) -> DataFrame:
-    """(sample_id, n_detected, mutations): positions with a base, and the alternative mutations found there, sorted.  ``features``: pos, ref_state, alt_state, mutation_key."""
-    positions = features.select("pos").distinct()
+def alt_mutations(calls: DataFrame, features: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """(sample_id, n_detected, mutations): scheme positions with a base, and the alternative mutations found there, sorted.
+
+    ``features``: pos, ref_state, alt_state, mutation_key; ``positions`` (pos) are the scheme's, by default those of the features.
+    """
+    positions = features.select("pos").distinct() if positions is None else positions
     usable = calls.where(called(F.col("base"))).join(positions, "pos", "left_semi")
     found = usable.join(features.select("pos", F.col("alt_state").alias("base"), "mutation_key").distinct(), ["pos", "base"])
     n = usable.groupBy("sample_id").agg(F.countDistinct("pos").alias("n_detected"))
@@ -64,7 +67,7 @@ def call_report(calls: DataFrame, rules: DataFrame, features: DataFrame, samples
     positions = rules.select("pos").distinct()
     called_rows = call_genotypes(calls.join(positions, "pos", "left_semi"), allowed_bases(rules), samples, max_dist)
     n_positions = positions.agg(F.count("*").alias("n_positions"))
-    out = called_rows.join(alt_mutations(calls, features), "sample_id", "left").join(n_positions)
+    out = called_rows.join(alt_mutations(calls, features, positions), "sample_id", "left").join(n_positions)
     n, detected = F.size("genotypes"), F.coalesce("n_detected", F.lit(0))
     short = detected < F.col("n_positions") - max_missing
     status = F.when(short, "Fail").when(n == 1, "Pass").otherwise("Warning")
