@@ -8,21 +8,26 @@ Steps: documents with equal sets become one class (copies are never paired); onl
 combined into table keys; in each bucket the members are held against the bucket's smallest member, components are
 formed, and buckets that still hold several components compare the remaining pairs of different components.  So no pairs
 are made within what is already linked, and no pair that shares a bucket and could change a component is left out.
+
+Before full sets are fetched a pair passes two exact bounds: sizes, and the parity bitmap (the parity of the number of
+shingles in each of ``CELLS`` cells).  The bitmaps of two sets differ in at most as many cells as the sets differ in elements, so
+a pair whose bitmaps differ more than a link allows is no link.  A pair is made only in the first table that it shares.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bitmap_filter, components, hot_rows, join_unique
 from .hashing import Words, grams, mix, pieces, signed
 
-WORDS, PERCENT, HALVES, ROWS = 5, 75, 10, 2
+WORDS, PERCENT, HALVES, ROWS, CELLS = 5, 75, 10, 2, 1024
 
 
 def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -65,10 +70,16 @@ def _signatures(k: int, halves: int, rows: int):
                             x ^= x >> np.uint64(31)
                             key = mix(key * np.uint64(31) + np.minimum.reduceat(x, off))
                         keys[full, h] = key
+                bits = np.zeros((len(sets), CELLS // 64), np.int64)
+                if full:
+                    owner = np.repeat(np.arange(len(full)), [len(sets[i]) for i in full])
+                    odd = np.bincount(owner * CELLS + ((flat >> np.uint64(17)) % np.uint64(CELLS)).astype(np.int64), minlength=len(full) * CELLS) & 1
+                    bits[full] = np.packbits(odd.astype(np.uint8).reshape(len(full), CELLS), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, end - at), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.binary()),
-                     pa.array([list(map(int, signed(keys[i]))) if len(s) else None for i, s in enumerate(sets)], pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "c", "halves"],
+                     pa.FixedSizeListArray.from_arrays(pa.array(signed(keys.ravel())), 2 * halves).cast(pa.list_(pa.int64())),
+                     pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), CELLS // 64).cast(pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "c", "halves", "bits"],
                 )
 
     return run
@@ -97,58 +108,77 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    base = scratch.cut(docs.mapInArrow(_signatures(words, halves, rows), "doc_id long, n_shingles long, c binary, halves array<bigint>"), "base")
+    base = scratch.cut(docs.mapInArrow(_signatures(words, halves, rows), "doc_id long, n_shingles long, c binary, halves array<bigint>, bits array<bigint>"), "base")
 
-    classes = base.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
-    classes = scratch.cut(classes, "classes")
+    classes = base.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first(F.struct(F.col("n_shingles").alias("n"), "halves", "bits")).alias("v"))
+    classes = scratch.cut(classes.select("c", "rep", "size", "v.*"), "classes")
+    total = classes.count()
 
     # halves shared by two classes or more, then the tensor of the shared ones
     half = classes.select("c", "n", F.posexplode("halves").alias("i", "h"))
     shared = half.groupBy("h").count().where("count > 1").select("h", "count")
-    total = classes.count()
     mine = join_unique(half, shared, ["h"], F.col("count") >= hot_rows(total)).where("count IS NOT NULL")
-    mine = mine.groupBy("c", "n").agg(F.collect_list(F.when(F.col("i") < halves, F.col("h"))).alias("us"), F.collect_list(F.when(F.col("i") >= halves, F.col("h"))).alias("vs"))
-    keyed = scratch.cut(mine.select("c", "n", F.explode("us").alias("u"), "vs").select("c", "n", "u", F.explode("vs").alias("v")).select(F.xxhash64("u", "v").alias("key"), "c", "n"), "keyed")
+    side = lambda own: F.collect_list(F.when(own, F.struct("i", "h")))
+    mine = mine.groupBy("c", "n").agg(side(F.col("i") < halves).alias("us"), side(F.col("i") >= halves).alias("vs"))
+    mine = mine.select("c", "n", F.explode("us").alias("u"), "vs").select("c", "n", "u", F.explode("vs").alias("v"))
+    keyed = scratch.cut(mine.select(F.xxhash64("u.h", "v.h").alias("key"), F.col("u.i").alias("i"), F.col("v.i").alias("j"), "c", "n"), "keyed")
     buckets = keyed.groupBy("key").agg(F.min(F.struct("c", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     members = scratch.cut(join_unique(keyed, buckets, ["key"], F.col("members") >= hot_rows(total)).where("members IS NOT NULL"), "members")
+    scratch.drop("keyed")
 
-    fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    star = members.where(F.col("c") != F.col("hub.c")).where(fits(F.col("n"), F.col("hub.n")))
-    star = star.select(F.col("hub.c").alias("a"), F.col("hub.n").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb")).distinct()
+    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    # full sets of the classes that are in some bucket
-    wanted = scratch.cut(members.select("c").distinct().join(classes.select("c", "rep"), "c").select("c", "rep"), "wanted")
-    text = bitmap_filter(docs, F.col("doc_id"), wanted, F.col("rep"))
-    text = text.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("doc_id", "text")
-    sets = text.mapInArrow(_full_sets(words), "c binary, set array<bigint>").groupBy("c").agg(F.first("set").alias("set"))
-    sets = scratch.cut(sets.join(wanted.select("c"), "c", "left_semi"), "sets")
+    def near(x: str, y: str, n: Column) -> Column:
+        """The parity bound: bitmaps differ in no more cells than a link of sets of ``n`` elements together allows."""
+        differ = reduce(lambda p, q: p + q, (F.bit_count(F.get(x, F.lit(w)).bitwiseXOR(F.get(y, F.lit(w)))) for w in range(CELLS // 64)))
+        return differ * (100 + percent) <= n * (100 - percent)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, linked) for pairs (a, na, b, nb), on the full sets of the classes that are in them."""
+        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "rep"), "c")
+        wanted = scratch.cut(wanted, f"{name}-wanted")
+        text = bitmap_filter(docs, F.col("doc_id"), wanted, F.col("rep"))
+        text = text.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("doc_id", "text")
+        sets = text.mapInArrow(_full_sets(words), "c binary, set array<bigint>").groupBy("c").agg(F.first("set").alias("set"))
+        sets = scratch.cut(sets.join(wanted.select("c"), "c", "left_semi"), f"{name}-sets")
         sb = sets.select(F.col("c").alias("b"), F.col("set").alias("set_b"))
         sa = sets.select(F.col("c").alias("a"), F.col("set").alias("set_a"))
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         held = pairs.join(sb, "b").join(sa, "a").select("a", "b", (100 * both >= percent * (F.col("na") + F.col("nb") - both)).alias("linked"))
-        return scratch.cut(held, name)
+        held = scratch.cut(held, name)
+        scratch.drop(f"{name}-wanted", f"{name}-sets")
+        return held
 
+    star = members.where(F.col("c") != F.col("hub.c")).where(fits(F.col("n"), F.col("hub.n")))
+    star = star.select(F.col("hub.c").alias("a"), F.col("hub.n").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb")).distinct()
+    star = star.join(classes.select(F.col("c").alias("b"), F.col("bits").alias("y")), "b").join(classes.select(F.col("c").alias("a"), F.col("bits").alias("x")), "a")
+    star = scratch.cut(star.where(near("x", "y", F.col("na") + F.col("nb"))).select("a", "na", "b", "nb"), "star")
     first = confirmed(star, "first")
     labels = components(scratch, first.where("linked"), "a", "b")
 
     # buckets that still hold several components: the pairs of different components not yet held against each other
-    now = members.join(labels.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("label", "c").alias("label"))
+    now = members.join(labels.withColumnRenamed("node", "c"), "c", "left").select("key", "i", "j", "c", "n", F.coalesce("label", "c").alias("label"))
     now = scratch.cut(now, "now")
     mixed = now.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
-    left = scratch.cut(now.join(mixed, "key", "left_semi"), "mixed")
-    x = left.select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = left.select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = x.join(y, "key").where("a < b AND la <> lb").where(fits(F.col("na"), F.col("nb"))).select("a", "na", "b", "nb").distinct()
-    pairs = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = confirmed(pairs, "second")
+    left = now.join(mixed, "key", "left_semi").join(classes.select("c", "halves", "bits"), "c")
+    left = scratch.cut(left, "mixed")
+    x = left.select("key", "i", "j", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("halves").alias("hx"), F.col("bits").alias("x"))
+    y = left.select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("halves").alias("hy"), F.col("bits").alias("y"))
+
+    def agreeing(lo: int) -> Column:
+        """The first of a side's halves that the pair shares."""
+        return F.coalesce(*(F.when(F.get("hx", F.lit(q)) == F.get("hy", F.lit(q)), F.lit(q)) for q in range(lo, lo + halves)))
+
+    ok = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb"))
+    ok = ok & near("x", "y", F.col("na") + F.col("nb")) & (agreeing(0) == F.col("i")) & (agreeing(halves) == F.col("j"))
+    pairs = x.join(y, (x["key"] == y["key"]) & ok).select("a", "na", "b", "nb").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = confirmed(scratch.cut(pairs, "pairs"), "second")
     final = components(scratch, first.where("linked").select("a", "b").union(second.where("linked").select("a", "b")), "a", "b")
 
     named = classes.select("c", "rep").join(final, F.col("c") == F.col("node"), "left").select("c", F.coalesce("label", "c").alias("label"), "rep")
     ids = named.groupBy("label").agg(F.min("rep").alias("component"))
     named = scratch.cut(named.join(ids, "label").select("c", "component").join(classes.select("c", "size"), "c"), "named")
-    scratch.drop("keyed", "members", "sets", "wanted", "now", "mixed", "first", "second", "classes")
+    scratch.drop("members", "star", "now", "mixed", "pairs", "first", "second", "classes")
     out = join_unique(base.select("doc_id", "n_shingles", "c"), named, ["c"], F.col("size") >= hot_rows(total))
     own = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
