@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,9 +106,39 @@ def hot_rows(total: int, least: int = 1000, parts: int = 2000) -> int:
     return max(least, total // parts)
 
 
-def components(scratch: Scratch, edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, label): label is the smallest node reachable.  Minimum propagation with pointer jumping, so the rounds grow with the logarithm of a path's length; each round is a written table."""
-    links = scratch.cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct(), "cc-links")
+#: Links up to which one task joins them in memory; more go through the distributed rounds.
+LOCAL_LINKS = 50_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict = {}
+
+    def top(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = top(x), top(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([top(x) for x in nodes], pa.binary())], ["node", "label"])
+
+
+def components(scratch: Scratch, edges: DataFrame, a: str, b: str, local: int = LOCAL_LINKS) -> DataFrame:
+    """(node, label) of binary nodes: label is the smallest node reachable.
+
+    Up to ``local`` links (counted) one task joins them.  More are settled by minimum propagation with pointer jumping, so the rounds
+    grow with the logarithm of a path's length; each round is a written table.
+    """
+    links = scratch.cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct(), "cc-links")
+    if links.count() <= local:
+        labels = scratch.cut(links.coalesce(1).mapInArrow(_union_find, "node binary, label binary"), f"cc-{uuid.uuid4().hex[:6]}")
+        scratch.drop("cc-links")
+        return labels
+    links = scratch.cut(links.union(links.select("y", "x")).distinct(), "cc-both")
     labels = scratch.cut(links.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")), "cc-0")
     n = 0
     while True:
@@ -122,5 +154,6 @@ def components(scratch: Scratch, edges: DataFrame, a: str, b: str) -> DataFrame:
         n += 1
         labels = new.select("node", "label")
         if done:
-            scratch.drop("cc-links")
-            return labels
+            named = scratch.cut(labels, f"cc-{uuid.uuid4().hex[:6]}")
+            scratch.drop("cc-links", "cc-both", f"cc-{n}")
+            return named
