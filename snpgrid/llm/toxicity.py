@@ -20,7 +20,7 @@ from .common import Scratch, bitmap_filter
 from .hashing import NOT_ALNUM, Words, mix, pieces, signed
 
 #: Labelled documents of each label used at most (those of smallest hash), examples a block, neighbours, terms at most, least z-score of a term.
-SAMPLE, BLOCK, K, TERMS, LEAST_Z, PREFIXES, THRESHOLD = 6000, 64, 15, 8192, 4.0, (4, 5, 6, 7), 0.7
+SAMPLE, BLOCK, K, TERMS, LEAST_Z, PREFIXES, THRESHOLD = 6000, 256, 15, 8192, 4.0, (4, 5, 6, 7), 0.7
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,42 +75,48 @@ class Vocabulary:
 
 
 class BlockMaxIndex:
-    """Examples in blocks; postings by term, with each term's largest weight in each block."""
+    """Examples in blocks; postings by block and term, with each term's largest weight in each block."""
 
     def __init__(self, n_terms: int, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray):
-        self.labels, self.ids, self.n = labels, ids, len(labels)
-        order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(n_terms + 1))
+        self.labels, self.ids, self.n, self.terms = labels, ids, len(labels), max(n_terms, 1)
         self.blocks = -(-max(self.n, 1) // BLOCK)
-        self.peak = np.zeros((n_terms, self.blocks), np.float32)
+        cell = owner // BLOCK * self.terms + term
+        order = np.lexsort((owner, cell))
+        self.owner, self.weight = owner[order], weight[order]
+        self.first = np.searchsorted(cell[order], np.arange(self.blocks * self.terms + 1)).astype(np.int32)
+        self.peak = np.zeros((self.terms, self.blocks), np.float32)
         np.maximum.at(self.peak, (term, owner // BLOCK), weight)
 
+    def _scores(self, blocks: np.ndarray, q_term: np.ndarray, q_weight: np.ndarray) -> np.ndarray:
+        """Cosines of all examples of some blocks (0 elsewhere), from the postings of the query's terms there."""
+        cells = (blocks[:, None] * self.terms + q_term[None, :]).ravel()
+        start = self.first[cells].astype(np.int64)
+        n = self.first[cells + 1] - start
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        w = self.weight[at] * np.repeat(np.tile(q_weight, len(blocks)), n)
+        return np.bincount(self.owner[at], weights=w, minlength=self.n)
+
     def nearest(self, q_term: np.ndarray, q_weight: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k most similar examples with a common term; ties by example number."""
+        """(example, cosine) of the k most similar examples with a common term; ties by example number.
+
+        The most promising blocks give a k-th best; of the others only those whose bound reaches it are scored.
+        """
         bound = q_weight @ self.peak[q_term]
-        blocks = np.argsort(-bound, kind="stable")
-        ranges = [(self.owner[self.first[t] : self.first[t + 1]], self.weight[self.first[t] : self.first[t + 1]]) for t in q_term]
-        best_i, best_s, least = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
-        at, step = 0, 4
-        while at < len(blocks) and bound[blocks[at]] > 0 and (len(best_i) < k or bound[blocks[at]] >= least - 1e-6):
-            some = blocks[at : at + step]
-            score = np.zeros(len(some) * BLOCK, np.float32)
-            for (o, w), qw in zip(ranges, q_weight, strict=True):
-                for n, b in enumerate(some):
-                    lo, hi = np.searchsorted(o, (b * BLOCK, (b + 1) * BLOCK))
-                    if lo < hi:
-                        score[o[lo:hi] - b * BLOCK + n * BLOCK] += w[lo:hi] * qw
-            hit = np.flatnonzero(score)
-            number = some[hit // BLOCK] * BLOCK + hit % BLOCK
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
+        for blocks in (order[:2], order[2:]):
+            if len(best_i) == k:
+                blocks = blocks[bound[blocks] >= best_s[-1] - 1e-5]
+            if not len(blocks):
+                continue
+            score = self._scores(blocks, q_term, q_weight)
             if leave >= 0:
-                hit, number = hit[number != leave], number[number != leave]
-            best_i, best_s = np.concatenate([best_i, number]), np.concatenate([best_s, score[hit]])
+                score[leave] = 0
+            hit = np.flatnonzero(score)
+            best_i, best_s = np.concatenate([best_i, hit]), np.concatenate([best_s, score[hit]])
             keep = np.lexsort((best_i, -best_s))[:k]
             best_i, best_s = best_i[keep], best_s[keep]
-            least = float(best_s[-1]) if len(best_s) == k else 0.0
-            at += step
-            step = min(4 * step, 64)
         return best_i, best_s
 
 
