@@ -106,3 +106,28 @@ def integer_ranges(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(value)
     island = df.select(*by, value).distinct().withColumn("island", F.col(value) - F.row_number().over(w))
     return island.groupBy(*by, "island").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("island")
+
+
+def adjusted_mutual_info(pairs: DataFrame, a: str, b: str) -> float:
+    """Adjusted mutual information (arithmetic mean of entropies) of two labellings.
+
+    Only the contingency table reaches the driver: label pairs, not rows.
+    """
+    cells = pairs.groupBy(a, b).count().toPandas()
+    n = float(cells["count"].sum())
+    if n == 0:
+        return 1.0
+    rows, cols = cells.groupby(a, dropna=False)["count"].sum().to_numpy(float), cells.groupby(b, dropna=False)["count"].sum().to_numpy(float)
+    if len(rows) == len(cols) == 1 or len(rows) == len(cols) == n:
+        return 1.0
+    h = lambda x: float(-(x / n * np.log(x / n)).sum())
+    mutual = h(rows) + h(cols) - h(cells["count"].to_numpy(float))
+    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(n) + 1)))])
+    expected = 0.0
+    for x in rows.astype(int):
+        for y in cols.astype(int):
+            k = np.arange(max(1, x + y - int(n)), min(x, y) + 1)
+            logp = fact[x] + fact[y] + fact[int(n) - x] + fact[int(n) - y] - fact[int(n)] - fact[k] - fact[x - k] - fact[y - k] - fact[int(n) - x - y + k]
+            expected += float((k / n * np.log(n * k / (x * y)) * np.exp(logp)).sum())
+    mean = (h(rows) + h(cols)) / 2
+    return (mutual - expected) / (mean - expected)

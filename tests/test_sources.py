@@ -83,6 +83,9 @@ def test_newick():
     for bad in ("((a,b);", "a,b);"):
         with pytest.raises(ValueError, match="unbalanced"):
             newick.parse(bad)
+    assert newick.leaf_distances(newick.parse("((a:1,b:2):1,c:4);")) == [("a", "b", 3.0), ("a", "c", 6.0), ("b", "c", 7.0)]
+    assert newick.internal_clades(newick.normalise("((a,b),c);")) == {"0": ["c", "a", "b"], "1": ["a", "b"]}
+    assert newick.nested(newick.parse("(a,b)r;")) == {"name": "r", "children": [{"name": "a"}, {"name": "b"}]}
     kept = newick.remove_clades(newick.normalise("(((a,b),c),d);"), {"0"})
     assert {n.name for n in kept.children} == set("abcd")
 
