@@ -9,6 +9,7 @@ characters are mapped back to source offsets and added unless a base span of the
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -37,18 +38,40 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
-_SINGLE = {**HOMOGLYPHS, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, **dict.fromkeys(INVISIBLE, "")}
-_WIDE = re.compile("[" + "".join(map(re.escape, _SINGLE)) + "]")
+# look-alikes of separators: hyphens and minus, spaces, dots, at
+SEPARATORS = {**dict.fromkeys("‐‑‒–—―−", "-"), **dict.fromkeys("\u00a0\u2007\u2009\u202f", " "), **dict.fromkeys("․。｡", "."), "﹫": "@"}
+
+
+def _compatible() -> dict[str, str]:
+    """Styled and full-width forms of ASCII characters, and decimal digits of other scripts, by their Unicode properties."""
+    styled = [*range(0x2070, 0x20A0), *range(0x2100, 0x2150), *range(0x2460, 0x2500), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)]
+    out = {chr(c): n for c in styled if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii()}
+    return out | {chr(c): str(d) for c in range(0x600, 0x1FC00) if (d := unicodedata.decimal(chr(c), None)) is not None}
+
+
+_SINGLE = {**_compatible(), **HOMOGLYPHS, **SEPARATORS, **dict.fromkeys(INVISIBLE, "")}
+# apart, since a class with characters beyond the basic plane is searched slowly
+_WIDE = re.compile("[" + "".join(re.escape(c) for c in _SINGLE if c < "\U00010000") + "]")
+_WIDER = re.compile("[" + "".join(re.escape(c) for c in _SINGLE if c >= "\U00010000") + "]")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _AT = r"[\[({<]\x20{0,3}(?:at|AT|At|@)\x20{0,3}[\])}>]"
 _DOT = r"[\[({<]\x20{0,3}(?:dot|DOT|Dot|\.)\x20{0,3}[\])}>]"
 _BRACKET = re.compile(rf"\x20{{0,3}}(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\x20{{0,3}}")
 _HAS_BRACKET = re.compile(rf"{_AT}|{_DOT}")
-# name at host dot word, spelled out
-_SPELLED_AT = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9][\w.%+-]{0,63}(?P<at>\x20at\x20)[a-z0-9-]{1,63}(?:\x20dot\x20[a-z0-9-]{1,63}){1,4}(?!\w)")
+# name at host dot word, spelled out; without a spelled dot the name must look like an address; signs set apart by spaces
+_NAME = r"[a-z0-9][\w.%+-]{0,63}"
+_SPELLED_AT = re.compile(rf"(?i)(?<![\w.%+-])(?:{_NAME}\x20dot\x20){{0,3}}{_NAME}(?P<at>\x20at\x20)[a-z0-9-]{{1,63}}(?:\x20dot\x20[a-z0-9-]{{1,63}}){{1,4}}(?!\w)")
+_PLAIN_AT = [re.compile(rf"\x20{at}\x20(?=[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,3}}\.[A-Za-z]{{2,10}}(?![\w-]))") for at in ("at", "AT")]
+_ADDRESS = re.compile(r"[A-Za-z0-9]+[._%+-][\w.%+-]*[\w]$|[A-Za-z]+[0-9]+$")
+_SPACED_AT = re.compile(r"(?<=[\w%+-])(?P<at>\x20{0,2}@\x20{0,2})[A-Za-z0-9-]{1,63}(?:(?:\x20{1,2}\.\x20{1,2}|\.)[A-Za-z0-9-]{1,63}){1,4}")
+_SPACED_DOT = re.compile(r"(?<=\w)\x20{1,2}\.\x20{1,2}(?=[a-z0-9])")
+# letters that stand for digits in a number: at least six true digits and a letter
+_LOOSE_NUMBER = re.compile(r"[0-9+][0-9OoIl\x20().-]{7,40}(?![A-Za-z])")
+_LETTER_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 _SPELLED_DOT = re.compile(r"(?i)\x20dot\x20")
 _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_NUMBER})(?:[\x20-]{{1,2}}(?:{_NUMBER}|[0-9])(?!\w)){{6,40}}")
-_ONE_NUMBER = re.compile(rf"(?i)(?:{_NUMBER})(?!\w)|[\x20-]+")
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\x20-])?(?:{_NUMBER})(?:[\x20-]{{1,2}}(?:{_NUMBER}|[0-9])(?!\w)){{6,40}}")
+_ONE_NUMBER = re.compile(rf"(?i)(?:plus|{_NUMBER})(?!\w)|[\x20-]+")
 # words that are also common for other reasons; a spelled run needs three words besides
 _COMMON = frozenset({"un", "uno", "oh", "null"})
 _TELLING = tuple(f" {w} " for w in DIGIT_WORDS if w not in _COMMON)
@@ -98,16 +121,30 @@ def detect(t: str) -> list[tuple[int, int, int]]:
 def rewrites(t: str) -> list[tuple[int, int, str]]:
     """Source spans that the transducer replaces, in order, not overlapping."""
     found = [(m.start(), m.end(), _SINGLE[m.group()]) for m in _WIDE.finditer(t)] if not t.isascii() else []
+    if not t.isascii() and _ASTRAL.search(t):
+        found += [(m.start(), m.end(), _SINGLE[m.group()]) for m in _WIDER.finditer(t)]
     if ("(" in t or "[" in t or "{" in t or "<" in t) and _HAS_BRACKET.search(t):
         found += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(t)]
     if " dot " in t or " DOT " in t or " Dot " in t:
         for m in _SPELLED_AT.finditer(t):
             found.append((*m.span("at"), "@"))
-            found += [(*d.span(), ".") for d in _SPELLED_DOT.finditer(t, m.end("at"), m.end())]
+            found += [(*d.span(), ".") for d in _SPELLED_DOT.finditer(t, m.start(), m.end())]
+    for pattern in _PLAIN_AT:
+        for m in pattern.finditer(t):
+            if _ADDRESS.search(t[max(0, m.start() - 64) : m.start()].rpartition(" ")[2]):
+                found.append((*m.span(), "@"))
+    if " @" in t or "@ " in t or ("@" in t and " . " in t):
+        for m in _SPACED_AT.finditer(t):
+            if " " in m["at"]:
+                found.append((*m.span("at"), "@"))
+            found += [(*d.span(), ".") for d in _SPACED_DOT.finditer(t, m.end("at"), m.end())]
+    for m in _LOOSE_NUMBER.finditer(t):
+        if sum(c.isdigit() for c in m.group()) >= 6:
+            found += [(m.start() + i, m.start() + i + 1, _LETTER_DIGITS[c]) for i, c in enumerate(m.group()) if c in _LETTER_DIGITS]
     if _may_spell(t):
         for m in _SPELLED.finditer(t):
             if sum(w.lower() in DIGIT_WORDS and w.lower() not in _COMMON for w in re.split(r"[\x20-]+", m.group())) >= 3:
-                found += [(*w.span(), DIGIT_WORDS.get(w.group().lower(), "")) for w in _ONE_NUMBER.finditer(t, m.start(), m.end())]
+                found += [(*w.span(), "+" if w.group().lower() == "plus" else DIGIT_WORDS.get(w.group().lower(), "")) for w in _ONE_NUMBER.finditer(t, m.start(), m.end())]
     found.sort()
     out, done = [], 0
     for s, e, new in found:

@@ -44,6 +44,15 @@ def test_pii_base_spans(t):
         ("call ＋1 (675) 555-4554", "phone", "＋1 (675) 555-4554"),
         ("pay four one one one 1 1 1 1 1 1 1 1 1 1 1 1 ok", "card", "four one one one 1 1 1 1 1 1 1 1 1 1 1 1"),
         ("a​b@c.de", "email", "a​b@c.de"),
+        ("ask jane dot doe at example dot com", "email", "jane dot doe at example dot com"),
+        ("ask jane.doe at example.com", "email", "jane.doe at example.com"),
+        ("ask jane @ example . com", "email", "jane @ example . com"),
+        ("dial plus one two three four five six seven eight nine", "phone", "plus one two three four five six seven eight nine"),
+        ("dial +1 (675) 555‑4554", "phone", "+1 (675) 555‑4554"),
+        ("pay 4lll llll 1111 1111 ok", "card", "4lll llll 1111 1111"),
+        ("host 192.l68.0.1 up", "ip", "192.l68.0.1"),
+        ("pay 𝟒𝟏𝟏𝟏 1111 1111 1111", "card", "𝟒𝟏𝟏𝟏 1111 1111 1111"),
+        ("pay ٤١١١ ١١١١ ١١١١ ١١١١", "card", "٤١١١ ١١١١ ١١١١ ١١١١"),
     ],
 )
 def test_pii_disguises(text, kind, found):
@@ -51,6 +60,11 @@ def test_pii_disguises(text, kind, found):
     assert (kind, found) in added
 
 
+@pytest.mark.parametrize("text", ["look at example.com now", "stay at home. Then go", "one two three go", "see section 12 and 3 of 1000", "a . b . c", "it was @ noon. ok"])
+def test_pii_leaves_plain_text(text):
+    assert pii.spans(text) == []
+
+
 def test_pii_long_runs_are_linear():
     assert pii.spans("1" * 300_000) == [] and pii.spans("a" * 300_000 + "@") == [] and pii.spans("+" + "1 " * 100_000) == []
     assert pii.spans("9" * 5000 + ".1.1.1") == []
