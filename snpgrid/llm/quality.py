@@ -68,7 +68,8 @@ def log_weights(docs: DataFrame, good_ids: DataFrame, buckets: int = BUCKETS, le
     good = good_ids.select(F.col("doc_id").cast("long").alias("g")).where("g IS NOT NULL").distinct()
     # the target texts are counted apart, so that the full table is never shuffled for its labels
     zero = {"raw": F.lit(0).cast("long")}
-    maybe = bitmap_filter(docs, F.col("doc_id"), good, F.col("g")).join(good, F.col("doc_id") == F.col("g"), "left_semi")
+    # a shuffle join at every size: the labels grow with the corpus, and only texts that pass the filter are moved
+    maybe = bitmap_filter(docs, F.col("doc_id"), good, F.col("g")).join(good.hint("merge"), F.col("doc_id") == F.col("g"), "left_semi")
     counts = "bucket long, raw long, target long"
     target = maybe.select(F.lit(True).alias("good"), "text").mapInArrow(_count(buckets), counts).withColumns(zero)
     raw = docs.select(F.lit(False).alias("good"), "text").mapInArrow(_count(buckets), counts)
