@@ -102,6 +102,20 @@ def test_secret_inference(spark):
     assert all(any(s["base"] for s in out[i]) for i in range(120))
 
 
+def test_secret_inference_scores_every_token(spark):
+    rng = random.Random(5)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choices(base62, k=n))
+    run = key(11) + "Q" + "0123456789abcdef" + "Q" + key(11)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=14))
+    rows = [(i, f"password = {key(12 + i % 29)} plain words of {word()} {word()}") for i in range(200)]
+    rows += [(300, "here hT4bQ9zKw2Xp stands"), (301, "here QhTWbQzXZKwRXpLM stands"), (302, f"here {run} stands"), (303, "understanding documentation")]
+    out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: [(s["kind"], dict(rows)[i][s["start"] : s["end"]]) for s in out[i]] for i in range(300, 304)}
+    assert found[300] == [("inferred", "hT4bQ9zKw2Xp")] and found[301] == [("inferred", "QhTWbQzXZKwRXpLM")] and found[303] == []
+    assert found[302] == [("inferred", run), ("hex", "0123456789abcdef")]
+
+
 def test_archive_round_trip(spark, tmp_path):
     trap = "x\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\ny"
     rows = [(i, f"http://h/{i}", t) for i, t in enumerate(["a", "a", None, "", trap, "é" * 5000, trap, "\r\n\r\n", "WARC/1.0\r\n", "b" * 40_000])]
