@@ -116,6 +116,17 @@ def test_secret_inference_scores_every_token(spark):
     assert found[302] == [("inferred", run), ("hex", "0123456789abcdef")]
 
 
+def test_secret_background_counts_all_tokens(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("".join(secrets.CLASSES), k=rng.randint(12, 300))) for _ in range(3500)]
+    words += words[:50] * 3
+    token = lambda w: {"start": 0, "end": len(w), "text": w}
+    rows = spark.createDataFrame([([token(w) for w in words[i : i + 2]],) for i in range(0, len(words), 2)] + [([],)], "tokens array<struct<start:long,end:long,text:string>>")
+    text = "".join(words)
+    assert secrets.class_counts(rows) == [sum(text.count(c) for c in chars) for chars in secrets.CLASSES]
+    assert secrets.class_counts(rows.limit(0)) == [0] * len(secrets.CLASSES)
+
+
 def test_archive_round_trip(spark, tmp_path):
     trap = "x\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\ny"
     rows = [(i, f"http://h/{i}", t) for i, t in enumerate(["a", "a", None, "", trap, "é" * 5000, trap, "\r\n\r\n", "WARC/1.0\r\n", "b" * 40_000])]
