@@ -1,10 +1,11 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings.  From a bounded sample of labelled documents the terms that go with the label are
-selected; labelled documents over these terms are the examples.  A query's most similar examples are found exactly: blocks of
+Terms are words and word beginnings.  A bounded sample of labelled documents are the examples; all their terms have weight,
+with document frequencies over all documents.  A query's most similar examples are found exactly: blocks of
 examples are taken in the order of their upper bounds (query weights times the block's largest weights) until no block can
-still enter the best ``K``.  Their labels vote by similarity; the vote is calibrated by isotonic regression of left-one-out
-votes on the labels.  Texts without any selected term get the rate of such labelled texts.
+still enter the best ``K``.  Their labels vote by similarity, weighted by how many labelled documents of the label an example
+stands for; the vote is calibrated by isotonic regression of left-one-out votes on the labels.  Texts without any term of the
+examples get the rate of labelled texts without terms.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, bitmap_filter
 from .hashing import NOT_ALNUM, Words, mix, pieces, signed
 
-#: Labelled documents of each label used at most (those of smallest hash), examples a block, neighbours, terms at most, least z-score of a term.
-SAMPLE, BLOCK, K, TERMS, LEAST_Z, PREFIXES, THRESHOLD = 6000, 256, 15, 8192, 4.0, (4, 5, 6, 7), 0.7
+#: Labelled documents of each label used at most (those of smallest hash), examples a block, neighbours.
+SAMPLE, BLOCK, K, PREFIXES, THRESHOLD = 6000, 256, 15, (4, 5, 6, 7), 0.7
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -35,24 +36,35 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(hashes)
 
 
-def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct terms with its label, counted within a slice of a batch."""
+def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each slice of a batch."""
     for batch in batches:
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        for at, _, texts in pieces(batch):
-            owner, h = terms(texts)
-            order = np.lexsort((h, owner))
-            owner, h = owner[order], h[order]
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            owner, h = owner[first], h[first]
-            values, where = np.unique(h, return_inverse=True)
-            y = toxic[at + owner]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(np.bincount(where, minlength=len(values))), pa.array(np.bincount(where, weights=y, minlength=len(values)).astype(np.int64))], ["h", "df", "toxic"])
+        for _, _, texts in pieces(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(terms(texts)[1])))], ["h"])
+
+
+def _frequencies(hashes: np.ndarray):
+    """Rows (term number, documents) of each task; term -1 counts all its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(len(hashes), np.int64)
+        for batch in batches:
+            for _, _, texts in pieces(batch):
+                n += len(texts)
+                owner, h = terms(texts)
+                at = np.searchsorted(hashes, h)
+                at[at == len(hashes)] = 0
+                ok = hashes[at] == h
+                number, count = np.unique(np.unique(owner[ok] * len(hashes) + at[ok]) % len(hashes), return_counts=True)
+                df[number] += count
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, seen)), pa.array(np.append(n, df[seen]))], ["t", "df"])
+
+    return run
 
 
 class Vocabulary:
-    """Selected terms in order of hash, with inverse document frequencies."""
+    """Terms in order of hash, with inverse document frequencies."""
 
     def __init__(self, hashes: np.ndarray, idf: np.ndarray):
         order = np.argsort(hashes)
@@ -75,33 +87,44 @@ class Vocabulary:
 
 
 class BlockMaxIndex:
-    """Examples in blocks; postings by block and term, with each term's largest weight in each block."""
+    """Examples in blocks; postings by term and block, with the largest weight of each such cell."""
 
     def __init__(self, n_terms: int, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray):
         self.labels, self.ids, self.n, self.terms = labels, ids, len(labels), max(n_terms, 1)
         self.blocks = -(-max(self.n, 1) // BLOCK)
-        cell = owner // BLOCK * self.terms + term
-        order = np.lexsort((owner, cell))
-        self.owner, self.weight = owner[order], weight[order]
-        self.first = np.searchsorted(cell[order], np.arange(self.blocks * self.terms + 1)).astype(np.int32)
-        self.peak = np.zeros((self.terms, self.blocks), np.float32)
-        np.maximum.at(self.peak, (term, owner // BLOCK), weight)
-
-    def _scores(self, blocks: np.ndarray, q_term: np.ndarray, q_weight: np.ndarray) -> np.ndarray:
-        """Cosines of all examples of some blocks (0 elsewhere), from the postings of the query's terms there."""
-        cells = (blocks[:, None] * self.terms + q_term[None, :]).ravel()
-        start = self.first[cells].astype(np.int64)
-        n = self.first[cells + 1] - start
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        w = self.weight[at] * np.repeat(np.tile(q_weight, len(blocks)), n)
-        return np.bincount(self.owner[at], weights=w, minlength=self.n)
+        # the driver's memory is small: narrow types, no copies that outlive their use
+        cell = term.astype(np.int32 if self.terms * self.blocks < 1 << 31 else np.int64) * self.blocks
+        cell += owner // BLOCK
+        order = np.argsort(cell, kind="stable")
+        self.owner, self.weight, cell = owner[order].astype(np.int32), weight[order], cell[order]
+        del order
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        cells = cell[first]
+        self.first = np.append(first, len(cell)).astype(np.int32)
+        self.block = (cells % self.blocks).astype(np.int32)
+        self.peak = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.cells = np.searchsorted(cells, np.arange(self.terms + 1) * self.blocks).astype(np.int32)
+
+    @staticmethod
+    def _ranges(first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The members of the ranges of some numbers, one after another, and the ranges' sizes."""
+        start = first[of].astype(np.int64)
+        n = first[of + 1] - start
+        return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
+
+    def _scores(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of all examples (0 where no cell holds them), from the postings of some cells."""
+        at, n = self._ranges(self.first, cells)
+        return np.bincount(self.owner[at], weights=self.weight[at] * np.repeat(weights, n), minlength=self.n)
 
     def nearest(self, q_term: np.ndarray, q_weight: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k most similar examples with a common term; ties by example number.
 
         The most promising blocks give a k-th best; of the others only those whose bound reaches it are scored.
         """
-        bound = q_weight @ self.peak[q_term]
+        cells, n = self._ranges(self.cells, q_term.astype(np.int64))
+        weights, block = np.repeat(q_weight, n), self.block[cells]
+        bound = np.bincount(block, weights=weights * self.peak[cells], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
@@ -110,11 +133,16 @@ class BlockMaxIndex:
                 blocks = blocks[bound[blocks] >= best_s[-1] - 1e-5]
             if not len(blocks):
                 continue
-            score = self._scores(blocks, q_term, q_weight)
+            chosen = np.zeros(self.blocks, bool)
+            chosen[blocks] = True
+            score = self._scores(cells[chosen[block]], weights[chosen[block]])
             if leave >= 0:
                 score[leave] = 0
             hit = np.flatnonzero(score)
             best_i, best_s = np.concatenate([best_i, hit]), np.concatenate([best_s, score[hit]])
+            if len(best_s) > k:
+                keep = best_s >= np.partition(best_s, -k)[-k]
+                best_i, best_s = best_i[keep], best_s[keep]
             keep = np.lexsort((best_i, -best_s))[:k]
             best_i, best_s = best_i[keep], best_s[keep]
         return best_i, best_s
@@ -144,17 +172,19 @@ class Model:
         free = ~held
         self.prior = float((w * labels).sum() + 0.5) / float(w.sum() + 1) if len(labels) else 0.0
         self.empty = float((w[free] * labels[free]).sum() + 0.5 * self.prior) / float(w[free].sum() + 0.5) if free.any() else self.prior
-        number = np.cumsum(held) - 1
+        number = (np.cumsum(held) - 1).astype(np.int32)
         self.index = BlockMaxIndex(len(vocabulary.hashes), number[owner], term, weight, labels[held], ids[held])
+        self.stands_for = w[held]
         votes = np.zeros(self.index.n)
-        _, start, n = np.unique(owner, return_index=True, return_counts=True)
-        for i, (a, b) in enumerate(zip(start, start + n, strict=True)):
+        bounds = np.searchsorted(owner, np.append(np.flatnonzero(held), len(labels)).astype(owner.dtype))
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
             votes[i] = self.vote(*self.index.nearest(term[a:b], weight[a:b], k, leave=i))
         self.x, self.y = _isotonic(votes, self.index.labels.astype(float), w[held]) if self.index.n else (np.array([0.0]), np.array([self.prior]))
 
     def vote(self, number: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of the similarity that votes for the label, drawn to the prior by a small constant."""
-        return float(((cosine * self.index.labels[number]).sum() + 0.1 * self.prior) / (cosine.sum() + 0.1))
+        """Share of the similarity that votes for the label, by the documents that the examples stand for, drawn to the prior by a small constant."""
+        share = cosine * self.stands_for[number]
+        return float(((share * self.index.labels[number]).sum() + 0.1 * self.prior) / (share.sum() + 0.1))
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[str]]:
         out, evidence = np.full(len(texts), self.empty), [""] * len(texts)
@@ -167,16 +197,6 @@ class Model:
         return np.clip(out, 0.0, 1.0), evidence
 
 
-def select_terms(h: np.ndarray, df: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int, least_z: float = LEAST_Z, most: int = TERMS) -> Vocabulary:
-    """Terms over-represented under the label by ``least_z`` standard errors at least; the ``most`` strongest."""
-    p, q = toxic / max(n_toxic, 1), (df - toxic) / max(n - n_toxic, 1)
-    pooled = df / max(n, 1)
-    z = (p - q) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / max(n_toxic, 1) + 1 / max(n - n_toxic, 1)))
-    ok = np.flatnonzero((z >= least_z) & (p > 4 * q))
-    ok = ok[np.argsort(-z[ok], kind="stable")[:most]]
-    return Vocabulary(h[ok].view(np.uint64), np.log((n + 1) / (df[ok] + 1)) + 1)
-
-
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,15 +221,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = bitmap_filter(texts, F.col("doc_id"), picked, F.col("l")).join(F.broadcast(picked), F.col("doc_id") == F.col("l")).select("doc_id", "toxic", "text")
     texts = scratch.cut(texts.dropDuplicates(["doc_id"]), "texts")
-    seen = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
-    n, n_toxic = sum(seen.values()), seen.get(1, 0)
-    df = texts.mapInArrow(_document_terms, "h long, df long, toxic long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("toxic").alias("toxic"))
-    rate = n_toxic / max(n, 1)
-    z = (F.col("toxic") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate) + 1e-9)
-    best = df.where(F.col("toxic") >= 3).orderBy(z.desc(), "h").limit(2 * TERMS).toPandas()
-    vocabulary = select_terms(best["h"].to_numpy(np.int64), best["df"].to_numpy(), best["toxic"].to_numpy(), n, n_toxic)
-    vectors = texts.mapInArrow(_example_terms(vocabulary), "doc_id long, toxic int, term array<long>, weight array<float>").orderBy("doc_id").toPandas()
-    weight = (count.get(0, 0) / max(seen.get(0, 0), 1), count.get(1, 0) / max(seen.get(1, 0), 1))
+    found = texts.select("text").mapInArrow(_distinct_terms, "h long").distinct().toPandas()["h"]
+    hashes = np.sort(found.to_numpy(np.int64).view(np.uint64))
+    del found
+    every = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies(hashes), "t long, df long") if len(hashes) else None
+    df, n = np.zeros(len(hashes), np.int64), 0
+    if every is not None:
+        counted = every.groupBy("t").agg(F.sum("df").alias("df")).toPandas()
+        t, c = counted["t"].to_numpy(np.int64), counted["df"].to_numpy(np.int64)
+        df[t[t >= 0]], n = c[t >= 0], int(c[t < 0].sum())
+        del counted, t, c
+    vocabulary = Vocabulary(hashes, np.log((n + 1) / (df + 1)) + 1)
+    vectors = texts.mapInArrow(_example_terms(vocabulary), "doc_id long, toxic int, term array<int>, weight array<float>").orderBy("doc_id").toArrow()
+    weight = tuple(max(1.0, count.get(y, 0) / max(sample, 1)) for y in (0, 1))
     scratch.drop("picked", "texts")
     return fitted(vocabulary, vectors, weight)
 
@@ -220,23 +244,25 @@ def _example_terms(vocabulary: Vocabulary):
             for at, end, texts in pieces(batch):
                 owner, term, weight = vocabulary.vectors(texts)
                 off = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.ListArray.from_arrays(off, pa.array(term)), pa.ListArray.from_arrays(off, pa.array(weight))], ["doc_id", "toxic", "term", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.ListArray.from_arrays(off, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(weight))], ["doc_id", "toxic", "term", "weight"])
 
     return run
 
 
-def fitted(vocabulary: Vocabulary, vectors, weight: tuple[float, float]) -> Model:
-    """A model from the examples' vectors (pandas: doc_id, toxic, term, weight)."""
-    sizes = [len(t) for t in vectors["term"]]
-    flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in vectors[c]]) if sum(sizes) else np.zeros(0, kind)
-    held = (np.repeat(np.arange(len(sizes)), sizes), flat("term", np.int64), flat("weight", np.float32))
-    return Model(vocabulary, held, vectors["toxic"].to_numpy(np.int64), vectors["doc_id"].to_numpy(np.int64), weight)
+def fitted(vocabulary: Vocabulary, vectors: pa.Table, weight: tuple[float, float]) -> Model:
+    """A model from the examples' vectors (doc_id, toxic, term, weight)."""
+    sizes = vectors["term"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    flat = lambda c: np.concatenate([np.zeros(0, np.int32 if c == "term" else np.float32), *(x.flatten().to_numpy() for x in vectors[c].chunks)])
+    held = (np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), flat("term").astype(np.int32, copy=False), flat("weight").astype(np.float32, copy=False))
+    labels, ids = vectors["toxic"].to_numpy().astype(np.int64), vectors["doc_id"].to_numpy()
+    del vectors
+    return Model(vocabulary, held, labels, ids, weight)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted, evidence (nearest examples, id:cosine).
 
-    Scores depend on the text alone.  Null and empty texts get the rate of labelled texts without a telling term.  Held-out
+    Scores depend on the text alone.  Null and empty texts get the rate of labelled texts without terms.  Held-out
     rows (crc32(doc_id as text) mod 3 = 1; null ids are not) and unlabelled ones never teach.  Of several labels of an id the largest counts, of several texts any one;
     labels of unknown ids do nothing, and without labels all scores are 0.  Repeated rows score alike.  Other columns
     are ignored; an empty table gives an empty result.

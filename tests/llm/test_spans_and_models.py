@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,6 +186,28 @@ def test_toxicity_held_out(spark):
     assert toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).where("predicted = 1").count() == 0
 
 
+def test_toxicity_weighs_all_terms(spark):
+    from collections import Counter
+
+    from snpgrid.llm.toxicity import Model, Vocabulary, fit, terms
+
+    rng = random.Random(8)
+    words = [f"w{i}x" for i in range(40)]
+    texts = {i: " ".join(rng.choices(words, k=8)) + (" rareword" if i == 3 else "") for i in range(90)}
+    docs = spark.createDataFrame([*texts.items(), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = fit(docs, labels)
+    df = Counter(h for t in texts.values() for h in set(terms([t.encode()])[1].tolist()))
+    mine = {h for i in model.index.ids.tolist() for h in terms([texts[i].encode()])[1].tolist()}
+    assert set(model.vocabulary.hashes.tolist()) == mine and model.index.n == len(model.index.ids) > 30
+    want = {h: 1 + np.log(92 / (df[h] + 1)) for h in mine}
+    assert all(abs(want[h] - idf) < 1e-5 for h, idf in zip(model.vocabulary.hashes.tolist(), model.vocabulary.idf, strict=True))
+    # an example that stands for two documents votes like two
+    v = Vocabulary(np.array([1], np.uint64), np.array([1.0]))
+    one = (np.arange(3), np.zeros(3, np.int64), np.ones(3, np.float32))
+    assert Model(v, one, np.array([0, 1, 1]), np.arange(3), (2.0, 1.0)).vote(np.arange(3), np.ones(3)) == pytest.approx(0.5, abs=0.02)
+
+
 def test_block_max_index_is_exact():
     import numpy as np
 
