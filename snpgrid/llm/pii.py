@@ -70,17 +70,35 @@ _LOOSE_NUMBER = re.compile(r"[0-9+][0-9OoIl\x20().-]{7,40}(?![A-Za-z])")
 _LETTER_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 _SPELLED_DOT = re.compile(r"(?i)\x20dot\x20")
 _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\x20-])?(?:{_NUMBER})(?:[\x20-]{{1,2}}(?:{_NUMBER}|[0-9])(?!\w)){{6,40}}")
-_ONE_NUMBER = re.compile(rf"(?i)(?:plus|{_NUMBER})(?!\w)|[\x20-]+")
-# words that are also common for other reasons; a spelled run needs three words besides
-_COMMON = frozenset({"un", "uno", "oh", "null"})
-_TELLING = tuple(f" {w} " for w in DIGIT_WORDS if w not in _COMMON)
+# number words and groups of digits with separators between; the detectors reject runs that are no identifier
+_BETWEEN = r"(?:[\x20\t\r\n,()-]{1,4}|[\x20\t\r\n]{0,2}\.[\x20\t\r\n]{0,2}|[\x20\t\r\n]{1,2}dot[\x20\t\r\n]{1,2})"
+_SPELLED = re.compile(rf"(?i)(?<![\w+])(?:plus[\x20\t\r\n-]{{1,2}}|\+\x20?)?(?:{_NUMBER}|[0-9]++)(?!\w)(?:{_BETWEEN}(?:{_NUMBER}|[0-9]++)(?!\w))++")
+# the same from a number word on and over spaces and hyphens only, for a run that other numbers stand before or after
+_SPELLED_NARROW = re.compile(rf"(?i)(?<!\w)(?:plus[\x20-])?(?:{_NUMBER})(?:[\x20-]{{1,2}}(?:{_NUMBER}|[0-9])(?!\w))++")
+_ONE_NUMBER = re.compile(rf"(?i)(?P<word>(?:plus|{_NUMBER})(?!\w))|(?P<dot>[\x20\t\r\n]*(?:\.|dot)[\x20\t\r\n]*)|(?P<gap>[\x20\t\r\n,()-]+)")
+_HAS_NUMBER = re.compile(rf"(?i)(?<!\w)(?:{_NUMBER})(?!\w)")
+_HAS_DOT = re.compile(r"(?i)[0-9]\s{1,2}dot\s{1,2}[0-9]")
+_NUMBER_WORDS = tuple(DIGIT_WORDS)
 
 
 def _may_spell(t: str) -> bool:
-    """Whether the text may hold a spelled run: one of three telling words stands between spaces or hyphens at least."""
-    low = t.lower().replace("-", " ")
-    return any(w in low for w in _TELLING)
+    """Whether the text may hold a spelled run: a number word, or a spelled dot between digits."""
+    low = t.lower()
+    return (any(w in low for w in _NUMBER_WORDS) and _HAS_NUMBER.search(t) is not None) or ("dot" in low and _HAS_DOT.search(t) is not None)
+
+
+def _spelled(t: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """Edits of a spelled run: words to digits, spelled dots to dots, gaps to nothing."""
+    run = t[start:end]
+    if not _HAS_NUMBER.search(run) and not _HAS_DOT.search(run):
+        return
+    for m in _ONE_NUMBER.finditer(t, start, end):
+        if m["word"]:
+            yield *m.span(), "+" if m["word"].lower() == "plus" else DIGIT_WORDS[m["word"].lower()]
+        elif m["dot"]:
+            yield *m.span(), "."
+        else:
+            yield *m.span(), ""
 
 
 def luhn(digits: str) -> bool:
@@ -118,8 +136,8 @@ def detect(t: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def rewrites(t: str) -> list[tuple[int, int, str]]:
-    """Source spans that the transducer replaces, in order, not overlapping."""
+def rewrites(t: str, spelled: re.Pattern | None = None) -> list[tuple[int, int, str]]:
+    """Source spans that the transducer replaces, in order, not overlapping; ``spelled`` finds the spelled runs, if there may be any."""
     found = [(m.start(), m.end(), _SINGLE[m.group()]) for m in _WIDE.finditer(t)] if not t.isascii() else []
     if not t.isascii() and _ASTRAL.search(t):
         found += [(m.start(), m.end(), _SINGLE[m.group()]) for m in _WIDER.finditer(t)]
@@ -141,10 +159,9 @@ def rewrites(t: str) -> list[tuple[int, int, str]]:
     for m in _LOOSE_NUMBER.finditer(t):
         if sum(c.isdigit() for c in m.group()) >= 6:
             found += [(m.start() + i, m.start() + i + 1, _LETTER_DIGITS[c]) for i, c in enumerate(m.group()) if c in _LETTER_DIGITS]
-    if _may_spell(t):
-        for m in _SPELLED.finditer(t):
-            if sum(w.lower() in DIGIT_WORDS and w.lower() not in _COMMON for w in re.split(r"[\x20-]+", m.group())) >= 3:
-                found += [(*w.span(), "+" if w.group().lower() == "plus" else DIGIT_WORDS.get(w.group().lower(), "")) for w in _ONE_NUMBER.finditer(t, m.start(), m.end())]
+    if spelled:
+        for m in spelled.finditer(t):
+            found += _spelled(t, m.start(), m.end())
     found.sort()
     out, done = [], 0
     for s, e, new in found:
@@ -168,8 +185,14 @@ def transduce(t: str, edits: list[tuple[int, int, str]]) -> tuple[str, list[tupl
 
 
 def deobfuscated(t: str) -> list[tuple[int, int, int]]:
-    """Hits in the rewritten text that touch an edit, as source spans."""
-    edits = rewrites(t)
+    """Hits in the rewritten texts that touch an edit, as source spans."""
+    if not _may_spell(t):
+        return _hits(t, rewrites(t))
+    wide, narrow = rewrites(t, _SPELLED), rewrites(t, _SPELLED_NARROW)
+    return list(dict.fromkeys(_hits(t, wide) + (_hits(t, narrow) if narrow != wide else [])))
+
+
+def _hits(t: str, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
     if not edits:
         return []
     new, pieces = transduce(t, edits)

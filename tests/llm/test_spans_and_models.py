@@ -61,6 +61,22 @@ def test_pii_disguises(text, kind, found):
     assert (kind, found) in added
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("host 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("call +1 555 one two three four five six now", "phone", "+1 555 one two three four five six"),
+        ("call plus four nine three zero 1234 5678 now", "phone", "plus four nine three zero 1234 5678"),
+        ("pay 4111 one one one one 1111 1111 ok", "card", "4111 one one one one 1111 1111"),
+        ("on May 12, four one one one 1 1 1 1 1 1 1 1 1 1 1 1 ok", "card", "four one one one 1 1 1 1 1 1 1 1 1 1 1 1"),
+        ("call plus one,\ttwo three\nfour five six seven eight nine now", "phone", "plus one,\ttwo three\nfour five six seven eight nine"),
+    ],
+)
+def test_pii_spelled_among_digits(text, kind, found):
+    assert (kind, found) in [(pii.KINDS[k], text[s:e]) for k, s, e, base in pii.spans(text) if not base]
+
+
 @pytest.mark.parametrize("text", ["look at example.com now", "stay at home. Then go", "one two three go", "see section 12 and 3 of 1000", "a . b . c", "it was @ noon. ok"])
 def test_pii_leaves_plain_text(text):
     assert pii.spans(text) == []
