@@ -433,5 +433,5 @@ def nested_clusters(d: Domain) -> DataFrame:
 
 @query()
 def degenerate_expansion(d: Domain) -> DataFrame:
-    codes = F.translate(F.substring("seq", 1, 5), "ACGT", "RYNT")
-    return d.seqs.select("seq_id", codes.alias("code"), F.size(sequence.expand_degenerate(codes)).cast("long").alias("n"))
+    codes = F.translate("window", "ACGT", "RYNT")
+    return kmers.all_windows(d.seqs, 5).select("seq_id", "at", codes.alias("code"), F.size(sequence.expand_degenerate(codes)).cast("long").alias("n"))

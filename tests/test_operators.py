@@ -176,3 +176,23 @@ def test_registered_queries_match_sql(spark, name):
 def test_entry(spark):
     if DATA.exists():
         assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_degenerate_expansion_reads_every_window(spark):
+    from types import SimpleNamespace
+
+    from snpgrid.plans import catalog
+
+    seqs = {1: "ACGTACGTTGCA", 2: "GGGGG", 3: "ACG"}
+    run = catalog.QUERIES["degenerate_expansion"].__closure__
+    fn = next(c.cell_contents for c in run if callable(c.cell_contents))
+    got = fn(SimpleNamespace(seqs=spark.createDataFrame([*seqs.items()], "seq_id long, seq string"))).collect()
+    width = {"A": 2, "C": 2, "G": 4, "T": 1}
+    want = []
+    for i, s in seqs.items():
+        for at in range(len(s) - 4):
+            n = 1
+            for c in s[at : at + 5]:
+                n *= width[c]
+            want.append((i, at, s[at : at + 5].translate(str.maketrans("ACGT", "RYNT")), n))
+    assert sorted(map(tuple, got)) == want
