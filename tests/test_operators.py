@@ -196,3 +196,10 @@ def test_degenerate_expansion_reads_every_window(spark):
                 n *= width[c]
             want.append((i, at, s[at : at + 5].translate(str.maketrans("ACGT", "RYNT")), n))
     assert sorted(map(tuple, got)) == want
+
+
+def test_histogram_report_holds_every_row(spark, tmp_path):
+    from snpgrid.sources import tables
+
+    tables.write_histogram_html(spark, spark.range(20_050).selectExpr("id AS d", "1L AS n"), str(tmp_path / "h"))
+    assert spark.read.text(str(tmp_path / "h")).first()[0].count("<rect") == 20_050
