@@ -193,7 +193,7 @@ def test_toxicity_held_out(spark):
         labels.append((i, int(bad)))
     rows += [(1000, None, 9), (1001, "", 9), (None, "vileword nastyword grimword", 9), (5, rows[5][1], 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
-    got = toxicity(docs, spark.createDataFrame([*labels, (None, 1), (7777, 1)], "doc_id long, toxic int")).collect()
+    got = toxicity(docs, spark.createDataFrame([*labels, (None, 1), (7777, 1)], "doc_id long, toxic int"), most_df=0.3).collect()  # its insults are frequent
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
     held = [(r["predicted"], int(r["doc_id"] % 5 == 0)) for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 600]
     assert len(held) > 100 and sum(p == y for p, y in held) / len(held) > 0.97
@@ -202,31 +202,74 @@ def test_toxicity_held_out(spark):
     assert toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).where("predicted = 1").count() == 0
 
 
-def test_toxicity_weighs_all_terms(spark):
+def test_toxicity_weighs_terms_of_both_classes(spark):
     from collections import Counter
 
-    from snpgrid.llm.toxicity import Model, Vocabulary, fit, terms
+    from snpgrid.llm.toxicity import fit, terms
 
     rng = random.Random(8)
     words = [f"w{i}x" for i in range(40)]
-    texts = {i: " ".join(rng.choices(words, k=8)) + (" rareword" if i == 3 else "") for i in range(90)}
+    texts = {i: " ".join(rng.choices(words, k=8)) + (" rareword twiceword" if i == 3 else " twiceword" if i == 6 else "") for i in range(90)}
     docs = spark.createDataFrame([*texts.items(), (None, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
-    model = fit(docs, labels)
-    df = Counter(h for t in texts.values() for h in set(terms([t.encode()])[1].tolist()))
-    mine = {h for i in model.index.ids.tolist() for h in terms([texts[i].encode()])[1].tolist()}
-    assert set(model.vocabulary.hashes.tolist()) == mine and model.index.n == len(model.index.ids) > 30
-    want = {h: 1 + np.log(92 / (df[h] + 1)) for h in mine}
-    assert all(abs(want[h] - idf) < 1e-5 for h, idf in zip(model.vocabulary.hashes.tolist(), model.vocabulary.idf, strict=True))
-    # an example that stands for two documents votes like two
-    v = Vocabulary(np.array([1], np.uint64), np.array([1.0]))
-    one = (np.arange(3), np.zeros(3, np.int64), np.ones(3, np.float32))
-    assert Model(v, one, np.array([0, 1, 1]), np.arange(3), (2.0, 1.0)).vote(np.arange(3), np.ones(3)) == pytest.approx(0.5, abs=0.02)
+    model = fit(docs, labels, most_df=1.0)
+    df = Counter(h for t in texts.values() for h in set(terms([t.encode()])[2].tolist()))
+    mine = Counter(h for i in model.ids.tolist() for h in set(terms([texts[i].encode()])[2].tolist()))
+    assert set(model.vocabulary.hashes.tolist()) == {h for h, n in mine.items() if n >= 2} and len(model.ids) > 30
+    assert all(abs(1 + np.log(92 / (df[h] + 1)) - idf) < 1e-5 for h, idf in zip(model.vocabulary.hashes.tolist(), model.vocabulary.idf, strict=True))
+
+
+def test_toxicity_against_brute_force(spark):
+    """Votes and scores of the operator against dense cosines over all passages."""
+    from snpgrid.llm import toxicity as tox
+
+    rng = random.Random(12)
+    words = [f"w{i}x" for i in range(60)] + ["vilestem" + x for x in "abcdefg"]
+    texts = {i: " ".join(rng.choices(words, k=rng.randint(0, 40))) for i in range(150)}
+    texts[7] = texts[8] = " ".join(rng.choices(words, k=30))
+    docs = spark.createDataFrame([*texts.items(), (None, texts[5])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("vile" in t)) for i, t in texts.items()], "doc_id long, toxic int")
+    model = tox.fit(docs, labels, most_df=1.0)
+    idf = dict(zip(model.vocabulary.hashes.tolist(), model.vocabulary.idf.tolist(), strict=True))
+
+    def vectors(t: str) -> list[dict[int, float]]:
+        cells: dict[int, dict] = {}
+        _, place, h = tox.terms([t.encode()])
+        for p, x in zip(place.tolist(), h.tolist(), strict=True):
+            if x in idf:
+                cells.setdefault(p, {}).setdefault(x, 0)
+                cells[p][x] += 1
+        out = []
+        for v in cells.values():
+            v = {x: (1 + np.log(n)) * idf[x] for x, n in v.items()}
+            norm = np.sqrt(sum(w * w for w in v.values()))
+            out.append({x: w / norm for x, w in v.items()})
+        return out
+
+    held = [(i, v) for i in model.ids.tolist() for v in vectors(texts[i])]
+    label = dict(zip(model.ids.tolist(), model.labels.tolist(), strict=True))
+
+    def vote(t: str) -> float:
+        best = 0.0
+        for v in vectors(t):
+            near = sorted((-sum(w * e.get(x, 0) for x, w in v.items()), i) for i, e in held if texts[i] != t)[: tox.K + 1]
+            near = [(c, i) for c, i in near if c < 0]
+            if len(near) > tox.K and near[tox.K][0] - near[tox.K - 1][0] < 1e-6:
+                return -1.0  # a tie at the last neighbour
+            near = near[: tox.K]
+            best = max(best, (sum(-c * label[i] for c, i in near) + tox.CALM * model.prior) / (sum(-c for c, _ in near) + tox.CALM))
+        return best
+
+    got = {r["doc_id"]: r for r in tox.scores(docs, model).collect()}
+    want = {i: vote(t) for i, t in texts.items()}
+    sure = [i for i, v in want.items() if v >= 0]
+    assert len(sure) > 100 and all(abs(got[i]["vote"] - want[i]) < 1e-4 for i in sure)
+    assert got[None]["vote"] == got[5]["vote"] and all(str(i) not in {x.split(":")[0] for x in got[i]["evidence"].split(",")} for i in label)
+    assert all(abs(got[i]["score"] - np.clip(np.interp(got[i]["vote"], model.x, model.y), 0, 1)) < 1e-9 for i in texts)
+    assert (np.diff(model.y) >= 0).all()
 
 
 def test_block_max_index_is_exact():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     dense = np.zeros((1200, 80))
     for row in dense:
@@ -234,11 +277,26 @@ def test_block_max_index_is_exact():
         row[at] = rng.random(len(at))
         row /= np.linalg.norm(row)
     owner, term = np.nonzero(dense)
-    index = BlockMaxIndex(80, owner, term, dense[owner, term].astype(np.float32), np.zeros(1200, int), np.arange(1200))
-    for i in range(0, 1200, 40):
-        t = np.flatnonzero(dense[i])
-        _, s = index.nearest(t, dense[i, t].astype(np.float32), 15, leave=i)
+    index = BlockMaxIndex(80, 1200, owner, term, dense[owner, term].astype(np.float32))
+    some = np.arange(0, 1200, 40)
+    query, t = np.nonzero(dense[some])
+    q, e, s = index.nearest(query, t, dense[some][query, t].astype(np.float32), 15, leave=some)
+    for n, i in enumerate(some):
         want = dense @ dense[i]
         want[i] = 0
+        assert np.allclose(want[e[q == n]], s[q == n], atol=1e-5)
         want = np.sort(want)[::-1][:15]
-        assert np.allclose(s, want[: len(s)], atol=1e-5) and (len(s) == 15 or want[len(s)] < 1e-9)
+        mine = s[q == n]
+        assert np.allclose(mine, want[: len(mine)], atol=1e-5) and (len(mine) == 15 or want[len(mine)] < 1e-9)
+
+
+def test_toxicity_long_texts_and_clashing_columns(spark):
+    rng = random.Random(3)
+    plain = [f"plain{i}word" for i in range(50)]
+    text = lambda i, n: " ".join(rng.choices(plain, k=n)) + (" awfulslur" if i % 3 == 0 else "")
+    rows = [(i, text(i, 17), i, "x", 1.0, 2) for i in range(150)] + [(999, text(0, 60_000), 0, "x", 1.0, 2), (998, text(1, 18), 0, "x", 1.0, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, l long, evidence string, vote double, h int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)] + [(3, 0), (5, None)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity(docs, labels, most_df=1.0).collect()}
+    assert len(got) == 152 and got[999]["score"] > got[998]["score"]
+    assert sum(got[i]["score"] for i in range(0, 150, 3)) > sum(got[i]["score"] for i in range(1, 150, 3)) + 20
