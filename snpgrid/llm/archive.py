@@ -1,10 +1,11 @@
 """WARC archives: writing pages as records, and reading them back by boundary-chain verification.
 
 Writing is a text sink whose line separator is the record terminator, so Spark's committers make the files and a lost
-executor costs a retry.  Reading: each task scans blocks of its file for the record magic and parses a candidate at every hit, also at those inside
-payloads; a candidate names its successor's offset.  Within a block the chain is followed at once; across blocks pointer jumping
-from offset 0 doubles the reach a round, so the rounds grow with the logarithm of the blocks of a file.  Only reachable
-candidates are records.
+executor costs a retry.  Reading: Spark's text reader splits files of any size by byte ranges at the terminator before a record magic; each such
+fragment, also one that starts inside a payload, is a candidate that names its successor's offset.  Offsets follow from the fragments' lengths, summed over
+the splits of a file.  Within a split the chain is followed at once; across splits pointer jumping from offset 0 over the splits' exits doubles
+the reach a round, so the rounds grow with the logarithm of the splits of a file.  Only reachable candidates are records; a record that
+holds further fragments in its payload is put together again for its digest.
 """
 
 from __future__ import annotations
@@ -15,16 +16,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bitmap_filter, hot_rows, join_unique
+from .common import Scratch, hot_rows, join_unique
 
 MAGIC, END = b"WARC/1.0\r\n", b"\r\n\r\n"
-#: Records a file holds at most, and the scanning block.
-FILE_RECORDS, BLOCK = 4000, 4 << 20
+#: Records a file holds at most.
+FILE_RECORDS = 20_000
 
-_HEADER = re.compile(rb"WARC/1\.0\r\n((?:[A-Za-z0-9-]+:[^\r\n]*\r\n)+)\r\n")
+_HEADER = re.compile(rb"((?:[A-Za-z0-9-]+:[^\r\n]*\r\n)+)\r\n")
 _FIELD = re.compile(rb"([A-Za-z0-9-]+):\x20?([^\r\n]*)\r\n")
 
 
@@ -48,7 +49,7 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = 0, file_reco
 
     The payload is the html in UTF-8, null as empty.  Of records with equal payloads of at least ``revisit_bytes`` bytes the one with the largest page_id
     is a response and the others revisit it; smaller ones are all responses.  A null id is smaller than any other and is written
-    without the id field; a group with null ids only, and repeated rows of the largest id, are all responses.  An empty table gives an archive without records.
+    without the id field; a group with null ids only, and repeated rows of the largest id, are all responses.  Payloads of any length are written whole; other columns are ignored, whatever their names.  An empty table gives an archive without records.
     """
     scratch = Scratch(pages.sparkSession, "warc-write")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -57,12 +58,7 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = 0, file_reco
     groups = rows.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
     groups = scratch.cut(groups, "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    groups = groups.where("n > 1")
-    # rows that a bounded filter of the repeated digests rules out go straight to the files; only the others are shuffled
-    maybe = bitmap_filter(rows, F.col("sha"), groups, F.col("sha"), keep="both")
-    again = join_unique(maybe.where("_maybe").drop("_maybe"), groups, ["sha"], F.col("n") >= hot_rows(total))
-    alone = maybe.where("NOT _maybe").drop("_maybe").withColumns({"top": F.lit(None).cast("long"), "n": F.lit(None).cast("long")})
-    rows = alone.unionByName(again)
+    rows = join_unique(rows, groups.where("n > 1"), ["sha"], F.col("n") >= hot_rows(total))
     size = F.octet_length("payload")
     revisit = F.col("n").isNotNull() & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")) & (size >= revisit_bytes)
     uri = F.regexp_replace("url", r"[\r\n]", " ")
@@ -81,126 +77,186 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = 0, file_reco
     scratch.drop("groups")
 
 
-def _parse(data: bytes, at: int) -> tuple[int, dict, int, int] | None:
-    """(successor offset, fields, block start, block length) of the candidate at an offset; None if it has no valid header."""
-    m = _HEADER.match(data, at)
+CANDIDATE = "file string, split long, at long, size long, next long, exit long, open boolean, type string, page_id long, uri string, digest string, payload_bytes long, sound boolean, refers_to long"
+_NAMES = [f.split()[0] for f in CANDIDATE.split(", ")]
+_SCHEMA = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]]) for f in CANDIDATE.split(", ")])
+
+
+def _payload(kind: str, block: bytes) -> bytes:
+    return block.partition(END)[2] if kind == "response" else block
+
+
+def _described(fields: dict[bytes, bytes], block: bytes | None) -> tuple:
+    """type, page_id, uri, digest, payload_bytes, sound and refers_to of a record; without its block the digest is unknown yet."""
+    kind = fields.get(b"warc-type", b"").decode(errors="replace")
+    stated = fields.get(b"warc-payload-digest", b"").decode(errors="replace").removeprefix("sha1:")
+    number = lambda k: int(fields[k]) if k in fields and fields[k].lstrip(b"-").isdigit() and len(fields[k]) < 19 else None
+    real, size = stated, number(b"x-payload-length")
+    if kind == "response" and block is not None:
+        payload = _payload(kind, block)
+        real, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
+    return kind, number(b"x-page-id"), fields.get(b"warc-target-uri", b"").decode(errors="replace"), real, size, real == stated, number(b"x-refers-to-page")
+
+
+def _parse(body: bytes) -> tuple[dict, int, int] | None:
+    """(fields, length of the header, length of the block) of a candidate's text after its magic; None if it has no valid header."""
+    m = _HEADER.match(body)
     if not m:
         return None
     fields = {k.lower(): v for k, v in _FIELD.findall(m[1])}
     length = fields.get(b"content-length", b"").strip()
-    if not length.isdigit() or len(length) > 15:
-        return None
-    start, n = m.end(), int(length)
-    if data[start + n : start + n + len(END)] != END:
-        return None
-    return start + n + len(END), fields, start, n
-
-
-CANDIDATE = "file string, block long, at long, next long, size long, type string, page_id long, uri string, digest string, payload_bytes long, sound boolean, refers_to long"
-
-
-def _candidates(block_bytes: int):
-    names = [f.split()[0] for f in CANDIDATE.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
-    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in CANDIDATE.split(", ")])
-
-    def scan(file: str, data: bytes) -> Iterator[dict]:
-        for block in range(-(-len(data) // block_bytes)):
-            at, stop = data.find(MAGIC, block * block_bytes), (block + 1) * block_bytes
-            while 0 <= at < stop:
-                if parsed := _parse(data, at):
-                    after, f, start, n = parsed
-                    kind, body = f.get(b"warc-type", b"").decode(), data[start : start + n]
-                    payload = body.partition(END)[2] if kind == "response" else body
-                    stated = f.get(b"warc-payload-digest", b"").decode().removeprefix("sha1:")
-                    real = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else stated
-                    number = lambda k, f=f: int(f[k]) if k in f and f[k].lstrip(b"-").isdigit() and len(f[k]) < 19 else None
-                    size = len(payload) if kind == "response" else number(b"x-payload-length")
-                    yield dict(zip(names, (file, block, at, after, len(data), kind, number(b"x-page-id"), f.get(b"warc-target-uri", b"").decode(errors="replace"), real, size, real == stated, number(b"x-refers-to-page")), strict=True))
-                at = data.find(MAGIC, at + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = []
-                for r in scan(file.as_py(), content.as_py()):
-                    rows.append(r)
-                    if len(rows) == 2000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return run
-
-
-def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come block by block in order; for each candidate: where its chain leaves the block, following successors within it."""
-    held: dict = {"key": None, "rows": []}
-
-    def out() -> pa.RecordBatch:
+    return (fields, m.end(), int(length)) if length.isdigit() and len(length) <= 15 else None
+
+
+class _Split:
+    """The fragments of a split, in order.  Offsets are those of the magic, counted from the split's first fragment; an ``exit`` beyond the split has the same zero."""
+
+    def __init__(self, file: str, split: int):
+        self.file, self.split, self.end, self.rows = file, split, 0, []
+
+    def add(self, value: bytes) -> None:
+        if self.split == 0 and not self.rows:
+            value = value[len(MAGIC) :] if value.startswith(MAGIC) else b"\0" * max(0, len(value) - len(MAGIC))
+        # the reader may join two fragments where a terminator lies across its buffers
+        for body in value.split(END + MAGIC):
+            size = len(MAGIC) + len(body) + len(END)
+            row = [self.file, self.split, self.end, size, -1, -1, False, *[None] * 7]
+            if parsed := _parse(body):
+                fields, head, n = parsed
+                left = len(body) - head - n  # 0: the next fragment follows; the last one holds its terminator itself
+                if left == 0 or (left == len(END) and body.endswith(END)):
+                    row[4:] = [self.end + len(MAGIC) + head + n + len(END), -1, False, *_described(fields, body[head : head + n])]
+                elif left < 0:
+                    row[4:] = [self.end + len(MAGIC) + head + n + len(END), -1, True, *_described(fields, None)]
+            self.rows.append(row)
+            self.end += size
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
         leave: dict[int, int] = {}
-        for at, after in reversed(held["rows"]):
-            leave[at] = leave.get(after, after)
-        file, block = held["key"]
-        n = len(held["rows"])
-        return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array([r[0] for r in held["rows"]], pa.int64()), pa.array([leave[r[0]] for r in held["rows"]], pa.int64())], ["file", "block", "at", "exit"])
-
+        for row in reversed(self.rows):
+            if row[4] >= self.end:
+                leave[row[2]] = row[4]
+            elif row[4] > 0:
+                leave[row[2]] = leave.get(row[4], -1)
+            row[5] = leave.get(row[2], -1)
+        for i in range(0, len(self.rows), 2000):
+            columns = zip(*self.rows[i : i + 2000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a fragment (``size``: its bytes with magic and terminator); without a valid header ``next`` is -1."""
+    held: _Split | None = None
     for batch in batches:
-        for file, block, at, after in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if (file, block) != held["key"]:
-                if held["rows"]:
-                    yield out()
-                held.update(key=(file, block), rows=[])
-            held["rows"].append((at, after))
-    if held["rows"]:
-        yield out()
+        for file, split, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if held is None or (file, split) != (held.file, held.split):
+                if held:
+                    yield from held.batches()
+                held = _Split(file, split)
+            held.add(value.as_py())
+    if held:
+        yield from held.batches()
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks, in order of file, block and offset, the candidates on the chain from a block's entry."""
+    """Keeps, in order of file, split and offset, the candidates on the chain from a split's entry."""
     key, want = None, -1
     for batch in batches:
         keep = []
-        for file, block, at, after, entry in zip(*(batch.column(n).to_pylist() for n in ("file", "block", "at", "next", "entry")), strict=True):
-            if (file, block) != key:
-                key, want = (file, block), entry if entry is not None else -1
-            keep.append(at == want)
+        for file, split, at, after, entry in zip(*(batch.column(n).to_pylist() for n in ("file", "split", "at", "next", "entry")), strict=True):
+            if (file, split) != key:
+                key, want = (file, split), entry
+            keep.append(at == want and after > 0)
             if at == want:
                 want = after
-        yield batch.filter(pa.array(keep))
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, split, at, body) of the fragments."""
+    key, at = None, 0
+    for batch in batches:
+        rows = []
+        for file, split, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            data = value.as_py()
+            if (file, split) != key:
+                key, at = (file, split), 0
+                data = data[len(MAGIC) :] if split == 0 else data
+            for body in data.split(END + MAGIC):
+                rows.append((file, split, at, body))
+                at += len(MAGIC) + len(body) + len(END)
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "split", "at", "body"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest and size of records whose fragments come as an ordered list."""
+    for batch in batches:
+        out = []
+        for parts in batch.column(2).to_pylist():
+            whole = (END + MAGIC).join(parts)
+            fields, head, n = _parse(whole)
+            out.append(_described(fields, whole[head : head + n]))
+        columns = list(zip(*out, strict=True)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.bool_())], ["f", "a", "d", "b", "s"])
 
 
-def read_archive(spark: SparkSession, path: str, block_bytes: int = BLOCK) -> DataFrame:
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The records below ``path``: file, at, type, page_id, uri, digest, payload_bytes, sound (digest as stated), refers_to.
 
-    A record is what the chain from its file's start reaches; the chain ends at the first offset without a valid record, so a torn
-    file gives its records up to there.  Files are read whole by one task each (the writer bounds them).  Empty files and folders give no rows.
+    A record is what the chain from its file's start reaches; the chain ends at the first offset without a valid record, or with one that its successor or the
+    end of the file doesn't bound, so a torn file gives its records up to there.  Files may have any size; a task holds one record and the offsets of its split.
+    Empty files and folders give no rows; a file that starts with no record has none.  Fields beyond those named are ignored; repeated records give a row each.
     """
     scratch = Scratch(spark, "warc")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    cand = scratch.cut(files.mapInArrow(_candidates(block_bytes), CANDIDATE), "candidates")
-    by_block = cand.select("file", "block", "at", "next").repartition("file", "block").sortWithinPartitions("file", "block", "at")
-    jump = scratch.cut(by_block.mapInArrow(_exits, "file string, block long, at long, exit long"), "jump0")
-    # entries into blocks: offset 0 first, then each round twice as far
-    entry = scratch.cut(jump.where("at = 0").select("file", "at"), "entry0")
-    n, held = 0, entry.count()
+    lines = spark.read.option("lineSep", (END + MAGIC).decode()).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+    cand = scratch.cut(lines.mapInArrow(_candidates, CANDIDATE), "candidates")
+
+    # where each split's first fragment starts: the fragments before it in the file, a row a split
+    totals = scratch.cut(cand.groupBy("file", "split").agg(F.sum("size").alias("bytes")), "totals")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = scratch.cut(totals.select("file", "split", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"), "bytes"), "splits")
+
+    # the few offsets at which a chain may enter a split, and where it leaves it from there
+    leaving = cand.where("exit >= 0").select("file", "split", "exit").distinct().join(splits, ["file", "split"])
+    target = leaving.select("file", (F.col("base") + F.col("exit")).alias("enter")).distinct()
+    target = target.join(splits, "file").where((F.col("enter") >= F.col("base")) & (F.col("enter") < F.col("base") + F.col("bytes")))
+    start = splits.where("base = 0 AND split = 0").select("file", "split", F.lit(0).cast("long").alias("at"), "base")
+    doors = target.select("file", "split", (F.col("enter") - F.col("base")).alias("at"), "base").unionByName(start).distinct()
+    doors = doors.join(cand.select("file", "split", "at", "exit"), ["file", "split", "at"])
+    jump = scratch.cut(doors.select("file", "split", "at", (F.col("base") + F.col("at")).alias("from"), F.when(F.col("exit") >= 0, F.col("base") + F.col("exit")).alias("to")), "jump0")
+    entry = scratch.cut(jump.where("`from` = 0").select("file", "from"), "entry0")
+    doors, n, held = jump, 0, entry.count()
     while held:
-        to = jump.select("file", "at", F.col("exit").alias("to"))
-        reached = entry.join(to, ["file", "at"]).select("file", F.col("to").alias("at"))
-        more = reached.join(jump.select("file", "at"), ["file", "at"], "left_semi")
+        reached = entry.join(jump.select("file", "from", "to"), ["file", "from"]).select("file", F.col("to").alias("from"))
+        more = reached.join(doors.select("file", "from"), ["file", "from"], "left_semi")
         entry = scratch.cut(entry.union(more).distinct(), f"entry{n + 1}")
         now = entry.count()
         if now == held:
             break
-        held = now
-        far = jump.select("file", F.col("at").alias("exit"), F.col("exit").alias("further"))
-        jump = scratch.cut(jump.join(far, ["file", "exit"], "left").select("file", "block", "at", F.coalesce("further", "exit").alias("exit")), f"jump{n + 1}")
-        scratch.drop(f"entry{n}", f"jump{n}")
-        n += 1
-    entry = entry.select("file", F.floor(F.col("at") / block_bytes).alias("block"), F.col("at").alias("entry"))
-    entry = entry.groupBy("file", "block").agg(F.min("entry").alias("entry"))
-    kept = cand.join(entry, ["file", "block"], "left").repartition("file", "block").sortWithinPartitions("file", "block", "at")
-    columns = ", ".join(x for x in [*CANDIDATE.split(", "), "entry long"])
-    kept = kept.select(*(x.split()[0] for x in columns.split(", "))).mapInArrow(_chains, columns)
+        held, n = now, n + 1
+        far = jump.select("file", F.col("from").alias("to"), F.col("to").alias("further"))
+        jump = scratch.cut(jump.join(far, ["file", "to"], "left").select("file", "from", F.coalesce("further", "to").alias("to")), f"jump{n}")
+    entry = entry.join(doors, ["file", "from"]).groupBy("file", "split").agg(F.min("at").alias("entry"))
+
+    marked = cand.join(entry, ["file", "split"]).repartition("file", "split").sortWithinPartitions("file", "split", "at")
+    kept = marked.select(*_NAMES, "entry").mapInArrow(_chains, f"{CANDIDATE}, entry long").drop("entry").join(splits.drop("bytes"), ["file", "split"])
+    kept = scratch.cut(kept.withColumns({"at": F.col("base") + F.col("at"), "next": F.col("base") + F.col("next")}).drop("base"), "kept")
+
+    # a record must end where another begins or where its file ends; only the last one of a chain can fail that
+    sizes = splits.groupBy("file").agg(F.max(F.col("base") + F.col("bytes")).alias("whole"))
+    last = kept.groupBy("file").agg(F.max("next").alias("next")).join(sizes, "file").select(F.col("file").alias("f"), F.when(F.col("next") > F.col("whole"), F.col("next")).alias("torn"))
+    kept = kept.join(last, F.col("file") == F.col("f")).where(F.coalesce(F.col("next") != F.col("torn"), F.lit(True)))
+
+    # records that hold further fragments: their parts, by the splits that they reach into
+    opened = scratch.cut(kept.where("open").select("file", "at", "next"), "open")
+    if opened.limit(1).count():
+        reach = opened.join(splits, "file").where((F.col("base") < F.col("next")) & (F.col("base") + F.col("bytes") > F.col("at")))
+        reach = reach.select("file", "split", F.col("at").alias("first"), (F.col("at") - F.col("base")).alias("lo"), (F.col("next") - F.col("base")).alias("hi"), "base")
+        parts = lines.mapInArrow(_bodies, "file string, split long, at long, body binary").join(reach, ["file", "split"]).where("at >= lo AND at < hi")
+        parts = parts.groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct((F.col("base") + F.col("at")).alias("at"), "body"))).alias("parts"))
+        again = scratch.cut(parts.select("file", "first", F.col("parts.body").alias("body")).mapInArrow(_joined, "f string, a long, d string, b long, s boolean"), "again")
+        whole = kept.drop("f").join(again, (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")), "left")
+        kept = whole.withColumns({"digest": F.coalesce("d", "digest"), "payload_bytes": F.coalesce("b", "payload_bytes"), "sound": F.coalesce("s", "sound")})
     return kept.select("file", "at", "type", "page_id", "uri", "digest", "payload_bytes", "sound", "refers_to")

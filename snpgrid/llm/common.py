@@ -1,13 +1,11 @@
-"""Shared pieces: shared-folder scratch tables, bounded pre-filters, hot-key joins, connected components."""
+"""Shared pieces: shared-folder scratch tables, hot-key joins, connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +13,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of ``spark.checkpoint.dir``.  Where that is unset a local session gets a temporary one; a cluster must name it."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="snpgrid-"))
         root = sc.getCheckpointDir()
-        if not root:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="snpgrid-"))
-            root = sc.getCheckpointDir()
     return root
 
 
@@ -54,106 +52,82 @@ def lower_az(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def bitmap_filter(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 19, keep: str = "maybe") -> DataFrame:
-    """Rows whose key may be in ``wanted``: a semi join on ``bits`` bits of a hash.  ``keep="both"``: all rows, marked in ``_maybe``.
+def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+    """Equality of column pairs, null being a value like any other."""
+    return reduce(lambda x, y: x & y, (left[a].eqNullSafe(right[b]) for a, b in pairs))
 
-    What is broadcast is a set of at most ``2**bits`` small integers whatever the input, so its size is bounded by
-    construction; with more distinct keys it lets more rows through and an exact join must follow.
-    """
-    cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
-    cells = wanted.select(cell(wanted_key).alias("_cell")).distinct()
-    if keep == "both":
-        marked = df.withColumn("_cell", cell(key)).join(F.broadcast(cells.withColumn("_maybe", F.lit(True))), "_cell", "left")
-        return marked.drop("_cell").withColumn("_maybe", F.coalesce("_maybe", F.lit(False)))
-    return df.withColumn("_cell", cell(key)).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
-
-
-#: Rows up to which a one-row-a-key side, once counted, is broadcast whole.
-BROADCAST_ROWS = 20_000
 
+def hot_rows(total: int, least: int = 1000, parts: int = 2000) -> int:
+    """Rows from which a key counts as hot: at most ``parts`` keys can reach it, so a table with one narrow row for each is small at every size."""
+    return max(least, total // parts)
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: Column, rows: int | None = None) -> DataFrame:
-    """Left join (null-safe) with a side that has one row a key; ``hot`` marks the right rows whose key may be frequent on the left.
 
-    ``rows``: the right side's counted rows, if known; up to ``BROADCAST_ROWS`` it is broadcast whole and nothing is shuffled.
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """Left join (null-safe) with a side that has one narrow row a key; ``hot`` marks the right rows whose key may be frequent on the left.
 
-    Hot rows are few by the caller's threshold (rows of a key >= total / constant), so they are broadcast and their
+    Hot rows are at most ``parts`` by the caller's threshold (``hot_rows``), so they are broadcast and their
     left rows never meet in one task; the rest is a shuffle join, for which the left hot rows carry a spread-out key.
     """
     values = [c for c in right.columns if c not in keys]
-    on = lambda a, b, names: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[n]) for k, n in zip(keys, names, strict=True)))
-    r = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*values).alias("_v"), F.coalesce(hot, F.lit(False)).alias("_hot"))
     names = [f"_k{i}" for i in range(len(keys))]
-    if rows is not None and rows <= BROADCAST_ROWS:
-        return left.join(F.broadcast(r), on(left, r, names), "left").select(*left.columns, *(F.col("_v")[c].alias(c) for c in values))
+    pairs = list(zip(keys, names, strict=True))
+    r = right.select(*(F.col(k).alias(n) for k, n in pairs), F.struct(*values).alias("_v"), F.coalesce(hot, F.lit(False)).alias("_hot"))
     h = r.where("_hot").select(*names, F.col("_v").alias("_h"))
-    out = left.join(F.broadcast(h), on(left, h, names), "left").drop(*names)
-    out = out.withColumn("_s", F.when(F.col("_h").isNull(), 0).otherwise(1 + F.abs(F.xxhash64(F.monotonically_increasing_id())) % 1_000_003))
+    out = left.join(F.broadcast(h), null_safe(left, h, pairs), "left").drop(*names)
+    out = out.withColumn("_s", F.when(F.col("_h").isNull(), 0).otherwise(1 + F.abs(F.xxhash64(F.monotonically_increasing_id())) % 1_000_003).cast("long"))
     c = r.where("NOT _hot").drop("_hot").withColumn("_z", F.lit(0).cast("long"))
-    out = out.withColumn("_s", F.col("_s").cast("long"))
-    joined = out.join(c, on(out, c, names) & (out["_s"] == c["_z"]), "left").drop(*names, "_z", "_s")
+    joined = out.join(c, null_safe(out, c, pairs) & (out["_s"] == c["_z"]), "left").drop(*names, "_z", "_s")
     v = F.coalesce("_h", "_v")
     return joined.select(*left.columns, *(v[c].alias(c) for c in values))
 
 
-def words_of(text: Column, separators: str = r"[\x20\x09-\x0D]+") -> Column:
-    """Words between separators, null as empty."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
-
-
-def hot_rows(total: int, least: int = 1000, parts: int = 2000) -> int:
-    """Rows from which a key counts as hot: at most ``parts`` keys can reach it."""
-    return max(least, total // parts)
-
-
-#: Links up to which one task joins them in memory; more go through the distributed rounds.
-LOCAL_LINKS = 50_000
+def join_still(left: DataFrame, right: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """As ``join_unique``, but left rows with a hot key are not moved at all: only the rows of rarer keys are shuffled.  Reads ``left`` twice."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    pairs = list(zip(keys, names, strict=True))
+    values = [c for c in right.columns if c not in keys]
+    r = right.select(*(F.col(k).alias(n) for k, n in pairs), *values, F.coalesce(hot, F.lit(False)).alias("_hot"))
+    h, c = r.where("_hot"), r.where("NOT _hot")
+    mine = left.join(F.broadcast(h), null_safe(left, h, pairs)).select(*left.columns, *values)
+    rest = left.join(F.broadcast(h.select(*names)), null_safe(left, h, pairs), "left_anti")
+    return mine.unionByName(rest.join(c.hint("merge"), null_safe(rest, c, pairs), "left").select(*left.columns, *values))
 
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    root: dict = {}
+def counted(rows: DataFrame, key: str, unique: DataFrame, unique_key: str, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of ``unique`` whose key occurs in ``rows``, with ``_n``, how often: a written table."""
+    n = rows.groupBy(F.col(key).alias("_c")).agg(F.count("*").alias("_n"))
+    return scratch.cut(unique.join(n, unique[unique_key] == n["_c"]).drop("_c"), name)
 
-    def top(x):
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
 
-    for batch in batches:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = top(x), top(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    nodes = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([top(x) for x in nodes], pa.binary())], ["node", "label"])
+def words_of(text: Column, separators: str = r"[\x20\x09-\x0D]+") -> Column:
+    """Words between separators, null as empty."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
-def components(scratch: Scratch, edges: DataFrame, a: str, b: str, local: int = LOCAL_LINKS) -> DataFrame:
-    """(node, label) of binary nodes: label is the smallest node reachable.
+def components(scratch: Scratch, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, label) of the nodes of ``edges``: label is the smallest node reachable.
 
-    Up to ``local`` links (counted) one task joins them.  More are settled by minimum propagation with pointer jumping, so the rounds
-    grow with the logarithm of a path's length; each round is a written table.
+    Minimum propagation with pointer jumping, so the rounds grow with the logarithm of a path's length; each round is a written table.  Nodes of many
+    links and labels of many nodes are hot keys of ``join_unique``, so a hub's or a giant component's rows never meet in one task.
     """
-    links = scratch.cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct(), "cc-links")
-    if links.count() <= local:
-        labels = scratch.cut(links.coalesce(1).mapInArrow(_union_find, "node binary, label binary"), f"cc-{uuid.uuid4().hex[:6]}")
-        scratch.drop("cc-links")
-        return labels
-    links = scratch.cut(links.union(links.select("y", "x")).distinct(), "cc-both")
-    labels = scratch.cut(links.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")), "cc-0")
-    n = 0
+    tag = f"cc-{uuid.uuid4().hex[:6]}"
+    links = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    links = scratch.cut(links.union(links.select("y", "x")).distinct(), f"{tag}-links")
+    degrees = links.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label"), F.count("*").alias("degree"))
+    labels = scratch.cut(degrees, f"{tag}-0")
+    hot, n = hot_rows(links.count()), 0
     while True:
-        seen = links.join(labels, links.y == labels.node).select("x", "label")
-        near = seen.groupBy("x").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels.node == near.x).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        step = scratch.cut(step, f"cc-step{n}")
-        up = step.select(F.col("node").alias("t"), F.col("label").alias("u"))
-        new = step.join(up, step.label == up.t, "left").select("node", F.coalesce("u", "label").alias("label"), "was")
-        new = scratch.cut(new, f"cc-{n + 1}")
+        far = join_unique(links, labels.select(F.col("node").alias("y"), "label", "degree"), ["y"], F.col("degree") >= hot)
+        own = labels.select("node", "label", "degree", F.col("label").alias("was"))
+        both = own.unionByName(far.select(F.col("x").alias("node"), "label", F.lit(0).cast("long").alias("degree"), F.lit(None).cast("binary").alias("was")))
+        step = scratch.cut(both.groupBy("node").agg(F.min("label").alias("label"), F.max("degree").alias("degree"), F.max("was").alias("was")), f"{tag}-step{n}")
+        members = step.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("_n"))
+        up = step.select(F.col("node").alias("t"), F.col("label").alias("u")).join(members, F.col("t") == F.col("l")).select(F.col("t").alias("label"), "u", "_n")
+        new = join_unique(step, up, ["label"], F.col("_n") >= hot).select("node", F.coalesce("u", "label").alias("label"), "degree", "was")
+        new = scratch.cut(new, f"{tag}-{n + 1}")
         done = new.where("label <> was").limit(1).count() == 0
-        scratch.drop(f"cc-{n}", f"cc-step{n}")
-        n += 1
-        labels = new.select("node", "label")
+        scratch.drop(f"{tag}-{n}", f"{tag}-step{n}")
+        n, labels = n + 1, new.select("node", "label", "degree")
         if done:
-            named = scratch.cut(labels, f"cc-{uuid.uuid4().hex[:6]}")
-            scratch.drop("cc-links", "cc-both", f"cc-{n}")
-            return named
+            scratch.drop(f"{tag}-links")
+            return labels.select("node", "label")

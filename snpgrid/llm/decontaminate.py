@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_unique, lower_az, words_of
+from .common import Scratch, hot_rows, join_unique, lower_az, null_safe, words_of
 
 WINDOW, SHINGLE, BLOCK = 10, 3, 100_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,15 +37,15 @@ def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash (xxhash64 of the text).
 
-    A document word is hit if it lies inside any occurrence of a window.  Null texts have no words.  Items are named by
+    A document word is hit if it lies inside any occurrence of a window.  Null texts have no words; texts of any length are read whole.  Ties of the rarest shingle go to the leftmost.  Items are named by
     item_id as text (null: the empty string); items with equal ids count once.  Rows of ``docs`` with equal ids are told apart by
     their texts, repeated rows get equal results.  Empty tables: no hits, or no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text")).alias("th"), F.col("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text"))
     words = base.select("doc_id", "th", _words(F.col("text")).alias("ws"))
 
     owners = scratch.cut(item_windows(bench, window), "owners")
@@ -82,12 +82,18 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
 
     covered = hits.select("doc_id", "th", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)).alias("p")).distinct()
     covered = covered.groupBy("doc_id", "th").agg(F.count("*").alias("n_hit"))
-    named = hits.select("doc_id", "th", "win").distinct().join(owners.select("win", "item"), "win").select("doc_id", "th", "item").distinct()
-    named = named.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    both = covered.join(named, covered.doc_id.eqNullSafe(named.doc_id) & (covered.th == named.th)).select(covered.doc_id, covered.th, "n_hit", "items")
-    both = scratch.cut(both, "both")
-    scratch.drop("hits", "freq", "wins", "owners")
-    out = join_unique(words.select("doc_id", "th", F.size("ws").cast("long").alias("n_words")), both, ["doc_id", "th"], F.lit(False), both.count())
+    # windows that stand for the same items are one; a popular window is a hot key
+    sets = owners.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("set", F.xxhash64("items"))
+    sets = scratch.cut(sets.join(hits.groupBy("win").agg(F.count("*").alias("_n")), "win"), "sets")
+    total = hits.count()
+    named = join_unique(hits.select("doc_id", "th", "win"), sets.select("win", "set", "_n"), ["win"], F.col("_n") >= hot_rows(total)).select("doc_id", "th", "set").distinct()
+    lists = sets.groupBy("set").agg(F.first("items").alias("items"), F.sum("_n").alias("_n"))
+    named = join_unique(named, lists, ["set"], F.col("_n") >= hot_rows(total)).groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    both = covered.join(named.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).drop("d", "t")
+    both = scratch.cut(both.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "n_hit", "items"), "both")
+    scratch.drop("hits", "freq", "wins", "owners", "sets")
+    out = words.select("doc_id", "th", F.size("ws").cast("long").alias("n_words"))
+    out = out.join(both.hint("merge"), null_safe(out, both, [("doc_id", "d"), ("th", "t")]), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("th").alias("text_hash"))

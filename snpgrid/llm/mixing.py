@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_rows, join_unique, words_of
+from .common import Scratch, hot_rows, join_still, words_of
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
 
@@ -56,13 +56,14 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     """All columns of ``docs`` as struct ``row``, with size, source_size, target and copies (0 to ``cap``) of each row.
 
     A null text has size 0; null is a source of its own, the last.  A source without words has target 0 and its rows no
-    copies.  Rows with the same doc_id draw alike.  An empty table gives an empty result; columns of any name may be there.
+    copies.  Rows with the same doc_id draw alike, also repeated ones; ties do not arise.  Texts of any length count whole.  An empty table gives an empty result; columns of any name may be there.
+    Sources that hold 1/2000 of the rows or more (so at most 2000) are broadcast and their rows stay where they are; rows of rarer ones are shuffled.
     """
     size = F.size(words_of(F.col("text").cast("string"))).cast("long")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"))
     targets = source_targets(rows.select("source", "size"), weights, cap)
-    totals = targets.agg(F.sum("n"), F.count("*")).first()
-    out = join_unique(rows, targets, ["source"], F.col("n") >= hot_rows(totals[0] or 0), totals[1])
+    total = targets.agg(F.sum("n")).first()[0] or 0
+    out = join_still(rows, targets, ["source"], F.col("n") >= hot_rows(total, least=1))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)

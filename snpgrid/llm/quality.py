@@ -1,9 +1,9 @@
 """Quality selection by importance resampling over hashed n-gram models.
 
 Two generative models, bags of hashed word 1- and 2-grams with add-one smoothing, are counted in full: the target over every document labelled
-good, the raw one over every document.  A document's log weight is the mean log-ratio of its n-grams times an effective length
-(its n-grams, at most ``LENGTH``, so that long texts do not decide by length alone).  Adding seeded Gumbel noise and keeping the
-``k`` largest draws without replacement in proportion to the weights.
+good, the raw one over every document.  A document's log weight is the sum of the log-ratios of its n-grams, i.e. the ratio of the two models.  Adding
+seeded Gumbel noise and keeping the ``k`` largest draws without replacement in proportion to the weights.  The models' buckets grow with the
+square root of the corpus's words (``buckets_for``), so they grow with the input and a task can still hold them.
 """
 
 from __future__ import annotations
@@ -15,10 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bitmap_filter
+from .common import Scratch
 from .hashing import Words, grams, pieces
 
-BUCKETS, LENGTH, KEEP, SEED = 1 << 16, 200, 0.5, "resample-1"
+LEAST_BUCKETS, KEEP, SEED = 1 << 14, 0.5, "resample-1"
+
+
+def buckets_for(words: int) -> int:
+    """The power of two next above four times the square root of the corpus's words (counted by their separators), ``LEAST_BUCKETS`` at least."""
+    return max(LEAST_BUCKETS, 1 << int(np.ceil(np.log2(4 * np.sqrt(max(words, 1))))))
 
 
 def _buckets(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,37 +54,37 @@ def _count(buckets: int):
     return run
 
 
-def _weigh(ratio: np.ndarray, length: int):
+def _weigh(ratio: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, texts in pieces(batch):
                 owner, b = _buckets(texts, len(ratio))
                 n = np.bincount(owner, minlength=len(texts))
-                total = np.bincount(owner, weights=ratio[b], minlength=len(texts))
-                weight = np.where(n > 0, total / np.maximum(n, 1) * np.minimum(n, length), 0.0)
+                weight = np.bincount(owner, weights=ratio[b], minlength=len(texts)).astype(float)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array(n, pa.int64()), pa.array(weight)], ["doc_id", "th", "n_grams", "log_weight"])
 
     return run
 
 
-def log_weights(docs: DataFrame, good_ids: DataFrame, buckets: int = BUCKETS, length: int = LENGTH) -> DataFrame:
-    """doc_id, th (hash of the text), n_grams, log_weight per row of ``docs`` (doc_id, text); ``good_ids`` (doc_id) names the target documents."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+def log_weights(docs: DataFrame, good_ids: DataFrame, buckets: int | None = None) -> DataFrame:
+    """doc_id, th (hash of the text), n_grams, log_weight per row of ``docs`` (doc_id, text); ``good_ids`` (doc_id) names the target documents; ``buckets``: None to follow the corpus."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     good = good_ids.select(F.col("doc_id").cast("long").alias("g")).where("g IS NOT NULL").distinct()
-    # the target texts are counted apart, so that the full table is never shuffled for its labels
-    zero = {"raw": F.lit(0).cast("long")}
-    # a shuffle join at every size: the labels grow with the corpus, and only texts that pass the filter are moved
-    maybe = bitmap_filter(docs, F.col("doc_id"), good, F.col("g")).join(good.hint("merge"), F.col("doc_id") == F.col("g"), "left_semi")
+    if buckets is None:
+        buckets = buckets_for(docs.agg(F.sum(F.length("text") - F.length(F.translate("text", " \t\n\r", "")) + 1)).first()[0] or 0)
+    # the target texts are counted apart, by a shuffle join at every size
+    named = docs.join(good.hint("merge"), F.col("doc_id") == F.col("g"), "left_semi")
     counts = "bucket long, raw long, target long"
-    target = maybe.select(F.lit(True).alias("good"), "text").mapInArrow(_count(buckets), counts).withColumns(zero)
+    target = named.select(F.lit(True).alias("good"), "text").mapInArrow(_count(buckets), counts).withColumn("raw", F.lit(0).cast("long"))
     raw = docs.select(F.lit(False).alias("good"), "text").mapInArrow(_count(buckets), counts)
     both = raw.unionByName(target).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     p, q = np.ones(buckets), np.ones(buckets)
-    for r in both.collect():  # at most ``buckets`` rows, whatever the input
-        p[r["bucket"]] += r["target"]
-        q[r["bucket"]] += r["raw"]
+    counted = both.toArrow()  # at most ``buckets`` rows, by the square root of the corpus
+    at = counted["bucket"].to_numpy()
+    p[at] += counted["target"].to_numpy()
+    q[at] += counted["raw"].to_numpy()
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    return docs.select("doc_id", "th", "text").mapInArrow(_weigh(ratio, length), "doc_id long, th long, n_grams long, log_weight double")
+    return docs.select("doc_id", "th", "text").mapInArrow(_weigh(ratio), "doc_id long, th long, n_grams long, log_weight double")
 
 
 def largest(scratch: Scratch, rows: DataFrame, key: str, tie: list[Column], k: int, name: str = "largest") -> DataFrame:
@@ -116,15 +121,15 @@ def largest(scratch: Scratch, rows: DataFrame, key: str, tie: list[Column], k: i
     return sure.unionByName(edge)
 
 
-def resample(docs: DataFrame, good_ids: DataFrame, keep: float = KEEP, seed: str = SEED, buckets: int = BUCKETS, length: int = LENGTH) -> DataFrame:
+def resample(docs: DataFrame, good_ids: DataFrame, keep: float = KEEP, seed: str = SEED, buckets: int | None = None) -> DataFrame:
     """The ``keep`` share of the rows of ``docs`` drawn by importance: doc_id, n_grams, log_weight, gumbel_key, kept (true).
 
     Null or word-less texts have weight 0 and draw like any other.  Equal keys are settled by doc_id, then text hash.
     Repeated rows draw alike and count each.  Labels of unknown ids do nothing; without labels all weights follow the raw
-    model alone.  Other columns are ignored; an empty table gives an empty result.
+    model alone.  Texts of any length are weighed whole.  Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "resample")
-    rows = log_weights(docs, good_ids, buckets, length)
+    rows = log_weights(docs, good_ids, buckets)
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("th").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = scratch.cut(rows.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "weights")
     total = rows.count()

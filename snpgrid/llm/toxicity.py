@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch
 from .hashing import NOT_ALNUM, Words, mix, pieces, signed
@@ -336,8 +337,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_df: floa
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` before its last, ``text``, then vote, score and evidence of each row."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(_votes(model), f"{columns}, vote double, score double, evidence string")
+    added = "vote double, score double, evidence string"
+    return docs.mapInArrow(_votes(model), StructType([*docs.schema.fields[:-1], *StructType.fromDDL(added).fields]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, least_df: float = LEAST_DF, most_df: float = MOST_DF) -> DataFrame:

@@ -7,7 +7,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from snpgrid.llm.common import components, Scratch
 from snpgrid.llm.decontaminate import contamination
@@ -77,18 +79,30 @@ def test_near_duplicates(docs, nothing):
     for k, r in enumerate(ROWS):
         c = smallest.get(label[k]) if sets[k] else r[0]
         want[(r[0], len(sets[k]), c, c == r[0])] += 1
-    assert Counter(map(tuple, near_duplicates(docs).collect())) == want
+    assert Counter(r[:4] for r in map(tuple, near_duplicates(docs).collect())) == want
     assert near_duplicates(nothing).count() == 0
 
 
-def test_components_both_ways(spark):
+def test_components(spark):
     rng = random.Random(1)
     key = lambda i: f"{i:04d}".encode()
     links = [(key(rng.randrange(200)), key(rng.randrange(200))) for _ in range(120)] + [(key(i), key(i + 1)) for i in range(300, 340)]
     edges = spark.createDataFrame(links, "a binary, b binary")
-    one = {(bytes(r[0]), bytes(r[1])) for r in components(Scratch(spark, "t"), edges, "a", "b").collect()}
-    many = {(bytes(r[0]), bytes(r[1])) for r in components(Scratch(spark, "t"), edges, "a", "b", local=0).collect()}
-    assert one == many and (key(340), key(300)) in one
+    root = {x: x for e in links for x in e}
+    for _ in root:
+        for x, y in links:
+            root[x] = root[y] = min(root[x], root[y])
+    got = {bytes(r[0]): bytes(r[1]) for r in components(Scratch(spark, "t"), edges, "a", "b").collect()}
+    assert got == root and got[key(340)] == key(300)
+    assert components(Scratch(spark, "t"), edges.limit(0), "a", "b").count() == 0
+
+
+def test_components_of_hubs(spark):
+    """A star of 3,000 links, whose hub and label are hot, beside a chain that reaches it."""
+    links = [(1, i) for i in range(2, 3000)] + [(i, i + 1) for i in range(5000, 5030)] + [(5030, 2500)]
+    edges = spark.createDataFrame(links, "x long, y long").select(*(F.expr(f"unhex(lpad(hex({c}), 16, '0'))").alias(c) for c in "xy"))
+    got = components(Scratch(spark, "t"), edges, "x", "y").select("label").distinct().collect()
+    assert [bytes(r[0]).hex() for r in got] == ["0000000000000001"]
 
 
 @pytest.mark.parametrize("keep", ["min", "max"])
@@ -126,7 +140,7 @@ def test_contamination(spark, docs, nothing):
                         hit.update(range(p, p + n))
                         names.add("" if item is None else str(item))
         want[(r[0], len(ws), len(hit), len(names), sha(",".join(sorted(names))), bool(hit))] += 1
-    assert Counter(map(tuple, contamination(docs, bench).collect())) == want
+    assert Counter(r[:6] for r in map(tuple, contamination(docs, bench).collect())) == want
     assert contamination(nothing, bench).count() == 0
     assert contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
@@ -161,6 +175,51 @@ def test_mixing(docs, nothing):
     assert mix(nothing).count() == 0
 
 
+def test_deep_nodes_against_brute_force():
+    """Leaves, and depths, of the deep nodes of each group against all pairs of suffixes."""
+    from snpgrid.llm.substring_dedup import deep_nodes
+
+    rng = random.Random(9)
+    for window in (3, 5, 35):
+        contexts, groups = [], []
+        for _ in range(60):
+            groups.append(rng.randrange(4))
+            contexts.append([rng.randrange(2) for _ in range(window + rng.randrange(12))])
+            if rng.random() < 0.5:
+                contexts.append(contexts[-1][: window + rng.randrange(3)] + [7])
+                groups.append(groups[-1])
+        n = [rng.randint(1, len(c) - window + 1) for c in contexts]
+        begin = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
+        got = set(zip(*map(np.ndarray.tolist, deep_nodes(np.array(groups), np.concatenate([np.array(c) for c in contexts]), begin, np.array(n), window)), strict=True))
+        suffixes = [(i, s, c[s:]) for i, c in enumerate(contexts) for s in range(n[i])]
+        want = set()
+        for i, s, x in suffixes:
+            same = [y for j, t, y in suffixes if groups[i] == groups[j] and (i, s) != (j, t) and y[:window] == x[:window]]
+            if same:
+                want.add((i, s, min(next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y))) for y in same)))
+        assert {r[:2] for r in got} == {r[:2] for r in want} and want and all(d >= window for *_, d in got)
+        shared = {r[:2]: r[2] for r in want}
+        assert all(window <= d <= shared[i, s] for i, s, d in got)
+
+
+def test_index_filters(spark):
+    """A run's filter lets through all that it holds and few others; runs are merged by level, and lookups keep the smallest identifier."""
+    from snpgrid.llm.exact_dedup import DigestIndex
+
+    digest = lambda x: F.unhex(F.sha2(F.col(x).cast("string"), 256)).alias("digest")
+    index = DigestIndex(spark, Scratch(spark, "t"), "min")
+    for b in range(6):
+        index.flush(spark.range(b * 3000, b * 3000 + 4000).select(digest("id"), (F.col("id") + b).alias("id")))
+    assert [r.level for r in index.runs] == [1, 0, 0]
+    run = index.runs[1]
+    assert run.pieces > 1 and run.may_hold(run.rows.select("digest")).count() == 4000
+    assert run.may_hold(spark.range(10**6, 10**6 + 20_000).select(digest("id"))).count() < 3000
+    got = index.lookup(spark.range(0, 30_000).select(digest("id")))
+    assert got.count() == 19_000 and got.where("n = 2").count() == 5 * 1000
+    assert index.lookup(spark.range(3000, 3001).select(digest("id"))).collect()[0][1:] == (3000, 2)
+    assert index.lookup(spark.range(10**7, 10**7 + 9).select(digest("id"))).count() == 0
+
+
 @pytest.mark.parametrize("memory_rows", [50_000, 3])
 def test_drop_repeats(docs, nothing, memory_rows):
     windows = Counter(tuple(w[i : i + 35]) for r in ROWS for w in [WORD.findall(r[1] or "")] for i in range(len(w) - 34))

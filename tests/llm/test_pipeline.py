@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -36,3 +37,72 @@ def test_stages_take_effect(spark, tmp_path):
     assert ids["decontaminate"] == [i for i in ids["near_dedup"] if i != 102]
     mixed = Counter(r[0] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").collect())
     assert mixed and set(mixed) <= set(ids["decontaminate"]) and max(mixed.values()) <= 3
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Every stage on rows with null and shared ids, repeated rows and columns that clash with ours, against plain Python."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    text = lambda n=40: " ".join(word() for _ in range(n))
+    bench = text(14)
+    base = [text() for _ in range(25)]
+    near_copy = base[4].rsplit(" ", 1)[0] + " changed"
+    texts = [(i, t) for i, t in enumerate(base)]
+    texts += [(50, base[1]), (None, base[2]), (None, "only here " + text()), (None, None), (5, "only here too " + text()), (5, base[3]), (60, base[5]), (60, base[5]), (61, near_copy), (None, near_copy + " x"), (70, text(5) + " " + bench), (5, bench + " " + text(9)), (71, ""), (72, None)]
+    rows = [(i, t, "en", ["a", "b", None][k % 3], 0, k, "m", 1.5) for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id long, _maybe string, _cell double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def shingles(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def exact(rows):
+        best = {}
+        for r in rows:
+            best[r[1] or ""] = max(best.get(r[1] or "", -1), -1 if r[0] is None else r[0])
+        return [r for r in rows if best[r[1] or ""] in (-1, r[0])]
+
+    def near(rows):
+        sets = [shingles(r[1]) for r in rows]
+        label = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if sets[i] and 100 * both >= 75 * len(sets[i] | sets[j]):
+                    label = [label[j] if x == label[i] else x for x in label]
+        out = []
+        for k, r in enumerate(rows):
+            ids = [s[0] for s, x in zip(rows, label, strict=True) if x == label[k] and s[0] is not None]
+            if not sets[k] or r[0] == (min(ids) if ids else None):
+                out.append(r)
+        return out
+
+    def clean(rows):
+        w = bench.split()
+        windows = {" ".join(w[i : i + 10]) for i in range(len(w) - 9)}
+        return [r for r in rows if not any(x in " ".join((r[1] or "").split()) for x in windows)]
+
+    want = rows
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for (name, stage), plain in zip(corpus_pipeline.STAGES[:-1], (list, exact, near, clean), strict=True):
+        want = plain(want)
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert Counter(map(str, map(tuple, docs.collect()))) == Counter(map(str, want)), name
+    assert any(r[1] and r[1].startswith("only here too") for r in want) and any(r[0] is None and r[1] and r[1].startswith("only here ") for r in want)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert out.columns == names and set(map(str, map(tuple, out.collect()))) <= set(map(str, want))
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]

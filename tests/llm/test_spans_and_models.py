@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -150,19 +151,56 @@ def test_archive_round_trip(spark, tmp_path):
     rows += [(None, "http://null", "a"), (None, "http://null2", "lonely"), (7, "http://h/7", "\r\n\r\n"), (90, None, "u")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("url", "url")
     write_archive(pages, str(tmp_path / "w"), file_records=5)
-    for block in (300, 4 << 20):
-        got = read_archive(spark, str(tmp_path / "w"), block_bytes=block).collect()
+    want = []
+    for i, _, t in rows:
+        p = (t or "").encode()
+        same = [j for j, _, u in rows if (u or "") == (t or "") and j is not None]
+        top = max(same) if same else None
+        visit = top is not None and i != top
+        want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if visit else "response", top if visit else None))
+    for size in ("128m", "300"):  # a file a task, then splits much smaller than a record
+        with split_size(spark, size):
+            got = read_archive(spark, str(tmp_path / "w")).collect()
         assert len(got) == len(rows) and all(r["sound"] for r in got)
-        want = []
-        for i, _, t in rows:
-            p = (t or "").encode()
-            same = [j for j, _, u in rows if (u or "") == (t or "") and j is not None]
-            top = max(same) if same else None
-            visit = top is not None and i != top
-            want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if visit else "response", top if visit else None))
         assert sorted(map(str, want)) == sorted(str((r["page_id"], r["payload_bytes"], r["digest"], r["type"], r["refers_to"])) for r in got)
 
 
+def test_torn_and_foreign_archives(spark, tmp_path):
+    """A chain ends at the first record that nothing bounds; magic inside a payload starts no record; other columns of pages don't matter."""
+    trap = "x\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\ny"
+    rows = [(i, "u", trap if i % 3 == 0 else f"<p>{i}</p>" * 40, "x", 1) for i in range(30)]
+    write_archive(spark.createDataFrame(rows, "page_id long, url string, html string, payload string, n long").coalesce(1), str(tmp_path / "w"))
+    (file,) = [f for f in (tmp_path / "w").iterdir() if f.suffix == ".txt"]
+    data = file.read_bytes()
+    for cut, name in ((len(data) * 2 // 3, "torn"), (len(data) - 2, "end")):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.warc").write_bytes(data[:cut])
+        (folder / "b.warc").write_bytes(b"no record" + data)
+        (folder / "c.warc").write_bytes(b"")
+        at, ends, want = 0, [], 0
+        while (m := re.compile(rb"WARC/1\.0\r\n.*?Content-Length: (\d+)\r\n\r\n", re.S).match(data, at)):
+            at = m.end() + int(re.findall(rb"Content-Length: (\d+)\r\n\r\n", m.group())[-1]) + 4
+            ends.append(at)
+        want = sum(e <= cut for e in ends)
+        for size in ("128m", "500"):
+            with split_size(spark, size):
+                got = read_archive(spark, str(folder)).collect()
+            assert len(ends) == 30 and len(got) == want and all(r["sound"] for r in got)
+
+
+@contextmanager
+def split_size(spark, size: str):
+    """Reads files in splits of a size."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, size)
+    yield
+    for n, v in zip(names, old, strict=True):
+        spark.conf.set(n, v)
+
+
 def test_empty_archive(spark, tmp_path):
     write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert read_archive(spark, str(tmp_path / "e")).count() == 0
