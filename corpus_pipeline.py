@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage takes the documents that its predecessor kept, and its decisions take effect."""
+"""The corpus pipeline: each stage takes the documents that its predecessor kept, and its decisions take effect.
+
+A decision belongs to a row's doc_id together with its text (a hash of it), so rows that share an id, or have none, are judged each by its own text.
+All stages but the last return the columns of their input, whatever their names; rows that agree in id and text share their fate;
+a null text is an empty one; texts of any length are read whole; an empty table gives an empty result.  Stages are lazy about nothing that a
+lost executor could lose: what they decide on is written to the shared folder.
+"""
 
 from __future__ import annotations
 
@@ -7,53 +13,53 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snpgrid.llm.common import Scratch, bitmap_filter
+from snpgrid.llm.common import Scratch, lower_az
 from snpgrid.llm.decontaminate import contamination
 from snpgrid.llm.exact_dedup import exact_duplicates
 from snpgrid.llm.mixing import mix
 from snpgrid.llm.near_dedup import near_duplicates
-from snpgrid.llm.toxicity import toxicity
-
+from snpgrid.llm.toxicity import THRESHOLD, fit, scores
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``rejected`` (doc_id, written): all columns stay.
 
-    Rows that a bounded filter of the rejected ids rules out are not shuffled.  A null id is an id like any other.
-    """
-    marked = bitmap_filter(docs, F.col("doc_id"), rejected, F.col("doc_id"), keep="both")
-    doubt = marked.where("_maybe").drop("_maybe")
-    ids = rejected.select(F.col("doc_id").alias("_id")).distinct()
-    return marked.where("NOT _maybe").drop("_maybe").unionByName(doubt.join(ids, doubt["doc_id"].eqNullSafe(ids["_id"]), "left_anti"))
+def _whole(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, beside its id and text, so that no name of a column can clash with one of ours."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def _dropping(docs: DataFrame, decisions: DataFrame, reject: Column) -> DataFrame:
+def _dropping(docs: DataFrame, decisions: DataFrame, reject: Column, key: str, text_key: Column) -> DataFrame:
+    """Rows of ``docs`` that no rejected decision names; ``key``: the decisions' hash of a text, ``text_key``: the same of a row."""
     scratch = Scratch(docs.sparkSession, "stage")
-    return _without(docs, scratch.cut(decisions.where(reject).select("doc_id"), "rejected"))
+    gone = scratch.cut(decisions.where(reject).select(F.col("doc_id").alias("_id"), F.col(key).alias("_key")).distinct(), "rejected")
+    rows = _whole(docs).withColumn("key", text_key)
+    kept = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["key"] == gone["_key"]), "left_anti")
+    return kept.select("row.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.  A score depends on the text alone; null and empty texts stay; ties at the threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return _dropping(docs, toxicity(docs, labels), F.col("predicted") == 1)
+    scored = scores(_whole(docs).select("row", "text"), fit(docs, labels))
+    return scored.where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one of largest doc_id stays."""
-    return _dropping(docs, exact_duplicates(docs, keep="max"), ~F.col("kept"))
+    """Of equal texts (A-Z in either case, null as empty) the row of largest doc_id stays; rows without id lose to any other, repeated rows of the largest id all stay."""
+    text = F.lower(F.sha2(lower_az(F.coalesce("text", F.lit(""))), 256))
+    return _dropping(docs, exact_duplicates(docs, keep="max"), ~F.col("kept"), "text_sha256", text)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of linked documents the one of smallest doc_id stays."""
-    return _dropping(docs, near_duplicates(docs), ~F.col("kept"))
+    """Of a group of linked documents the one of smallest doc_id stays; documents without words are linked with nothing and stay."""
+    return _dropping(docs, near_duplicates(docs), ~F.col("kept"), "text_hash", F.xxhash64("text"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    return _dropping(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), F.col("contaminated"))
+    return _dropping(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), F.col("contaminated"), "text_hash", F.xxhash64("text"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as its source's rate says."""
+    """The mix: each document as often as its source's rate says; rows of one id draw alike, a null source is one of its own."""
     return mix(docs)
 
 
