@@ -66,7 +66,7 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: Column)
     """Left join (null-safe) with a side that has one narrow row a key; ``hot`` marks the right rows whose key may be frequent on the left.
 
     Hot rows are at most ``parts`` by the caller's threshold (``hot_rows``), so they are broadcast and their
-    left rows never meet in one task; the rest is a shuffle join, for which the left hot rows carry a spread-out key.
+    left rows never meet in one task; the rest is a shuffle join at every size, for which the left hot rows carry a spread-out key.
     """
     values = [c for c in right.columns if c not in keys]
     names = [f"_k{i}" for i in range(len(keys))]
@@ -76,7 +76,7 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: Column)
     out = left.join(F.broadcast(h), null_safe(left, h, pairs), "left").drop(*names)
     out = out.withColumn("_s", F.when(F.col("_h").isNull(), 0).otherwise(1 + F.abs(F.xxhash64(F.monotonically_increasing_id())) % 1_000_003).cast("long"))
     c = r.where("NOT _hot").drop("_hot").withColumn("_z", F.lit(0).cast("long"))
-    joined = out.join(c, null_safe(out, c, pairs) & (out["_s"] == c["_z"]), "left").drop(*names, "_z", "_s")
+    joined = out.join(c.hint("merge"), null_safe(out, c, pairs) & (out["_s"] == c["_z"]), "left").drop(*names, "_z", "_s")
     v = F.coalesce("_h", "_v")
     return joined.select(*left.columns, *(v[c].alias(c) for c in values))
 

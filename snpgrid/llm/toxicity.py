@@ -23,11 +23,13 @@ from .common import Scratch
 from .hashing import NOT_ALNUM, Words, mix, pieces, signed
 
 #: Labelled documents of each label used at most (those of smallest hash), and passages of one of them (those of smallest hash).
-SAMPLE, SAMPLE_PASSAGES = 1000, 400
-#: Words a passage, bytes of word beginnings, examples a block, neighbours, similarity that votes for the base rate.
-PASSAGE, PREFIXES, BLOCK, K, CALM = 6, (5, 6), 64, 15, 0.5
+SAMPLE, SAMPLE_PASSAGES = 600, 800
+#: Words a passage, bytes of word beginnings, examples a block, neighbours, similarity that votes for the base rate, documents that draw a calibrated value to it.
+PASSAGE, PREFIXES, BLOCK, K, CALM, DRAWN = 4, (5, 6), 512, 15, 0.5, 10
 #: Least share of the examples and largest share of all documents that may hold a term; what the query predicts from.
-LEAST_DF, MOST_DF, THRESHOLD = 0.006, 0.06, 0.7
+LEAST_DF, MOST_DF, THRESHOLD = 0.01, 0.05, 0.7
+#: Passages that a task searches for at a time.
+AT_ONCE = 6000
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +133,7 @@ class BlockMaxIndex:
         self.cells = np.searchsorted(cell[first], np.arange(n_terms + 1, dtype=np.int64) * self.blocks)
 
     def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, example, cosine) of the k most similar examples of each query with a common term, most similar first; ties by place.
+        """(query, example, cosine) of the k most similar examples of each query with a common term and of all as similar as the k-th, most similar first.
 
         ``leave``: the group of examples that each query may not meet, or -1.  The two most promising blocks of a query give a k-th best; of the
         others only those whose bound reaches it are scored.
@@ -149,29 +151,31 @@ class BlockMaxIndex:
         early = np.zeros(len(of), bool)
         early[ranked[rank < 2]] = True
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        least = np.zeros(int(of.max()) + 1 if len(of) else 1)  # the k-th best cosine of each query
         for chosen in (early, ~early):
-            if chosen is not early and len(of):
-                last = np.flatnonzero(best[0][k - 1 :] == best[0][: max(0, len(best[0]) - k + 1)]) + k - 1  # the k-th of each query that has k
-                least = np.zeros(int(of.max()) + 1)
-                least[best[0][last]] = best[2][last]
+            if chosen is not early:
                 chosen = chosen & (bound >= least[of] - 1e-5)
             take = chosen[pair]
             post, m = _spread(self.first, at[take])
             from_ = np.repeat(entry[take], m)
             hit, cosine = _summed(query[from_].astype(np.int64) * self.n + self.owner[post], weight[from_].astype(float) * self.weight[post])
             q, e = hit // max(self.n, 1), hit % max(self.n, 1)
+            ok = cosine >= least[q] - 1e-6
             if leave is not None:
-                ok = self.groups[e] != leave[q]
-                q, e, cosine = q[ok], e[ok], cosine[ok]
+                ok &= self.groups[e] != leave[q]
+            q, e, cosine = q[ok], e[ok], cosine[ok]
             q, e, cosine = np.concatenate([best[0], q]), np.concatenate([best[1], e]), np.concatenate([best[2], cosine])
             ranked, rank = _rank(q, cosine)
-            ranked = ranked[rank < k]
-            best = (q[ranked], e[ranked], cosine[ranked])
+            q, e, cosine = q[ranked], e[ranked], cosine[ranked]
+            last = rank == k - 1
+            least[q[last]] = cosine[last]
+            ok = cosine >= least[q] - 1e-6
+            best = (q[ok], e[ok], cosine[ok])
         return best[0], self.example[best[1]], best[2]
 
 
-def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: knots and values of the non-decreasing weighted fit."""
+def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators: knots, values and weights of the non-decreasing weighted fit."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []  # [sum of w*y, sum of w, sum of w*x]
     for a, b, c in zip(x[order], y[order], w[order], strict=True):
@@ -179,7 +183,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             last = pools.pop()
             pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
-    return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
+    return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools]), np.array([p[1] for p in pools])
 
 
 class Model:
@@ -201,11 +205,12 @@ class Model:
         self.x, self.y = np.zeros(1), np.full(1, self.prior if self.labels.any() else 0.0)
 
     def calibrate(self, ids: np.ndarray, votes: np.ndarray) -> None:
-        """Isotonic fit of the examples' labels on their votes."""
+        """Isotonic fit of the examples' labels on their votes, each pool drawn to the base rate by ``DRAWN`` documents of it."""
         at = {i: n for n, i in enumerate(self.ids.tolist())}
         number = np.array([at[i] for i in ids.tolist()], np.int64)
         if len(number):
-            self.x, self.y = _isotonic(votes, self.labels[number].astype(float), self.stands_for[number])
+            self.x, share, weight = _isotonic(votes, self.labels[number].astype(float), self.stands_for[number])
+            self.y = np.maximum.accumulate((share * weight + DRAWN * self.prior * self.labels.any()) / (weight + DRAWN))
 
     def votes(self, texts: list[bytes]) -> tuple[np.ndarray, list[str]]:
         """Largest vote of each text's passages (0 without any term) and its nearest examples.
@@ -219,7 +224,9 @@ class Model:
         h = signed(text_hashes(texts))
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         own = np.where(self.known[at] == h, at, -1)
-        q, e, cosine = self.index.nearest(passage, term, weight, self.k, leave=own[text])
+        cuts = np.searchsorted(passage, np.arange(0, len(text) + AT_ONCE, AT_ONCE))
+        found = [(at, self.index.nearest(passage[a:b] - at, term[a:b], weight[a:b], self.k, leave=own[text[at : at + AT_ONCE]])) for at, a, b in zip(range(0, len(text), AT_ONCE), cuts, cuts[1:], strict=False)]
+        q, e, cosine = (np.concatenate(x) for x in zip(*((r[0] + at, *r[1:]) for at, r in found), strict=True))
         example = self.doc[e]
         share = cosine * self.stands_for[example]
         vote = np.bincount(q, weights=share * self.labels[example], minlength=len(text)) + CALM * self.prior
@@ -346,8 +353,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
     Scores depend on the text alone, and an example never votes on its own text.  Null and empty texts, and those without a term of the vocabulary, get the lowest score.
     Held-out rows (crc32(doc_id as text) mod 3 = 1; null ids are not) and unlabelled ones never teach.  Of several labels of an id the largest counts, of several texts any one;
-    labels of unknown ids do nothing, and without labels all scores are 0.  Texts of any length are scored whole, in passages; equal
-    cosines are taken in the index's order.  Repeated rows score alike.  Other columns are ignored; an empty table gives an empty result.
+    labels of unknown ids do nothing, and without labels all scores are 0.  Texts of any length are scored whole, in passages; examples
+    as similar as the last neighbour all vote.  Repeated rows score alike.  Other columns are ignored; an empty table gives an empty result.
     """
     model = fit(docs, labels, sample, least_df, most_df)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))

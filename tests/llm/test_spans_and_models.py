@@ -290,18 +290,15 @@ def test_toxicity_against_brute_force(spark):
     def vote(t: str) -> float:
         best = 0.0
         for v in vectors(t):
-            near = sorted((-sum(w * e.get(x, 0) for x, w in v.items()), i) for i, e in held if texts[i] != t)[: tox.K + 1]
+            near = sorted((-sum(w * e.get(x, 0) for x, w in v.items()), i) for i, e in held if texts[i] != t)
             near = [(c, i) for c, i in near if c < 0]
-            if len(near) > tox.K and near[tox.K][0] - near[tox.K - 1][0] < 1e-6:
-                return -1.0  # a tie at the last neighbour
-            near = near[: tox.K]
+            near = [(c, i) for n, (c, i) in enumerate(near) if n < tox.K or c <= near[tox.K - 1][0] + 1e-6]
             best = max(best, (sum(-c * label[i] for c, i in near) + tox.CALM * model.prior) / (sum(-c for c, _ in near) + tox.CALM))
         return best
 
     got = {r["doc_id"]: r for r in tox.scores(docs, model).collect()}
     want = {i: vote(t) for i, t in texts.items()}
-    sure = [i for i, v in want.items() if v >= 0]
-    assert len(sure) > 100 and all(abs(got[i]["vote"] - want[i]) < 1e-4 for i in sure)
+    assert all(abs(got[i]["vote"] - want[i]) < 1e-4 for i in texts)
     assert got[None]["vote"] == got[5]["vote"] and all(str(i) not in {x.split(":")[0] for x in got[i]["evidence"].split(",")} for i in label)
     assert all(abs(got[i]["score"] - np.clip(np.interp(got[i]["vote"], model.x, model.y), 0, 1)) < 1e-9 for i in texts)
     assert (np.diff(model.y) >= 0).all()
@@ -324,7 +321,7 @@ def test_block_max_index_is_exact():
         want[i] = 0
         assert np.allclose(want[e[q == n]], s[q == n], atol=1e-5)
         want = np.sort(want)[::-1][:15]
-        mine = s[q == n]
+        mine = s[q == n][:15]
         assert np.allclose(mine, want[: len(mine)], atol=1e-5) and (len(mine) == 15 or want[len(mine)] < 1e-9)
 
 
