@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import troughs
 from ..operators import associate, canonical, cluster, distance, evaluate, hierarchy, rules, scheme, sites
 from ..sources import genbank, newick, tables, vcf
-from . import compression
+from . import compression, reports
 
 
 @dataclass
@@ -78,6 +79,9 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
         raise ValueError("ids are missing: " + ", ".join(f"{r['sample_id']} in {r['input']}" for r in offenders))
     if c.in_nwk and samples.where(F.col("sample_id").rlike(r"^\s*[+-]?[0-9]+\s*$")).limit(1).count():
         raise ValueError("sample ids must not be integers")
+    # samples are in the order of the variants' columns from here on
+    order = [(s, i) for i, s in enumerate(vcf.sample_ids(spark, c.in_var))]
+    samples = samples.drop("ord").join(spark.createDataFrame(order, "sample_id string, ord long"), "sample_id")
 
     calls, removed = sites.filter_sites(vcf.read_calls(spark, c.in_var), c.max_states, c.max_site_ambig)
     calls = calls.persist()
@@ -105,13 +109,19 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     fields = [f for f in meta.columns if f not in ("sample_id", "year")]
     with_meta = samples.join(meta, "sample_id")
     fisher = associate.fisher_associations(with_meta, fields) if fields else None
-    temporal = associate.temporal_signal(dist, with_meta.withColumn("year", F.expr("try_cast(year AS double)")).where("year IS NOT NULL"), c.rcor_thresh) if "year" in meta.columns else None
+    # years are held against distances in the nodes that selection left
+    left = with_meta.drop("path").join(genotypes.select("sample_id", F.split("genotype", r"\.").alias("path")), "sample_id")
+    temporal = associate.temporal_signal(dist, left.withColumn("year", F.expr("try_cast(year AS double)")).where("year IS NOT NULL"), c.rcor_thresh) if "year" in meta.columns else None
 
-    report = nodes.join(flags, "clade", "left").join(exact.select("clade", (F.col("pos") + 1).alias("pos"), "base"), "clade", "left")
-    if temporal is not None:
-        report = report.join(temporal, "clade", "left")
     out, base = {}, f"{c.outdir}/{c.prefix}"
-    out["clades.info"], out["snps.info"] = report, assigned.withColumn("pos", F.col("pos") + 1)
+    # the root's marker lies in the middle of the longest conserved stretch
+    root = samples.select(F.get("path", F.lit(0))).first()[0]
+    gap = distance.conserved_gap(calls, len(genome)).first()
+    marker = [(root, gap["pos"], genome[gap["pos"]])] if gap["pos"] is not None and gap["pos"] < len(genome) else []
+    marked = exact.select("clade", F.col("pos").cast("long").alias("pos"), "base").unionByName(spark.createDataFrame(marker, "clade string, pos long, base string"))
+    root_flags = flags.withColumns({x: F.col(x) | ((F.col("clade") == root) & F.lit(bool(marker))) for x in ("is_valid", "is_selected")})
+    out["clades.info"] = reports.clade_report(nodes, marked, root_flags, temporal, fisher, reports.last_value(meta, fields), root)
+    out["snps.info"] = reports.snp_report(assigned, calls)
     out["genotypes.raw"], out["genotypes.supported"], out["genotypes.selected"] = samples.select("sample_id", F.array_join("path", ".").alias("genotype")), table(picked.supported), genotypes
     out["genotypes.distance"] = labels.withColumnRenamed("labels", "thresh-" + ";".join(map(str, cuts)) if cuts else "labels")
     out["snp.scheme"] = rows
@@ -144,6 +154,7 @@ def genotype(spark: SparkSession, c: Genotype) -> DataFrame:
         meta = tables.read_metadata(spark, c.in_meta)
         samples = samples.join(meta.select("sample_id"), "sample_id", "left_semi")
     report = rules.call_report(calls, snp_rules, features, samples, c.max_missing_positions).join(scheme.scheme_summary(s))
+    report = report.withColumns({"scheme": F.lit(os.path.basename(c.in_scheme)), "analysis_date": reports.now(), "total_scheme_features": F.col("n_features"), "unique_scheme_positions": F.col("n_positions")}).select(*reports.CALL)
     if c.in_meta:
         report = report.join(meta, "sample_id", "left")
     if c.genotype_meta:
@@ -151,7 +162,7 @@ def genotype(spark: SparkSession, c: Genotype) -> DataFrame:
         taken = set(report.columns)
         g = g.select(F.col("key").alias("predicted_genotype"), *(F.col(x).alias(f"{x}_genotype" if x in taken else x) for x in g.columns if x != "key"))
         report = report.join(g, "predicted_genotype", "left")
-    report = report.withColumn("analysis_date", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+    report = report.select(*reports.CALL, *(x for x in report.columns if x not in reports.CALL))
     tables.write_tsv(report, c.outfile)
     return report
 
@@ -163,7 +174,11 @@ def benchmark(spark: SparkSession, c: Benchmark) -> tuple[DataFrame, DataFrame]:
     scores = evaluate.f1_scores(g)
     calls = vcf.read_calls(spark, c.in_var).join(snp_rules.select("pos").distinct(), "pos", "left_semi")
     bad = evaluate.problem_bases(g, calls, rules.allowed_bases(snp_rules))
-    each = g.withColumn("is_match", F.col("submitted") == F.col("predicted")).join(bad, "sample_id", "left")
+    run = {"scheme": F.lit(os.path.basename(c.in_scheme)), "analysis_date": reports.now()}
+    scores = scores.withColumns(run).orderBy(F.col("label") != "overall", "label").select(*reports.SCORE)
+    each = g.withColumns({**run, "is_match": reports.truth(F.col("submitted") == F.col("predicted"))}).join(bad, "sample_id", "left")
+    names = {"submitted_genotype": "submitted", "predicted_genotype": "predicted", "problem_feature(s)": "problem_features"}
+    each = each.orderBy("sample_id").select(*(F.col(names.get(x, x)).alias(x) for x in reports.RESULT))
     tables.write_tsv(scores, f"{c.outdir}/{c.prefix}-scheme.scores.txt")
     tables.write_tsv(each, f"{c.outdir}/{c.prefix}-sample.results.txt")
     return scores, each

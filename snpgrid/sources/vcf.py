@@ -40,13 +40,13 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def filter_file(spark: SparkSession, path: str, removed: DataFrame, out: str) -> None:
-    """Writes the records of a file that are at none of the removed sites (chrom, pos 0-based), header lines first."""
-    lines = spark.read.text(path)
+    """Writes a file's lines in their order, without the records at the removed sites (chrom, pos 0-based)."""
     parts = F.split("value", "\t")
-    records = lines.where(~F.col("value").startswith("#")).withColumn("chrom", F.get(parts, F.lit(0))).withColumn("pos", F.get(parts, F.lit(1)).cast("int") - 1)
-    kept = records.join(removed.select("chrom", "pos"), ["chrom", "pos"], "left_anti").select(F.lit(1).alias("k"), "chrom", "pos", "value")
-    head = lines.where(F.col("value").startswith("#")).select(F.lit(0).alias("k"), F.lit("").alias("chrom"), F.when(F.col("value").startswith("##"), 0).otherwise(1).alias("pos"), "value")
-    head.unionByName(kept).orderBy("k", "chrom", "pos").select("value").write.mode("overwrite").text(out)
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    lines = lines.withColumn("chrom", F.get(parts, F.lit(0))).withColumn("pos", F.get(parts, F.lit(1)).try_cast("int") - 1)
+    kept = lines.join(removed.select("chrom", "pos"), ["chrom", "pos"], "left_anti").where(~F.col("value").startswith("#"))
+    head = lines.where(F.col("value").startswith("#"))
+    head.unionByName(kept.select(*head.columns)).orderBy("at").select("value").write.mode("overwrite").text(out)
 
 
 def write_calls(calls: DataFrame, samples: list[str], out: str) -> None:
