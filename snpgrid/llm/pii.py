@@ -1,9 +1,9 @@
 """Personal data in whole texts, with offset-preserving deobfuscation.
 
-A finite transducer rewrites a text (homoglyphs and full-width forms to ASCII, invisible characters to nothing, runs of
-spelled digits to digits, bracketed or spelled at/dot disguises to ``@`` and ``.``) and keeps, for each output character, the source span that it
-came from.  The detectors run on the source (base spans) and again on the rewritten text; hits there that touch rewritten
-characters are mapped back to source offsets and added unless a base span of their kind already holds them.
+Two finite transducers are chained: the first rewrites characters (homoglyphs and full-width forms to ASCII, invisible characters to nothing),
+the second what they spell (runs of spelled digits to digits, bracketed or spelled at/dot disguises to ``@`` and ``.``).  Each keeps, for each output
+character, the span that it came from, and the maps are composed.  The detectors run on the source (base spans) and again on the last text; hits there
+that touch rewritten characters are mapped back to source offsets and added unless a base span of their kind already holds them.
 """
 
 from __future__ import annotations
@@ -54,8 +54,8 @@ _SINGLE = {**_compatible(), **HOMOGLYPHS, **SEPARATORS, **dict.fromkeys(INVISIBL
 _WIDE = re.compile("[" + "".join(re.escape(c) for c in _SINGLE if c < "\U00010000") + "]")
 _WIDER = re.compile("[" + "".join(re.escape(c) for c in _SINGLE if c >= "\U00010000") + "]")
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
-_AT = r"[\[({<]\x20{0,3}(?:at|AT|At|@)\x20{0,3}[\])}>]"
-_DOT = r"[\[({<]\x20{0,3}(?:dot|DOT|Dot|\.)\x20{0,3}[\])}>]"
+_AT = r"[\[({<]\x20{0,3}(?:[aA][tT]|@)\x20{0,3}[\])}>]"
+_DOT = r"[\[({<]\x20{0,3}(?:[dD][oO][tT]|\.)\x20{0,3}[\])}>]"
 _BRACKET = re.compile(rf"\x20{{0,3}}(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\x20{{0,3}}")
 _HAS_BRACKET = re.compile(rf"{_AT}|{_DOT}")
 # name at host dot word, spelled out; without a spelled dot the name must look like an address; signs set apart by spaces
@@ -64,6 +64,8 @@ _SPELLED_AT = re.compile(rf"(?i)(?<![\w.%+-])(?:{_NAME}\x20dot\x20){{0,3}}{_NAME
 _PLAIN_AT = [re.compile(rf"\x20{at}\x20(?=[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,3}}\.[A-Za-z]{{2,10}}(?![\w-]))") for at in ("at", "AT")]
 _ADDRESS = re.compile(r"[A-Za-z0-9]+[._%+-][\w.%+-]*[\w]$|[A-Za-z]+[0-9]+$")
 _SPACED_AT = re.compile(r"(?<=[\w%+-])(?P<at>\x20{0,2}@\x20{0,2})[A-Za-z0-9-]{1,63}(?:(?:\x20{1,2}\.\x20{1,2}|\.)[A-Za-z0-9-]{1,63}){1,4}")
+# a spelled dot after a true sign
+_AT_DOT = re.compile(r"(?i)(?<=[\w%+-])@[a-z0-9-]{1,63}(?:(?:\x20dot\x20|\.)[a-z0-9-]{1,63}){1,4}(?!\w)")
 _SPACED_DOT = re.compile(r"(?<=\w)\x20{1,2}\.\x20{1,2}(?=[a-z0-9])")
 # letters that stand for digits in a number: at least six true digits and a letter
 _LOOSE_NUMBER = re.compile(r"[0-9+][0-9OoIl\x20().-]{7,40}(?![A-Za-z])")
@@ -136,17 +138,28 @@ def detect(t: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def characters(t: str) -> list[tuple[int, int, str]]:
+    """Source spans that the first transducer replaces: single characters."""
+    if t.isascii():
+        return []
+    found = [(m.start(), m.end(), _SINGLE[m.group()]) for m in _WIDE.finditer(t)]
+    if _ASTRAL.search(t):
+        found = sorted(found + [(m.start(), m.end(), _SINGLE[m.group()]) for m in _WIDER.finditer(t)])
+    return found
+
+
 def rewrites(t: str, spelled: re.Pattern | None = None) -> list[tuple[int, int, str]]:
-    """Source spans that the transducer replaces, in order, not overlapping; ``spelled`` finds the spelled runs, if there may be any."""
-    found = [(m.start(), m.end(), _SINGLE[m.group()]) for m in _WIDE.finditer(t)] if not t.isascii() else []
-    if not t.isascii() and _ASTRAL.search(t):
-        found += [(m.start(), m.end(), _SINGLE[m.group()]) for m in _WIDER.finditer(t)]
+    """Spans that the second transducer replaces, in order, not overlapping; ``spelled`` finds the spelled runs, if there may be any."""
+    found = []
     if ("(" in t or "[" in t or "{" in t or "<" in t) and _HAS_BRACKET.search(t):
         found += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(t)]
     if " dot " in t or " DOT " in t or " Dot " in t:
         for m in _SPELLED_AT.finditer(t):
             found.append((*m.span("at"), "@"))
             found += [(*d.span(), ".") for d in _SPELLED_DOT.finditer(t, m.start(), m.end())]
+        if "@" in t:
+            for m in _AT_DOT.finditer(t):
+                found += [(*d.span(), ".") for d in _SPELLED_DOT.finditer(t, m.start(), m.end())]
     for pattern in _PLAIN_AT:
         for m in pattern.finditer(t):
             if _ADDRESS.search(t[max(0, m.start() - 64) : m.start()].rpartition(" ")[2]):
@@ -184,37 +197,47 @@ def transduce(t: str, edits: list[tuple[int, int, str]]) -> tuple[str, list[tupl
     return "".join(parts), pieces
 
 
-def deobfuscated(t: str) -> list[tuple[int, int, int]]:
-    """Hits in the rewritten texts that touch an edit, as source spans."""
-    if not _may_spell(t):
-        return _hits(t, rewrites(t))
-    wide, narrow = rewrites(t, _SPELLED), rewrites(t, _SPELLED_NARROW)
-    return list(dict.fromkeys(_hits(t, wide) + (_hits(t, narrow) if narrow != wide else [])))
+class Rewritten:
+    """A text after some edits, and the way back to its offsets."""
 
+    def __init__(self, t: str, edits: list[tuple[int, int, str]]):
+        self.edits = edits
+        self.text, self.pieces = transduce(t, edits) if edits else (t, [])
+        self.where = [p[0] for p in self.pieces]
+        self.ends = [o + len(edit[2]) for (o, _, _), edit in zip(self.pieces, edits, strict=True)]
 
-def _hits(t: str, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
-    if not edits:
-        return []
-    new, pieces = transduce(t, edits)
-    where = [p[0] for p in pieces]
-    ends = [o + len(edit[2]) for (o, _, _), edit in zip(pieces, edits, strict=True)]
+    def touches(self, s: int, e: int) -> bool:
+        return bisect_left(self.where, e) > bisect_left(self.where, s)
 
-    def source(o: int, closing: bool) -> int:
+    def source(self, o: int, closing: bool) -> int:
         """Source offset of an output offset (as an end: of the character before it)."""
-        i = (bisect_left if closing else bisect_right)(where, o) - 1
+        i = (bisect_left if closing else bisect_right)(self.where, o) - 1
         if i < 0:
             return o
-        if closing and o <= ends[i]:
-            return pieces[i][2]
-        if not closing and o < ends[i]:
-            return pieces[i][1]
-        return pieces[i][2] + o - ends[i]
+        if closing and o <= self.ends[i]:
+            return self.pieces[i][2]
+        if not closing and o < self.ends[i]:
+            return self.pieces[i][1]
+        return self.pieces[i][2] + o - self.ends[i]
+
 
+def deobfuscated(t: str) -> list[tuple[int, int, int]]:
+    """Hits in the rewritten texts that touch an edit of either transducer, as source spans."""
+    first = Rewritten(t, characters(t))
+    seconds = [rewrites(first.text)]
+    if _may_spell(first.text):
+        wide, narrow = rewrites(first.text, _SPELLED), rewrites(first.text, _SPELLED_NARROW)
+        seconds = [wide] + ([narrow] if narrow != wide else [])
     out = []
-    for kind, s, e in detect(new):
-        if bisect_left(where, e) > bisect_left(where, s):
-            out.append((kind, source(s, False), source(e, True)))
-    return out
+    for edits in seconds:
+        if not edits and not first.edits:
+            continue
+        second = Rewritten(first.text, edits)
+        for kind, s, e in detect(second.text):
+            s1, e1 = second.source(s, False), second.source(e, True)
+            if second.touches(s, e) or first.touches(s1, e1):
+                out.append((kind, first.source(s1, False), first.source(e1, True)))
+    return list(dict.fromkeys(out))
 
 
 def spans(t: str) -> list[tuple[int, int, int, bool]]:

@@ -53,6 +53,12 @@ def test_pii_base_spans(t):
         ("dial +1 (675) 555‑4554", "phone", "+1 (675) 555‑4554"),
         ("pay 4lll llll 1111 1111 ok", "card", "4lll llll 1111 1111"),
         ("host 192.l68.0.1 up", "ip", "192.l68.0.1"),
+        ("ask bob@example dot com", "email", "bob@example dot com"),
+        ("ask bob(aT)example(dOt)com", "email", "bob(aT)example(dOt)com"),
+        ("ask bob ＠ example．com", "email", "bob ＠ example．com"),
+        ("ask bоb (аt) exаmple [dоt] com", "email", "bоb (аt) exаmple [dоt] com"),
+        ("call plus one, two, three, four, five, six, seven, eight, nine now", "phone", "plus one, two, three, four, five, six, seven, eight, nine"),
+        ("host 192 dоt 168 dоt 0 dоt 1 up", "ip", "192 dоt 168 dоt 0 dоt 1"),
         ("pay 𝟒𝟏𝟏𝟏 1111 1111 1111", "card", "𝟒𝟏𝟏𝟏 1111 1111 1111"),
         ("pay ٤١١١ ١١١١ ١١١١ ١١١١", "card", "٤١١١ ١١١١ ١١١١ ١١١١"),
     ],
