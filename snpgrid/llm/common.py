@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,7 +35,13 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """The table, written and read again.  The shuffle files of the write go with its end: no later step reads them."""
+        conf, held = self.spark.conf, self.spark.conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, held)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
