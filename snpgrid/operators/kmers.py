@@ -1,11 +1,11 @@
-"""K-mer schemes: extraction around positions, two-strand search, specificity, rules, redundancy, consensus probes."""
+"""K-mer schemes: extraction around positions, two-strand search, specificity, rules, redundancy."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import revcomp
@@ -50,11 +50,6 @@ def extract_kmers(seqs: DataFrame, positions: DataFrame, k: int, max_ambiguous:
     return cast(plain).unionByName(cast(gapped))
 
 
-def distinct_kmers(extracted: DataFrame) -> DataFrame:
-    """One row a k-mer: its last place in sequence order wins, as later duplicates overwrite."""
-    return extracted.groupBy("kmer").agg(F.max_by(F.struct("pos", "start", "end"), F.struct("seq_id", "pos", "start")).alias("v")).select("kmer", "v.*")
-
-
 def all_windows(seqs: DataFrame, k: int) -> DataFrame:
     """(seq_id, at, window) of every start."""
     long = seqs.where(F.length("seq") >= k)
@@ -72,10 +67,9 @@ def multi_hits(hits: DataFrame) -> DataFrame:
     return hits.where("n > 1").select("kmer").distinct()
 
 
-def unspecific(hits: DataFrame, kmers: DataFrame, genotypes: DataFrame, states: DataFrame) -> DataFrame:
-    """K-mers seen in a genotype whose observed bases at the covered position lack the k-mer's base.  kmers: kmer, pos, base; states: genotype, pos, bases."""
-    seen = hits.where("n > 0").join(genotypes.select(F.col("sample_id").alias("seq_id"), "genotype"), "seq_id").select("kmer", "genotype").distinct()
-    rows = seen.join(kmers.select("kmer", "pos", "base"), "kmer").join(states, ["genotype", "pos"])
+def unspecific(seen: DataFrame, kmers: DataFrame, states: DataFrame) -> DataFrame:
+    """K-mers seen (kmer, genotype) in a genotype whose observed bases at a covered position lack the k-mer's base.  kmers: kmer, pos, base; states: genotype, pos, bases."""
+    rows = seen.select("kmer", "genotype").distinct().join(kmers.select("kmer", "pos", "base"), "kmer").join(states, ["genotype", "pos"])
     return rows.where(~F.contains("bases", F.col("base"))).select("kmer").distinct()
 
 
@@ -137,22 +131,3 @@ def optimal_starts(columns: DataFrame, positions: DataFrame, k: int) -> DataFram
     n = lambda c: F.coalesce(F.sum(F.when(F.col("in_window") & F.col(c), 1)), F.lit(0))
     by = rows.groupBy("pos", "start").agg(n("is_variable").alias("n_variable"), n("is_gapped").alias("n_gapped"))
     return by.groupBy("pos").agg(F.min_by(F.struct("start", "n_variable", "n_gapped"), F.struct("n_variable", "n_gapped", -F.col("start"))).alias("v")).select("pos", "v.*")
-
-
-def probes(consensus: Column, start: Column, k: int, offset: Column, base: Column) -> Column:
-    """Probe of k + 1 bases of a consensus sequence with one base set."""
-    window = F.substring(consensus, start + 1, F.lit(k + 1))
-    return F.overlay(window, base, offset + 1, F.lit(1))
-
-
-def probe_pairs(rules: DataFrame, reference: DataFrame, k: int) -> DataFrame:
-    """Positive probes of bases that define genotypes, and negative ones of the other state: name, target_pos (0-based), target_base, sequence.
-
-    ``rules``: pos, base, other, genotype; ``reference``: one row (seq).
-    """
-    half = F.floor(F.lit(k) / 2)
-    start = F.greatest(F.lit(0), F.col("pos") - half)
-    rows = rules.join(reference)
-    one = lambda name, base: rows.select(name.alias("name"), F.col("pos").alias("target_pos"), F.col(base).alias("target_base"), probes(F.col("seq"), start, k, F.col("pos") - start, F.col(base)).alias("sequence"))
-    label = F.concat(start.cast("string"), F.lit("-"), F.col("genotype"))
-    return one(label, "base").unionByName(one(F.concat(F.lit("negative"), label), "other"))
