@@ -74,6 +74,11 @@ def prune_snps(canonical: DataFrame, most: int) -> DataFrame:
     return canonical.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
 
 
+def remove_snps(canonical: DataFrame, positions: DataFrame) -> DataFrame:
+    """SNPs but those at ``positions`` (pos)."""
+    return canonical.join(positions.select("pos").distinct(), "pos", "left_anti").select(*canonical.columns)
+
+
 def valid_nodes(canonical: DataFrame, samples: DataFrame, min_members: int = 1, min_snps: int = 1) -> DataFrame:
     """Clades with enough members and SNPs."""
     n = canonical.groupBy("clade").agg(F.count("*").alias("n_snps"))

@@ -52,6 +52,12 @@ def genotypes(samples: DataFrame, valid: DataFrame, delimiter: str = ".") -> Dat
     return samples.select("sample_id").join(named, "sample_id", "left").select("sample_id", F.coalesce(F.array_join("p.clade", delimiter), F.lit("")).alias("genotype"))
 
 
+def node_paths(samples: DataFrame, delimiter: str = ".") -> DataFrame:
+    """(clade, path): each node with its ancestors from the root on."""
+    steps = F.transform("path", lambda x, i: F.struct(x.alias("clade"), F.array_join(F.slice("path", F.lit(1), i + 1), delimiter).alias("path")))
+    return samples.select(F.explode(steps).alias("n")).select("n.clade", "n.path").distinct()
+
+
 def edges(samples: DataFrame) -> DataFrame:
     """Distinct (parent, child) pairs along the paths."""
     pairs = F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("parent"), F.slice("path", 2, F.size("path")).alias("child"))

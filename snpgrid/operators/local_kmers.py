@@ -7,6 +7,7 @@ no base are N in a window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,25 +105,28 @@ class KmerScheme:
     missing: DataFrame
 
 
-def select(spark: SparkSession, genome: str, variants: DataFrame, calls: DataFrame, genotypes: DataFrame, positions: DataFrame, k: int, max_ambiguous: int = 0, min_fraction: float = 0.1) -> KmerScheme:
+def select(spark: SparkSession, genome: str, variants: DataFrame, calls: DataFrame, genotypes: DataFrame, positions: DataFrame, k: int, max_ambiguous: int = 0, min_fraction: float = 0.1, cut: Callable[[DataFrame, str], DataFrame] = lambda df, name: df.persist()) -> KmerScheme:
     """The k-mers that show the states of ``positions``: extraction, search, validity, rules, and of each state the start with most telling k-mers.
 
-    A k-mer is valid if no sample has it twice and no genotype has it that never shows its bases.  calls: sample_id, pos, base of the positions; genotypes: sample_id, genotype.
+    A k-mer is valid if no sample has it twice and no genotype has it that never shows its bases.  calls: sample_id, pos, base of the positions; genotypes: sample_id,
+    genotype.  ``cut`` keeps a table that several later steps read (``create`` writes it, so plans stay short).
     """
     n = genotypes.count()
     windows = reference_windows(spark, genome, k)
-    changed = changed_windows(windows, variants, k).persist()
-    found = target_kmers(windows, changed, positions, n, k, max_ambiguous).persist()
+    changed = cut(changed_windows(windows, variants, k), "changed")
+    found = cut(target_kmers(windows, changed, positions, n, k, max_ambiguous), "found")
     hits = search(windows, changed, found)
-    presence = genotype_presence(hits, genotypes).persist()
-    states = rules.genotype_states(calls, genotypes)
+    hits = Hits(cut(hits.reference, "reference"), cut(hits.differences, "differences"))
+    presence = cut(genotype_presence(hits, genotypes), "presence")
+    states = cut(rules.genotype_states(calls, genotypes), "states")
     bad = multi_hits(hits, n).unionByName(kmers.unspecific(presence, found, states)).distinct()
-    flagged = found.join(bad.withColumn("bad", F.lit(True)), "kmer", "left").withColumn("is_valid", F.col("bad").isNull()).drop("bad").persist()
+    flagged = found.join(bad.withColumn("bad", F.lit(True)), "kmer", "left").withColumn("is_valid", F.col("bad").isNull()).drop("bad")
+    flagged = cut(flagged, "flagged")
     targets = flagged.groupBy("kmer", "start", "end", "is_valid").agg(F.array_join(F.transform(F.array_sort(F.collect_set("pos")), lambda p: p.cast("string")), ";").alias("target_positions"))
     extracted = targets.join(presence, "kmer").select(F.col("kmer").alias("kseq"), F.col("start").alias("aln_start"), F.col("end").alias("aln_end"), "is_valid", "target_positions", "genotype", F.col("n").alias("genotype_count"))
 
     valid = flagged.where("is_valid")
-    missing = kmers.positions_without_kmer(states, valid)
+    missing = cut(kmers.positions_without_kmer(states, valid), "missing")
     kept = valid.join(missing.select("pos").distinct(), "pos", "left_anti")
     fallback = states.select("genotype", "pos", F.substring("bases", 1, 1).alias("base")).where("base <> ''")
     refined = kmers.refine_rules(rules_of(presence, kept, min_fraction), genotypes, fallback)
@@ -130,22 +134,23 @@ def select(spark: SparkSession, genome: str, variants: DataFrame, calls: DataFra
     ranked = kmers.best_starts(kept.join(telling, "kmer").withColumn("kidx", F.struct("start", "kmer")))
     chosen = kept.join(ranked.select("pos", "base", "start"), ["pos", "base", "start"]).join(refined, ["pos", "base"])
     chosen = chosen.select("pos", "base", "start", "end", "kmer", F.lit(True).alias("is_unique"), "positive", "partial")
-    return KmerScheme(extracted, chosen, missing)
+    return KmerScheme(extracted, cut(chosen, "chosen"), missing)
 
 
 def probe_pairs(spark: SparkSession, genome: str, codes: DataFrame, snps: DataFrame, k: int) -> DataFrame:
     """(name, target_pos, target_base, sequence): a positive probe of k + 1 bases of each SNP (pos, base, path), and a negative one of each other base seen there.
 
-    Probes are cut from the consensus (codes: pos, code of variable positions), the target in the middle; positions are 0-based.
+    Probes are cut from the consensus (codes: pos, code of variable positions), the target next to last, and named by their start; ``target_base`` is the positive's
+    in both; positions are 0-based.
     """
     span = k + 1
     windows = reference_windows(spark, genome, span)
     variants = codes.select(F.lit("").alias("sample_id"), "pos", F.col("code").alias("base"))
-    start = F.greatest(F.lit(0), F.col("pos") - int(k / 2))
+    start = F.greatest(F.lit(0), F.col("pos") - k + 1)
     rows = snps.select("pos", "base", "path", "others").withColumn("at", F.least(start, F.lit(max(0, len(genome) - span))))
     near = changed_windows(windows.join(rows.select("at").distinct(), "at", "left_semi"), variants, span).select("at", "window")
     rows = rows.join(near, "at")
-    one = lambda label, base: F.struct(label.alias("name"), base.alias("target_base"), F.overlay("window", base, F.col("pos") - F.col("at") + 1, F.lit(1)).alias("sequence"))
+    one = lambda label, base: F.struct(label.alias("name"), F.col("base").alias("target_base"), F.overlay("window", base, F.col("pos") - F.col("at") + 1, F.lit(1)).alias("sequence"))
     label = F.concat(F.col("at").cast("string"), F.lit("-"), F.col("path"))
     pairs = F.concat(F.array(one(label, F.col("base"))), F.transform("others", lambda b: one(F.concat(F.lit("negative"), label), b)))
     return rows.select(F.col("pos").alias("target_pos"), F.explode(pairs).alias("p")).select("p.name", "target_pos", "p.target_base", "p.sequence")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import troughs
-from ..operators import associate, canonical, cluster, distance, evaluate, hierarchy, rules, scheme, sites
-from ..sources import genbank, newick, tables, vcf
+from ..operators import associate, canonical, cluster, distance, evaluate, hierarchy, local_kmers, rules, scheme, sites
+from ..sources import genbank, newick, pseudo, tables, vcf
 from . import compression, reports
 
 
@@ -34,6 +34,8 @@ class Create:
     min_perc: float = 1.0
     rcor_thresh: float = 0.5
     no_compression: bool = False
+    klen: int = 0  # 0: no k-mer scheme
+    max_ambig: int = 0
 
 
 @dataclass
@@ -98,11 +100,29 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     genotypes = table(picked.genotypes)
     flags = spark.createDataFrame([(n, n in picked.valid, n in picked.selected) for n in clades], "clade string, is_valid boolean, is_selected boolean")
     kept = exact.join(flags.where("is_valid"), "clade", "left_semi")
+    at = lambda snps: calls.join(snps.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
+    found = None
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        """The table, written beside the reports and read again."""
+        path = f"{c.outdir}/{c.prefix}-tmp/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    if c.klen:
+        found = local_kmers.select(spark, genome, sites.sparse_variants(calls).select("sample_id", "pos", "base"), at(kept), genotypes, kept.select("pos").distinct(), c.klen, c.max_ambig, c.min_perc, cut)
+        # positions without a k-mer leave the scheme, and nodes that lose all their SNPs the genotypes
+        before = cut(kept, "before")
+        kept = canonical.remove_snps(before, found.missing)
+        lost = before.select("clade").distinct().join(kept.select("clade").distinct(), "clade", "left_anti")
+        named = hierarchy.membership(samples).select("clade").distinct().join(spark.createDataFrame([(n,) for n in picked.valid], "clade string"), "clade", "left_semi")
+        genotypes = cut(hierarchy.genotypes(samples, named.join(lost, "clade", "left_anti")), "genotypes")
     if c.max_snp_count > 0:
         kept = canonical.prune_snps(kept, c.max_snp_count)
-    chosen = calls.join(kept.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
+    chosen = at(kept)
     snp_rules = rules.base_rules(chosen, genotypes, c.min_perc)
-    rows = scheme.numbered(scheme.snp_scheme(snp_rules, chosen.select("pos", "ref").distinct(), features.where("type = 'CDS'")))
+    snp_rows = scheme.snp_scheme(snp_rules, chosen.select("pos", "ref").distinct(), features.where("type = 'CDS'"))
+    rows = scheme.numbered(snp_rows)
 
     cuts = sorted((r[0] for r in troughs(distance.histogram(dist)).collect()), reverse=True)
     labels = cluster.cluster_table(spark, dist, samples, [float(t) for t in cuts])
@@ -125,6 +145,17 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     out["genotypes.raw"], out["genotypes.supported"], out["genotypes.selected"] = samples.select("sample_id", F.array_join("path", ".").alias("genotype")), table(picked.supported), genotypes
     out["genotypes.distance"] = labels.withColumnRenamed("labels", "thresh-" + ";".join(map(str, cuts)) if cuts else "labels")
     out["snp.scheme"] = rows
+    if found is not None:
+        out["kmer.scheme"] = scheme.numbered(scheme.kmer_scheme(snp_rows, found.chosen))
+        out["extracted.kmers"] = found.extracted
+        seen = chosen.where(sites.called(F.col("base"))).groupBy("pos").agg(F.array_sort(F.collect_set("base")).alias("seen"))
+        snps = kept.select("clade", "pos", "base").join(hierarchy.node_paths(samples), "clade").join(seen, "pos")
+        snps = snps.select("pos", "base", "path", F.array_except("seen", F.array("base")).alias("others"))
+        probes = local_kmers.probe_pairs(spark, genome, sites.consensus(calls).select("pos", "code"), snps, c.klen).persist()
+        tables.write_fasta(probes.coalesce(1), f"{base}-probes.fasta", "name", "sequence")
+        out["probes.meta"] = probes.select(F.col("name").alias("kmername"), "target_pos", "target_base")
+    altered = pseudo.alternative_sequence(genome, sites.alternative_bases(calls, kept.select("chrom", "pos").distinct()))
+    tables.write_fasta(spark.createDataFrame([(accession, altered)], "seq_id string, seq string"), f"{base}-altseq.fasta")
     if fisher is not None:
         out["associations"] = fisher
     for name, df in out.items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import random
 from pathlib import Path
 
 import pytest
@@ -25,7 +26,7 @@ def rows(path: Path, *columns: str) -> list[tuple]:
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("create")
-    genome = bytearray(b"A" * LENGTH)
+    genome = bytearray(random.Random(7).choices(b"ACGT", k=LENGTH))
     for line in (DATA / "snps.vcf").read_text().splitlines():
         if not line.startswith("#"):
             f = line.split("\t")
@@ -33,7 +34,7 @@ def built(spark, tmp_path_factory):
     genome[MARKER[0]] = ord(MARKER[1])
     record = out / "record.gbk"
     record.write_text(f"LOCUS       REC {LENGTH} bp\nVERSION     REC.1\nFEATURES             Location/Qualifiers\nORIGIN\n        1 {genome.decode().lower()}\n//\n")
-    config = workflow.Create(in_var=str(DATA / "snps.vcf"), in_meta=str(DATA / "sample.meta.txt"), outdir=str(out), reference=str(record), in_nwk=str(DATA / "tree.nwk"), root_name="root.0", min_perc=0.1, rcor_thresh=0.4)
+    config = workflow.Create(in_var=str(DATA / "snps.vcf"), in_meta=str(DATA / "sample.meta.txt"), outdir=str(out), reference=str(record), in_nwk=str(DATA / "tree.nwk"), root_name="root.0", min_perc=0.1, rcor_thresh=0.4, klen=18)
     workflow.create(spark, config)
     return out
 
@@ -99,3 +100,17 @@ def test_namer(spark, tmp_path):
     names = {"0.2": "second one", "0.3": "third one"}
     for a, b in zip(mine, golden, strict=True):
         assert a["positive_genotypes"] == ",".join(names.get(x, x) for x in b["positive_genotypes"].split(","))
+
+
+def test_kmer_half(built):
+    """The published run has k-mers of 18 too, over a genome that is not published: the same states must find one here."""
+    probes = (built / "scheme-probes.fasta").glob("part-*")
+    lines = [x for f in probes for x in f.read_text().splitlines()]
+    assert {len(x) for x in lines[1::2]} == {19}
+    mine = rows(built / "scheme-probes.meta.txt", "target_pos", "target_base")
+    published = {(str(int(r["variant_start"]) - 1), r["target_variant"]) for r in table(DATA / "snp.scheme.txt")}
+    assert set(mine) <= published and len(lines) == 2 * len(mine)
+    scheme = table(built / "scheme-kmer.scheme.txt")
+    assert {(r["variant_start"], r["target_variant"]) for r in scheme} == {(r["variant_start"], r["target_variant"]) for r in table(DATA / "snp.scheme.txt")}
+    assert all(r["kseq"][int(r["variant_start"]) - 1 - int(r["kmer_start"])] == r["target_variant"] and r["klen"] == "18" for r in scheme)
+    assert {r["is_valid"] for r in table(built / "scheme-extracted.kmers.txt")} <= {"true", "false"}

@@ -101,7 +101,7 @@ def test_probe_pairs(spark):
     codes = spark.createDataFrame([(8, "R"), (10, "S")], "pos int, code string")
     snps = spark.createDataFrame([(10, "C", "0.a", ["G"])], "pos int, base string, path string, others array<string>")
     rows = {tuple(r) for r in local_kmers.probe_pairs(spark, genome, codes, snps, 6).collect()}
-    assert rows == {("7-0.a", 10, "C", "ARCCGTC"), ("negative7-0.a", 10, "G", "ARCGGTC")}
+    assert rows == {("5-0.a", 10, "C", "GCARCCG"), ("negative5-0.a", 10, "C", "GCARCGG")}
 
 
 def test_overlapping_pairs(spark):
