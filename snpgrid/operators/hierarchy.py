@@ -52,6 +52,12 @@ def genotypes(samples: DataFrame, valid: DataFrame, delimiter: str = ".") -> Dat
     return samples.select("sample_id").join(named, "sample_id", "left").select("sample_id", F.coalesce(F.array_join("p.clade", delimiter), F.lit("")).alias("genotype"))
 
 
+def reduced(samples: DataFrame, valid: DataFrame) -> DataFrame:
+    """(sample_id, path): each path reduced to the nodes in ``valid`` (clade); samples without any are left out."""
+    kept = membership(samples).join(valid.select("clade"), "clade", "left_semi")
+    return kept.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("depth", "clade"))).alias("p")).select("sample_id", F.col("p.clade").alias("path"))
+
+
 def node_paths(samples: DataFrame, delimiter: str = ".") -> DataFrame:
     """(clade, path): each node with its ancestors from the root on."""
     steps = F.transform("path", lambda x, i: F.struct(x.alias("clade"), F.array_join(F.slice("path", F.lit(1), i + 1), delimiter).alias("path")))

@@ -105,11 +105,11 @@ class KmerScheme:
     missing: DataFrame
 
 
-def select(spark: SparkSession, genome: str, variants: DataFrame, calls: DataFrame, genotypes: DataFrame, positions: DataFrame, k: int, max_ambiguous: int = 0, min_fraction: float = 0.1, cut: Callable[[DataFrame, str], DataFrame] = lambda df, name: df.persist()) -> KmerScheme:
+def select(spark: SparkSession, genome: str, variants: DataFrame, calls: DataFrame, genotypes: DataFrame, positions: DataFrame, k: int, cut: Callable[[DataFrame, str], DataFrame], max_ambiguous: int = 0, min_fraction: float = 0.1) -> KmerScheme:
     """The k-mers that show the states of ``positions``: extraction, search, validity, rules, and of each state the start with most telling k-mers.
 
     A k-mer is valid if no sample has it twice and no genotype has it that never shows its bases.  calls: sample_id, pos, base of the positions; genotypes: sample_id,
-    genotype.  ``cut`` keeps a table that several later steps read (``create`` writes it, so plans stay short).
+    genotype.  ``cut`` writes a table under a name and reads it again, so plans stay short.
     """
     n = genotypes.count()
     windows = reference_windows(spark, genome, k)
@@ -148,8 +148,9 @@ def probe_pairs(spark: SparkSession, genome: str, codes: DataFrame, snps: DataFr
     variants = codes.select(F.lit("").alias("sample_id"), "pos", F.col("code").alias("base"))
     start = F.greatest(F.lit(0), F.col("pos") - k + 1)
     rows = snps.select("pos", "base", "path", "others").withColumn("at", F.least(start, F.lit(max(0, len(genome) - span))))
-    near = changed_windows(windows.join(rows.select("at").distinct(), "at", "left_semi"), variants, span).select("at", "window")
-    rows = rows.join(near, "at")
+    wanted = windows.join(rows.select("at").distinct(), "at", "left_semi")
+    coded = changed_windows(wanted, variants, span).select("at", F.col("window").alias("coded"))
+    rows = rows.join(wanted.join(coded, "at", "left").select("at", F.coalesce("coded", "window").alias("window")), "at")
     one = lambda label, base: F.struct(label.alias("name"), F.col("base").alias("target_base"), F.overlay("window", base, F.col("pos") - F.col("at") + 1, F.lit(1)).alias("sequence"))
     label = F.concat(F.col("at").cast("string"), F.lit("-"), F.col("path"))
     pairs = F.concat(F.array(one(label, F.col("base"))), F.transform("others", lambda b: one(F.concat(F.lit("negative"), label), b)))

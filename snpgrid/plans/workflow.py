@@ -110,13 +110,14 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
         return spark.read.schema(df.schema).parquet(path)
 
     if c.klen:
-        found = local_kmers.select(spark, genome, sites.sparse_variants(calls).select("sample_id", "pos", "base"), at(kept), genotypes, kept.select("pos").distinct(), c.klen, c.max_ambig, c.min_perc, cut)
+        found = local_kmers.select(spark, genome, sites.sparse_variants(calls).select("sample_id", "pos", "base"), at(kept), genotypes, kept.select("pos").distinct(), c.klen, cut, c.max_ambig, c.min_perc)
         # positions without a k-mer leave the scheme, and nodes that lose all their SNPs the genotypes
         before = cut(kept, "before")
         kept = canonical.remove_snps(before, found.missing)
         lost = before.select("clade").distinct().join(kept.select("clade").distinct(), "clade", "left_anti")
         named = hierarchy.membership(samples).select("clade").distinct().join(spark.createDataFrame([(n,) for n in picked.valid], "clade string"), "clade", "left_semi")
-        genotypes = cut(hierarchy.genotypes(samples, named.join(lost, "clade", "left_anti")), "genotypes")
+        left_nodes = cut(named.join(lost, "clade", "left_anti"), "nodes")
+        genotypes = cut(hierarchy.genotypes(samples, left_nodes), "genotypes")
     if c.max_snp_count > 0:
         kept = canonical.prune_snps(kept, c.max_snp_count)
     chosen = at(kept)
@@ -149,8 +150,10 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
         out["kmer.scheme"] = scheme.numbered(scheme.kmer_scheme(snp_rows, found.chosen))
         out["extracted.kmers"] = found.extracted
         seen = chosen.where(sites.called(F.col("base"))).groupBy("pos").agg(F.array_sort(F.collect_set("base")).alias("seen"))
-        snps = kept.select("clade", "pos", "base").join(hierarchy.node_paths(samples), "clade").join(seen, "pos")
+        snps = kept.select("clade", "pos", "base").join(hierarchy.node_paths(hierarchy.reduced(samples, left_nodes)), "clade").join(seen, "pos")
         snps = snps.select("pos", "base", "path", F.array_except("seen", F.array("base")).alias("others"))
+        # the root's marker has a positive probe alone
+        snps = snps.unionByName(spark.createDataFrame([(p, b, n, []) for n, p, b in marker], "pos int, base string, path string, others array<string>"))
         probes = local_kmers.probe_pairs(spark, genome, sites.consensus(calls).select("pos", "code"), snps, c.klen).persist()
         tables.write_fasta(probes.coalesce(1), f"{base}-probes.fasta", "name", "sequence")
         out["probes.meta"] = probes.select(F.col("name").alias("kmername"), "target_pos", "target_base")

@@ -107,6 +107,8 @@ def test_kmer_half(built):
     probes = (built / "scheme-probes.fasta").glob("part-*")
     lines = [x for f in probes for x in f.read_text().splitlines()]
     assert {len(x) for x in lines[1::2]} == {19}
+    named = ("kmername", "target_pos", "target_base")
+    assert set(rows(DATA / "probes.meta.txt", *named)) <= set(rows(built / "scheme-probes.meta.txt", *named))
     mine = rows(built / "scheme-probes.meta.txt", "target_pos", "target_base")
     published = {(str(int(r["variant_start"]) - 1), r["target_variant"]) for r in table(DATA / "snp.scheme.txt")}
     assert set(mine) <= published and len(lines) == 2 * len(mine)

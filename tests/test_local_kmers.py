@@ -76,13 +76,18 @@ def test_hits_presence_and_flags(spark, small, found):
     assert {r[0] for r in kmers.unspecific(presence, targets, rules.genotype_states(calls, genotypes)).collect()} == bad
 
 
-def test_chosen_kmers(spark, small):
+def test_chosen_kmers(spark, small, tmp_path):
     """Every state of a position that keeps its k-mers has some, all of one start, and those without are named."""
     genome, seqs, samples, positions, calls = small
     genotypes = spark.createDataFrame(list(samples.items()), "sample_id string, genotype string")
     at = spark.createDataFrame([(p,) for p in positions], "pos int")
     own = calls.join(at, "pos", "left_semi")
-    out = local_kmers.select(spark, genome, calls.where("base <> ref"), own, genotypes, at, K)
+
+    def cut(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    out = local_kmers.select(spark, genome, calls.where("base <> ref"), own, genotypes, at, K, cut)
     chosen, missing = out.chosen.collect(), {r["pos"] for r in out.missing.collect()}
     states = {(r["pos"], r["base"]) for r in own.collect() if r["base"] in "ACGT"}
     assert {(r["pos"], r["base"]) for r in chosen} == {x for x in states if x[0] not in missing}
@@ -99,9 +104,9 @@ def test_chosen_kmers(spark, small):
 def test_probe_pairs(spark):
     genome = "ACGTTGCAACGGTCATTGCA"
     codes = spark.createDataFrame([(8, "R"), (10, "S")], "pos int, code string")
-    snps = spark.createDataFrame([(10, "C", "0.a", ["G"])], "pos int, base string, path string, others array<string>")
+    snps = spark.createDataFrame([(10, "C", "0.a", ["G"]), (18, "C", "0", [])], "pos int, base string, path string, others array<string>")
     rows = {tuple(r) for r in local_kmers.probe_pairs(spark, genome, codes, snps, 6).collect()}
-    assert rows == {("5-0.a", 10, "C", "GCARCCG"), ("negative5-0.a", 10, "C", "GCARCGG")}
+    assert rows == {("5-0.a", 10, "C", "GCARCCG"), ("negative5-0.a", 10, "C", "GCARCGG"), ("13-0", 18, "C", "CATTGCA")}
 
 
 def test_overlapping_pairs(spark):
