@@ -111,7 +111,7 @@ def test_kmer_half(built):
     assert set(rows(DATA / "probes.meta.txt", *named)) <= set(rows(built / "scheme-probes.meta.txt", *named))
     mine = rows(built / "scheme-probes.meta.txt", "target_pos", "target_base")
     published = {(str(int(r["variant_start"]) - 1), r["target_variant"]) for r in table(DATA / "snp.scheme.txt")}
-    assert set(mine) <= published and len(lines) == 2 * len(mine)
+    assert set(mine) <= published | {(str(MARKER[0]), MARKER[1])} and len(lines) == 2 * len(mine)
     scheme = table(built / "scheme-kmer.scheme.txt")
     assert {(r["variant_start"], r["target_variant"]) for r in scheme} == {(r["variant_start"], r["target_variant"]) for r in table(DATA / "snp.scheme.txt")}
     assert all(r["kseq"][int(r["variant_start"]) - 1 - int(r["kmer_start"])] == r["target_variant"] and r["klen"] == "18" for r in scheme)
