@@ -62,9 +62,3 @@ def ungapped_positions(aligned: Column) -> Column:
 
 def mutation_name(ref: Column, pos: Column, alt: Column) -> Column:
     return F.concat(F.lit("snp_"), ref, F.lit("_"), (pos + 1).cast("string"), F.lit("_"), alt)
-
-
-def kmers(seq: Column, k: int) -> Column:
-    """All k-mers of a sequence in order."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(seq) - (k - 1), F.lit(1)))
-    return F.when(F.length(seq) >= k, F.transform(starts, lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))

@@ -33,18 +33,27 @@ def _gapped(k: int, max_ambiguous: int):
     return run
 
 
+#: Bases of a tile; positions meet the one tile that holds them, never a whole sequence.
+TILE = 1 << 16
+
+
 def extract_kmers(seqs: DataFrame, positions: DataFrame, k: int, max_ambiguous: int = 0) -> DataFrame:
     """(seq_id, pos, start, end, kmer): every window of k bases in which a target position with a base is not the first base.
 
-    Sequences without gaps are cut by SQL alone; aligned ones with gaps grow their windows in a vectorised function.
+    Sequences without gaps are cut into tiles that overlap by k bases and meet the positions by tile number; aligned ones with gaps grow
+    their windows in a vectorised function.
     """
-    rows = seqs.join(positions.select("pos").distinct(), F.col("pos") < F.length("seq"))
-    plain = rows.where(~F.contains("seq", F.lit("-")) & F.substring("seq", F.col("pos") + 1, F.lit(1)).isin("A", "C", "G", "T") & (F.col("pos") > 0))
-    plain = plain.select("seq_id", "seq", "pos", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - k + 1), F.col("pos") - 1)).alias("start"))
-    plain = plain.select("seq_id", "pos", "start", (F.col("start") + k).alias("end"), F.substring("seq", F.col("start") + 1, F.lit(k)).alias("kmer"))
+    seqs, at = seqs.select("seq_id", "seq"), positions.select(F.col("pos").cast("int").alias("pos")).distinct()
+    tile = lambda t: F.struct(t.cast("int").alias("tile"), F.greatest(t * TILE - k, F.lit(0)).cast("int").alias("first"), F.substring("seq", F.greatest(t * TILE - k, F.lit(0)).cast("int") + 1, F.lit(TILE + 2 * k)).alias("bases"))
+    numbers = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / TILE).cast("int"))
+    tiles = seqs.where(~F.contains("seq", F.lit("-")) & (F.length("seq") > 0)).select("seq_id", F.explode(F.transform(numbers, tile)).alias("t")).select("seq_id", "t.*")
+    plain = tiles.join(at.where("pos > 0").withColumn("tile", F.floor(F.col("pos") / TILE).cast("int")), "tile")
+    plain = plain.where(F.substring("bases", F.col("pos") - F.col("first") + 1, F.lit(1)).isin("A", "C", "G", "T"))
+    plain = plain.select("seq_id", "first", "bases", "pos", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - k + 1), F.col("pos") - 1)).alias("start"))
+    plain = plain.select("seq_id", "pos", "start", (F.col("start") + k).alias("end"), F.substring("bases", F.col("start") - F.col("first") + 1, F.lit(k)).alias("kmer"))
     ambiguous = F.length("kmer") - F.length(F.replace("kmer", F.lit("N")))
     plain = plain.where((F.length("kmer") == k) & (ambiguous <= max_ambiguous))
-    gapped = rows.where(F.contains("seq", F.lit("-"))).select("seq_id", "seq", F.col("pos").cast("int").alias("pos"))
+    gapped = seqs.where(F.contains("seq", F.lit("-"))).join(at, F.col("pos") < F.length("seq"))
     gapped = gapped.mapInPandas(_gapped(k, max_ambiguous), "seq_id string, pos int, start int, end int, kmer string")
     cast = lambda df: df.select(F.col("seq_id").cast("string"), F.col("pos").cast("int"), F.col("start").cast("int"), F.col("end").cast("int"), "kmer")
     return cast(plain).unionByName(cast(gapped))

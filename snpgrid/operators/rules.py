@@ -35,11 +35,21 @@ def allowed_bases(rules: DataFrame) -> DataFrame:
 
 
 def score_genotypes(calls: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(sample_id, genotype, matches, mismatches, dist) over the called scheme positions."""
-    usable = calls.where(called(F.col("base"))).select("sample_id", "pos", "base")
-    hit = F.array_contains("allowed", F.col("base")).cast("long")
-    out = usable.join(allowed, "pos").groupBy("sample_id", "genotype").agg(F.sum(hit).alias("matches"), F.sum(1 - hit).alias("mismatches"))
-    return out.withColumn("dist", 1 - F.col("matches") / (F.col("matches") + F.col("mismatches")))
+    """(sample_id, genotype, matches, mismatches, dist) over the called scheme positions.
+
+    ``allowed`` has a row for every genotype and scheme position.  Calls meet only the genotypes that forbid them, and a base that the position
+    never shows is forbidden to all; matches are what remains of a sample's calls.
+    """
+    states = allowed.select("pos", F.explode("allowed").alias("base")).distinct()
+    forbidden = states.join(allowed, "pos").where(~F.array_contains("allowed", F.col("base"))).select("pos", "base", "genotype")
+    usable = calls.where(called(F.col("base"))).select("sample_id", "pos", "base").join(allowed.select("pos").distinct(), "pos", "left_semi")
+    known = usable.join(states.withColumn("known", F.lit(1)), ["pos", "base"], "left")
+    totals = known.groupBy("sample_id").agg(F.count("*").alias("n"), (F.count("*") - F.count("known")).alias("strange"))
+    misses = usable.join(forbidden, ["pos", "base"]).groupBy("sample_id", "genotype").agg(F.count("*").alias("forbidden"))
+    # samples x genotypes is the size of the result
+    pairs = totals.join(allowed.select("genotype").distinct()).join(misses, ["sample_id", "genotype"], "left")
+    wrong = F.coalesce("forbidden", F.lit(0)) + F.col("strange")
+    return pairs.select("sample_id", "genotype", (F.col("n") - wrong).alias("matches"), wrong.alias("mismatches"), (1 - (F.col("n") - wrong) / F.col("n")).alias("dist"))
 
 
 def call_genotypes(calls: DataFrame, allowed: DataFrame, samples: DataFrame, max_dist: float = 0.0) -> DataFrame:

@@ -16,8 +16,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Scheme positions of the derived calls.
-SCHEME = "pos >= 1000"
 #: Sample ids that look like integers, labels and other parameters of the registered queries.
 FIELDS, GENOME_LENGTH, K = ["host", "location"], 3000, 9
 
@@ -50,18 +48,18 @@ def labels(d: Domain) -> DataFrame:
 
 
 def scheme_rules(d: Domain) -> DataFrame:
-    return rules.base_rules(d.calls.where(SCHEME), with_genotypes(d))
+    return rules.base_rules(d.calls, with_genotypes(d))
 
 
 def scheme_features(d: Domain) -> DataFrame:
     """(pos, ref_state, alt_state, mutation_key) of the scheme positions."""
-    alts = d.calls.where(SCHEME).where("base <> ref").select("pos", F.col("ref").alias("ref_state"), F.col("base").alias("alt_state")).distinct()
+    alts = d.calls.where("base <> ref").select("pos", F.col("ref").alias("ref_state"), F.col("base").alias("alt_state")).distinct()
     return alts.withColumn("mutation_key", sequence.mutation_name(F.col("ref_state"), F.col("pos"), F.col("alt_state")))
 
 
 @query(oracles.GENOTYPE_CALLS)
 def genotype_calls(d: Domain) -> DataFrame:
-    return rules.call_report(d.calls.where(SCHEME), scheme_rules(d), scheme_features(d), d.samples)
+    return rules.call_report(d.calls, scheme_rules(d), scheme_features(d), d.samples)
 
 
 @query(oracles.SITE_FILTER)
@@ -76,7 +74,7 @@ def site_filter(d: Domain) -> DataFrame:
 
 @query(oracles.FILTERED_CALLS)
 def filtered_calls(d: Domain) -> DataFrame:
-    kept, _ = sites.filter_sites(d.calls.where("pos < 1000 OR pos >= 2000"), max_states=3, max_missing=0.5)
+    kept, _ = sites.filter_sites(d.calls, max_states=3, max_missing=0.5)
     return kept.groupBy("pos").agg(F.count("*").alias("n_calls"))
 
 
@@ -97,7 +95,7 @@ def consensus_codes(d: Domain) -> DataFrame:
 
 @query(oracles.ALT_BASES)
 def alternative_bases(d: Domain) -> DataFrame:
-    return sites.alternative_bases(d.calls, d.calls.where(SCHEME).select("chrom", "pos").distinct())
+    return sites.alternative_bases(d.calls, d.calls.select("chrom", "pos").distinct())
 
 
 @query(oracles.SPARSE)
@@ -292,8 +290,8 @@ def label_counts(d: Domain) -> DataFrame:
 @query(oracles.PROBLEMS)
 def problem_bases(d: Domain) -> DataFrame:
     moved = d.samples.select("sample_id", "ord", "nation").join(d.samples.select(F.col("nation").alias("m"), F.array_join(F.slice("path", 1, 3), ".").alias("submitted")).distinct(), (F.col("nation") + 1) % 25 == F.col("m"))
-    own = moved.where("ord % 5 = 0").select("sample_id", "submitted", F.lit("?").alias("predicted"))
-    return evaluate.problem_bases(own, d.calls.where(SCHEME), rules.allowed_bases(scheme_rules(d)))
+    own = moved.select("sample_id", "submitted", F.lit("?").alias("predicted"))
+    return evaluate.problem_bases(own, d.calls, rules.allowed_bases(scheme_rules(d)))
 
 
 @query(oracles.RENAME)
@@ -322,13 +320,15 @@ def sequence_functions(d: Domain) -> DataFrame:
 
 @query(oracles.KMERS)
 def canonical_kmer_counts(d: Domain) -> DataFrame:
-    return d.seqs.select(F.explode(sequence.kmers(F.col("seq"), K)).alias("k")).select(sequence.canonical_kmer(F.col("k")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return kmers.all_windows(d.seqs, K).groupBy(sequence.canonical_kmer(F.col("window")).alias("kmer")).agg(F.count("*").alias("n"))
 
 
 @query(oracles.CODONS)
 def codon_translation(d: Domain) -> DataFrame:
-    codons = d.seqs.where("length(seq) >= 3").select("seq_id", sequence.translate_codon(F.substring("seq", 1, 3)).alias("aa"))
-    return codons.groupBy("aa").agg(F.count("*").alias("n"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("seq") - 2, F.lit(3)))
+    codons = d.seqs.where("length(seq) >= 3").select("seq", starts.alias("at")).select(F.substring("seq", F.col("at"), F.lit(3)).alias("codon"))
+    # 64 codons at most are translated, however many there are
+    return codons.groupBy("codon").agg(F.count("*").alias("n")).select(sequence.translate_codon(F.col("codon")).alias("aa"), "n").groupBy("aa").agg(F.sum("n").alias("n"))
 
 
 @query(oracles.ENTROPY)
@@ -343,18 +343,16 @@ def adjusted_rand_index(d: Domain) -> DataFrame:
 
 
 def probes(d: Domain) -> DataFrame:
-    """K-mers around two target positions of the derived sequences."""
-    at = d.samples.sparkSession.createDataFrame([(20,), (50,)], "pos int")
-    return kmers.extract_kmers(d.seqs, at, K)
+    """K-mers of the derived sequences around every position of the scheme."""
+    return kmers.extract_kmers(d.seqs, d.calls.select("pos").distinct(), K)
 
 
 def seq_genotypes(d: Domain) -> DataFrame:
     return d.seqs.select(F.col("seq_id").alias("sample_id"), F.concat(F.lit("g"), (F.col("seq_id") % 5).cast("string")).alias("genotype"))
 
 
-def some_probes(d: Domain) -> DataFrame:
-    """The k-mers that start at position 15 of a sequence."""
-    return probes(d).where("pos = 20 AND start = 15").select("kmer").distinct()
+def distinct_probes(d: Domain) -> DataFrame:
+    return probes(d).select("kmer").distinct()
 
 
 @query(oracles.KMER_EXTRACTION)
@@ -364,18 +362,18 @@ def kmer_extraction(d: Domain) -> DataFrame:
 
 @query(oracles.KMER_SEARCH)
 def kmer_search(d: Domain) -> DataFrame:
-    return kmers.search_kmers(d.seqs, some_probes(d), K)
+    return kmers.search_kmers(d.seqs, distinct_probes(d), K)
 
 
 @query(oracles.KMER_RULES)
 def kmer_rules(d: Domain) -> DataFrame:
-    out = kmers.kmer_rules(kmers.search_kmers(d.seqs, some_probes(d), K), seq_genotypes(d))
+    out = kmers.kmer_rules(kmers.search_kmers(d.seqs, distinct_probes(d), K), seq_genotypes(d))
     return out.select("kmer", F.array_join("positive", ",").alias("positive"), F.array_join("partial", ",").alias("partial"))
 
 
 @query(oracles.KMER_MULTI)
 def multi_hit_kmers(d: Domain) -> DataFrame:
-    return kmers.multi_hits(kmers.search_kmers(d.seqs, some_probes(d), K))
+    return kmers.multi_hits(kmers.search_kmers(d.seqs, distinct_probes(d), K))
 
 
 @query(oracles.WITHOUT_KMER)
@@ -393,13 +391,13 @@ def optimal_starts(d: Domain) -> DataFrame:
 
 @query(oracles.SNP_SCHEME)
 def snp_scheme(d: Domain) -> DataFrame:
-    rows = scheme.snp_scheme(scheme_rules(d), d.calls.where(SCHEME).select("pos", "ref").distinct())
+    rows = scheme.snp_scheme(scheme_rules(d), d.calls.select("pos", "ref").distinct())
     return rows.select("mutation_key", "dna_name", "state", "ref_state", "alt_state", "target_variant", F.col("variant_start").cast("long").alias("variant_start"), F.round("kmer_entropy", 9).alias("kmer_entropy"), "positive_genotypes", "partial_genotypes")
 
 
 @query(oracles.SCHEME_SUMMARY)
 def scheme_summary(d: Domain) -> DataFrame:
-    return scheme.scheme_summary(scheme.snp_scheme(scheme_rules(d), d.calls.where(SCHEME).select("pos", "ref").distinct()))
+    return scheme.scheme_summary(scheme.snp_scheme(scheme_rules(d), d.calls.select("pos", "ref").distinct()))
 
 
 @query(oracles.FEATURES)
@@ -413,7 +411,7 @@ def overlapping_features(d: Domain) -> DataFrame:
 @query(oracles.REFINED)
 def refined_rules(d: Domain) -> DataFrame:
     g = with_genotypes(d)
-    r = rules.base_rules(d.calls.where("pos < 200"), g)
+    r = rules.base_rules(d.calls, g)
     fallback = g.select("genotype").distinct().join(r.select("pos").distinct()).withColumn("base", F.lit("A"))
     out = kmers.refine_rules(r, g, fallback)
     return out.select("pos", "base", F.array_join("positive", ",").alias("positive"), F.array_join("partial", ",").alias("partial"))

@@ -6,14 +6,14 @@ _RULES = f""", sub AS (SELECT * FROM calls WHERE {CALLED} {{where}}),
 size AS (SELECT genotype, count(*) AS size FROM genotypes GROUP BY 1),
 share AS (SELECT g.genotype, pos, base, count(*) AS n FROM sub JOIN genotypes g USING (sample_id) GROUP BY 1, 2, 3),
 full_ AS (SELECT share.*, n >= size AS f FROM share JOIN size USING (genotype))"""
-_SCHEME_RULES = _RULES.format(where="AND pos >= 1000")
+_SCHEME_RULES = _RULES.format(where="")
 _ALLOWED = (
     _SCHEME_RULES
     + """, states AS (SELECT pos, list(DISTINCT base) AS st FROM full_ GROUP BY 1),
 own AS (SELECT genotype, pos, list(DISTINCT base) AS ow FROM full_ GROUP BY 1, 2),
 allowed AS (SELECT g.genotype, s.pos, list_sort(coalesce(ow, st)) AS al FROM (SELECT DISTINCT genotype FROM full_) g CROSS JOIN states s LEFT JOIN own o ON o.genotype = g.genotype AND o.pos = s.pos)"""
 )
-_FEATURES = """, feat AS (SELECT DISTINCT pos, ref AS ref_state, base AS alt_state, 'snp_' || ref || '_' || (pos + 1) || '_' || base AS mk FROM calls WHERE pos >= 1000 AND base <> ref)"""
+_FEATURES = """, feat AS (SELECT DISTINCT pos, ref AS ref_state, base AS alt_state, 'snp_' || ref || '_' || (pos + 1) || '_' || base AS mk FROM calls WHERE base <> ref)"""
 
 GENOTYPE_CALLS = (
     _ALLOWED
@@ -31,14 +31,14 @@ FROM samples s LEFT JOIN cl USING (sample_id) LEFT JOIN det USING (sample_id) LE
 )
 SITE_FILTER = f"""SELECT chrom, pos, round(1 - count(*) FILTER (WHERE {CALLED}) / (SELECT count(*) FROM samples), 9) AS missing, CAST(count(DISTINCT base) FILTER (WHERE {CALLED}) AS BIGINT) AS states,
   1 - count(*) FILTER (WHERE {CALLED}) / (SELECT count(*) FROM samples) > 0.05 OR count(DISTINCT base) FILTER (WHERE {CALLED}) = 1 AS removed FROM calls GROUP BY chrom, pos"""
-FILTERED_CALLS = f"""SELECT pos, count(*) AS n_calls FROM calls WHERE pos < 1000 OR pos >= 2000 GROUP BY pos
+FILTERED_CALLS = f"""SELECT pos, count(*) AS n_calls FROM calls GROUP BY pos
   HAVING count(*) FILTER (WHERE NOT ({CALLED})) / count(*) <= 0.5 AND count(DISTINCT base) FILTER (WHERE {CALLED}) NOT IN (1, 4)"""
 BASE_COUNTS = f"""SELECT chrom, pos, count(*) FILTER (WHERE base = 'A') AS n_a, count(*) FILTER (WHERE base = 'C') AS n_c, count(*) FILTER (WHERE base = 'G') AS n_g, count(*) FILTER (WHERE base = 'T') AS n_t,
   count(*) FILTER (WHERE NOT ({CALLED})) AS n_n FROM calls GROUP BY chrom, pos"""
 VARIANT_POSITIONS = f"SELECT chrom, pos FROM calls WHERE {CALLED} GROUP BY chrom, pos HAVING count(DISTINCT base) > 1"
 CONSENSUS = f"""SELECT chrom, pos, coalesce(map(['A','C','G','T','AG','CT','CG','AT','GT','AC','CGT','AGT','ACT','ACG','ACGT'], ['A','C','G','T','R','Y','S','W','K','M','B','D','H','V','N'])[string_agg(DISTINCT base, '' ORDER BY base)], '-') AS code
   FROM calls WHERE {CALLED} GROUP BY chrom, pos"""
-ALT_BASES = """, n AS (SELECT chrom, pos, b, count(*) FILTER (WHERE base = b) AS n FROM calls, (SELECT unnest(['A','C','G','T']) AS b) WHERE pos >= 1000 GROUP BY 1, 2, 3)
+ALT_BASES = """, n AS (SELECT chrom, pos, b, count(*) FILTER (WHERE base = b) AS n FROM calls, (SELECT unnest(['A','C','G','T']) AS b) GROUP BY 1, 2, 3)
 SELECT chrom, pos, min(b) FILTER (WHERE n <= 1) AS alt_base, coalesce(string_agg(b, '' ORDER BY b) FILTER (WHERE n <= 1), '') AS candidates FROM n GROUP BY 1, 2"""
 SPARSE = "SELECT sample_id, count(*) AS n_variants FROM calls WHERE base <> ref GROUP BY 1"
 
@@ -125,7 +125,7 @@ UNION ALL SELECT label, CASE WHEN ns = 0 OR np = 0 THEN 0 ELSE ns END, CASE WHEN
 INCLUDE = _LABELS + " SELECT sample_id, submitted, predicted FROM labels_ WHERE contains(predicted, '0.r1') OR contains(submitted, '0.r1')"
 EXCLUDE = _LABELS + " SELECT sample_id, submitted, predicted FROM labels_ WHERE NOT (contains(predicted, '0.r1') OR contains(submitted, '0.r1'))"
 LABEL_COUNTS = _LABELS + " SELECT predicted, count(*) AS n FROM labels_ GROUP BY 1"
-PROBLEMS = _ALLOWED + """, w AS (SELECT s.sample_id, g.submitted FROM samples s JOIN (SELECT DISTINCT nation, array_to_string(path[1:3], '.') AS submitted FROM samples) g ON g.nation = (s.nation + 1) % 25 WHERE s.ord % 5 = 0),
+PROBLEMS = _ALLOWED + """, w AS (SELECT s.sample_id, g.submitted FROM samples s JOIN (SELECT DISTINCT nation, array_to_string(path[1:3], '.') AS submitted FROM samples) g ON g.nation = (s.nation + 1) % 25),
 b AS (SELECT sample_id, string_agg((pos + 1) || ':' || base, ',' ORDER BY pos, base) AS t FROM sub JOIN w USING (sample_id) JOIN allowed a USING (pos) WHERE a.genotype = w.submitted AND NOT list_contains(al, base) GROUP BY 1)
 SELECT w.sample_id, coalesce(t, '') AS problem_features FROM w LEFT JOIN b USING (sample_id)"""
 RENAME = "SELECT sample_id, path[1] || ',' || location || ',' || path[3] || ',' || path[4] AS nodes FROM samples"
@@ -135,14 +135,14 @@ INTEGER_IDS = "SELECT sample_id, false AS id_is_int, true AS number_is_int FROM
 SEQUENCES = """SELECT seq_id, length(seq) AS len, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS revcomp_md5, md5(seq) AS md5,
   CAST(coalesce(list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda x: length(x))), 0) AS BIGINT) AS homopolymer FROM seqs"""
 KMERS = """, k AS (SELECT substr(seq, i, 9) AS k FROM (SELECT seq, unnest(generate_series(1, length(seq) - 8)) AS i FROM seqs WHERE length(seq) >= 9)) SELECT least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM k GROUP BY 1"""
-CODONS = """SELECT substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST((instr('TCAG', substr(seq, 1, 1)) - 1) * 16 + (instr('TCAG', substr(seq, 2, 1)) - 1) * 4 + instr('TCAG', substr(seq, 3, 1)) AS INT), 1) AS aa, count(*) AS n
-  FROM seqs WHERE length(seq) >= 3 GROUP BY 1"""
+CODONS = """, c AS (SELECT substr(seq, i, 3) AS seq FROM (SELECT seq, unnest(generate_series(1, length(seq) - 2, 3)) AS i FROM seqs WHERE length(seq) >= 3)) SELECT substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST((instr('TCAG', substr(seq, 1, 1)) - 1) * 16 + (instr('TCAG', substr(seq, 2, 1)) - 1) * 4 + instr('TCAG', substr(seq, 3, 1)) AS INT), 1) AS aa, count(*) AS n
+  FROM c GROUP BY 1"""
 ENTROPY = _RULES.format(where="") + " SELECT pos, base, round(ln(count(*)), 9) AS entropy FROM full_ GROUP BY 1, 2"
 ARI = _LABELS + """, c AS (SELECT submitted, predicted, count(*) AS k FROM labels_ GROUP BY 1, 2), i AS (SELECT sum(k * (k - 1) / 2) AS i, sum(k) AS n FROM c), x AS (SELECT sum(k * (k - 1) / 2) AS x FROM (SELECT sum(k) AS k FROM c GROUP BY submitted)),
 y AS (SELECT sum(k * (k - 1) / 2) AS y FROM (SELECT sum(k) AS k FROM c GROUP BY predicted)) SELECT round((i - x * y / (n * (n - 1) / 2)) / ((x + y) / 2 - x * y / (n * (n - 1) / 2)), 9) AS ari FROM i, x, y"""
-_PROBES = """, pr AS (SELECT seq_id, pos, unnest(generate_series(greatest(0, pos - 8), pos - 1)) AS st, seq FROM seqs, (SELECT unnest([20, 50]) AS pos) WHERE length(seq) > pos),
+_PROBES = """, pr AS (SELECT seq_id, pos, unnest(generate_series(greatest(0, pos - 8), pos - 1)) AS st, seq FROM seqs, (SELECT DISTINCT pos FROM calls) WHERE length(seq) > pos AND pos > 0),
 ex AS (SELECT seq_id, pos, st, substr(seq, st + 1, 9) AS kmer FROM pr WHERE length(substr(seq, st + 1, 9)) = 9),
-pk AS (SELECT DISTINCT kmer FROM ex WHERE pos = 20 AND st = 15),
+pk AS (SELECT DISTINCT kmer FROM ex),
 win AS (SELECT seq_id, substr(seq, i, 9) AS w FROM (SELECT seq_id, seq, unnest(generate_series(1, length(seq) - 8)) AS i FROM seqs WHERE length(seq) >= 9)),
 hits AS (SELECT kmer, seq_id, count(*) AS n FROM win JOIN (SELECT kmer, kmer AS w FROM pk UNION SELECT kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) FROM pk) USING (w) GROUP BY 1, 2)"""
 KMER_EXTRACTION = _PROBES + ' SELECT CAST(pos AS INT) AS pos, CAST(st AS INT) AS start, CAST(st + 9 AS INT) AS "end", kmer, count(*) AS n FROM ex GROUP BY 1, 2, 3, 4'
@@ -155,7 +155,7 @@ OPTIMAL_STARTS = f""", v AS (SELECT pos FROM calls WHERE {CALLED} GROUP BY chrom
 c AS (SELECT st.pos, st.start, count(v.pos) AS nv, count(v.pos) FILTER (WHERE v.pos % 5 = 0) AS ng FROM st LEFT JOIN v ON v.pos BETWEEN st.start AND st.pos GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY nv, ng, start DESC) AS rn FROM c) SELECT pos, CAST(start AS INT) AS start, nv AS n_variable, ng AS n_gapped FROM r WHERE rn = 1"""
 _SCHEME = _SCHEME_RULES + """, rl AS (SELECT pos, base, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (WHERE f), '') AS positive, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (WHERE NOT f), '') AS partial, count(*) AS n, count(*) FILTER (WHERE f) AS np FROM full_ GROUP BY 1, 2),
-rf AS (SELECT DISTINCT pos, ref FROM calls WHERE pos >= 1000), al AS (SELECT rl.pos, ref, base AS alt FROM rl JOIN rf USING (pos) WHERE base <> ref),
+rf AS (SELECT DISTINCT pos, ref FROM calls), al AS (SELECT rl.pos, ref, base AS alt FROM rl JOIN rf USING (pos) WHERE base <> ref),
 ro AS (SELECT al.*, state, CASE WHEN state = 'alt' THEN alt ELSE ref END AS base FROM al, (SELECT unnest(['ref', 'alt']) AS state)),
 rw AS (SELECT ro.*, coalesce(positive, '') AS positive, coalesce(partial, '') AS partial, coalesce(n, 0) AS n, max(coalesce(np, 0)) OVER (PARTITION BY ro.pos, alt) AS best FROM ro LEFT JOIN rl ON rl.pos = ro.pos AND rl.base = ro.base),
 sc AS (SELECT *, CASE WHEN n > 0 THEN ln(n) ELSE (SELECT max(ln(n)) FROM rw WHERE n > 0 AND best > 0) END AS e FROM rw WHERE best > 0)"""
@@ -164,7 +164,7 @@ SNP_SCHEME = _SCHEME + """ SELECT 'snp_' || ref || '_' || (pos + 1) || '_' || al
 SCHEME_SUMMARY = _SCHEME + " SELECT count(*) AS n_features, count(DISTINCT pos) AS n_positions, count(DISTINCT ref || pos || alt) AS n_mutations FROM sc"
 FEATURES = """, f AS (SELECT ord, sample_id AS gene, ord * 37 % 2300 AS a FROM samples), p AS (SELECT DISTINCT pos FROM calls), h AS (SELECT pos, arg_min(gene, ord) AS gene FROM p JOIN f ON pos BETWEEN a AND a + 60 GROUP BY 1)
 SELECT p.pos, coalesce(gene, '') AS gene_name FROM p LEFT JOIN h ON h.pos = p.pos"""
-REFINED = _RULES.format(where="AND pos < 200") + """, w AS (SELECT *, bool_or(f) OVER (PARTITION BY pos, genotype) AS settled, count(*) OVER (PARTITION BY pos, genotype) AS nb FROM full_),
+REFINED = _RULES.format(where="") + """, w AS (SELECT *, bool_or(f) OVER (PARTITION BY pos, genotype) AS settled, count(*) OVER (PARTITION BY pos, genotype) AS nb FROM full_),
 r AS (SELECT pos, base, genotype, f OR (NOT settled AND nb = 1) AS f FROM w UNION ALL SELECT p.pos, 'A', g.genotype, true FROM (SELECT DISTINCT pos FROM full_) p CROSS JOIN (SELECT DISTINCT genotype FROM genotypes) g WHERE NOT EXISTS (SELECT 1 FROM full_ x WHERE x.pos = p.pos AND x.genotype = g.genotype))
 SELECT pos, base, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (WHERE f), '') AS positive, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (WHERE NOT f), '') AS partial FROM r GROUP BY 1, 2"""
 BEST_FIT = """, c AS (SELECT sample_id, nation * 2 + CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END AS cluster FROM samples), n AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1), z AS (SELECT clade, count(*) AS nn, min(ord) AS o, min(depth) AS dp FROM membership GROUP BY 1),

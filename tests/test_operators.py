@@ -112,6 +112,35 @@ def test_gapped_kmers_and_search(spark):
     assert {(r["kmer"], r["seq_id"]): r["n"] for r in hits.collect()} == {("ACG", "p"): 3, ("GTA", "p"): 2, ("GTA", "q"): 2}
 
 
+def test_kmers_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "TILE", 7)
+    rng = random.Random(5)
+    seqs = {name: "".join(rng.choices("ACGTN", [6, 6, 6, 6, 1], k=n)) for name, n in (("a", 40), ("b", 21), ("c", 4), ("d", 0))}
+    at = [0, 1, 6, 7, 8, 14, 20, 33, 39, 90]
+    want = {
+        (name, pos, start, s[start : start + 5])
+        for name, s in seqs.items() for pos in at if pos < len(s) and s[pos] != "N"
+        for start in range(max(0, pos - 4), pos) if start + 5 <= len(s) and s[start : start + 5].count("N") <= 1
+    }
+    got = kmers.extract_kmers(spark.createDataFrame(list(seqs.items()), "seq_id string, seq string"), spark.createDataFrame([(p,) for p in at], "pos int"), 5, 1).collect()
+    assert len(got) == len(want) and {(r["seq_id"], r["pos"], r["start"], r["kmer"]) for r in got} == want
+
+
+def test_scores_brute_force(spark):
+    rng = random.Random(7)
+    allowed = [(g, pos, rng.choice([["A"], ["C"], ["A", "C"]])) for g in ("x", "y", "z") for pos in range(6)]
+    calls = [(f"s{i}", pos, rng.choice("ACGN")) for i in range(5) for pos in range(8)]
+    want = {}
+    for s, pos, base in calls:
+        for g, p, bases in allowed:
+            if p == pos and base != "N":
+                hits = want.setdefault((s, g), [0, 0])
+                hits[base not in bases] += 1
+    got = rules.score_genotypes(spark.createDataFrame(calls, "sample_id string, pos int, base string"), spark.createDataFrame(allowed, "genotype string, pos int, allowed array<string>")).collect()
+    assert {(r["sample_id"], r["genotype"]): [r["matches"], r["mismatches"]] for r in got} == want
+    assert all(r["dist"] == pytest.approx(r["mismatches"] / (r["matches"] + r["mismatches"])) for r in got)
+
+
 def test_upgma_brute_force():
     import numpy as np
 
