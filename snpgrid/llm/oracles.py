@@ -77,3 +77,60 @@ kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t FROM (SELECT doc_id,
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
+
+OP11 = OP2.replace("len(ws) - 4", "len(ws) - 2").replace("len(ws) < 5", "len(ws) < 3").replace("i + 4", "i + 2").replace("100 * k >= 75", "100 * k >= 90")
+OP11 = OP11.replace(", coalesce(c.c, d.doc_id) = d.doc_id AS kept", "")
+
+#: The table of CRC-32 (reflected, 0xEDB88320).
+CRC_TABLE = """start(v, byte, n) AS (SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256)
+  UNION ALL SELECT CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END, byte, n + 1 FROM start WHERE n < 8),
+tab AS (SELECT list(v ORDER BY byte) AS t FROM start WHERE n = 8)"""
+
+
+def crc32(h: str, t: str) -> str:
+    """SQL of the checksum of the bytes whose hexadecimal digits ``h`` gives; ``t``: the table."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length({h}) // 2), lambda i: CAST('0x' || substr({h}, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor({t}[1 + (xor(c, b) & 255)], c >> 8)), CAST(4294967295 AS BIGINT))"
+
+
+_FEATURES = rf"""
+WITH RECURSIVE {CRC_TABLE},
+w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+df AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM w),
+bf AS (SELECT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM b),
+words AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+hashed AS (SELECT f, {crc32("h", "t")} % 10000 AS bucket FROM words, tab)"""
+
+OP12 = _FEATURES + r""",
+s AS (SELECT bucket, count(*) AS s FROM df JOIN hashed USING (f) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN hashed USING (f) GROUP BY 1),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM df) + 10000 AS DOUBLE)) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM bf) + 10000 AS DOUBLE)))) AS BIGINT) AS g
+         FROM (SELECT range AS bucket FROM range(10000)) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+mean AS (SELECT doc_id, count(*) AS n, sum(g) AS total FROM df JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+                  CAST(CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS BIGINT) AS weight,
+                  CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || CAST(w.doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+           FROM w LEFT JOIN mean USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN r <= 25 * n // 100 THEN CAST(r AS BIGINT) END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+#: Runs of exponent 4 repeat three words in a row at the distance of their period, so pairs of equal triples hold all of them.
+OP13 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, {crc32("hex(encode(CAST(doc_id AS VARCHAR)))", "t")} AS h FROM documents, tab),
+x AS (SELECT *, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, h // 10 AS g FROM o),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[CAST(1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END AS BIGINT)]) ELSE ws END AS ws FROM x),
+word AS (SELECT doc_id, n, CAST(unnest(range(0, n)) AS BIGINT) AS i, unnest(ws) AS w FROM d),
+three AS (SELECT doc_id, n, i, hash(w, lead(w) OVER p, lead(w, 2) OVER p) AS t FROM word WINDOW p AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(w, 2) OVER p IS NOT NULL),
+same AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM three a JOIN three b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+island AS (SELECT doc_id, q, min(i) AS s, max(i) + 3 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same) GROUP BY doc_id, q, k),
+run AS (SELECT doc_id, s AS start, e - s AS length, min(q) AS period FROM island GROUP BY 1, 2, e HAVING e - s >= greatest(6, 4 * min(q))),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+text AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM run GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT word.doc_id, string_agg(w, ' ' ORDER BY word.i) AS t FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i WHERE gone.i IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(text.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN text ON text.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

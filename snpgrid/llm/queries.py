@@ -16,12 +16,15 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .mixing import mix_plan
 from .near_dedup import near_duplicates
+from .ngram_join import ngram_join
 from .pii import KINDS as PII_KINDS
 from .pii import find_pii
 from .quality import resample
+from .runs import periodic_runs
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import find_secrets
 from .substring_dedup import drop_repeats
+from .target_resample import target_resample
 from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +92,29 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).drop("n_links", "text_hash")
+
+
+def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+    run = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.when(F.size(run) > 0, F.concat(F.array_join(run, "\n"), F.lit("\n"))).otherwise("")
+
+    def larger(best: Column, r: Column) -> Column:
+        """Of two runs the one of larger length/period; the runs come by start, then period."""
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    best = F.reduce("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), larger)
+    rows = rows.withColumn("best", best)
+    milli = F.expr("best.length * 1000 div best.period")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), F.sha2(text, 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
@@ -100,6 +126,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secrets": op10_secrets,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_target_resample": op12_target_resample,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -110,6 +139,9 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": oracles.OP5,
     "op7_mixing": oracles.OP7,
     "op9_substring_dedup": oracles.OP9,
+    "op11_ngram_join": oracles.OP11,
+    "op12_target_resample": oracles.OP12,
+    "op13_periodic_runs": oracles.OP13,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
