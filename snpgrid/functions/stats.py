@@ -108,26 +108,54 @@ def integer_ranges(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return island.groupBy(*by, "island").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("island")
 
 
-def adjusted_mutual_info(pairs: DataFrame, a: str, b: str) -> float:
-    """Adjusted mutual information (arithmetic mean of entropies) of two labellings.
+#: Terms of an expected information that one row sums.
+_TERMS = 1024
 
-    Only the contingency table reaches the driver: label pairs, not rows.
+
+def ln_factorial(n: Column) -> Column:
+    """Natural logarithm of n!, from a table up to 31 and Stirling's series beyond (error below 1e-15)."""
+    table = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(32)))
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return F.when(n < 32, F.get(table, n.cast("int"))).otherwise(series)
+
+
+def expected_information(rows: DataFrame, cols: DataFrame, n: int) -> DataFrame:
+    """One row (expected): the mean information of random labellings with these cluster sizes; rows (x, times) and cols (y, times) hold distinct sizes and how often they occur.
+
+    There are at most sqrt(2 n) distinct sizes on a side, so their pairs number 2 n at most; the terms of a pair are dealt in blocks of ``_TERMS``.
+    """
+    pairs = rows.select("x", F.col("times").alias("tx")).join(cols.select("y", F.col("times").alias("ty")))
+    total = F.lit(n).cast("long")
+    pairs = pairs.withColumns({"lo": F.greatest(F.lit(1).cast("long"), F.col("x") + F.col("y") - total), "hi": F.least("x", "y")})
+    fixed = ln_factorial(F.col("x")) + ln_factorial(F.col("y")) + ln_factorial(total - F.col("x")) + ln_factorial(total - F.col("y")) - ln_factorial(total)
+    blocks = pairs.withColumn("fixed", fixed).withColumn("k0", F.explode(F.sequence("lo", "hi", F.lit(_TERMS).cast("long"))))
+
+    def term(k: Column) -> Column:
+        logp = F.col("fixed") - ln_factorial(k) - ln_factorial(F.col("x") - k) - ln_factorial(F.col("y") - k) - ln_factorial(total - F.col("x") - F.col("y") + k)
+        return k / total * F.ln(total.cast("double") * k / (F.col("x").cast("double") * F.col("y"))) * F.exp(logp)
+
+    each = F.aggregate(F.sequence("k0", F.least(F.col("k0") + (_TERMS - 1), F.col("hi"))), F.lit(0.0), lambda acc, k: acc + term(k))
+    return blocks.select((each * F.col("tx") * F.col("ty")).alias("e")).agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("expected"))
+
+
+def adjusted_mutual_info(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (ami): adjusted mutual information (arithmetic mean of entropies) of two labellings; null is a label of its own.
+
+    1 for no rows, for a single cluster on both sides and for single rows throughout.  Only the number of rows reaches the driver.
     """
-    cells = pairs.groupBy(a, b).count().toPandas()
-    n = float(cells["count"].sum())
-    if n == 0:
-        return 1.0
-    rows, cols = cells.groupby(a, dropna=False)["count"].sum().to_numpy(float), cells.groupby(b, dropna=False)["count"].sum().to_numpy(float)
-    if len(rows) == len(cols) == 1 or len(rows) == len(cols) == n:
-        return 1.0
-    h = lambda x: float(-(x / n * np.log(x / n)).sum())
-    mutual = h(rows) + h(cols) - h(cells["count"].to_numpy(float))
-    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(n) + 1)))])
-    expected = 0.0
-    for x in rows.astype(int):
-        for y in cols.astype(int):
-            k = np.arange(max(1, x + y - int(n)), min(x, y) + 1)
-            logp = fact[x] + fact[y] + fact[int(n) - x] + fact[int(n) - y] - fact[int(n)] - fact[k] - fact[x - k] - fact[y - k] - fact[int(n) - x - y + k]
-            expected += float((k / n * np.log(n * k / (x * y)) * np.exp(logp)).sum())
-    mean = (h(rows) + h(cols)) / 2
-    return (mutual - expected) / (mean - expected)
+    n = pairs.count()
+    cells = pairs.groupBy(a, b).agg(F.count("*").alias("c"))
+    sizes = lambda by, name: cells.groupBy(by).agg(F.sum("c").alias(name)).groupBy(name).agg(F.count("*").alias("times"))
+    rows, cols = sizes(a, "x"), sizes(b, "y")
+
+    def entropy_of(df: DataFrame, c: str, times: Column, name: str) -> DataFrame:
+        p = F.col(c) / F.lit(float(max(n, 1)))
+        return df.agg((-F.sum(times * p * F.ln(p))).alias(name), F.sum(times).alias(f"k_{name}"))
+
+    one = entropy_of(rows, "x", F.col("times"), "hx").join(entropy_of(cols, "y", F.col("times"), "hy")).join(entropy_of(cells, "c", F.lit(1), "hc")).join(expected_information(rows, cols, n))
+    bottom = (F.col("hx") + F.col("hy")) / 2 - F.col("expected")
+    eps = float(np.finfo(float).eps)
+    bottom = F.when(bottom < 0, F.least(bottom, F.lit(-eps))).otherwise(F.greatest(bottom, F.lit(eps)))
+    alike = (F.col("k_hx") == F.col("k_hy")) & F.col("k_hx").isin(1, n)
+    return one.select(F.when(alike | F.lit(n == 0), 1.0).otherwise((F.col("hx") + F.col("hy") - F.col("hc") - F.col("expected")) / bottom).alias("ami"))

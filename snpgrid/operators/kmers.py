@@ -2,46 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import revcomp
-
-
-def _gapped(k: int, max_ambiguous: int):
-    """Windows whose gap-stripped length is k, for aligned sequences with gaps."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for seq_id, seq, pos in zip(pdf["seq_id"], pdf["seq"], pdf["pos"], strict=True):
-                if seq[pos] not in "ACGT":
-                    continue
-                for start in range(max(0, pos - k + 1), pos):
-                    end, held = start, 0
-                    while end < len(seq) and held < k:
-                        held += seq[end] != "-"
-                        end += 1
-                    kmer = seq[start:end].replace("-", "")
-                    if len(kmer) == k and kmer.count("N") <= max_ambiguous and start <= pos < end:
-                        out.append((seq_id, pos, start, end, kmer))
-            yield pd.DataFrame(out, columns=["seq_id", "pos", "start", "end", "kmer"])
-
-    return run
-
+from .columns import gapped_kmers
 
 #: Bases of a tile; positions meet the one tile that holds them, never a whole sequence.
 TILE = 1 << 16
 
 
-def extract_kmers(seqs: DataFrame, positions: DataFrame, k: int, max_ambiguous: int = 0) -> DataFrame:
+def extract_kmers(seqs: DataFrame, positions: DataFrame, k: int, max_ambiguous: int = 0, gapped: bool = True) -> DataFrame:
     """(seq_id, pos, start, end, kmer): every window of k bases in which a target position with a base is not the first base.
 
-    Sequences without gaps are cut into tiles that overlap by k bases and meet the positions by tile number; aligned ones with gaps grow
-    their windows in a vectorised function.
+    Sequences without gaps are cut into tiles that overlap by k bases and meet the positions by tile number; aligned ones with gaps find
+    letters by rank and select over bit blocks.  ``gapped=False`` says that no sequence has gaps.
     """
     seqs, at = seqs.select("seq_id", "seq"), positions.select(F.col("pos").cast("int").alias("pos")).distinct()
     tile = lambda t: F.struct(t.cast("int").alias("tile"), F.greatest(t * TILE - k, F.lit(0)).cast("int").alias("first"), F.substring("seq", F.greatest(t * TILE - k, F.lit(0)).cast("int") + 1, F.lit(TILE + 2 * k)).alias("bases"))
@@ -53,10 +28,8 @@ def extract_kmers(seqs: DataFrame, positions: DataFrame, k: int, max_ambiguous:
     plain = plain.select("seq_id", "pos", "start", (F.col("start") + k).alias("end"), F.substring("bases", F.col("start") - F.col("first") + 1, F.lit(k)).alias("kmer"))
     ambiguous = F.length("kmer") - F.length(F.replace("kmer", F.lit("N")))
     plain = plain.where((F.length("kmer") == k) & (ambiguous <= max_ambiguous))
-    gapped = seqs.where(F.contains("seq", F.lit("-"))).join(at, F.col("pos") < F.length("seq"))
-    gapped = gapped.mapInPandas(_gapped(k, max_ambiguous), "seq_id string, pos int, start int, end int, kmer string")
     cast = lambda df: df.select(F.col("seq_id").cast("string"), F.col("pos").cast("int"), F.col("start").cast("int"), F.col("end").cast("int"), "kmer")
-    return cast(plain).unionByName(cast(gapped))
+    return cast(plain).unionByName(cast(gapped_kmers(seqs.where(F.contains("seq", F.lit("-"))), at, k, max_ambiguous))) if gapped else cast(plain)
 
 
 def all_windows(seqs: DataFrame, k: int) -> DataFrame:

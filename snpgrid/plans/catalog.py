@@ -344,7 +344,7 @@ def adjusted_rand_index(d: Domain) -> DataFrame:
 
 def probes(d: Domain) -> DataFrame:
     """K-mers of the derived sequences around every position of the scheme."""
-    return kmers.extract_kmers(d.seqs, d.calls.select("pos").distinct(), K)
+    return kmers.extract_kmers(d.seqs, d.calls.select("pos").distinct(), K, gapped=False)
 
 
 def seq_genotypes(d: Domain) -> DataFrame:

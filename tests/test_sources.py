@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +75,7 @@ def test_fasta(spark, tmp_path):
     assert sorted(map(tuple, tables.read_fasta(spark, str(tmp_path / "x.fa")).collect())) == [("a", "ACGT"), ("b", "GG")]
 
 
-def test_newick():
+def test_newick(spark):
     root = newick.normalise("((a:1,b:2,c:3,d:1):1,(e:1,f:1):2);")
     assert sorted(n.name for n in root.leaves()) == list("abcdef") and all(len(n.children) in (0, 2) for n in root.preorder())
     by = {leaf: path for _, leaf, path in newick.paths(root)}
@@ -83,7 +86,8 @@ def test_newick():
     for bad in ("((a,b);", "a,b);"):
         with pytest.raises(ValueError, match="unbalanced"):
             newick.parse(bad)
-    assert newick.leaf_distances(newick.parse("((a:1,b:2):1,c:4);")) == [("a", "b", 3.0), ("a", "c", 6.0), ("b", "c", 7.0)]
+    got = newick.leaf_distances(spark, newick.normalise("((a:1,b:2):1,c:4);")).collect()
+    assert {(r["a"], r["b"]): r["dist"] for r in got} == {("a", "b"): 3.0, ("a", "c"): 6.0, ("b", "c"): 7.0}
     assert newick.internal_clades(newick.normalise("((a,b),c);")) == {"0": ["c", "a", "b"], "1": ["a", "b"]}
     assert newick.nested(newick.parse("(a,b)r;")) == {"name": "r", "children": [{"name": "a"}, {"name": "b"}]}
     kept = newick.remove_clades(newick.normalise("(((a,b),c),d);"), {"0"})
@@ -122,3 +126,51 @@ def test_pseudo_sequences(spark):
     alt = spark.createDataFrame([(0, "C")], "pos int, alt_base string")
     assert pseudo.alternative_sequence("ACGT", alt) == "CCGT"
     assert alt.select(F.col("pos")).count() == 1
+
+
+def ways(root):
+    """Lengths of the ways between leaves, by walking from each."""
+    out = {}
+    for a in root.leaves():
+        _, _, far = newick._sweep(root, a)
+        out |= {frozenset((a.name, b.name)): far[id(b)] for b in root.leaves() if b is not a}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_midpoint_rooting(seed):
+    rng = random.Random(seed)
+
+    def subtree(n):
+        if n == 1:
+            return f"x{next(names)}:{rng.randint(0, 8)}"
+        parts, left = [], n
+        while left:
+            k = rng.randint(1, max(1, min(left, n - 1)))
+            parts.append(subtree(k))
+            left -= k
+        return f"({','.join(parts)}):{rng.randint(0, 8)}"
+
+    names = itertools.count()
+    text = subtree(rng.randint(2, 14)).rpartition(":")[0] + ";"
+    before = newick.normalise(text)
+    lengths = ways(before)
+    longest = max(lengths.values())
+    root = newick.normalise(text, at_midpoint=True)
+    after = ways(root)
+    assert set(after) == set(lengths) and all(after[k] == pytest.approx(lengths[k]) for k in lengths)
+    assert all(len(n.children) != 1 for n in root.preorder())
+    if longest:
+        # the middle of a longest way lies on the two branches at the root
+        left, right = root.children
+        depth = lambda top: max(newick._sweep(top, top)[2].values())
+        left.parent = right.parent = None
+        reach = [depth(left), depth(right)]
+        assert sum(reach) + left.dist + right.dist == pytest.approx(longest)
+        assert max(reach) <= longest / 2 + 1e-9 and left.dist == right.dist
+
+
+def test_rooting_beside_an_old_root_of_two():
+    root = newick.normalise("((a:1,b:1):2,c:5);", "c")
+    assert [c.name for c in root.children] == ["c", "1"] and root.children[0].dist == root.children[1].dist == 3.5
+    assert newick.midpoint(newick.parse("(a:0,b:0);")) is None
