@@ -60,7 +60,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     Sources that hold 1/2000 of the rows or more (so at most 2000) are broadcast and their rows stay where they are; rows of rarer ones are shuffled.
     """
     size = F.size(words_of(F.col("text").cast("string"))).cast("long")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"))
     targets = source_targets(rows.select("source", "size"), weights, cap)
     total = targets.agg(F.sum("n")).first()[0] or 0
     out = join_still(rows, targets, ["source"], F.col("n") >= hot_rows(total, least=1))

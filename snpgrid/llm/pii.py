@@ -245,8 +245,14 @@ def spans(t: str) -> list[tuple[int, int, int, bool]]:
     base = detect(t)
     more = []
     if added := deobfuscated(t):
+        # base spans of a kind lie one after the other, so the last one that starts in time is the only one that may hold an added span
+        starts, ends = [[] for _ in KINDS], [[] for _ in KINDS]
+        for k, s, e in base:
+            starts[k].append(s)
+            ends[k].append(e)
         for k, s, e in added:
-            if not any(k == b and x <= s and e <= y for b, x, y in base):
+            i = bisect_right(starts[k], s) - 1
+            if i < 0 or ends[k][i] < e:
                 more.append((k, s, e, False))
     return sorted([(*b, True) for b in base] + more)
 

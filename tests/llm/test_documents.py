@@ -232,3 +232,9 @@ def test_drop_repeats(docs, nothing, memory_rows):
         want[(r[0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))] += 1
     assert Counter(map(tuple, drop_repeats(docs, memory_rows=memory_rows).collect())) == want
     assert drop_repeats(nothing).count() == 0
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b", "s", 1, 2), (2, None, None, 3, 4)], ["doc_id", "text", "source", "a.b", "c`d"])
+    rows = rows.select("doc_id", "text", "source", "`a.b`")
+    assert mix(rows).columns == rows.columns and {r["a.b"] for r in mix(rows).collect()} <= {1, 3}
