@@ -59,10 +59,16 @@ c AS (SELECT *, sum(s) OVER () - coalesce(sum(3 * s) OVER (ORDER BY k ROWS BETWE
 f AS (SELECT min(k) AS k FROM c WHERE w * rest <= 3 * s * ws),
 g AS (SELECT c.source, c.s, CASE WHEN c.k < f.k THEN CAST(3 * c.s AS DOUBLE) ELSE CAST(c.w * x.rest AS DOUBLE) / CAST(x.ws AS DOUBLE) END AS target
       FROM c, f, c x WHERE x.k = f.k),
-t AS (SELECT d.doc_id, d.size, g.s AS source_size, g.target, CASE WHEN g.s > 0 THEN g.target / g.s ELSE 0.0 END AS rate,
-             CAST('0x' || substr(md5('mix-1:' || CAST(d.doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM t
+t AS (SELECT d.doc_id, d.source, d.size, g.s AS source_size, g.target, CASE WHEN g.s > 0 THEN g.target / g.s ELSE 0.0 END AS rate,
+             CAST('0x' || substr(md5('mix-1:' || CAST(d.doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u,
+             CAST('0x' || substr(md5('mix-1:source:' || coalesce(d.source, 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u0
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+z AS (SELECT source, size, any_value(rate - floor(rate)) AS part, any_value(u0) AS u0, count(*) AS n FROM t GROUP BY 1, 2),
+y AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY size) AS upto FROM z),
+k AS (SELECT source, size, floor(CAST(upto AS DOUBLE) * part + u0) - floor(CAST(upto - n AS DOUBLE) * part + u0) AS k FROM y),
+x AS (SELECT t.*, row_number() OVER (PARTITION BY source, size ORDER BY u) AS place FROM t)
+SELECT doc_id, x.size, source_size, target, CAST(x.size * (floor(rate) + CASE WHEN place <= k THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM x JOIN k ON x.source IS NOT DISTINCT FROM k.source AND x.size = k.size
 """
 
 OP9 = rf"""
