@@ -23,6 +23,7 @@ class Create:
     in_nwk: str | None = None
     in_groups: str | None = None
     root_name: str | None = None
+    root_method: str | None = None  # outgroup (where a root is named) or midpoint (else)
     delim: str | None = None
     prefix: str = "scheme"
     min_members: int = 1
@@ -31,11 +32,13 @@ class Create:
     max_states: int = 6
     max_site_ambig: float = 0.25
     min_inter_clade_dist: int = 1
-    min_perc: float = 1.0
-    rcor_thresh: float = 0.5
+    min_perc: float = 0.1  # share of a genotype's samples that must have a k-mer; SNP rules take all of them
+    rcor_thresh: float = 0.4
     no_compression: bool = False
-    klen: int = 0  # 0: no k-mer scheme
+    klen: int = 18  # 0: no k-mer scheme
     max_ambig: int = 0
+    keep_tmp: bool = False
+    force: bool = False
 
 
 @dataclass
@@ -43,9 +46,9 @@ class Genotype:
     in_var: str
     in_scheme: str
     outfile: str
-    in_meta: str | None = None
+    sample_meta: str | None = None
     genotype_meta: str | None = None
-    max_missing_positions: int = 0
+    max_missing_positions: int = 1
 
 
 @dataclass
@@ -70,10 +73,15 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     """Builds a scheme from variants, a hierarchy, metadata and an annotated reference, and writes the reports."""
     for path in filter(None, (c.in_var, c.in_meta, c.in_nwk or c.in_groups, c.reference)):
         tables.check_file(path)
+    if c.root_method not in (None, "outgroup", "midpoint") or (c.root_method == "outgroup" and not c.root_name):
+        raise ValueError("root_method is outgroup, with a root_name, or midpoint")
+    if not c.force and tables.exists(spark, f"{c.outdir}/{c.prefix}-params.log"):
+        raise ValueError(f"{c.outdir} holds results of {c.prefix}; force writes over them")
     features, accession, genome = genbank.read_features(spark, c.reference)
     meta = tables.read_metadata(spark, c.in_meta)
     if c.in_nwk:
-        samples = newick.read_tree(spark, c.in_nwk, c.root_name)
+        outgroup = None if c.root_method == "midpoint" else c.root_name
+        samples = newick.read_tree(spark, c.in_nwk, outgroup, at_midpoint=not outgroup)
     else:
         samples, _ = tables.read_groups(spark, c.in_groups, c.delim)
     missing = evaluate.missing_ids({"hierarchy": samples, "variants": spark.createDataFrame([(s,) for s in vcf.sample_ids(spark, c.in_var)], "sample_id string"), "metadata": meta})
@@ -86,12 +94,13 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     samples = samples.drop("ord").join(spark.createDataFrame(order, "sample_id string, ord long"), "sample_id")
 
     calls, removed = sites.filter_sites(vcf.read_calls(spark, c.in_var), c.max_states, c.max_site_ambig)
-    calls = calls.persist()
+    held = [calls.persist()]
     dist = distance.snp_distances(calls, samples).persist()
     assigned = canonical.assigned_snps(calls, samples).persist()
     exact = canonical.canonical_snps(calls, samples)
     n_snps = exact.groupBy("clade").agg(F.count("*").alias("n_snps"))
     nodes = hierarchy.node_counts(samples).join(n_snps, "clade", "left").join(distance.within_clades(dist, samples), "clade", "left").join(distance.outside_clades(dist, samples), "clade", "left").persist()
+    held += [dist, assigned, nodes]
     clades = {r["clade"]: compression.Clade(r["num_members"], r["n_snps"] or 0, r["ave_within"] or 0.0, r["closest_sample_dist"] if r["closest_sample_dist"] is not None else 0, r["closest_clade_id"]) for r in nodes.collect()}
     paths = {r["sample_id"]: r["path"] for r in samples.orderBy("ord").select("sample_id", "path").collect()}
     picked = compression.select(paths, clades, c.min_members, c.min_snp_count, c.min_inter_clade_dist, compress=not c.no_compression)
@@ -121,7 +130,7 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     if c.max_snp_count > 0:
         kept = canonical.prune_snps(kept, c.max_snp_count)
     chosen = at(kept)
-    snp_rules = rules.base_rules(chosen, genotypes, c.min_perc)
+    snp_rules = rules.base_rules(chosen, genotypes)
     snp_rows = scheme.snp_scheme(snp_rules, chosen.select("pos", "ref").distinct(), features.where("type = 'CDS'"))
     rows = scheme.numbered(snp_rows)
 
@@ -155,8 +164,11 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
         # the root's marker has a positive probe alone
         snps = snps.unionByName(spark.createDataFrame([(p, b, n, []) for n, p, b in marker], "pos int, base string, path string, others array<string>"))
         probes = local_kmers.probe_pairs(spark, genome, sites.consensus(calls).select("pos", "code"), snps, c.klen).persist()
+        held.append(probes)
         tables.write_fasta(probes.coalesce(1), f"{base}-probes.fasta", "name", "sequence")
         out["probes.meta"] = probes.select(F.col("name").alias("kmername"), "target_pos", "target_base")
+    variants = sites.sparse_variants(vcf.read_calls(spark, c.in_var)).select("sample_id", "pos", "base")
+    pseudo.write_pseudo_fasta(samples, variants, genome, f"{base}-pseudo.seqs.fasta")
     altered = pseudo.alternative_sequence(genome, sites.alternative_bases(calls, kept.select("chrom", "pos").distinct()))
     tables.write_fasta(spark.createDataFrame([(accession, altered)], "seq_id string, seq string"), f"{base}-altseq.fasta")
     if fisher is not None:
@@ -167,6 +179,12 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     tables.write_histogram_html(spark, distance.histogram(dist), f"{base}-dist.histo.html")
     vcf.filter_file(spark, c.in_var, removed, f"{base}-filtered.vcf")
     tables.write_params(spark, asdict(c) | {"reference_accession": accession, "reference_length": len(genome)}, f"{base}-params.log")
+    for df in held:
+        df.unpersist()
+    if not c.keep_tmp:
+        # the tables of the k-mer half live on as what was written
+        out = {name: tables.read_tsv(spark, f"{base}-{name}.txt") for name in out}
+        tables.remove(spark, f"{c.outdir}/{c.prefix}-tmp")
     return out
 
 
@@ -182,14 +200,14 @@ def genotype(spark: SparkSession, c: Genotype) -> DataFrame:
     tables.check_file(c.in_var)
     s, snp_rules, features = _scheme(spark, c.in_scheme)
     positions = features.select("pos").distinct()
-    calls = vcf.read_calls(spark, c.in_var).join(positions, "pos", "left_semi")
+    calls = vcf.read_calls(spark, c.in_var, positions)
     samples = spark.createDataFrame([(x,) for x in vcf.sample_ids(spark, c.in_var)], "sample_id string")
-    if c.in_meta:
-        meta = tables.read_metadata(spark, c.in_meta)
+    if c.sample_meta:
+        meta = tables.read_metadata(spark, c.sample_meta)
         samples = samples.join(meta.select("sample_id"), "sample_id", "left_semi")
     report = rules.call_report(calls, snp_rules, features, samples, c.max_missing_positions).join(scheme.scheme_summary(s))
     report = report.withColumns({"scheme": F.lit(os.path.basename(c.in_scheme)), "analysis_date": reports.now(), "total_scheme_features": F.col("n_features"), "unique_scheme_positions": F.col("n_positions")}).select(*reports.CALL)
-    if c.in_meta:
+    if c.sample_meta:
         report = report.join(meta, "sample_id", "left")
     if c.genotype_meta:
         g = tables.read_metadata(spark, c.genotype_meta, "key")
@@ -206,7 +224,7 @@ def benchmark(spark: SparkSession, c: Benchmark) -> tuple[DataFrame, DataFrame]:
     _, snp_rules, _ = _scheme(spark, c.in_scheme)
     g = tables.read_tsv(spark, c.in_genotype).select("sample_id", F.coalesce(F.col(c.submitted_genotype_col), F.lit("")).alias("submitted"), F.coalesce(F.col(c.predicted_genotype_col), F.lit("")).alias("predicted"))
     scores = evaluate.f1_scores(g)
-    calls = vcf.read_calls(spark, c.in_var).join(snp_rules.select("pos").distinct(), "pos", "left_semi")
+    calls = vcf.read_calls(spark, c.in_var, snp_rules.select("pos").distinct())
     bad = evaluate.problem_bases(g, calls, rules.allowed_bases(snp_rules))
     run = {"scheme": F.lit(os.path.basename(c.in_scheme)), "analysis_date": reports.now()}
     scores = scores.withColumns(run).orderBy(F.col("label") != "overall", "label").select(*reports.SCORE)

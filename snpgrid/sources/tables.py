@@ -58,11 +58,30 @@ def write_tsv(df: DataFrame, path: str, single: bool = True) -> None:
 
 
 def write_distances(dist: DataFrame, samples: DataFrame, path: str) -> None:
-    """The square matrix of a distance table, for up to some thousand samples."""
+    """The square matrix of a distance table as TSV: a row's cells are one ordered array, so the samples are not columns of a plan."""
     ids = [r[0] for r in samples.orderBy("ord").select("sample_id").collect()]
     both = dist.unionByName(dist.select(F.col("s2").alias("s1"), F.col("s1").alias("s2"), "d")).unionByName(samples.select(F.col("sample_id").alias("s1"), F.col("sample_id").alias("s2"), F.lit(0).cast("long").alias("d")))
-    wide = both.groupBy("s1").pivot("s2", ids).agg(F.first("d")).join(samples.select(F.col("sample_id").alias("s1"), "ord"), "s1").orderBy("ord").drop("ord")
-    write_tsv(wide.withColumnRenamed("s1", "dists"), path)
+    at = samples.select(F.col("sample_id").alias("s2"), F.col("ord").alias("_column"))
+    cells = both.join(at, "s2").groupBy("s1").agg(F.array_sort(F.collect_list(F.struct("_column", "d"))).alias("cells"))
+    lines = cells.join(samples.select(F.col("sample_id").alias("s1"), F.col("ord").alias("_row")), "s1")
+    lines = lines.select("_row", F.concat_ws("\t", "s1", F.array_join(F.transform("cells", lambda c: c["d"].cast("string")), "\t")).alias("value"))
+    head = dist.sparkSession.createDataFrame([(-1, "\t".join(["dists", *ids]))], "_row long, value string")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("_row").select("value").write.mode("overwrite").text(path)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
 
 
 def write_params(spark: SparkSession, params: dict[str, object], path: str) -> None:

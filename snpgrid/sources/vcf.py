@@ -24,19 +24,26 @@ def sample_ids(spark: SparkSession, path: str) -> list[str]:
     return list(dict.fromkeys(f for f in header(spark, path) if f not in REQUIRED))
 
 
-def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    """calls(chrom, pos (0-based), ref, sample_id, base): one row per record and sample column."""
+def read_calls(spark: SparkSession, path: str, positions: DataFrame | None = None) -> DataFrame:
+    """calls(chrom, pos (0-based), ref, sample_id, base): one row per record and sample column; with ``positions`` (pos) only records there are split into cells.
+
+    Sample columns are joined by their number, so the plan does not grow with the samples; of columns with one name the last counts.
+    """
     names = header(spark, path)
     at = {n: i for i, n in enumerate(names)}
     if missing := [c for c in ("#CHROM", "POS", "REF", "ALT") if c not in at]:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
-    samples = [(i, n) for n, i in at.items() if n not in REQUIRED]
+    samples = spark.createDataFrame([(i, n) for n, i in at.items() if n not in REQUIRED], "_column int, sample_id string")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).select(F.split(F.rtrim("value"), "\t").alias("f"))
     field = lambda c: F.get("f", F.lit(at[c]))
-    pairs = F.array(*(F.struct(F.lit(n).alias("sample_id"), F.get("f", F.lit(i)).alias("gt")) for i, n in samples)) if samples else F.array().cast("array<struct<sample_id:string,gt:string>>")
-    long = rows.select(field("#CHROM").alias("chrom"), (field("POS").cast("int") - 1).alias("pos"), field("REF").alias("ref"), field("ALT").alias("alt"), F.explode(pairs).alias("s"))
-    gt = F.split(F.coalesce("s.gt", F.lit(".")), ":")
-    return long.select("chrom", "pos", "ref", F.col("s.sample_id").alias("sample_id"), decode_allele(F.get(gt, F.lit(0)), F.col("ref"), F.col("alt")).alias("base"))
+    rows = rows.select(field("#CHROM").alias("chrom"), (field("POS").cast("int") - 1).alias("pos"), field("REF").alias("ref"), field("ALT").alias("alt"), "f")
+    if positions is not None:
+        rows = rows.join(positions.select("pos").distinct(), "pos", "left_semi")
+    # rows that lack cells at their end have them as missing ones
+    cells = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.get("f", i))
+    long = rows.select("chrom", "pos", "ref", "alt", F.posexplode(cells).alias("_column", "cell")).join(F.broadcast(samples), "_column")  # a row a column of the header line
+    gt = F.split(F.coalesce("cell", F.lit(".")), ":")
+    return long.select("chrom", "pos", "ref", "sample_id", decode_allele(F.get(gt, F.lit(0)), F.col("ref"), F.col("alt")).alias("base"))
 
 
 def filter_file(spark: SparkSession, path: str, removed: DataFrame, out: str) -> None:

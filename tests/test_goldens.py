@@ -34,7 +34,7 @@ def built(spark, tmp_path_factory):
     genome[MARKER[0]] = ord(MARKER[1])
     record = out / "record.gbk"
     record.write_text(f"LOCUS       REC {LENGTH} bp\nVERSION     REC.1\nFEATURES             Location/Qualifiers\nORIGIN\n        1 {genome.decode().lower()}\n//\n")
-    config = workflow.Create(in_var=str(DATA / "snps.vcf"), in_meta=str(DATA / "sample.meta.txt"), outdir=str(out), reference=str(record), in_nwk=str(DATA / "tree.nwk"), root_name="root.0", min_perc=0.1, rcor_thresh=0.4, klen=18)
+    config = workflow.Create(in_var=str(DATA / "snps.vcf"), in_meta=str(DATA / "sample.meta.txt"), outdir=str(out), reference=str(record), in_nwk=str(DATA / "tree.nwk"), root_name="root.0")
     workflow.create(spark, config)
     return out
 
@@ -81,7 +81,7 @@ def test_filtered_variants(built):
 
 def test_calls_and_scores(spark, tmp_path):
     calls = tmp_path / "calls"
-    workflow.genotype(spark, workflow.Genotype(in_var=str(DATA / "snps.vcf"), in_scheme=str(DATA / "snp.scheme.txt"), outfile=str(calls), in_meta=str(DATA / "sample.meta.txt")))
+    workflow.genotype(spark, workflow.Genotype(in_var=str(DATA / "snps.vcf"), in_scheme=str(DATA / "snp.scheme.txt"), outfile=str(calls), sample_meta=str(DATA / "sample.meta.txt")))
     golden = DATA / "genotype.calls.snps.txt"
     fixed = tuple(c for c in reports.CALL if c != "analysis_date")
     assert list(table(calls)[0])[: len(reports.CALL)] == list(reports.CALL) and rows(calls, *fixed) == rows(golden, *fixed)
@@ -116,3 +116,55 @@ def test_kmer_half(built):
     assert {(r["variant_start"], r["target_variant"]) for r in scheme} == {(r["variant_start"], r["target_variant"]) for r in table(DATA / "snp.scheme.txt")}
     assert all(r["kseq"][int(r["variant_start"]) - 1 - int(r["kmer_start"])] == r["target_variant"] and r["klen"] == "18" for r in scheme)
     assert {r["is_valid"] for r in table(built / "scheme-extracted.kmers.txt")} <= {"true", "false"}
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    """Six samples in three clades; at one site that marks a clade, one of two samples of another has a third base."""
+    out = tmp_path_factory.mktemp("mixed")
+    genome = "".join(random.Random(3).choices("ACGT", k=400))
+    other = {"A": "CG", "C": "AG", "G": "AC", "T": "AC"}
+    head = "##fileformat=VCFv4.2\n" + "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *"abcdef"])
+    lines = []
+    for pos, gts in ((60, "110000"), (120, "112000"), (200, "001100"), (300, "000011"), (350, "111100")):
+        ref = genome[pos - 1]
+        lines.append("\t".join(["1", str(pos), ".", ref, ",".join(other[ref]), ".", "PASS", ".", "GT", *gts]))
+    (out / "x.vcf").write_text(head + "\n" + "\n".join(lines) + "\n")
+    (out / "t.nwk").write_text("((a:1,b:1):4,(c:1,d:1):2,(e:1,f:1):9);" + " " * 20)
+    (out / "m.tsv").write_text("sample_id\thost\n" + "".join(f"{s}\thuman-or-not\n" for s in "abcdef"))
+    (out / "r.gbk").write_text(f"LOCUS       R 400 bp\nVERSION     R.1\nFEATURES             Location/Qualifiers\nORIGIN\n        1 {genome.lower()}\n//\n")
+    config = workflow.Create(in_var=str(out / "x.vcf"), in_meta=str(out / "m.tsv"), outdir=str(out), reference=str(out / "r.gbk"), in_nwk=str(out / "t.nwk"), no_compression=True)
+    workflow.create(spark, config)
+    return out, genome, other, config
+
+
+def test_snp_rules_take_all_samples(mixed):
+    """With the default share of k-mers, a base of half a genotype's samples is partial in the SNP scheme."""
+    out, genome, other, _ = mixed
+    scheme = table(out / "scheme-snp.scheme.txt")
+    third = [r for r in scheme if r["variant_start"] == "120" and r["target_variant"] == other[genome[119]][1]]
+    assert third and all(r["partial_genotypes"] and not r["positive_genotypes"] for r in third)
+
+
+def test_create_roots_at_the_midpoint(spark, mixed):
+    out, _, _, config = mixed
+    paths = {r["sample_id"]: r["genotype"] for r in table(out / "scheme-genotypes.raw.txt")}
+    # the branch of length 9 is in the middle of the longest way
+    assert {s for s, p in paths.items() if p.split(".")[1] == paths["e"].split(".")[1]} == {"e", "f"}
+    assert not (out / "scheme-tmp").exists()
+    with pytest.raises(ValueError, match="force"):
+        workflow.create(spark, config)
+    with pytest.raises(ValueError, match="root_method"):
+        workflow.create(spark, workflow.Create(**{**config.__dict__, "root_method": "outgroup"}))
+
+
+def test_pseudo_sequences_of_create(mixed):
+    out, genome, other, _ = mixed
+    want = {s: list(genome) for s in "abcdef"}
+    for line in (out / "x.vcf").read_text().splitlines()[2:]:
+        f = line.split("\t")
+        for s, gt in zip("abcdef", f[9:], strict=True):
+            want[s][int(f[1]) - 1] = [f[3], *f[4].split(",")][int(gt)]
+    text = "".join(f.read_text() for f in sorted((out / "scheme-pseudo.seqs.fasta").glob("part-*")))
+    got = {x.split("\n", 1)[0]: x.split("\n", 1)[1].replace("\n", "") for x in text.split(">")[1:]}
+    assert list(got) == list("abcdef") and got == {s: "".join(x) for s, x in want.items()}

@@ -34,6 +34,8 @@ def test_vcf(spark, vcf_file, tmp_path):
     assert [got[19, s] for s in ("s1", "s2", "s3", "s4")] == ["A", "-", "N", "G"]
     assert [got[29, s] for s in ("s1", "s2", "s3", "s4")] == ["G", "N", "G", "-"]
     assert vcf.sample_ids(spark, vcf_file) == ["s1", "s2", "s3", "s4"]
+    some = vcf.read_calls(spark, vcf_file, spark.createDataFrame([(19,), (19,), (500,)], "pos int"))
+    assert {(r["pos"], r["sample_id"]): r["base"] for r in some.collect()} == {k: v for k, v in got.items() if k[0] == 19} and some.count() == 4
     kept, bad = sites.filter_sites(calls, max_states=3, max_missing=0.5)
     assert sorted(r["pos"] for r in bad.collect()) == [29, 39]
     vcf.filter_file(spark, vcf_file, bad, str(tmp_path / "f"))
@@ -119,10 +121,33 @@ def test_genbank(spark, tmp_path):
     assert rows[0]["dna_seq"] == "ATGCCC" and rows[0]["aa_seq"] == "MKL" and rows[2]["dna_seq"] == "AAACCC" and (rows[2]["seg_start"], rows[2]["seg_end"]) == (9, 14)
 
 
-def test_pseudo_sequences(spark):
-    samples = spark.createDataFrame([("a",), ("b",)], "sample_id string")
-    variants = spark.createDataFrame([("a", 1, "T")], "sample_id string, pos int, base string")
-    assert sorted(map(tuple, pseudo.pseudo_sequences(samples, variants, "ACGT").collect())) == [("a", "ATGT"), ("b", "ACGT")]
+def test_pseudo_sequences(spark, tmp_path):
+    rng = random.Random(4)
+    reference = "".join(rng.choices("ACGT", k=1000))
+    variants = [(s, p, rng.choice("ACGTN-")) for s in ("a", "b") for p in rng.sample(range(1000), 300)] + [("b", 0, "T"), ("b", 999, "G"), ("c", 119, "-"), ("c", 120, "N")]
+    want = {}
+    for sample in "bacd":  # d has no variants
+        seq = list(reference)
+        for p in range(1000):
+            if own := sorted(b for s, q, b in variants if (s, q) == (sample, p)):
+                seq[p] = own[0]
+        want[sample] = "".join(seq)
+    samples = spark.createDataFrame([(i, s) for i, s in enumerate("bacd")], "ord long, sample_id string").repartition(3)
+    frame = spark.createDataFrame(variants, "sample_id string, pos int, base string")
+    pseudo.write_pseudo_fasta(samples, frame, reference, str(tmp_path / "f"), tile=120)
+    lines = [x for f in sorted((tmp_path / "f").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [x for x in lines if x.startswith(">")] == [">b", ">a", ">c", ">d"]
+    assert {len(x) for x in lines if not x.startswith(">")} == {60, 40}
+    got, name = {}, ""
+    for x in lines:
+        name = x[1:] if x.startswith(">") else name
+        got[name] = got.get(name, "") + ("" if x.startswith(">") else x)
+    assert got == want
+    with pytest.raises(ValueError, match="beyond"):
+        pseudo.pseudo_tiles(samples, spark.createDataFrame([("a", 1000, "T")], "sample_id string, pos int, base string"), reference)
+
+
+def test_alternative_sequence(spark):
     alt = spark.createDataFrame([(0, "C")], "pos int, alt_base string")
     assert pseudo.alternative_sequence("ACGT", alt) == "CCGT"
     assert alt.select(F.col("pos")).count() == 1
@@ -174,3 +199,11 @@ def test_rooting_beside_an_old_root_of_two():
     root = newick.normalise("((a:1,b:1):2,c:5);", "c")
     assert [c.name for c in root.children] == ["c", "1"] and root.children[0].dist == root.children[1].dist == 3.5
     assert newick.midpoint(newick.parse("(a:0,b:0);")) is None
+
+
+def test_wide_distance_matrix(spark, tmp_path):
+    samples = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "sample_id string, ord long")
+    dist = spark.createDataFrame([("b", "a", 3), ("b", "c", 1), ("a", "c", 2)], "s1 string, s2 string, d long")
+    tables.write_distances(dist, samples, str(tmp_path / "m"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "m")).collect()] == ["dists\tb\ta\tc", "b\t0\t3\t1", "a\t3\t0\t2", "c\t1\t2\t0"]
+    assert {tuple(r) for r in tables.read_distances(spark, str(tmp_path / "m")).collect()} == {("b", "a", 3), ("b", "c", 1), ("a", "c", 2)}
