@@ -68,12 +68,6 @@ def entropy(counts: Column) -> Column:
     return F.when(total > 0, bits).otherwise(-1.0)
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Rank within ``by`` with ties at their mean rank."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*by, value)) - 1) / 2.0)
-
-
 def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row (ari) of two labellings, from pair counts in closed form."""
     two = lambda n: n * (n - 1) / 2

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, correlation_p, fisher_greater, odds_ratio
+from ..functions.stats import correlation_p, fisher_greater, odds_ratio
 from .hierarchy import membership
+from .lineage import cut
 
 
 def metadata_long(samples: DataFrame, fields: list[str]) -> DataFrame:
@@ -36,11 +37,6 @@ def fisher_associations(samples: DataFrame, fields: list[str], max_outside: floa
     return fisher_tables(samples, fields, max_outside).withColumn("oddsr", odds_ratio(*cells)).withColumn("p", fisher_greater(*cells))
 
 
-def _corr(x: str, y: str) -> Column:
-    """Pearson's r, null where a side is constant."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def temporal_points(dist: DataFrame, samples: DataFrame) -> DataFrame:
     """(clade, d, year): each ordered pair's distance with the second sample's year, in every node both share, plus once more the last pair of each row with the first sample's year."""
     s = samples.select("sample_id", "ord", "path", "year")
@@ -52,10 +48,29 @@ def temporal_points(dist: DataFrame, samples: DataFrame) -> DataFrame:
     return pairs.select("d", F.col("y2").alias("year"), "shared").unionByName(last).select(F.explode("shared").alias("clade"), "d", "year")
 
 
+def counted_ranks(cells: DataFrame, by: str, value: str, n: str, name: str) -> DataFrame:
+    """(``by``, ``value``, ``name``): the mean rank of a value among rows that ``cells`` counts in ``n``.  Ordered are distinct values, not rows."""
+    counts = cells.groupBy(by, value).agg(F.sum(n).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.select(by, value, (before + (F.col("_n") + 1) / 2.0).alias(name))
+
+
+def weighted_correlation(cells: DataFrame, by: str, x: str, y: str, n: str, name: str) -> DataFrame:
+    """(``by``, ``name``): Pearson's r of cells that count ``n`` rows each, null where a side is constant."""
+    mean = lambda c: F.sum(F.col(c) * F.col(n)) / F.sum(n)
+    means = cells.groupBy(by).agg(mean(x).alias("_mx"), mean(y).alias("_my"))
+    dx, dy, w = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my"), F.col(n)
+    sums = cells.join(means, by).groupBy(by).agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+    return sums.select(by, F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias(name))
+
+
 def temporal_signal(dist: DataFrame, samples: DataFrame, least_r: float = 0.5) -> DataFrame:
-    """Pearson and Spearman of year against distance per clade with three distinct values of each at least."""
-    points = temporal_points(dist, samples)
-    ranked = average_rank(average_rank(points, ["clade"], "d", "rd"), ["clade"], "year", "ry")
-    out = ranked.groupBy("clade").agg(F.count("*").alias("n"), F.countDistinct("d").alias("nd"), F.countDistinct("year").alias("ny"), _corr("d", "year").alias("pearson"), _corr("rd", "ry").alias("spearman"))
-    out = out.where("nd >= 3 AND ny >= 3")
+    """Pearson and Spearman of year against distance per clade with three distinct values of each at least.
+
+    Points are counted by clade, distance and year first, so the root clade, which every pair is in, is as many rows as it has distinct points.
+    """
+    cells = cut(temporal_points(dist, samples).groupBy("clade", "d", "year").agg(F.count("*").alias("w")))
+    ranked = cells.join(counted_ranks(cells, "clade", "d", "w", "rd"), ["clade", "d"]).join(counted_ranks(cells, "clade", "year", "w", "ry"), ["clade", "year"])
+    out = cells.groupBy("clade").agg(F.sum("w").alias("n"), F.countDistinct("d").alias("nd"), F.countDistinct("year").alias("ny")).where("nd >= 3 AND ny >= 3")
+    out = out.join(weighted_correlation(cells, "clade", "d", "year", "w", "pearson"), "clade").join(weighted_correlation(ranked, "clade", "rd", "ry", "w", "spearman"), "clade")
     return out.select("clade", "n", "pearson", correlation_p("pearson", "n").alias("pearson_p"), "spearman", correlation_p("spearman", "n").alias("spearman_p"), ((F.col("pearson") > least_r) | (F.col("spearman") > least_r)).alias("is_temporal"))

@@ -56,10 +56,18 @@ def assigned_snps(calls: DataFrame, samples: DataFrame) -> DataFrame:
     return out.select("chrom", "pos", "base", F.col("v.clade").alias("clade"), F.coalesce("v.canonical", F.lit(False)).alias("is_canonical"), F.coalesce("v.n_clade", F.lit(0)).alias("num_clade_members"), F.coalesce("v.n_members", F.lit(0)).alias("num_members"), F.coalesce("v.oddsr", F.lit(0.0)).alias("oddsr"), F.coalesce("v.p", F.lit(1.0)).alias("p_value"))
 
 
+def snp_validity(snps: DataFrame, max_states: int = 6, min_members: int = 1) -> DataFrame:
+    """``snps`` (chrom, pos, base, is_canonical, num_members, ...) with is_valid: false at positions of more than ``max_states`` bases and for canonical bases of fewer than ``min_members`` samples."""
+    states = snps.groupBy("chrom", "pos").agg(F.countDistinct("base").alias("_states"))
+    few = F.col("is_canonical") & (F.col("num_members") < min_members)
+    return snps.join(states, ["chrom", "pos"]).withColumn("is_valid", (F.col("_states") <= max_states) & ~few).drop("_states")
+
+
 def snp_summary(snps: DataFrame) -> DataFrame:
-    """Positions, and those with a canonical base."""
-    by = snps.groupBy("chrom", "pos").agg(F.max("is_canonical").alias("c"))
-    return by.agg(F.count("*").alias("n_positions"), F.sum(F.col("c").cast("long")).alias("n_canonical"))
+    """Positions, those with a canonical base and those with a valid one (``snps`` without is_valid are all valid)."""
+    valid = F.col("is_valid") if "is_valid" in snps.columns else F.lit(True)
+    by = snps.groupBy("chrom", "pos").agg(F.max("is_canonical").alias("c"), F.max(valid).alias("v"))
+    return by.agg(F.count("*").alias("n_positions"), F.coalesce(F.sum(F.col("c").cast("long")), F.lit(0)).alias("n_canonical"), F.coalesce(F.sum(F.col("v").cast("long")), F.lit(0)).alias("n_valid"))
 
 
 def clade_snps(canonical: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import revcomp
+from ..functions.sequence import canonical_kmer, revcomp
 from .columns import gapped_kmers
+from .lineage import ranked
 
 #: Bases of a tile; positions meet the one tile that holds them, never a whole sequence.
 TILE = 1 << 16
@@ -33,9 +34,34 @@ def extract_kmers(seqs: DataFrame, positions: DataFrame, k: int, max_ambiguous:
 
 
 def all_windows(seqs: DataFrame, k: int) -> DataFrame:
-    """(seq_id, at, window) of every start."""
-    long = seqs.where(F.length("seq") >= k)
-    return long.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("at")).select("seq_id", "at", F.substring("seq", F.col("at") + 1, F.lit(k)).alias("window"))
+    """(seq_id, at, window) of every start.  Windows are cut inside tiles, so no row carries a sequence along."""
+    numbers = F.sequence(F.lit(0), F.floor((F.length("seq") - k) / TILE).cast("int"))
+    tile = lambda t: F.struct((t * TILE).alias("first"), F.substring("seq", t * TILE + 1, F.lit(TILE + k - 1)).alias("bases"))
+    tiles = seqs.where(F.length("seq") >= k).select("seq_id", F.explode(F.transform(numbers, tile)).alias("t")).select("seq_id", "t.*")
+    window = lambda i: F.struct((F.col("first") + i).alias("at"), F.substring("bases", i + 1, F.lit(k)).alias("window"))
+    return tiles.select("seq_id", F.explode(F.transform(F.sequence(F.lit(0), F.length("bases") - k), window)).alias("w")).select("seq_id", "w.*")
+
+
+def canonical_counts(seqs: DataFrame, k: int) -> DataFrame:
+    """(kmer, n): how often each k-mer or its reverse complement occurs.  Windows are counted as they are; only distinct ones are reversed."""
+    counts = all_windows(seqs, k).groupBy("window").agg(F.count("*").alias("n"))
+    return counts.groupBy(canonical_kmer(F.col("window")).alias("kmer")).agg(F.sum("n").alias("n"))
+
+
+def index_kmers(kmers: DataFrame) -> DataFrame:
+    """(kidx, kmer): distinct k-mers numbered from 0 in alphabetical order, by a distributed ranking."""
+    return ranked(kmers.select("kmer").distinct(), [F.col("kmer")], "kidx").select("kidx", "kmer")
+
+
+def populate_scheme(kmers: DataFrame) -> DataFrame:
+    """(pos, base, kidx): per position and base the numbers of the valid k-mers that show it, in order.  kmers: kidx, is_valid, pos, base; a base outside A, C, G, T shows nothing."""
+    shown = kmers.where(F.col("is_valid") & F.col("base").isin("A", "C", "G", "T"))
+    return shown.groupBy("pos", "base").agg(F.array_sort(F.collect_set("kidx")).alias("kidx"))
+
+
+def kmers_of(numbers: DataFrame, index: DataFrame) -> DataFrame:
+    """``numbers`` (kidx, ...) with the k-mer of each, empty for unknown numbers."""
+    return numbers.join(index, "kidx", "left").withColumn("kmer", F.coalesce("kmer", F.lit("")))
 
 
 def search_kmers(seqs: DataFrame, kmers: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,11 @@ def query(oracle: str | None = None) -> Callable[[Callable[[Domain], DataFrame]]
     return register
 
 
+def of_all_sites(oracle: str) -> str:
+    """An oracle over the positions of all parts."""
+    return re.sub(r"\bcalls\b", "all_calls", oracle)
+
+
 def with_genotypes(d: Domain) -> DataFrame:
     return d.samples.select("sample_id", "ord", F.array_join(F.slice("path", 1, 3), ".").alias("genotype"))
 
@@ -62,45 +68,45 @@ def genotype_calls(d: Domain) -> DataFrame:
     return rules.call_report(d.calls, scheme_rules(d), scheme_features(d), d.samples)
 
 
-@query(oracles.SITE_FILTER)
+@query(of_all_sites(oracles.SITE_FILTER))
 def site_filter(d: Domain) -> DataFrame:
     n = d.samples.agg(F.count("*").alias("n_samples"))
-    counts = sites.base_counts(d.calls)
+    counts = sites.base_counts(d.all_calls)
     have = F.col("n_a") + F.col("n_c") + F.col("n_g") + F.col("n_t")
     out = counts.join(n).withColumn("missing", 1 - have / F.col("n_samples"))
     distinct = sum((F.col(f"n_{b}") > 0).cast("int") for b in "acgt")
     return out.select("chrom", "pos", F.round("missing", 9).alias("missing"), distinct.cast("long").alias("states"), ((F.col("missing") > 0.05) | (distinct == 1)).alias("removed"))
 
 
-@query(oracles.FILTERED_CALLS)
+@query(of_all_sites(oracles.FILTERED_CALLS))
 def filtered_calls(d: Domain) -> DataFrame:
-    kept, _ = sites.filter_sites(d.calls, max_states=3, max_missing=0.5)
+    kept, _ = sites.filter_sites(d.all_calls, max_states=3, max_missing=0.5)
     return kept.groupBy("pos").agg(F.count("*").alias("n_calls"))
 
 
-@query(oracles.BASE_COUNTS)
+@query(of_all_sites(oracles.BASE_COUNTS))
 def base_counts(d: Domain) -> DataFrame:
-    return sites.base_counts(d.calls)
+    return sites.base_counts(d.all_calls)
 
 
-@query(oracles.VARIANT_POSITIONS)
+@query(of_all_sites(oracles.VARIANT_POSITIONS))
 def variant_positions(d: Domain) -> DataFrame:
-    return sites.variant_positions(d.calls)
+    return sites.variant_positions(d.all_calls)
 
 
-@query(oracles.CONSENSUS)
+@query(of_all_sites(oracles.CONSENSUS))
 def consensus_codes(d: Domain) -> DataFrame:
-    return sites.consensus(d.calls)
+    return sites.consensus(d.all_calls)
 
 
-@query(oracles.ALT_BASES)
+@query(of_all_sites(oracles.ALT_BASES))
 def alternative_bases(d: Domain) -> DataFrame:
-    return sites.alternative_bases(d.calls, d.calls.select("chrom", "pos").distinct())
+    return sites.alternative_bases(d.all_calls, d.all_calls.select("chrom", "pos").distinct())
 
 
-@query(oracles.SPARSE)
+@query(of_all_sites(oracles.SPARSE))
 def sparse_variants(d: Domain) -> DataFrame:
-    return sites.sparse_variants(d.calls).groupBy("sample_id").agg(F.count("*").alias("n_variants"))
+    return sites.sparse_variants(d.all_calls).groupBy("sample_id").agg(F.count("*").alias("n_variants"))
 
 
 @query(oracles.DISTANCES)
@@ -146,9 +152,19 @@ def assigned_snps(d: Domain) -> DataFrame:
 
 @query(oracles.SNP_SUMMARY)
 def snp_summary(d: Domain) -> DataFrame:
+    return canonical.snp_summary(canonical.snp_validity(every_snp(d), max_states=3, min_members=2))
+
+
+def every_snp(d: Domain) -> DataFrame:
+    """(chrom, pos, base, is_canonical, num_members): all called bases with the number of samples that carry them."""
     c = canonical.canonical_snps(d.calls, d.samples).select("chrom", "pos", "base", F.lit(True).alias("k"))
-    every = d.calls.select("chrom", "pos", "base").distinct().join(c, ["chrom", "pos", "base"], "left")
-    return canonical.snp_summary(every.select("chrom", "pos", F.coalesce("k", F.lit(False)).alias("is_canonical")))
+    carried = d.calls.where(sites.called(F.col("base"))).groupBy("chrom", "pos", "base").agg(F.count("*").alias("num_members"))
+    return carried.join(c, ["chrom", "pos", "base"], "left").select("chrom", "pos", "base", F.coalesce("k", F.lit(False)).alias("is_canonical"), "num_members")
+
+
+@query(oracles.VALID_SNPS)
+def valid_snps(d: Domain) -> DataFrame:
+    return canonical.snp_validity(every_snp(d), max_states=3, min_members=2)
 
 
 @query(oracles.CLADE_SNPS)
@@ -262,9 +278,9 @@ def temporal_signal(d: Domain) -> DataFrame:
     return out.select("clade", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
-@query(oracles.RANGES)
+@query(of_all_sites(oracles.RANGES))
 def integer_ranges(d: Domain) -> DataFrame:
-    return stats.integer_ranges(d.calls, "pos", ["chrom"])
+    return stats.integer_ranges(d.all_calls, "pos", ["chrom"])
 
 
 @query(oracles.F1)
@@ -320,7 +336,7 @@ def sequence_functions(d: Domain) -> DataFrame:
 
 @query(oracles.KMERS)
 def canonical_kmer_counts(d: Domain) -> DataFrame:
-    return kmers.all_windows(d.seqs, K).groupBy(sequence.canonical_kmer(F.col("window")).alias("kmer")).agg(F.count("*").alias("n"))
+    return kmers.canonical_counts(d.seqs, K)
 
 
 @query(oracles.CODONS)
@@ -429,7 +445,31 @@ def nested_clusters(d: Domain) -> DataFrame:
     return cluster.cluster_table(d.samples.sparkSession, dist, d.samples, [120.0, 130.0, 140.0])
 
 
-@query()
+@query(oracles.DEGENERATE)
 def degenerate_expansion(d: Domain) -> DataFrame:
-    codes = F.translate("window", "ACGT", "RYNT")
-    return kmers.all_windows(d.seqs, 5).select("seq_id", "at", codes.alias("code"), F.size(sequence.expand_degenerate(codes)).cast("long").alias("n"))
+    """Every window of 5 as a degenerate sequence with the number and a digest of its expansions; equal windows are expanded once."""
+    codes = kmers.all_windows(d.seqs, 5).select("seq_id", "at", F.translate("window", "ACGT", "RYNT").alias("code"))
+    words = F.array_sort(sequence.expand_degenerate(F.col("code")))
+    expanded = codes.select("code").distinct().select("code", F.size(words).cast("long").alias("n"), F.md5(F.array_join(words, ",")).alias("words_md5"))
+    return codes.join(expanded, "code").select("seq_id", "at", "code", "n", "words_md5")
+
+
+@query(oracles.KMER_INDEX)
+def kmer_index(d: Domain) -> DataFrame:
+    """The scheme's k-mers by number: per position and base the numbers, and the k-mers that they name."""
+    rows = probes(d)
+    index = kmers.index_kmers(rows)
+    shown = rows.select("pos", "kmer", F.substring("kmer", F.col("pos") - F.col("start") + 1, F.lit(1)).alias("base")).join(index, "kmer")
+    scheme_ = kmers.populate_scheme(shown.withColumn("is_valid", F.lit(True)))
+    named = kmers.kmers_of(scheme_.select("pos", "base", F.explode("kidx").alias("kidx")), index)
+    listed = named.groupBy("pos", "base").agg(F.array_sort(F.collect_list(F.struct("kidx", "kmer"))).alias("v"))
+    return listed.select("pos", "base", F.size("v").cast("long").alias("n"), F.md5(F.array_join(F.transform("v", lambda x: F.concat_ws(":", x["kidx"].cast("string"), x["kmer"])), ",")).alias("kmers_md5"))
+
+
+@query(oracles.NOMENCLATURE)
+def distance_nomenclature(d: Domain) -> DataFrame:
+    """Clades named after nested clusters: by region, by nation, and by two halves of a nation that follow no clade."""
+    half = (F.col("ord") % 3 == 0).cast("int")
+    labels = d.samples.select("sample_id", F.concat_ws(".", (1 + F.col("region")).cast("string"), (10 + F.col("nation")).cast("string"), (100 + 2 * F.col("nation") + half).cast("string")).alias("labels"))
+    clusters = labels.select("sample_id", F.explode(F.split("labels", r"\.")).alias("cluster"))
+    return cluster.nomenclature(labels, cluster.best_fit(clusters, hierarchy.membership(d.samples)))

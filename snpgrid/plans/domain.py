@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,11 +14,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @dataclass
 class Domain:
-    """samples(sample_id, ord, path, host, location, year), calls(chrom, pos, ref, sample_id, base), seqs(seq_id, seq)."""
+    """samples(sample_id, ord, path, host, location, year), calls(chrom, pos, ref, sample_id, base), seqs(seq_id, seq).
+
+    ``calls`` is of a scheme's size, 200 positions and the clades' marks; ``all_calls`` has a position for each part, so sites grow with the tables.
+    """
 
     samples: DataFrame
     calls: DataFrame
     seqs: DataFrame
+    all_calls: DataFrame
+
+
+#: First position of the parts in ``all_calls``, behind those of the clades' marks.
+PARTS_FROM = 3000
 
 
 def load(spark: SparkSession, sf_dir: str) -> Domain:
@@ -33,8 +41,10 @@ def load(spark: SparkSession, sf_dir: str) -> Domain:
     )
 
     letter = lambda n: F.substring(F.lit("ACGT"), (1 + n % 4).cast("int"), F.lit(1))
-    noise = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 200).cast("int").alias("pos")).agg(F.sum("l_linenumber").alias("n"))
-    noise = noise.select(F.lit("1").alias("chrom"), "pos", letter(F.col("pos")).alias("ref"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sample_id"), letter(F.col("n")).alias("base"))
+    def noise(pos: Column) -> DataFrame:
+        rows = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey", pos.cast("int").alias("pos")).agg(F.sum("l_linenumber").alias("n"))
+        return rows.select(F.lit("1").alias("chrom"), "pos", letter(F.col("pos")).alias("ref"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sample_id"), letter(F.col("n")).alias("base"))
+
     marks = nation.select((1000 + F.col("n_nationkey")).cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("T").alias("alt"), F.col("n_nationkey").alias("own"), F.lit(True).alias("by_nation"))
     marks = marks.union(region.select((2000 + F.col("r_regionkey")).cast("int"), F.lit("C"), F.lit("G"), F.col("r_regionkey"), F.lit(False)))
     own = F.when(F.col("by_nation"), F.col("nation")).otherwise(F.col("region")) == F.col("own")
@@ -42,7 +52,7 @@ def load(spark: SparkSession, sf_dir: str) -> Domain:
 
     kept = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
     seqs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), kept.alias("seq"))
-    return Domain(samples, noise.unionByName(signal), seqs)
+    return Domain(samples, noise(F.col("l_partkey") % 200).unionByName(signal), seqs, noise(F.col("l_partkey") + PARTS_FROM).unionByName(signal))
 
 
 #: The same tables for DuckDB; oracles append their own CTEs.
@@ -57,6 +67,9 @@ calls AS (
   FROM (SELECT l_suppkey, CAST(l_partkey % 200 AS INT) AS pos, sum(l_linenumber) AS n FROM lineitem GROUP BY 1, 2)
   UNION ALL SELECT '1', CAST(1000 + n_nationkey AS INT), 'A', sample_id, CASE WHEN nation = n_nationkey THEN 'T' ELSE 'A' END FROM samples, nation
   UNION ALL SELECT '1', CAST(2000 + r_regionkey AS INT), 'C', sample_id, CASE WHEN region = r_regionkey THEN 'G' ELSE 'C' END FROM samples, region),
+all_calls AS (
+  SELECT '1' AS chrom, pos, substr('ACGT', 1 + pos % 4, 1) AS ref, 'S' || CAST(l_suppkey AS VARCHAR) AS sample_id, substr('ACGT', CAST(1 + n % 4 AS INT), 1) AS base
+  FROM (SELECT l_suppkey, CAST(l_partkey + 3000 AS INT) AS pos, sum(l_linenumber) AS n FROM lineitem GROUP BY 1, 2) UNION ALL SELECT * FROM calls WHERE pos >= 1000),
 seqs AS (SELECT doc_id AS seq_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents),
 membership AS (
   SELECT path[d] AS clade, d AS depth, sample_id, ord FROM samples, (SELECT unnest([1, 2, 3, 4]) AS d)),

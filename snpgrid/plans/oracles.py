@@ -78,7 +78,10 @@ fold AS (SELECT chrom, pos, base, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR)
     FROM fold f JOIN st s ON s.chrom = f.chrom AND s.pos = f.pos AND s.base = f.base AND s.k = f.k + 1, LATERAL (SELECT NOT f.canonical AND (s.overlap = s.n_clade OR coalesce(s.oddsr, CAST('nan' AS DOUBLE)) > f.oddsr OR s.p < f.p) AS better) t)
 SELECT chrom, pos, base, coalesce(clade, '-1') AS clade, canonical AS is_canonical, nc AS num_clade_members, nm AS num_members, CASE WHEN oddsr = CAST('inf' AS DOUBLE) THEN -1.0 ELSE round(oddsr, 6) END AS oddsr, round(p, 6) AS p_value
 FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos, base ORDER BY k DESC) AS rn FROM fold) WHERE rn = 1"""
-SNP_SUMMARY = _OVER + " SELECT (SELECT count(*) FROM (SELECT DISTINCT chrom, pos FROM calls)) AS n_positions, (SELECT count(*) FROM (SELECT DISTINCT chrom, pos FROM can)) AS n_canonical"
+_VALID = _OVER + """, every AS (SELECT ca.chrom, ca.pos, ca.base, can.base IS NOT NULL AS is_canonical, ca.carriers AS num_members, count(*) OVER (PARTITION BY ca.chrom, ca.pos) AS states FROM ca LEFT JOIN can USING (chrom, pos, base)),
+ok AS (SELECT chrom, pos, base, is_canonical, num_members, states <= 3 AND NOT (is_canonical AND num_members < 2) AS is_valid FROM every)"""
+VALID_SNPS = _VALID + " SELECT * FROM ok"
+SNP_SUMMARY = _VALID + " SELECT count(*) AS n_positions, CAST(coalesce(sum(CAST(c AS INT)), 0) AS BIGINT) AS n_canonical, CAST(coalesce(sum(CAST(v AS INT)), 0) AS BIGINT) AS n_valid FROM (SELECT bool_or(is_canonical) AS c, bool_or(is_valid) AS v FROM ok GROUP BY chrom, pos)"
 CLADE_SNPS = _OVER + " SELECT clade, count(*) AS n_snps, string_agg(pos || base, ',' ORDER BY chrom, pos, base) AS snps FROM can GROUP BY 1"
 PRUNED = _OVER + " SELECT clade, pos, base FROM (SELECT *, row_number() OVER (PARTITION BY clade ORDER BY chrom, pos, base) AS r2 FROM can) WHERE r2 = 1"
 VALID_NODES = _OVER + " SELECT clade, n_members AS num_members, n_snps FROM (SELECT clade, count(*) AS n_snps FROM can GROUP BY 1) JOIN sizes USING (clade)"
@@ -170,3 +173,18 @@ SELECT pos, base, coalesce(string_agg(genotype, ',' ORDER BY genotype) FILTER (W
 BEST_FIT = """, c AS (SELECT sample_id, nation * 2 + CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END AS cluster FROM samples), n AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1), z AS (SELECT clade, count(*) AS nn, min(ord) AS o, min(depth) AS dp FROM membership GROUP BY 1),
 k AS (SELECT cluster, clade, count(*) AS k FROM c JOIN membership USING (sample_id) GROUP BY 1, 2), b AS (SELECT cluster, clade, row_number() OVER (PARTITION BY cluster ORDER BY nn - n, o, dp) AS rn FROM k JOIN n USING (cluster) JOIN z USING (clade) WHERE k = n)
 SELECT n.cluster, coalesce(clade, '0') AS clade FROM n LEFT JOIN b ON b.cluster = n.cluster AND rn = 1"""
+
+DEGENERATE = """WITH RECURSIVE {cte}, w AS (SELECT seq_id, i - 1 AS "at", translate(substr(seq, i, 5), 'ACGT', 'RYNT') AS code FROM (SELECT seq_id, seq, unnest(generate_series(1, length(seq) - 4)) AS i FROM seqs WHERE length(seq) >= 5)),
+meant(c, b) AS (VALUES ('R', 'A'), ('R', 'G'), ('Y', 'C'), ('Y', 'T'), ('N', 'A'), ('N', 'C'), ('N', 'G'), ('N', 'T'), ('T', 'T')),
+ex(code, i, word) AS (SELECT DISTINCT code, 1, '' FROM w UNION ALL SELECT code, i + 1, word || b FROM ex JOIN meant ON c = substr(code, i, 1)),
+n AS (SELECT code, count(*) AS n, md5(string_agg(word, ',' ORDER BY word)) AS words_md5 FROM ex WHERE i = 6 GROUP BY code)
+SELECT seq_id, "at", code, n, words_md5 FROM w JOIN n USING (code)"""
+KMER_INDEX = _PROBES + """, ix AS (SELECT kmer, dense_rank() OVER (ORDER BY kmer) - 1 AS kidx FROM ex),
+sh AS (SELECT DISTINCT pos, substr(ex.kmer, CAST(pos - st + 1 AS BIGINT), 1) AS base, kidx, ex.kmer AS kmer FROM ex JOIN (SELECT DISTINCT kmer, kidx FROM ix) d ON d.kmer = ex.kmer)
+SELECT CAST(pos AS INT) AS pos, base, count(*) AS n, md5(string_agg(kidx || ':' || kmer, ',' ORDER BY kidx)) AS kmers_md5 FROM sh WHERE base IN ('A', 'C', 'G', 'T') GROUP BY 1, 2"""
+NOMENCLATURE = """, l AS (SELECT sample_id, CAST(unnest([1 + region, 10 + nation, 100 + 2 * nation + CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END]) AS VARCHAR) AS cluster, unnest([1, 2, 3]) AS i FROM samples),
+n AS (SELECT cluster, count(DISTINCT sample_id) AS n FROM l GROUP BY 1), z AS (SELECT clade, count(*) AS n_node, min(ord) AS o, min(depth) AS dp FROM membership GROUP BY 1),
+ov AS (SELECT cluster, clade, count(*) AS k FROM l JOIN membership USING (sample_id) GROUP BY 1, 2),
+fit AS (SELECT cluster, clade FROM ov JOIN n USING (cluster) JOIN z USING (clade) WHERE k = n QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n_node - n, o, dp) = 1),
+p AS (SELECT sample_id, i, coalesce(clade, '0') AS clade, lag(coalesce(clade, '0')) OVER (PARTITION BY sample_id ORDER BY i) AS before FROM l LEFT JOIN fit USING (cluster))
+SELECT sample_id, string_agg(clade, '.' ORDER BY i) AS genotype FROM p WHERE i < 3 AND (before IS NULL OR before <> clade) GROUP BY 1"""

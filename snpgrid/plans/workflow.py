@@ -136,6 +136,8 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
 
     cuts = sorted((r[0] for r in troughs(distance.histogram(dist)).collect()), reverse=True)
     labels = cluster.cluster_table(spark, dist, samples, [float(t) for t in cuts])
+    clusters = labels.select("sample_id", F.explode(F.split("labels", r"\.")).alias("cluster"))
+    nomenclature = cluster.nomenclature(labels, cluster.best_fit(clusters, hierarchy.membership(samples)))
     fields = [f for f in meta.columns if f not in ("sample_id", "year")]
     with_meta = samples.join(meta, "sample_id")
     fisher = associate.fisher_associations(with_meta, fields) if fields else None
@@ -154,6 +156,7 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     out["snps.info"] = reports.snp_report(assigned, calls)
     out["genotypes.raw"], out["genotypes.supported"], out["genotypes.selected"] = samples.select("sample_id", F.array_join("path", ".").alias("genotype")), table(picked.supported), genotypes
     out["genotypes.distance"] = labels.withColumnRenamed("labels", "thresh-" + ";".join(map(str, cuts)) if cuts else "labels")
+    out["genotypes.nomenclature"] = nomenclature
     out["snp.scheme"] = rows
     if found is not None:
         out["kmer.scheme"] = scheme.numbered(scheme.kmer_scheme(snp_rows, found.chosen))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from snpgrid.functions import sequence, stats
-from snpgrid.operators import canonical, cluster, distance, evaluate, kmers, rules, scheme
+from snpgrid.operators import associate, canonical, cluster, distance, evaluate, kmers, rules, scheme
 from snpgrid.plans import compression
 
 DATA = Path("/root/testdata/sf0.001")
@@ -232,3 +232,42 @@ def test_histogram_report_holds_every_row(spark, tmp_path):
 
     tables.write_histogram_html(spark, spark.range(20_050).selectExpr("id AS d", "1L AS n"), str(tmp_path / "h"))
     assert spark.read.text(str(tmp_path / "h")).first()[0].count("<rect") == 20_050
+
+
+def test_counted_ranks_and_correlation(spark):
+    """Mean ranks and correlations of counted points against those of the points one by one."""
+    rng = random.Random(3)
+    points = [(c, float(rng.randint(0, 6)), float(rng.randint(2000, 2004))) for c in "ab" for _ in range(80)]
+    cells = spark.createDataFrame(points, "clade string, d double, year double").groupBy("clade", "d", "year").count()
+    got = {(r["clade"], r["d"]): r["rd"] for r in associate.counted_ranks(cells, "clade", "d", "count", "rd").collect()}
+    for c in "ab":
+        own = sorted(d for k, d, _ in points if k == c)
+        assert all(got[c, d] == pytest.approx(sum(i + 1 for i, x in enumerate(own) if x == d) / own.count(d)) for d in set(own))
+    r = {x["clade"]: x["r"] for x in associate.weighted_correlation(cells, "clade", "d", "year", "count", "r").collect()}
+    for c in "ab":
+        d, y = ([p[i] for p in points if p[0] == c] for i in (1, 2))
+        md, my = sum(d) / len(d), sum(y) / len(y)
+        want = sum((a - md) * (b - my) for a, b in zip(d, y, strict=True)) / math.sqrt(sum((a - md) ** 2 for a in d) * sum((b - my) ** 2 for b in y))
+        assert r[c] == pytest.approx(want)
+
+
+def test_kmer_numbers(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "TILE", 5)
+    seqs = {"a": "ACGTACGTTGCA", "b": "AC", "c": "ACG", "d": "ACGTAA"}
+    frame = spark.createDataFrame([*seqs.items(), ("e", None)], "seq_id string, seq string")
+    got = sorted(map(tuple, kmers.all_windows(frame, 3).select("seq_id", "at", "window").collect()))
+    assert got == sorted((s, i, q[i : i + 3]) for s, q in seqs.items() for i in range(len(q) - 2))
+    index = kmers.index_kmers(kmers.all_windows(frame, 3).withColumnRenamed("window", "kmer"))
+    words = sorted({w for _, _, w in got})
+    assert {r["kidx"]: r["kmer"] for r in index.collect()} == dict(enumerate(words))
+    asked = spark.createDataFrame([(0,), (len(words),)], "kidx long")
+    assert {r["kidx"]: r["kmer"] for r in kmers.kmers_of(asked, index).collect()} == {0: words[0], len(words): ""}
+    rows = spark.createDataFrame([(1, True, 7, "A"), (0, True, 7, "A"), (2, False, 7, "A"), (3, True, 7, "N"), (1, True, 8, "C")], "kidx long, is_valid boolean, pos int, base string")
+    assert {(r["pos"], r["base"]): r["kidx"] for r in kmers.populate_scheme(rows).collect()} == {(7, "A"): [0, 1], (8, "C"): [1]}
+
+
+def test_snp_validity(spark):
+    rows = [("1", 5, b, False, 3) for b in "ACG"] + [("1", 6, "A", True, 1), ("1", 6, "C", False, 1), ("1", 7, "A", True, 4)]
+    snps = canonical.snp_validity(spark.createDataFrame(rows, "chrom string, pos int, base string, is_canonical boolean, num_members long"), max_states=2, min_members=2)
+    assert {(r["pos"], r["base"]): r["is_valid"] for r in snps.collect()} == {(5, "A"): False, (5, "C"): False, (5, "G"): False, (6, "A"): False, (6, "C"): True, (7, "A"): True}
+    assert tuple(canonical.snp_summary(snps).first()) == (3, 2, 2)
