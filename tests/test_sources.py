@@ -7,9 +7,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
 from snpgrid.operators import sites
-from snpgrid.sources import genbank, newick, pseudo, tables, vcf
+from snpgrid.sources import genbank, newick, pseudo, tables, vcf, vcf_source
 
 VCF = """##fileformat=VCFv4.2
 #CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3\ts4
@@ -207,3 +208,28 @@ def test_wide_distance_matrix(spark, tmp_path):
     tables.write_distances(dist, samples, str(tmp_path / "m"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "m")).collect()] == ["dists\tb\ta\tc", "b\t0\t3\t1", "a\t3\t0\t2", "c\t1\t2\t0"]
     assert {tuple(r) for r in tables.read_distances(spark, str(tmp_path / "m")).collect()} == {("b", "a", 3), ("b", "c", 1), ("a", "c", 2)}
+
+
+@pytest.mark.parametrize("size", [10_000, 64, 7])
+def test_vcf_data_source(spark, vcf_file, size):
+    """Every partition size gives the calls of the text scan; filters reach the reader and are gone from the plan."""
+    vcf_source.register(spark)
+    read = lambda **more: spark.read.format("vcf").options(partition_bytes=size, **more).load(vcf_file)
+    key = lambda df: sorted(map(tuple, df.select("chrom", "pos", "ref", "sample_id", "base").collect()))
+    want = key(vcf.read_calls(spark, vcf_file))
+    assert key(read()) == want
+    some = read().where(F.col("pos").isin(19, 39, 77) & (F.col("sample_id") == "s2"))
+    assert key(some) == [r for r in want if r[1] in (19, 39) and r[3] == "s2"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.replace("Filters", ""), plan
+    assert key(read().where("pos > 9 AND pos <= 29")) == [r for r in want if 9 < r[1] <= 29]
+    assert key(read().where("chrom = '2'")) == [] and key(read(samples="s1,s4")) == [r for r in want if r[3] in ("s1", "s4")]
+    assert key(read().where("base = 'N' AND pos >= 9")) == [r for r in want if r[4] == "N"]
+
+
+def test_pushed_positions_drop_lines():
+    """Cells of lines at other positions are never split."""
+    wanted = vcf_source.Wanted()
+    rest = [f for f in (In(("pos",), (3, 5, None)), GreaterThan(("pos",), 3), EqualTo(("base",), "A"), EqualTo(("s", "pos"), 1)) if not wanted.take(f)]
+    assert len(rest) == 2 and wanted.pushed == ["In(pos)", "GreaterThan(pos)"]
+    assert [p for p in range(8) if wanted.line("1", p)] == [5]
