@@ -323,7 +323,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_df: floa
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most two samples of ids are broadcast, whatever the input
     texts = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l")).select("doc_id", "toxic", "text")
-    texts = scratch.cut(texts.repartition("doc_id").dropDuplicates(["doc_id"]), "texts")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    texts = scratch.cut(texts.groupBy("doc_id", "toxic").agg(one.alias("text")), "texts")
     least = max(2, int(least_df * texts.count()))
     found = texts.select("text").mapInArrow(_document_terms, "h long").groupBy("h").count().where(F.col("count") >= least).select("h").toPandas()["h"]
     hashes = np.sort(found.to_numpy(np.int64).view(np.uint64))
@@ -352,7 +353,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted, evidence (nearest examples of its most suspect passage, id:cosine).
 
     Scores depend on the text alone, and an example never votes on its own text.  Null and empty texts, and those without a term of the vocabulary, get the lowest score.
-    Held-out rows (crc32(doc_id as text) mod 3 = 1; null ids are not) and unlabelled ones never teach.  Of several labels of an id the largest counts, of several texts any one;
+    Held-out rows (crc32(doc_id as text) mod 3 = 1; null ids are not) and unlabelled ones never teach.  Of several labels of an id the largest counts, of several texts the one of smallest hash;
     labels of unknown ids do nothing, and without labels all scores are 0.  Texts of any length are scored whole, in passages; examples
     as similar as the last neighbour all vote.  Repeated rows score alike.  Other columns are ignored; an empty table gives an empty result.
     """

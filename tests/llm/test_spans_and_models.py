@@ -14,9 +14,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from snpgrid.llm import pii, queries, secrets
+from snpgrid.llm import pii, quality, queries, secrets
 from snpgrid.llm.archive import read_archive, write_archive
+from snpgrid.llm.common import Scratch
 from snpgrid.llm.quality import resample
 from snpgrid.llm.toxicity import BlockMaxIndex, toxicity
 
@@ -455,3 +457,68 @@ def test_toxicity_long_texts_and_clashing_columns(spark):
     got = {r["doc_id"]: r for r in toxicity(docs, labels, most_df=1.0).collect()}
     assert len(got) == 152 and got[999]["score"] > got[998]["score"]
     assert sum(got[i]["score"] for i in range(0, 150, 3)) > sum(got[i]["score"] for i in range(1, 150, 3)) + 20
+
+
+def test_toxicity_of_repeated_ids_agrees_with_itself(spark):
+    """Of several texts of a labelled id the one of smallest hash teaches, wherever the rows lie."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefg", k=5)) for _ in range(60)]
+    text = lambda bad: " ".join(rng.choices(words, k=20) + (["vilevile"] if bad else []))
+    rows = [(i, text(i % 2)) for i in range(120)] + [(i, text(1 - i % 2)) for i in range(40)] + [(3, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    got = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + seed)
+        got.append({(r["doc_id"], r["evidence"], r["score"]) for r in toxicity(docs, labels).collect()})
+    assert got[0] == got[1]
+
+
+def brute_log_weights(docs, good, buckets):
+    """Log ratios of the smoothed models, word by word, with the buckets that the operator hashes a feature to."""
+    def counted(texts):
+        n = np.ones(buckets)
+        for t in texts:
+            np.add.at(n, quality._buckets([t.encode()], buckets)[1], 1)
+        return n
+
+    raw, target = counted([t or "" for _, t in docs]), counted([t or "" for i, t in docs if i in good])
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    return [ratio[quality._buckets([(t or "").encode()], buckets)[1]].sum() for _, t in docs]
+
+
+def test_quality_against_brute_force(spark):
+    """Weights, keys and the draw of the largest ones."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "É"], k=rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, ""), (7, "alpha beta")]
+    good = {i for i in range(0, 60, 3)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i in [*good, 999, 3, None]], "doc_id long")
+    buckets = 1 << 14
+    one, two = quality._buckets([b"alpha beta alpha"], buckets)
+    assert list(one) == [0] * 5 and two[0] == two[2] != two[1] and all(x < buckets // 2 for x in two[:3]) and all(x >= buckets // 2 for x in two[3:])
+    weights = brute_log_weights(rows, good, buckets)
+    got = sorted((r["doc_id"], round(r["log_weight"], 9)) for r in quality.log_weights(docs, ids, buckets).collect())
+    assert got == sorted((i, round(float(w), 9)) for (i, _), w in zip(rows, weights, strict=True))
+    keys = {}
+    frame = quality.log_weights(docs, ids, buckets).collect()
+    for r in frame:
+        u = (int(hashlib.md5(f"{quality.SEED}:{r['doc_id']}:{r['th']}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        keys[r["doc_id"], r["n_grams"]] = r["log_weight"] - np.log(-np.log(u))
+    drawn = resample(docs, ids, keep=0.3, buckets=buckets).collect()
+    assert len(drawn) == int(0.3 * len(rows) + 0.5)
+    assert {(r["doc_id"], r["n_grams"]) for r in drawn} == set(sorted(keys, key=keys.get, reverse=True)[: len(drawn)])
+    assert all(r["gumbel_key"] == pytest.approx(keys[r["doc_id"], r["n_grams"]]) for r in drawn)
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_largest_rows(spark, case):
+    """The k largest keys with ties by id, from many equal, close and far apart keys."""
+    rng = random.Random(case)
+    key = [lambda: rng.choice([1.0, 2.0]), lambda: rng.uniform(0, 1e-9) + 5, lambda: 10 ** rng.uniform(-5, 9), lambda: 3.0][case]
+    rows = [(i, key()) for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, w double").repartition(4)
+    for k in (0, 1, 700, 4999, 5000, 6000):
+        got = quality.largest(Scratch(spark, "t"), df, "w", [F.col("doc_id")], k).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k])
+    assert quality.largest(Scratch(spark, "t"), df.limit(0), "w", [F.col("doc_id")], 3).count() == 0
