@@ -2,13 +2,14 @@
 
 1. Documents with equal sets become one class, so copies are never compared.  A class links only if at most the share of its tokens that a link may lose occurs in no
    other class; tokens of a class alone are counted first in a fixed part of the token universe (enough to drop most classes), then, among those left, in all of it.
-2. Similar classes are put into groups: by the smallest token of the set, then in portions of ``GROUP``.
-3. The matrix holds each group's token union, one row per token and group, with the group's sizes and a bitmap of the union.
+2. Classes with one smallest token are similar; each is held against the most typical of them, and components are formed.
+3. Groups are components, or the classes of one smallest token that are in none, in portions of ``GROUP``.  The matrix holds each group's token union, one row per token and
+   group, with the group's sizes and a bitmap of the union.
 4. A query class orders its tokens by rarity.  A link of it shares at least one of its first tokens, as many as it may lose and one, so only groups that the matrix
-   names for those are looked at; of these, groups of no fitting size and groups whose union lacks, by the bitmaps, more of the query's tokens than a link loses are not opened.
-5. Classes are first held against the most typical class of their group key, and components are formed.  Opened groups then compare the query with members of
-   other components only, within the bounds of sizes and parity bitmaps, and on full sets.  So no pairs are made within what is linked already, and no link
-   between different components is left out.
+   names for those are looked at; of these, groups of the query's own component, of no fitting size, or whose union lacks, by the bitmaps, more of the query's tokens than a link
+   loses are not opened.
+5. Opened groups compare the query with members of other components, within the bounds of sizes and parity bitmaps, and on full sets.  So no pairs are made within what is
+   linked already, and no link between different components is left out.
 """
 
 from __future__ import annotations
@@ -116,10 +117,9 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, grou
     sets = scratch.cut(sets.withColumn("key", F.array_min("set")), "sets")
     scratch.drop("single", "single-2", "wanted", "full")
 
-    # groups: by smallest token, in portions of about ``group`` classes
+    # keys of similar classes: the smallest token of the set
     keys = sets.groupBy("key").agg(F.count("*").alias("m"))
-    grouped = join_unique(sets.select("c", "k", "n", "key"), keys, ["key"], F.col("m") >= hot_rows(total))
-    grouped = scratch.cut(grouped.withColumn("g", F.xxhash64("key", F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / group)))), "grouped")
+    keyed = scratch.cut(join_unique(sets.select("c", "k", "n", "key"), keys, ["key"], F.col("m") >= hot_rows(total)), "keyed")
 
     # rarity of the tokens that several classes hold, with each of its classes
     each = sets.select("k", "n", F.explode("set").alias("h"))
@@ -129,8 +129,9 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, grou
 
     # each class against the most typical one of its key: the one whose tokens most classes hold
     typical = held.groupBy("k").agg(F.sum("df").alias("w"))
-    hubs = grouped.where("m > 1").join(typical, "k", "left").groupBy("key").agg(F.max_by(F.struct("c", "n"), F.struct(F.coalesce("w", F.lit(0)) / F.col("n"), "c")).alias("hub"), F.count("*").alias("members"))
-    star = join_unique(grouped.where("m > 1").select("key", "c", "n"), hubs, ["key"], F.col("members") >= hot_rows(total)).where(F.col("c") != F.col("hub.c"))
+    several = keyed.where("m > 1")
+    hubs = several.join(typical, "k", "left").groupBy("key").agg(F.max_by(F.struct("c", "n"), F.struct(F.coalesce("w", F.lit(0)) / F.col("n"), "c")).alias("hub"), F.count("*").alias("members"))
+    star = join_unique(several.select("key", "c", "n"), hubs, ["key"], F.col("members") >= hot_rows(total)).where(F.col("c") != F.col("hub.c"))
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = star.where(fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.c").alias("a"), F.col("hub.n").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb"))
 
@@ -145,39 +146,42 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, grou
 
     first = confirmed(scratch.cut(star, "star"), "first")
     labels = components(scratch, first, "a", "b")
-    members = grouped.join(labels.withColumnRenamed("node", "c"), "c", "left").join(sets.select("c", "odd", "any"), "c")
-    members = scratch.cut(members.select("c", "k", "n", "g", F.coalesce("label", "c").alias("label"), "odd", "any"), "members")
+    # groups: a component of several classes, else the classes of one key, in portions of about ``group``
+    linked = labels.groupBy("label").agg(F.count("*").alias("together"))
+    mine = keyed.drop("m").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    mine = scratch.cut(join_unique(mine, linked, ["label"], F.col("together") >= hot_rows(total)).withColumn("kind", F.when(F.col("together") > 1, F.xxhash64("label")).otherwise(F.col("key"))), "mine")
+    kinds = mine.groupBy("kind").agg(F.count("*").alias("m"))
+    mine = join_unique(mine, kinds, ["kind"], F.col("m") >= hot_rows(total))
+    mine = mine.select("c", "k", "n", "label", F.xxhash64("kind", F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / group))).alias("g"))
+    members = scratch.cut(mine.join(sets.select("c", "odd", "any"), "c"), "members")
     union = F.array(*(F.bit_or(F.get("any", F.lit(w))) for w in range(CELLS // 64)))
-    groups = scratch.cut(members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("l0"), F.max("label").alias("l1"), union.alias("union")), "groups")
+    groups = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("l0"), F.max("label").alias("l1"), union.alias("union"))
+    groups = scratch.cut(groups.select("g", "least", "most", F.when(F.col("l0") == F.col("l1"), F.col("l0")).alias("one"), "union"), "groups")
 
-    # the matrix, and of each query the first tokens in order of rarity
-    matrix = held.join(grouped.select("k", "g"), "k").select("h", "g").distinct()
-    sizes = matrix.groupBy("h").agg(F.count("*").alias("gf"))
-    matrix = scratch.cut(join_unique(matrix, sizes, ["h"], F.col("gf") >= hot_rows(total)), "matrix")
-    # the smaller set of a link is the query, so a share of 2 * percent / (100 + percent) of its tokens is common
-    common = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
-    lost = F.col("n") - common
+    # of each query the first tokens in order of rarity; the smaller set of a link is the query, so a share of 2 * percent / (100 + percent) of its tokens is common
+    lost = lambda n: n - F.ceil(n * (2 * percent) / (100 + percent))
     own = held.groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ranked"))
     # tokens of no other class come first of all and lead nowhere
-    first_tokens = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), lost + 1 - (F.col("n") - F.size("ranked"))).cast("int"))
-    probes = scratch.cut(own.select("k", "n", F.explode(F.transform(first_tokens, lambda t: t["h"])).alias("h")), "probes")
-    hot = matrix.groupBy("h").agg(F.max("gf").alias("gf"))
-    probes = join_unique(probes, hot, ["h"], F.col("gf") >= hot_rows(total)).where("gf IS NOT NULL")
-    # rows of a frequent token are dealt in portions on the query's side
-    parts = F.floor(1 + F.col("gf") / PORTION)
-    probes = probes.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(F.col("h").alias("qh"), "p", "k")
-    named = matrix.withColumn("q", F.pmod(F.xxhash64("g"), parts))
-    seen = probes.join(named, (F.col("qh") == F.col("h")) & (F.col("p") == F.col("q"))).select("k", "g").distinct()
-    seen = scratch.cut(seen, "seen")
+    first_tokens = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), lost(F.col("n")) + 1 - (F.col("n") - F.size("ranked"))).cast("int"))
+    probes = scratch.cut(own.select("k", F.explode(F.transform(first_tokens, lambda t: t["h"])).alias("h")), "probes")
 
-    asked = members.select("c", "k", F.col("n").alias("na"), F.col("label").alias("la"), F.col("odd").alias("x"), F.col("any").alias("xa"))
-    popular = counted(seen, "g", groups, "g", scratch, "popular")
-    opened = join_unique(seen, popular, ["g"], F.col("_n") >= hot_rows(total)).join(asked, "k")
+    # the matrix, as far as queries name its tokens
+    asked_for = probes.groupBy("h").agg(F.count("*").alias("_n"))
+    matrix = join_unique(held.select("h", "k"), asked_for, ["h"], F.col("_n") >= hot_rows(total)).where("_n IS NOT NULL").select("h", "k")
+    matrix = scratch.cut(matrix.join(members.select("k", "g"), "k").select("h", "g").distinct(), "matrix")
+    sizes = matrix.groupBy("h").agg(F.count("*").alias("gf"))
+    # groups of a frequent token are dealt in portions, each of which meets a copy of the token's queries
+    parts = F.floor(1 + F.col("gf") / PORTION)
+    rows = join_unique(matrix, sizes, ["h"], F.col("gf") >= hot_rows(total)).withColumn("q", F.pmod(F.xxhash64("g"), parts)).select("h", "q", "g").join(groups, "g")
+    asked = members.select("k", F.col("n").alias("na"), F.col("label").alias("la"), F.col("any").alias("xa"))
+    queries = join_unique(probes, sizes, ["h"], F.col("gf") >= hot_rows(total)).where("gf IS NOT NULL")
+    queries = queries.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(F.col("h").alias("qh"), "p", "k").join(asked, "k")
     lacking = _cells(lambda w: F.get("xa", F.lit(w)).bitwiseAND(F.bitwise_not(F.get("union", F.lit(w)))))
     fitting = (F.col("most") >= F.col("na")) & (F.col("least") * percent <= F.col("na") * 100)
-    other = (F.col("l0") != F.col("l1")) | (F.col("la") != F.col("l0"))
-    bound = lacking <= F.col("na") - F.ceil(F.col("na") * (2 * percent) / (100 + percent))
-    opened = scratch.cut(opened.where(fitting & other & bound).select(F.col("c").alias("a"), "na", "la", "x", "g"), "opened")
+    qualifies = fitting & ~F.col("la").eqNullSafe(F.col("one")) & (lacking <= lost(F.col("na")))
+    seen = queries.join(rows, (F.col("qh") == F.col("h")) & (F.col("p") == F.col("q")) & qualifies).select("k", "g").distinct()
+    seen = scratch.cut(seen, "seen")
+    opened = seen.join(members.select("k", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("odd").alias("x")), "k").drop("k")
     inside = members.select(F.col("g").alias("gy"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("odd").alias("y"))
     total_n = F.col("na") + F.col("nb")
     differ = _cells(lambda w: F.get("x", F.lit(w)).bitwiseXOR(F.get("y", F.lit(w))))
@@ -198,7 +202,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, grou
     named = scratch.cut(join_unique(named, reach, ["label"], F.col("_n") >= hot_rows(total)).select("c", "rep", "size", "n_links", F.coalesce("final", "label").alias("label")), "final")
     ids = named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("_n"))
     named = scratch.cut(join_unique(named, ids, ["label"], F.col("_n") >= hot_rows(total)).select("c", "component", "size", "n_links"), "named")
-    scratch.drop("sets", "grouped", "df", "held", "star", "first", "members", "groups", "matrix", "probes", "seen", "popular", "opened", "pairs", "second", "labelled", "reach", "final", "classes")
+    scratch.drop("sets", "keyed", "df", "held", "star", "first", "mine", "members", "groups", "matrix", "probes", "seen", "pairs", "second", "labelled", "reach", "final", "classes")
     out = join_unique(base.select("doc_id", "text_hash", "n_shingles", "c"), named, ["c"], F.col("size") >= hot_rows(total))
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash")
