@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 An example is a passage (``PASSAGE`` consecutive words) of a labelled document; documents are scored by their most suspect passage, so one insult is
-not diluted by the text around it.  Terms are words and word beginnings, chosen without a look at labels: those in at least ``LEAST_DF`` of the example
-documents and at most ``MOST_DF`` of all documents, weighted by their frequency over all documents.  The most similar examples of a
+not diluted by the text around it.  Terms are words and word beginnings: those in at least ``LEAST_DF`` of the example
+documents and either in at most ``MOST_DF`` of all documents or ``TELLING`` times as frequent in the examples of label 1, weighted by their frequency over all documents.  The most similar examples of a
 passage are found exactly: examples are clustered by their heaviest term before they are cut into blocks, blocks are taken in the order of their upper bounds
 (query weights times the block's largest weights), and all those whose bound reaches the k-th best cosine so far are scored.
 The neighbours' labels vote by similarity, weighted by how many labelled documents of the label an example stands for; the
@@ -28,6 +28,8 @@ SAMPLE, SAMPLE_PASSAGES = 600, 800
 PASSAGE, PREFIXES, BLOCK, K, CALM, DRAWN = 4, (5, 6), 512, 15, 0.5, 10
 #: Least share of the examples and largest share of all documents that may hold a term; what the query predicts from.
 LEAST_DF, MOST_DF, THRESHOLD = 0.01, 0.05, 0.7
+#: A term of more documents than that is used if it is so many times as frequent in the examples of label 1.
+TELLING = 2.0
 #: Passages that a task searches for at a time.
 AT_ONCE = 6000
 
@@ -326,14 +328,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_df: floa
     one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
     texts = scratch.cut(texts.groupBy("doc_id", "toxic").agg(one.alias("text")), "texts")
     least = max(2, int(least_df * texts.count()))
-    found = texts.select("text").mapInArrow(_document_terms, "h long").groupBy("h").count().where(F.col("count") >= least).select("h").toPandas()["h"]
-    hashes = np.sort(found.to_numpy(np.int64).view(np.uint64))
+    held = [texts.where(F.col("toxic") == y).select("text").mapInArrow(_document_terms, "h long").select("h", F.lit(y).alias("y")) for y in (0, 1)]
+    of = lambda y: F.sum(F.when(F.col("y") == y, 1).otherwise(0)).alias(f"n{y}")
+    found = held[0].unionByName(held[1]).groupBy("h").agg(of(0), of(1)).where(F.col("n0") + F.col("n1") >= least).toPandas()
+    found = found.iloc[np.argsort(found["h"].to_numpy(np.int64).view(np.uint64))]
+    hashes = found["h"].to_numpy(np.int64).view(np.uint64)
+    taught = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
+    rate = [(found[f"n{y}"].to_numpy(float) + 0.5) / (taught.get(y, 0) + 1) for y in (0, 1)]
+    telling = rate[1] >= TELLING * rate[0]
     df, n = np.zeros(len(hashes), np.int64), 0
     if len(hashes):
         counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies(hashes), "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).toPandas()
         t, c = counted["t"].to_numpy(np.int64), counted["df"].to_numpy(np.int64)
         df[t[t >= 0]], n = c[t >= 0], int(c[t < 0].sum())
-    common = df <= max(most_df * n, 2)
+    # frequent terms stay if they tell the labels apart
+    common = (df <= max(most_df * n, 2)) | telling
     vocabulary = Vocabulary(hashes[common], np.log((n + 1) / (df[common] + 1)) + 1)
     examples = texts.mapInArrow(_examples(vocabulary, SAMPLE_PASSAGES), EXAMPLE).orderBy("doc_id").toArrow()
     model = Model(vocabulary, examples, tuple(max(1.0, count.get(y, 0) / max(sample, 1)) for y in (0, 1)))

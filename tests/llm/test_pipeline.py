@@ -7,11 +7,13 @@ from collections import Counter
 
 import corpus_pipeline
 from snpgrid.llm import queries
+from snpgrid.llm.mixing import mix_plan
+from snpgrid.llm.toxicity import THRESHOLD, toxicity
 
 
 def test_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -106,3 +108,33 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_toxicity_stage_rejects(spark, tmp_path):
+    """Documents that the operator scores at the threshold or above go, labelled or not, and all others stay as they are."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    insult = lambda: rng.choice(["vilelings", "rotheads"])
+    text = lambda bad: " ".join(w for k in range(10) for w in (*rng.choices(words, k=4), *([insult(), insult()] if bad and k in (3, 7) else [])))
+    rows = [(i, text(i % 4 == 0), "en", f"s{i % 3}", i) for i in range(400)] + [(900, None, "en", None, 0), (901, "", "en", "s0", 0), (None, text(False), "en", "s0", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    scored = toxicity(docs, labels.select("doc_id", "toxic")).collect()
+    want = Counter(r["doc_id"] for r in scored if r["score"] < THRESHOLD)
+    left = Counter(r["doc_id"] for r in kept.collect())
+    assert left == want
+    bad = {i for i in range(400) if i % 4 == 0}
+    assert len(bad - set(left)) >= 0.8 * len(bad) and set(range(400)) - bad <= set(left) and {900, 901, None} <= set(left)
+
+
+def test_mixing_stage_follows_its_plan(spark, tmp_path):
+    rows = [(i, "w " * (1 + i % 50), "en", f"s{i % 7}" if i % 3 else "hot", 0) for i in range(300)] + [(None, "a b", "en", None, 1), (5, "x", "en", "s5", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = Counter((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect())
+    plan = Counter()
+    for r in mix_plan(docs).collect():
+        plan[r["row"]["doc_id"], r["row"]["text"], r["row"]["source"]] += r["copies"]
+    assert mixed == +plan
