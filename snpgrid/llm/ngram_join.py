@@ -6,8 +6,8 @@
 3. Groups are components, or the classes of one smallest token that are in none, in portions of ``GROUP``.  The matrix holds each group's token union, one row per token and
    group, with the group's sizes and a bitmap of the union.
 4. A query class orders its tokens by rarity.  A link of it shares at least one of its first tokens, as many as it may lose and one, so only groups that the matrix
-   names for those are looked at; of these, groups of the query's own component, of no fitting size, or whose union lacks, by the bitmaps, more of the query's tokens than a link
-   loses are not opened.
+   names for those are looked at; of these, groups of the query's own component, of no fitting size, or whose union lacks more of the query's tokens than a link loses (those
+   in no other class, and of the others as many as the bitmaps show) are not opened.
 5. Opened groups compare the query with members of other components, within the bounds of sizes and parity bitmaps, and on full sets.  So no pairs are made within what is
    linked already, and no link between different components is left out.
 """
@@ -47,9 +47,10 @@ def _classes(k: int, universe: int):
     return run
 
 
-def _bitmap(s: np.ndarray, parity: bool) -> bytes:
+def _odd(s: np.ndarray) -> np.ndarray:
+    """Bitmap of the cells that hold an odd number of tokens."""
     n = np.bincount(((s >> np.uint64(7)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-    return np.packbits((n & 1 if parity else n > 0).astype(np.uint8))
+    return np.packbits((n & 1).astype(np.uint8))
 
 
 def _full_sets(k: int):
@@ -59,9 +60,9 @@ def _full_sets(k: int):
                 sets = [s for s in _sets(texts, k) if len(s)]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-                maps = [np.concatenate([_bitmap(s, p) for s in sets]).view(np.int64) if sets else np.zeros(0, np.int64) for p in (True, False)]
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(m), CELLS // 64).cast(pa.list_(pa.int64())) for m in maps]
-                yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *lists], ["c", "set", "odd", "any"])
+                odd = pa.array(np.concatenate(list(map(_odd, sets))).view(np.int64) if sets else np.zeros(0, np.int64))
+                odd = pa.FixedSizeListArray.from_arrays(odd, CELLS // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), odd], ["c", "set", "odd"])
 
     return run
 
@@ -109,11 +110,11 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, grou
     left = classes.join(alone, "k", "left").where(F.coalesce("single", F.lit(0)) <= loses)
     wanted = scratch.cut(left.select(F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h")), "wanted")
     text = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(F.col("d")) & (docs["text_hash"] == F.col("h")), "left_semi").select("text")
-    full = text.mapInArrow(_full_sets(words), "c binary, set array<bigint>, odd array<bigint>, any array<bigint>")
-    full = full.groupBy("c").agg(F.first(F.struct("set", "odd", "any")).alias("v")).select("c", F.xxhash64("c").alias("k"), F.size("v.set").cast("long").alias("n"), "v.*")
+    full = text.mapInArrow(_full_sets(words), "c binary, set array<bigint>, odd array<bigint>")
+    full = full.groupBy("c").agg(F.first(F.struct("set", "odd")).alias("v")).select("c", F.xxhash64("c").alias("k"), F.size("v.set").cast("long").alias("n"), "v.*")
     full = scratch.cut(full, "full")
     alone = scratch.cut(single_tokens(full, "set"), "single-2")
-    sets = full.join(alone, "k", "left").where(F.coalesce("single", F.lit(0)) <= loses).drop("single")
+    sets = full.join(alone, "k", "left").withColumn("single", F.coalesce("single", F.lit(0).cast("long"))).where(F.col("single") <= loses)
     sets = scratch.cut(sets.withColumn("key", F.array_min("set")), "sets")
     scratch.drop("single", "single-2", "wanted", "full")
 
@@ -126,6 +127,11 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, grou
     df = scratch.cut(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "df")
     held = join_unique(each, df, ["h"], F.col("df") >= hot_rows(total)).where("df IS NOT NULL")
     held = scratch.cut(held, "held")
+    # bitmaps of the tokens that several classes hold
+    cell = F.pmod(F.shiftrightunsigned("h", 7), F.lit(CELLS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int"))
+    words_of_map = F.array(*(F.bit_or(F.when(F.floor(cell / 64) == w, bit).otherwise(F.lit(0).cast("long"))) for w in range(CELLS // 64)))
+    maps = held.groupBy("k").agg(words_of_map.alias("any"))
 
     # each class against the most typical one of its key: the one whose tokens most classes hold
     typical = held.groupBy("k").agg(F.sum("df").alias("w"))
@@ -153,7 +159,9 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, grou
     kinds = mine.groupBy("kind").agg(F.count("*").alias("m"))
     mine = join_unique(mine, kinds, ["kind"], F.col("m") >= hot_rows(total))
     mine = mine.select("c", "k", "n", "label", F.xxhash64("kind", F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / group))).alias("g"))
-    members = scratch.cut(mine.join(sets.select("c", "odd", "any"), "c"), "members")
+    nothing = F.array(*(F.lit(0).cast("long") for _ in range(CELLS // 64)))
+    members = mine.join(sets.select("c", "odd", "single"), "c").join(maps, "k", "left").withColumn("any", F.coalesce("any", nothing))
+    members = scratch.cut(members, "members")
     union = F.array(*(F.bit_or(F.get("any", F.lit(w))) for w in range(CELLS // 64)))
     groups = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("l0"), F.max("label").alias("l1"), union.alias("union"))
     groups = scratch.cut(groups.select("g", "least", "most", F.when(F.col("l0") == F.col("l1"), F.col("l0")).alias("one"), "union"), "groups")
@@ -173,12 +181,12 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, grou
     # groups of a frequent token are dealt in portions, each of which meets a copy of the token's queries
     parts = F.floor(1 + F.col("gf") / PORTION)
     rows = join_unique(matrix, sizes, ["h"], F.col("gf") >= hot_rows(total)).withColumn("q", F.pmod(F.xxhash64("g"), parts)).select("h", "q", "g").join(groups, "g")
-    asked = members.select("k", F.col("n").alias("na"), F.col("label").alias("la"), F.col("any").alias("xa"))
+    asked = members.select("k", F.col("n").alias("na"), F.col("label").alias("la"), "single", F.col("any").alias("xa"))
     queries = join_unique(probes, sizes, ["h"], F.col("gf") >= hot_rows(total)).where("gf IS NOT NULL")
     queries = queries.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(F.col("h").alias("qh"), "p", "k").join(asked, "k")
     lacking = _cells(lambda w: F.get("xa", F.lit(w)).bitwiseAND(F.bitwise_not(F.get("union", F.lit(w)))))
     fitting = (F.col("most") >= F.col("na")) & (F.col("least") * percent <= F.col("na") * 100)
-    qualifies = fitting & ~F.col("la").eqNullSafe(F.col("one")) & (lacking <= lost(F.col("na")))
+    qualifies = fitting & ~F.col("la").eqNullSafe(F.col("one")) & (lacking + F.col("single") <= lost(F.col("na")))
     seen = queries.join(rows, (F.col("qh") == F.col("h")) & (F.col("p") == F.col("q")) & qualifies).select("k", "g").distinct()
     seen = scratch.cut(seen, "seen")
     opened = seen.join(members.select("k", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("odd").alias("x")), "k").drop("k")
