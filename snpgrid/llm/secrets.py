@@ -1,10 +1,10 @@
 """Secrets in whole texts: fixed patterns, and a probabilistic automaton inferred from labelled credentials.
 
 The credentials that the patterns label are the positive sample, but for those that are plain numbers, whose format says nothing; each counts in both cases of its
-letters.  Their character classes form a prefix tree; states whose continuation frequencies agree within a Hoeffding bound are merged (red-blue order) into a
-probabilistic automaton.  Every other credential-like token of the corpus is scored by its mean log-likelihood a character under the automaton, less that under the best of
+letters.  A probabilistic automaton over their character classes is learned in rounds: each counts, over all of them, what follows the ways that lead out of the states
+known so far, and a way joins the first state whose continuation frequencies agree within a Hoeffding bound, or becomes a state.  Every other credential-like token of the corpus is scored by its mean log-likelihood a character under the automaton, less that under the best of
 three models of what is ordinary: a chain of characters counted over all other distinct tokens, words, and numbers with separators (dates, versions, addresses).  The cut is
-the score that few ordinary tokens reach, or few labelled credentials miss if that is lower, among those that no model was fitted on, and not below 0.
+the score that few ordinary tokens reach, or few labelled credentials miss if that is lower, among all those that no model was fitted on, and not below 0.
 """
 
 from __future__ import annotations
@@ -13,19 +13,19 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import LOWER, UPPER, Scratch
 
 KINDS = ("assign", "access", "hex")
-#: Distinct labelled credentials that the automaton is fitted on (those of smallest hash), and the characters of each from the start on.
-SAMPLE, SAMPLE_LENGTH = 3000, 200
 LEAST_LENGTH, ALPHA = 12, 0.05
+#: Classes that follow a state, by which it is told from others; bins of a round that seeks a score by its rank.
+LOOK, BINS = 4, 1024
 #: One in ``FOLD`` credentials and tokens (by checksum) is held out for the cut; few are ``LOW`` of the held-out credentials and ``HIGH`` of the held-out tokens, which may hold credentials of other formats.
 FOLD, LOW, HIGH = 5, 0.05, 0.05
 #: Share of a model's probability that is spread over all characters alike: of what is ordinary, and of the automaton, whose formats other credentials share in part.
@@ -40,6 +40,9 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST_LENGTH)
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
 _CLASS = {c: i for i, chars in enumerate(CLASSES) for c in chars}
 END = len(CLASSES)
+#: A letter for each class and for the end.
+_ENDED = "abcdefghijkl"
+_LETTERS = str.maketrans({**{c: _ENDED[k] for c, k in _CLASS.items()}, "$": _ENDED[END]})
 ALPHABET = "".join(CLASSES)
 _AT = {c: i for i, c in enumerate(ALPHABET)}
 #: Of a token's start (or, as a next character, its end) in the chain of characters.
@@ -71,76 +74,101 @@ def tokens(t: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int
     return out
 
 
-class Automaton:
-    """Probabilistic automaton over character classes, from a prefix tree by merging compatible states."""
+def _following(known: list[dict[int, int]]):
+    """Counts (state, class, what follows) of each word's first way out of the ``known`` ones; what follows are up to ``LOOK`` classes or the end, a letter each.  Without states: of the words' starts."""
+
+    def run(words: Iterable[str]) -> Counter:
+        out: Counter = Counter()
+        for w in words:
+            s, k, i = 0, -1, 0
+            while known and i < len(w):
+                k, i = _CLASS[w[i]], i + 1
+                if k not in known[s]:
+                    break
+                s = known[s][k]
+            else:
+                if known:
+                    continue
+            out[s, k, (w[i : i + LOOK] + "$")[:LOOK].translate(_LETTERS)] += 1
+        return out
+
+    return run
+
+
+def _passing(known: list[dict[int, int]]):
+    """Counts (state, class or end) over the words' whole ways."""
 
-    def __init__(self, words: list[str], alpha: float = ALPHA):
-        self.count: list[Counter] = [Counter()]
-        self.next: list[dict[int, int]] = [{}]
+    def run(words: Iterable[str]) -> Counter:
+        out: Counter = Counter()
         for w in words:
             s = 0
             for c in w:
                 k = _CLASS[c]
-                self.count[s][k] += 1
-                if k not in self.next[s]:
-                    self.next[s][k] = len(self.next)
-                    self.next.append({})
-                    self.count.append(Counter())
-                s = self.next[s][k]
-            self.count[s][END] += 1
-        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge_all()
+                out[s, k, ""] += 1
+                s = known[s][k]
+            out[s, END, ""] += 1
+        return out
+
+    return run
+
 
-    def _compatible(self, a: int, b: int) -> bool:
-        """Whether two states, and all that follow both in common, agree within the Hoeffding bound."""
-        todo, met = [(a, b)], {(a, b)}
+class Automaton:
+    """Probabilistic automaton over character classes.  ``words``: a list, or what gives the sum of a counting function over all words."""
+
+    def __init__(self, words: list[str] | Callable[[Callable[[Iterable[str]], Counter]], Counter], alpha: float = ALPHA):
+        total = words if callable(words) else lambda of: of(words)
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self.next: list[dict[int, int]] = []
+        self._after: list[Counter] = []
+        while ways := self._ways(total(_following(self.next))):
+            self._settle(ways)
+        self.next = self.next or [{}]
+        self.states = list(range(len(self.next)))
+        self.count: list[Counter] = [Counter() for _ in self.states]
+        for (s, k, _), n in total(_passing(self.next)).items():
+            self.count[s][k] += n
+        self._finish()
+
+    @staticmethod
+    def _ways(counted: Counter) -> dict[tuple[int, int], Counter]:
+        """By way, how many words go on with each beginning of what follows."""
+        ways: dict[tuple[int, int], Counter] = {}
+        for (s, k, rest), n in counted.items():
+            after = ways.setdefault((s, k), Counter())
+            for i in range(len(rest) + 1):
+                after[rest[:i]] += n
+        return ways
+
+    def _compatible(self, a: Counter, b: Counter) -> bool:
+        """Whether two states, and what follows both in common, agree within the Hoeffding bound."""
+        todo = [""]
         while todo:
-            a, b = todo.pop()
-            n, m = sum(self.count[a].values()), sum(self.count[b].values())
-            if not n or not m:
-                continue
+            x = todo.pop()
+            n, m = a[x], b[x]
             gap = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if any(abs(self.count[a][k] / n - self.count[b][k] / m) > gap for k in self.count[a].keys() | self.count[b].keys()):
+            if gap < 1 and any(abs(a[x + k] / n - b[x + k] / m) > gap for k in _ENDED):
                 return False
-            after = {(self.next[a][k], self.next[b][k]) for k in self.next[a].keys() & self.next[b].keys()} - met
-            met |= after
-            todo += after
+            todo += [x + k for k in _ENDED[:END] if len(x) + 1 < LOOK and x + k in a and x + k in b]
         return True
 
-    def _fold(self, red: int, blue: int) -> None:
-        todo = [(red, blue)]
-        while todo:
-            r, b = todo.pop()
-            if r == b:
-                continue
-            self.count[r].update(self.count[b])
-            for k, t in self.next[b].items():
-                if k in self.next[r]:
-                    todo.append((self.next[r][k], t))
-                else:
-                    self.next[r][k] = t
-
-    def _merge_all(self) -> None:
-        """Takes states in order of their number of words; each is merged into the first settled state that it is compatible with, or settled itself."""
-        red = [0]
-        seen = {0}
-        while True:
-            blue = [(-sum(self.count[t].values()), r, k, t) for r in red for k, t in self.next[r].items() if t not in seen]
-            if not blue:
-                break
-            _, r, k, t = min(blue)
-            target = next((x for x in red if self._compatible(x, t)), None)
+    def _settle(self, ways: dict[tuple[int, int], Counter]) -> None:
+        """Takes ways in order of their number of words; each joins the first state that it is compatible with, or becomes one."""
+        for (s, k), after in sorted(ways.items(), key=lambda w: (-w[1][""], w[0])):
+            target = next((t for t, known in enumerate(self._after) if self._compatible(known, after)), None)
             if target is None:
-                red.append(t)
-                seen.add(t)
+                target = len(self.next)
+                self.next.append({})
+                self._after.append(after)
             else:
-                self.next[r][k] = target
-                self._fold(target, t)
-        self.states = red
-        self.log = [{}] * len(self.next)
-        for s in red:
-            n = sum(self.count[s].values())
-            self.log[s] = {k: math.log((1 - LOOSE) * self.count[s][k] / n / (len(CLASSES[k]) if k < END else 1) + _OPEN) for k in range(END + 1)}
+                self._after[target].update(after)
+            if k >= 0:
+                self.next[s][k] = target
+
+    def _finish(self) -> None:
+        self.log = []
+        for count in self.count:
+            n = max(sum(count.values()), 1)
+            self.log.append({k: math.log((1 - LOOSE) * count[k] / n / (len(CLASSES[k]) if k < END else 1) + _OPEN) for k in range(END + 1)})
 
     def score(self, w: str) -> float:
         """Mean log-likelihood a character."""
@@ -195,13 +223,10 @@ def is_number(w: str) -> bool:
 
 
 class Scorer:
-    """``labelled``: credentials.  ``finish`` adds what is learned from all other tokens."""
+    """``automaton``: of the labelled credentials, if there are any.  ``finish`` adds what is learned from all other tokens; from ``least`` on a token is a credential."""
 
-    def __init__(self, labelled: list[str]):
-        formats = [w for w in labelled if not is_number(w)]
-        self.aside = [w for w in formats if held_out(w)] or formats
-        fitted = [w for w in formats if not held_out(w)] or formats
-        self.automaton = Automaton([v for w in fitted for v in dict.fromkeys((w, w.swapcase()))]) if fitted else None
+    def __init__(self, automaton: Automaton | None):
+        self.automaton = automaton
         self.chain: list[list[float]] | None = None
         self.least = math.inf
 
@@ -218,15 +243,10 @@ class Scorer:
         """Whether a token is counted in the chain: it is not held out, and the automaton does not explain it better than words or numbers do."""
         return not held_out(w) and self.score(w) < 0
 
-    def finish(self, chain: np.ndarray, ordinary: list[str]) -> None:
-        """``chain``: counts of the characters of ordinary tokens; ``ordinary``: tokens that it does not count."""
+    def finish(self, chain: np.ndarray) -> None:
+        """``chain``: counts of the characters of ordinary tokens."""
         # a pair that is counted once may be the scored token's own, so each counts one less
         self.chain = np.log((1 - SPREAD) * np.maximum(chain - 1, 0) / np.maximum(chain.sum(axis=1, keepdims=True), 1) + _ANY).tolist()
-        good, plain = sorted(map(self.score, self.aside)), sorted(map(self.score, ordinary), reverse=True)
-        low = good[int(LOW * len(good))] if good else math.inf
-        high = plain[int(HIGH * len(plain))] if plain else low
-        # not below 0, where a token is as well explained as something ordinary
-        self.least = max(0.0, min(low, high)) if good else math.inf
 
 
 def held_out(w: str) -> bool:
@@ -282,24 +302,79 @@ def ordinary_chain(words: DataFrame, scorer: Scorer) -> np.ndarray:
     return out
 
 
-def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def _total(words: DataFrame):
+    """Gives the sum of a counting function over all ``words`` (x): a row a counted key reaches the driver."""
+
+    def total(of: Callable[[Iterable[str]], Counter]) -> Counter:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: Counter = Counter()
+            for batch in batches:
+                out.update(of(batch.column(0).to_pylist()))
+            columns = list(zip(*((*k, n) for k, n in out.items()), strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["s", "k", "rest", "n"])
+
+        rows = words.select("x").mapInArrow(run, "s long, k long, rest string, n long").groupBy("s", "k", "rest").agg(F.sum("n").alias("n"))
+        return Counter({(r["s"], r["k"], r["rest"]): r["n"] for r in rows.collect()})
+
+    return total
+
+
+def _rated(scorer: Scorer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(scorer.score, batch.column(0).to_pylist()), pa.float64())], ["score"])
+
+    return run
+
+
+def ranked(scores: DataFrame, rank: int) -> float:
+    """The score (column score, no nulls) of that rank from 0 on, smallest first: by counts of ever narrower bins, so no task and not the driver holds the scores."""
+    lo, hi = scores.agg(F.min("score"), F.max("score")).first()
+    while lo < hi:
+        at = F.least(F.floor((F.col("score") - lo) / (hi - lo) * BINS), F.lit(BINS - 1))
+        bins = scores.where(F.col("score").between(lo, hi)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+        for r in sorted(bins.collect(), key=lambda r: r["bin"]):
+            if rank < r["n"]:
+                lo, hi = r["lo"], r["hi"]
+                break
+            rank -= r["n"]
+    return lo
+
+
+def fit(labelled: DataFrame, words: DataFrame, scratch: Scratch) -> Scorer:
+    """The scorer of all distinct credentials ``labelled`` (x) and all distinct other tokens ``words`` (x), both written tables; one in ``FOLD`` of both sets the cut."""
+    held = F.crc32(F.col("x").cast("binary")) % FOLD == 0
+    formats = labelled.where(~F.col("x").rlike("^[0-9+/_.=-]+$"))  # as is_number says
+    n, n_held = formats.agg(F.count("*"), F.count_if(held)).first()
+    if not n:
+        return Scorer(None)
+    good = formats.where(held) if n_held else formats
+    fitted = formats.where(~held) if n_held < n else formats
+    both = F.array_distinct(F.array("x", F.translate("x", LOWER + UPPER, UPPER + LOWER)))
+    scorer = Scorer(Automaton(_total(scratch.cut(fitted.select(F.explode(both).alias("x")), "fitted"))))
+    scorer.finish(ordinary_chain(words, scorer))
+    good = scratch.cut(good.select("x").mapInArrow(_rated(scorer), "score double"), "good")
+    plain = scratch.cut(words.where(held).select("x").mapInArrow(_rated(scorer), "score double"), "plain")
+    low = ranked(good, int(LOW * (n_held or n)))
+    n_plain = plain.count()
+    high = ranked(plain, n_plain - 1 - int(HIGH * n_plain)) if n_plain else low
+    # not below 0, where a token is as well explained as something ordinary
+    scorer.least = max(0.0, min(low, high))
+    return scorer
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end, base) of each row of ``docs`` (doc_id, text), by start, then kind.
 
-    Whole texts are searched; null counts as empty.  The automaton is fitted on at most ``sample`` distinct labelled
-    credentials (their first ``SAMPLE_LENGTH`` characters), the ones of smallest hash (so reruns agree), the chain on all distinct ordinary tokens, the cut with at most ``sample`` held-out tokens; without
-    labelled credentials other than numbers nothing is inferred.
+    Whole texts are searched; null counts as empty.  The automaton is fitted on all distinct labelled credentials that are not held out, the chain on all distinct
+    ordinary tokens, the cut with all held-out ones of both, each whole; without labelled credentials other than numbers nothing is inferred.
     Tokens of any length are scored whole; ties of start are ordered by kind, an inferred span last.
     Repeated rows and null ids give a row each; other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     schema = "doc_id long, found array<struct<start:long,kind:long,end:long,text:string>>, tokens array<struct<start:long,end:long,text:string>>"
     rows = scratch.cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, schema), "rows")
-
-    texts = rows.select(F.explode("found.text").alias("x")).select(F.substring("x", 1, SAMPLE_LENGTH).alias("x")).distinct()
-    labelled = [r[0] for r in texts.orderBy(F.xxhash64("x"), "x").limit(sample).collect()]
+    labelled = scratch.cut(rows.select(F.explode("found.text").alias("x")).distinct(), "labelled")
     words = scratch.cut(rows.select(F.explode("tokens.text").alias("x")).distinct(), "words")
-    aside = words.where(F.crc32(F.col("x").cast("binary")) % FOLD == 0)
-    ordinary = [r[0] for r in aside.select(F.substring("x", 1, SAMPLE_LENGTH).alias("x")).orderBy(F.xxhash64("x"), "x").limit(sample).collect()]
-    scorer = Scorer(labelled)
-    scorer.finish(ordinary_chain(words, scorer), ordinary)
+    scorer = fit(labelled, words, scratch)
     return rows.mapInArrow(_score(scorer), "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")

@@ -191,6 +191,39 @@ def test_secret_precision_and_recall(spark):
     assert not any(out[i] for i, _ in rows if i < 10_000)
 
 
+def test_secret_models_read_every_token(spark, monkeypatch):
+    """Counts of the automaton cover all labelled credentials, whole, and the cut is an exact rank over all held-out tokens."""
+    rng = random.Random(21)
+    key = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    labelled = [*{key(16 + i % 5) for i in range(3600)}, key(900)]
+    words = [*{"".join(rng.choices("etaoinshrdlu", k=14)) + key(i % 9) for i in range(16_000)}]
+    text = " ".join([f"token={w}" for w in labelled] + words)
+    made = []
+    monkeypatch.setattr(secrets, "_score", lambda scorer, f=secrets._score: made.append(scorer) or f(scorer))
+    secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    (got,) = made
+    held = lambda w: zlib.crc32(w.encode()) % secrets.FOLD == 0
+    # a format of digits alone says nothing; the tokens that no pattern holds whole are the words and the "token=..." around labelled ones are base spans
+    formats = [w for w in labelled if not secrets.is_number(w)]
+    fitted = [v for w in formats if not held(w) for v in dict.fromkeys((w, w.swapcase()))]
+    assert len(fitted) > 2 * 2500
+    assert sum(c[secrets.END] for c in got.automaton.count) == len(fitted)
+    assert sum(sum(c.values()) for c in got.automaton.count) == sum(len(w) + 1 for w in fitted)
+    assert secrets.Automaton(fitted).log == got.automaton.log  # in tasks as at once
+    good = sorted(got.score(w) for w in formats if held(w))
+    plain = sorted((got.score(w) for w in words if held(w)), reverse=True)
+    assert len(plain) > 3000
+    assert got.least == max(0.0, min(good[int(secrets.LOW * len(good))], plain[int(secrets.HIGH * len(plain))]))
+
+
+def test_secret_ranks_are_exact(spark):
+    rng = random.Random(22)
+    for values in ([rng.gauss(0, 1) for _ in range(3000)], [0.25] * 40 + [0.5], [-1e300, 3.0, 3.0 + 1e-12, 3.0 + 2e-12], [7.0]):
+        rows = spark.createDataFrame([(v,) for v in values], "score double")
+        for rank in {0, len(values) // 3, len(values) - 1}:
+            assert secrets.ranked(rows, rank) == sorted(values)[rank]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_automaton_is_a_distribution(seed):
     """Over all words the probabilities sum to 1: those of up to 7 characters and of the ways that go on are all."""
