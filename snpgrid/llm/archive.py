@@ -24,6 +24,10 @@ from .common import Scratch, hot_rows, join_unique
 MAGIC, END = b"WARC/1.0\r\n", b"\r\n\r\n"
 #: Records a file holds at most.
 FILE_RECORDS = 20_000
+#: Payload bytes for which one more task writes.
+TASK_BYTES = 16 << 20
+#: Parts of the bitmap of repeated digests and bits of one (those of Spark's bitmap functions); if most bits are set, more payloads are moved than need be, with the same results.
+MARKS, PART_BITS = 1024, 32_768
 
 _HEADER = re.compile(rb"((?:[A-Za-z0-9-]+:[^\r\n]*\r\n)+)\r\n")
 _FIELD = re.compile(rb"([A-Za-z0-9-]+):\x20?([^\r\n]*)\r\n")
@@ -44,6 +48,25 @@ def base32(hexed: Column) -> Column:
     return F.concat(*out)
 
 
+def _slot(sha: str) -> tuple[Column, Column]:
+    """Part and bit of a digest in a bitmap of ``MARKS`` parts."""
+    h = F.xxhash64(sha)
+    return F.pmod(h, F.lit(MARKS)), F.pmod(F.shiftright(h, 32), F.lit(PART_BITS))
+
+
+def _marks(groups: DataFrame) -> DataFrame:
+    """Bitmap (part, bits) of the digests (sha) of ``groups``: at most ``MARKS`` rows of 4 KB, however many digests there are."""
+    part, bit = _slot("sha")
+    return groups.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+
+
+def _marked(sha: str) -> Column:
+    """Whether ``bits`` holds a digest; it may hold others' bits, but misses none of its own."""
+    bit = _slot(sha)[1]
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1
+
+
 def write_archive(pages: DataFrame, path: str, revisit_bytes: int = 0, file_records: int = FILE_RECORDS) -> None:
     """Writes a record per row of ``pages`` (page_id, url, html) below ``path``.
 
@@ -55,10 +78,17 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = 0, file_reco
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("payload", 256)))
-    groups = rows.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    groups = rows.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
     groups = scratch.cut(groups, "groups")
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    rows = join_unique(rows, groups.where("n > 1"), ["sha"], F.col("n") >= hot_rows(total))
+    total, held = (x or 0 for x in groups.agg(F.sum("n"), F.sum("bytes")).first())
+    tasks = 1 + max(total // file_records, held // TASK_BYTES)
+    # only payloads that may be repeated are moved
+    many = groups.where("n > 1").drop("bytes")
+    marks = scratch.cut(_marks(many), "marks")
+    probed = rows.join(F.broadcast(marks), _slot("sha")[0] == marks["part"], "left")
+    maybe = F.coalesce(_marked("sha"), F.lit(False))
+    alone = probed.where(~maybe).select(*rows.columns, F.lit(None).cast("long").alias("top"), F.lit(None).cast("long").alias("n"))
+    rows = join_unique(probed.where(maybe).select(*rows.columns), many, ["sha"], F.col("n") >= hot_rows(total)).unionByName(alone)
     size = F.octet_length("payload")
     revisit = F.col("n").isNotNull() & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")) & (size >= revisit_bytes)
     uri = F.regexp_replace("url", r"[\r\n]", " ")
@@ -73,8 +103,9 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = 0, file_reco
         F.when(revisit, F.concat(F.lit("\r\nX-Refers-To-Page: "), F.col("top").cast("string"), F.lit("\r\nX-Payload-Length: "), size.cast("string"), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
-    rows.select(head.alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).text(path)
-    scratch.drop("groups")
+    with scratch.passing():
+        rows.select(head.alias("value")).coalesce(tasks).write.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).text(path)
+    scratch.drop("groups", "marks")
 
 
 CANDIDATE = "file string, split long, at long, size long, next long, exit long, open boolean, type string, page_id long, uri string, digest string, payload_bytes long, sound boolean, refers_to long"

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from snpgrid.llm import pii, quality, queries, secrets
+from snpgrid.llm import archive, pii, quality, queries, secrets
 from snpgrid.llm.archive import read_archive, write_archive
 from snpgrid.llm.common import Scratch
 from snpgrid.llm.quality import resample
@@ -320,6 +320,22 @@ def test_archive_round_trip(spark, tmp_path):
         assert sorted(map(str, want)) == sorted(str((r["page_id"], r["payload_bytes"], r["digest"], r["type"], r["refers_to"])) for r in got)
 
 
+def test_archive_moves_repeated_payloads_alone(spark, tmp_path, monkeypatch):
+    """Payloads that are in no other row meet no join; the bitmap of repeated digests misses none of them."""
+    rows = [(i, "u", f"<p>{i if i % 10 else i % 70}</p>" * 20) for i in range(3000)]
+    moved = []
+    monkeypatch.setattr(archive, "join_unique", lambda left, *rest, f=archive.join_unique: moved.append(left.count()) or f(left, *rest))
+    write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert 300 <= moved[0] < 330  # a few by another's bit
+    got = {r["page_id"]: (r["type"], r["refers_to"]) for r in read_archive(spark, str(tmp_path / "w")).collect()}
+    top = {i % 70: i for i in range(0, 3000, 10)}
+    assert got == {i: ("response", None) if i % 10 or i == top[i % 70] else ("revisit", top[i % 70]) for i in range(3000)}
+    sha = spark.range(200_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("sha"))
+    marks = archive._marks(sha)
+    probed = sha.join(F.broadcast(marks), archive._slot("sha")[0] == marks["part"], "left")
+    assert probed.where(archive._marked("sha")).count() == 200_000
+
+
 def test_torn_and_foreign_archives(spark, tmp_path):
     """A chain ends at the first record that nothing bounds; magic inside a payload starts no record; other columns of pages don't matter."""
     trap = "x\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\ny"
