@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         return F.coalesce(*(F.when(F.get("hx", F.lit(q)) == F.get("hy", F.lit(q)), F.lit(q)) for q in range(lo, lo + halves)))
 
     ok = (F.col("la") != F.col("lb")) & (F.col("other") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb"))
-    ok = ok & near("x", "y", F.col("na") + F.col("nb")) & (agreeing(0) == F.col("i")) & (agreeing(halves) == F.col("j"))
+    # a pair of a large bucket mostly shares many tables: bitmaps are compared in the first one alone
+    ok = ok & (agreeing(0) == F.col("i")) & (agreeing(halves) == F.col("j")) & near("x", "y", F.col("na") + F.col("nb"))
     pairs = x.join(y, (x["key"] == y["key_y"]) & (x["p"] == y["q"]) & ok).select("a", "na", "b", "nb")
     low = F.col("a") < F.col("b")
     pairs = pairs.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb"))

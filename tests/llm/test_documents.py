@@ -286,3 +286,14 @@ def test_shares_by_prefix_sums(spark, case):
             target[s] = 3 * open_.pop(s)
     got = source_targets(spark.createDataFrame(rows, "source string, size long")).collect()
     assert {r["source"]: r["target"] for r in got} == pytest.approx(target)
+
+
+def test_near_pairs_compare_bitmaps_in_their_first_table_alone(spark, monkeypatch):
+    """Bitmaps cost most of a pair: the join asks first whether a pair met in an earlier table."""
+    plans = {}
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, name, f=Scratch.cut: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and f(self, df, name))
+    text = lambda i, n: " ".join(f"w{j if j % n else (i, j)}" for j in range(80))
+    rows = [(i, text(i, 12 + i % 9)) for i in range(40)]
+    near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    (join,) = [line for line in plans["pairs"].splitlines() if "Join Inner" in line and "bit_count" in line]
+    assert join.rindex("hx#") < join.index("bit_count")
