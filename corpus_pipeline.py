@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from snpgrid.llm.common import Scratch, lower_az
 from snpgrid.llm.decontaminate import contamination
@@ -38,7 +39,9 @@ def _dropping(docs: DataFrame, decisions: DataFrame, reject: Column, key: str, t
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.  A score depends on the text alone; null and empty texts stay; ties at the threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = scores(_whole(docs).select("row", "text"), fit(docs, labels))
+    # where the row holds its text as a string, tasks get it once
+    once = docs.select("text").schema[0].dataType == StringType()
+    scored = scores(_whole(docs).select("row") if once else _whole(docs).select("row", "text"), fit(docs, labels))
     return scored.where(F.col("score") < THRESHOLD).select("row.*")
 
 

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 
@@ -42,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     p = np.full(n + 1, _P, np.uint64)
     q = np.full(n + 1, _P_INV, np.uint64)
@@ -51,8 +52,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n <= 2 * CHUNK_BYTES:
-        return _powers(2 * CHUNK_BYTES)
+    for size in (CHUNK_BYTES // 2, 2 * CHUNK_BYTES):  # small pieces need small tables
+        if n <= size:
+            return _powers(size)
     return _powers.__wrapped__(n)
 
 
@@ -111,15 +113,15 @@ def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end row, texts) of consecutive slices of about ``limit`` bytes at most, never splitting a text."""
-    texts = binary(batch.column(batch.schema.get_field_index(column)))
+    texts = batch.column(batch.schema.get_field_index(column))
     at, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > at and held + len(t) > limit:
-            yield at, i, texts[at:i]
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if i > at and held + n > limit:
+            yield at, i, binary(texts.slice(at, i - at))
             at, held = i, 0
-        held += len(t) + 1
+        held += n + 1
     if at < len(texts):
-        yield at, len(texts), texts[at:]
+        yield at, len(texts), binary(texts.slice(at))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -30,8 +30,8 @@ PASSAGE, PREFIXES, BLOCK, K, CALM, DRAWN = 4, (5, 6), 512, 15, 0.5, 10
 LEAST_DF, MOST_DF, THRESHOLD = 0.01, 0.05, 0.7
 #: A term of more documents than that is used if it is so many times as frequent in the examples of label 1.
 TELLING = 2.0
-#: Passages that a task searches for at a time.
-AT_ONCE = 6000
+#: Postings of the terms of the passages that a task searches for at a time, and bytes of texts that it reads at a time.
+POSTINGS, PIECE_BYTES = 150_000, 1 << 18
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,6 +134,13 @@ class BlockMaxIndex:
         self.peak = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         self.cells = np.searchsorted(cell[first], np.arange(n_terms + 1, dtype=np.int64) * self.blocks)
 
+    def portions(self, passage: np.ndarray, term: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """Ranges of the ``n`` passages, in order, whose terms have about ``POSTINGS`` postings: what a search holds follows these, not the number of passages."""
+        held = np.diff(self.first[self.cells])
+        upto = np.cumsum(np.bincount(passage, weights=held[term], minlength=n) + 1)
+        edges = np.append(_runs((upto - 1) // POSTINGS), n).tolist()
+        return list(zip(edges[:-1], edges[1:], strict=True))
+
     def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, example, cosine) of the k most similar examples of each query with a common term and of all as similar as the k-th, most similar first.
 
@@ -226,8 +233,10 @@ class Model:
         h = signed(text_hashes(texts))
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         own = np.where(self.known[at] == h, at, -1)
-        cuts = np.searchsorted(passage, np.arange(0, len(text) + AT_ONCE, AT_ONCE))
-        found = [(at, self.index.nearest(passage[a:b] - at, term[a:b], weight[a:b], self.k, leave=own[text[at : at + AT_ONCE]])) for at, a, b in zip(range(0, len(text), AT_ONCE), cuts, cuts[1:], strict=False)]
+        found = []
+        for at, end in self.index.portions(passage, term, len(text)):
+            a, b = np.searchsorted(passage, (at, end))
+            found.append((at, self.index.nearest(passage[a:b] - at, term[a:b], weight[a:b], self.k, leave=own[text[at:end]])))
         q, e, cosine = (np.concatenate(x) for x in zip(*((r[0] + at, *r[1:]) for at, r in found), strict=True))
         example = self.doc[e]
         share = cosine * self.stands_for[example]
@@ -300,13 +309,16 @@ def _examples(vocabulary: Vocabulary, most: int):
 
 
 def _votes(model: Model):
-    """Adds the score before calibration and its evidence to the columns before the last (text)."""
+    """Adds the score before calibration and its evidence to the columns before the last (text), or to all where the last is a row that holds its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, texts in pieces(batch):
+            text, kept = batch.column(batch.num_columns - 1), batch.num_columns - 1
+            if pa.types.is_struct(text.type):
+                text, kept = text.field([f.name.lower() for f in text.type].index("text")), kept + 1
+            for at, end, texts in pieces(pa.RecordBatch.from_arrays([text], ["text"]), limit=PIECE_BYTES):
                 vote, evidence = model.votes(texts)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, end - at) for i in range(batch.num_columns - 1)), pa.array(vote), pa.array(model.score(vote)), pa.array(evidence)], [*batch.schema.names[:-1], "vote", "score", "evidence"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, end - at) for i in range(kept)), pa.array(vote), pa.array(model.score(vote)), pa.array(evidence)], [*batch.schema.names[:kept], "vote", "score", "evidence"])
 
     return run
 
@@ -353,9 +365,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_df: floa
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` before its last, ``text``, then vote, score and evidence of each row."""
+    """All columns of ``docs`` before its last, ``text``, then vote, score and evidence of each row.  A last column that is a struct with a string ``text`` stays."""
     added = "vote double, score double, evidence string"
-    return docs.mapInArrow(_votes(model), StructType([*docs.schema.fields[:-1], *StructType.fromDDL(added).fields]))
+    kept = docs.schema.fields if isinstance(docs.schema.fields[-1].dataType, StructType) else docs.schema.fields[:-1]
+    return docs.mapInArrow(_votes(model), StructType([*kept, *StructType.fromDDL(added).fields]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, least_df: float = LEAST_DF, most_df: float = MOST_DF) -> DataFrame:

@@ -20,6 +20,7 @@ from snpgrid.llm import archive, pii, quality, queries, secrets
 from snpgrid.llm.archive import read_archive, write_archive
 from snpgrid.llm.common import Scratch
 from snpgrid.llm.quality import resample
+from snpgrid.llm import toxicity as toxicity_module
 from snpgrid.llm.toxicity import BlockMaxIndex, toxicity
 
 
@@ -571,3 +572,19 @@ def test_largest_rows(spark, case):
         got = quality.largest(Scratch(spark, "t"), df, "w", [F.col("doc_id")], k).collect()
         assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k])
     assert quality.largest(Scratch(spark, "t"), df.limit(0), "w", [F.col("doc_id")], 3).count() == 0
+
+
+def test_toxicity_search_memory_follows_postings(monkeypatch):
+    """Passages of frequent terms are searched in portions of bounded postings, each once and in order."""
+    monkeypatch.setattr(toxicity_module, "POSTINGS", 1000)
+    rng = np.random.default_rng(5)
+    n, terms = 400, 6
+    pair = np.unique(np.append(rng.integers(0, n * terms, 900), np.arange(n) * terms))  # term 0 is in all examples
+    index = BlockMaxIndex(terms, n, pair // terms, pair % terms, np.ones(len(pair), np.float32))
+    df = np.bincount(pair % terms, minlength=terms)
+    query = np.unique(rng.integers(0, 500 * terms, 1500))
+    passage, term = query // terms, query % terms
+    parts = index.portions(passage, term, 500)
+    assert parts[0][0] == 0 and parts[-1][1] == 500 and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+    size = np.bincount(passage, weights=df[term], minlength=500)
+    assert len(parts) > 100 and all(size[a + 1 : b].sum() <= 1000 for a, b in parts)
