@@ -342,25 +342,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_df: floa
     least = max(2, int(least_df * texts.count()))
     held = [texts.where(F.col("toxic") == y).select("text").mapInArrow(_document_terms, "h long").select("h", F.lit(y).alias("y")) for y in (0, 1)]
     of = lambda y: F.sum(F.when(F.col("y") == y, 1).otherwise(0)).alias(f"n{y}")
-    found = held[0].unionByName(held[1]).groupBy("h").agg(of(0), of(1)).where(F.col("n0") + F.col("n1") >= least).toPandas()
-    found = found.iloc[np.argsort(found["h"].to_numpy(np.int64).view(np.uint64))]
-    hashes = found["h"].to_numpy(np.int64).view(np.uint64)
+    found = held[0].unionByName(held[1]).groupBy("h").agg(of(0), of(1)).where(F.col("n0") + F.col("n1") >= least).toArrow()
+    found = {c: found[c].to_numpy().astype(np.int64) for c in found.column_names}
+    order = np.argsort(found["h"].view(np.uint64))
+    hashes = found["h"][order].view(np.uint64)
     taught = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
-    rate = [(found[f"n{y}"].to_numpy(float) + 0.5) / (taught.get(y, 0) + 1) for y in (0, 1)]
+    rate = [(found[f"n{y}"][order] + 0.5) / (taught.get(y, 0) + 1) for y in (0, 1)]
     telling = rate[1] >= TELLING * rate[0]
     df, n = np.zeros(len(hashes), np.int64), 0
     if len(hashes):
-        counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies(hashes), "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).toPandas()
-        t, c = counted["t"].to_numpy(np.int64), counted["df"].to_numpy(np.int64)
+        counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies(hashes), "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).toArrow()
+        t, c = (counted[x].to_numpy().astype(np.int64) for x in ("t", "df"))
         df[t[t >= 0]], n = c[t >= 0], int(c[t < 0].sum())
     # frequent terms stay if they tell the labels apart
     common = (df <= max(most_df * n, 2)) | telling
     vocabulary = Vocabulary(hashes[common], np.log((n + 1) / (df[common] + 1)) + 1)
     examples = texts.mapInArrow(_examples(vocabulary, SAMPLE_PASSAGES), EXAMPLE).orderBy("doc_id").toArrow()
     model = Model(vocabulary, examples, tuple(max(1.0, count.get(y, 0) / max(sample, 1)) for y in (0, 1)))
-    got = texts.select("doc_id", "text").mapInArrow(_votes(model), "doc_id long, vote double, score double, evidence string").select("doc_id", "vote").toPandas()
+    got = texts.select("doc_id", "text").mapInArrow(_votes(model), "doc_id long, vote double, score double, evidence string").select("doc_id", "vote").toArrow()
     model.calibrate(got["doc_id"].to_numpy(), got["vote"].to_numpy())
     scratch.drop("picked", "texts")
+    del examples, got
+    pa.default_memory_pool().release_unused()
     return model
 
 

@@ -6,7 +6,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from snpgrid.llm import queries
+from snpgrid.llm import common, queries
+from snpgrid.llm.common import Scratch
 from snpgrid.llm.mixing import mix_plan
 from snpgrid.llm.toxicity import THRESHOLD, toxicity
 
@@ -138,3 +139,28 @@ def test_mixing_stage_follows_its_plan(spark, tmp_path):
     for r in mix_plan(docs).collect():
         plan[r["row"]["doc_id"], r["row"]["text"], r["row"]["source"]] += r["copies"]
     assert mixed == +plan
+
+
+def test_written_tables_bound_the_drivers_heap(spark, monkeypatch):
+    """After a written table the JVM collects its garbage if it has taken the share of its limit, and not otherwise; the table is whole either way."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(common, "PAUSE", 0.0)
+    counts = []
+    for share in (0.0, 2.0):
+        monkeypatch.setattr(common, "TAKEN", share)
+        before = full()
+        assert Scratch(spark, "heap").cut(spark.range(5), f"t{share}").count() == 5
+        counts.append(full() - before)
+    assert counts == [1, 0]
+
+
+def test_toxicity_needs_no_pandas_on_the_driver(spark, monkeypatch):
+    """The model's parts reach the driver as Arrow tables: pandas would be imported for them alone."""
+    monkeypatch.setattr("pyspark.sql.DataFrame.toPandas", lambda self: 1 / 0)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", lambda self: 1 / 0)
+    docs = spark.createDataFrame([(i, f"word{i % 3} other common text", "en") for i in range(30)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    assert toxicity(docs, labels).count() == 30
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity(none, labels).count() == 0
