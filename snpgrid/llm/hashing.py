@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: For steps that hold many arrays beside a piece: their memory, and what a worker keeps of it afterwards, is a quarter of that of whole chunks.
+PIECE_BYTES = 1 << 18
 
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, counted, hot_rows, join_unique
-from .hashing import Words, grams, mix, pieces, signed
+from .hashing import PIECE_BYTES, Words, grams, mix, pieces, signed
 
 WORDS, PERCENT, HALVES, ROWS, CELLS, PORTION = 5, 75, 10, 2, 1024, 1000
 
@@ -57,7 +57,7 @@ def _signatures(k: int, halves: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for at, end, texts in pieces(batch):
+            for at, end, texts in pieces(batch, limit=PIECE_BYTES):
                 sets = _sets(texts, k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = np.zeros((len(sets), 2 * halves), np.uint64)
@@ -89,7 +89,7 @@ def _signatures(k: int, halves: int, rows: int):
 def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, texts in pieces(batch):
+            for _, _, texts in pieces(batch, limit=PIECE_BYTES):
                 sets = [s for s in _sets(texts, k) if len(s)]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import Scratch
-from .hashing import NOT_ALNUM, Words, mix, pieces, signed
+from .hashing import NOT_ALNUM, PIECE_BYTES, Words, mix, pieces, signed
 
 #: Labelled documents of each label used at most (those of smallest hash), and passages of one of them (those of smallest hash).
 SAMPLE, SAMPLE_PASSAGES = 600, 800
@@ -30,8 +30,8 @@ PASSAGE, PREFIXES, BLOCK, K, CALM, DRAWN = 4, (5, 6), 512, 15, 0.5, 10
 LEAST_DF, MOST_DF, THRESHOLD = 0.01, 0.05, 0.7
 #: A term of more documents than that is used if it is so many times as frequent in the examples of label 1.
 TELLING = 2.0
-#: Postings of the terms of the passages that a task searches for at a time, and bytes of texts that it reads at a time.
-POSTINGS, PIECE_BYTES = 150_000, 1 << 18
+#: Postings of the terms of the passages that a task searches for at a time.
+POSTINGS = 150_000
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,7 +259,7 @@ class Model:
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's distinct terms."""
     for batch in batches:
-        for _, _, texts in pieces(batch):
+        for _, _, texts in pieces(batch, limit=PIECE_BYTES):
             owner, _, h = terms(texts)
             order = np.lexsort((owner, h))
             first = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1]))) if len(h) else np.zeros(0, np.int64)
@@ -272,7 +272,7 @@ def _frequencies(hashes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(len(hashes), np.int64)
         for batch in batches:
-            for _, _, texts in pieces(batch):
+            for _, _, texts in pieces(batch, limit=PIECE_BYTES):
                 n += len(texts)
                 owner, _, h = terms(texts)
                 at = np.searchsorted(hashes, h)
@@ -292,7 +292,7 @@ EXAMPLE = "doc_id long, toxic int, hash long, place array<int>, term array<int>,
 def _examples(vocabulary: Vocabulary, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, texts in pieces(batch):
+            for at, end, texts in pieces(batch, limit=PIECE_BYTES):
                 text, place, passage, term, weight = vocabulary.passages(texts)
                 # of a long document the passages of smallest hash
                 order = np.lexsort((mix(place.astype(np.uint64)), text))

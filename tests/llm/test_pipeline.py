@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
-from snpgrid.llm import common, queries
+from snpgrid.llm import common, hashing, near_dedup, queries
 from snpgrid.llm.common import Scratch
 from snpgrid.llm.mixing import mix_plan
 from snpgrid.llm.toxicity import THRESHOLD, toxicity
@@ -164,3 +167,20 @@ def test_toxicity_needs_no_pandas_on_the_driver(spark, monkeypatch):
     assert toxicity(docs, labels).count() == 30
     none = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity(none, labels).count() == 0
+
+
+def test_signatures_hold_small_pieces(monkeypatch):
+    """A task's memory follows small pieces of its texts, and its results do not depend on them."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(300)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(range(1500)), pa.array(texts)], ["doc_id", "text_hash", "text"])
+    run = near_dedup._signatures(5, 10, 2)
+    hashing._powers.cache_clear()
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1500 and peak < 40e6
+    small = [x.to_pylist() for x in run(iter([batch]))]
+    monkeypatch.setattr(near_dedup, "PIECE_BYTES", hashing.CHUNK_BYTES)
+    assert sum(small, []) == sum((x.to_pylist() for x in run(iter([batch]))), [])
