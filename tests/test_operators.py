@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 import random
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from snpgrid.functions import sequence, stats
-from snpgrid.operators import associate, canonical, cluster, distance, evaluate, kmers, rules, scheme
+from snpgrid.operators import associate, canonical, cluster, distance, evaluate, hierarchy, kmers, rules, scheme
 from snpgrid.plans import compression
 
 DATA = Path("/root/testdata/sf0.001")
@@ -271,3 +272,29 @@ def test_snp_validity(spark):
     snps = canonical.snp_validity(spark.createDataFrame(rows, "chrom string, pos int, base string, is_canonical boolean, num_members long"), max_states=2, min_members=2)
     assert {(r["pos"], r["base"]): r["is_valid"] for r in snps.collect()} == {(5, "A"): False, (5, "C"): False, (5, "G"): False, (6, "A"): False, (6, "C"): True, (7, "A"): True}
     assert tuple(canonical.snp_summary(snps).first()) == (3, 2, 2)
+
+
+@pytest.fixture
+def blocks(spark, monkeypatch):
+    """Samples of several blocks with repeated and missing calls, equal and missing ords, and the pairs that they make one by one."""
+    monkeypatch.setattr(distance, "SIDE", 5)
+    monkeypatch.setattr(distance, "WORDS", 1)
+    rng = random.Random(11)
+    samples = [(f"s{i}", None if i == 16 else 8 if i == 9 else i, ["0", f"r{i % 2}", f"n{i % 4}"][: 1 + (i * 7) % 3], 2000 + rng.randint(0, 3)) for i in range(17)]
+    calls = [("1", pos, s, b) for s, *_ in samples if s != "s3" for pos in range(90) for b in rng.choices("ACGTN", [8, 2, 1, 1, 1], k=rng.choice([0, 1, 1, 1, 2]))]
+    states = {}
+    for _, pos, s, b in calls:
+        if b != "N":
+            states.setdefault(s, {}).setdefault(pos, set()).add(b)
+    far = lambda a, b: sum(not v & states.get(b, {})[p] for p, v in states.get(a, {}).items() if p in states.get(b, {}))
+    pairs = [(x, y, far(x[0], y[0])) for x, y in itertools.permutations([s for s in samples if s[1] is not None], 2) if x[1] != y[1]]
+    return (
+        spark.createDataFrame(calls, "chrom string, pos int, sample_id string, base string"),
+        spark.createDataFrame(samples, "sample_id string, ord long, path array<string>, year int"), pairs,
+    )
+
+
+def test_distances_by_blocks(blocks):
+    calls, samples, pairs = blocks
+    got = list(map(tuple, distance.snp_distances(calls, samples).collect()))
+    assert sorted(got) == sorted((x[0], y[0], d) for x, y, d in pairs if x[1] < y[1])
