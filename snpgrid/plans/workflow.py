@@ -134,7 +134,7 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     snp_rows = scheme.snp_scheme(snp_rules, chosen.select("pos", "ref").distinct(), features.where("type = 'CDS'"))
     rows = scheme.numbered(snp_rows)
 
-    cuts = sorted((r[0] for r in troughs(distance.histogram(dist)).collect()), reverse=True)
+    cuts = sorted((r[0] for r in troughs(distance.histogram(calls, samples)).collect()), reverse=True)
     labels = cluster.cluster_table(spark, dist, samples, [float(t) for t in cuts])
     clusters = labels.select("sample_id", F.explode(F.split("labels", r"\.")).alias("cluster"))
     nomenclature = cluster.nomenclature(labels, cluster.best_fit(clusters, hierarchy.membership(samples)))
@@ -179,7 +179,7 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     for name, df in out.items():
         tables.write_tsv(df, f"{base}-{name}.txt")
     tables.write_distances(dist, samples, f"{base}-dist.mat.txt")
-    tables.write_histogram_html(spark, distance.histogram(dist), f"{base}-dist.histo.html")
+    tables.write_histogram_html(spark, distance.histogram(calls, samples), f"{base}-dist.histo.html")
     vcf.filter_file(spark, c.in_var, removed, f"{base}-filtered.vcf")
     tables.write_params(spark, asdict(c) | {"reference_accession": accession, "reference_length": len(genome)}, f"{base}-params.log")
     for df in held:

@@ -298,3 +298,10 @@ def test_distances_by_blocks(blocks):
     calls, samples, pairs = blocks
     got = list(map(tuple, distance.snp_distances(calls, samples).collect()))
     assert sorted(got) == sorted((x[0], y[0], d) for x, y, d in pairs if x[1] < y[1])
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="driver tables")
+@pytest.mark.parametrize("name", ["distance_histogram"])
+def test_reductions_make_no_row_a_pair(spark, monkeypatch, name):
+    monkeypatch.setattr(distance, "snp_distances", None)
+    assert __spark_entry__.queries()[name](spark, str(DATA)).count() > 0
