@@ -301,7 +301,7 @@ def test_distances_by_blocks(blocks):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="driver tables")
-@pytest.mark.parametrize("name", ["distance_histogram"])
+@pytest.mark.parametrize("name", ["distance_histogram", "distance_troughs"])
 def test_reductions_make_no_row_a_pair(spark, monkeypatch, name):
     monkeypatch.setattr(distance, "snp_distances", None)
     assert __spark_entry__.queries()[name](spark, str(DATA)).count() > 0
