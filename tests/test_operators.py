@@ -300,8 +300,18 @@ def test_distances_by_blocks(blocks):
     assert sorted(got) == sorted((x[0], y[0], d) for x, y, d in pairs if x[1] < y[1])
 
 
+def test_histogram_and_thresholds_of_counts(blocks):
+    calls, samples, pairs = blocks
+    want = collections.Counter(d for x, y, d in pairs if x[1] < y[1])
+    hist = distance.histogram(calls, samples)
+    assert {r["d"]: r["n"] for r in hist.collect()} == want
+    one_by_one = distance.snp_distances(calls, samples)
+    counted, each = hierarchy.partition_thresholds(hist, "d", n="n"), hierarchy.partition_thresholds(one_by_one, "d")
+    assert sorted(counted.collect()) == sorted(each.collect()) and counted.count() > 1
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="driver tables")
-@pytest.mark.parametrize("name", ["distance_histogram", "distance_troughs"])
+@pytest.mark.parametrize("name", ["distance_histogram", "distance_troughs", "distance_partitions"])
 def test_reductions_make_no_row_a_pair(spark, monkeypatch, name):
     monkeypatch.setattr(distance, "snp_distances", None)
     assert __spark_entry__.queries()[name](spark, str(DATA)).count() > 0
