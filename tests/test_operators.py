@@ -311,7 +311,7 @@ def test_histogram_and_thresholds_of_counts(blocks):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="driver tables")
-@pytest.mark.parametrize("name", ["distance_histogram", "distance_troughs", "distance_partitions", "within_clade_distances"])
+@pytest.mark.parametrize("name", ["distance_histogram", "distance_troughs", "distance_partitions", "within_clade_distances", "distance_bins"])
 def test_reductions_make_no_row_a_pair(spark, monkeypatch, name):
     monkeypatch.setattr(distance, "snp_distances", None)
     assert __spark_entry__.queries()[name](spark, str(DATA)).count() > 0
