@@ -99,7 +99,7 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     assigned = canonical.assigned_snps(calls, samples).persist()
     exact = canonical.canonical_snps(calls, samples)
     n_snps = exact.groupBy("clade").agg(F.count("*").alias("n_snps"))
-    nodes = hierarchy.node_counts(samples).join(n_snps, "clade", "left").join(distance.within_clades(calls, samples), "clade", "left").join(distance.outside_clades(dist, samples), "clade", "left").persist()
+    nodes = hierarchy.node_counts(samples).join(n_snps, "clade", "left").join(distance.within_clades(calls, samples), "clade", "left").join(distance.outside_clades(calls, samples), "clade", "left").persist()
     held += [dist, assigned, nodes]
     clades = {r["clade"]: compression.Clade(r["num_members"], r["n_snps"] or 0, r["ave_within"] or 0.0, r["closest_sample_dist"] if r["closest_sample_dist"] is not None else 0, r["closest_clade_id"]) for r in nodes.collect()}
     paths = {r["sample_id"]: r["path"] for r in samples.orderBy("ord").select("sample_id", "path").collect()}

@@ -310,8 +310,30 @@ def test_histogram_and_thresholds_of_counts(blocks):
     assert sorted(counted.collect()) == sorted(each.collect()) and counted.count() > 1
 
 
+def test_distances_within_and_outside_clades(blocks):
+    calls, samples, pairs = blocks
+    within, outside = {}, {}
+    for x, y, d in pairs:
+        for clade in x[2]:
+            if clade in y[2]:
+                within.setdefault(clade, []).append(d)
+            else:
+                outside.setdefault(clade, []).append((-d, x[1], y[1], x[2], y[2]))
+    got = {r["clade"]: (r["total_within"], r["n_within"], r["ave_within"]) for r in distance.within_clades(calls, samples).collect()}
+    assert got == {c: (sum(v) // 2, len(v) // 2, sum(v) / len(v)) for c, v in within.items()}
+    by_id = {r["sample_id"]: r for r in samples.collect()}
+    got = {r["clade"]: r for r in distance.outside_clades(calls, samples).collect()}
+    assert set(got) == set(outside)
+    for clade, rows in outside.items():
+        r, (d, o1, o2, p, q) = got[clade], min(rows, key=lambda x: x[:3])
+        ends = by_id[r["clade_sample_id"]]["ord"], by_id[r["closest_sample_id"]]["ord"]
+        assert (r["closest_sample_dist"], *ends, r["nearest_dist"]) == (-d, o1, o2, -max(x[0] for x in rows))
+        met = by_id[r["clade_sample_id"]]["path"], by_id[r["closest_sample_id"]]["path"]
+        assert r["closest_clade_id"] == met[0][sum(x == y for x, y in zip(*met)) - 1]  # noqa: B905
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="driver tables")
-@pytest.mark.parametrize("name", ["distance_histogram", "distance_troughs", "distance_partitions", "within_clade_distances", "distance_bins"])
+@pytest.mark.parametrize("name", ["distance_histogram", "distance_troughs", "distance_partitions", "within_clade_distances", "distance_bins", "outside_clade_distances"])
 def test_reductions_make_no_row_a_pair(spark, monkeypatch, name):
     monkeypatch.setattr(distance, "snp_distances", None)
     assert __spark_entry__.queries()[name](spark, str(DATA)).count() > 0
