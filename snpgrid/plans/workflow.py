@@ -143,7 +143,7 @@ def create(spark: SparkSession, c: Create) -> dict[str, DataFrame]:
     fisher = associate.fisher_associations(with_meta, fields) if fields else None
     # years are held against distances in the nodes that selection left
     left = with_meta.drop("path").join(genotypes.select("sample_id", F.split("genotype", r"\.").alias("path")), "sample_id")
-    temporal = associate.temporal_signal(dist, left.withColumn("year", F.expr("try_cast(year AS double)")).where("year IS NOT NULL"), c.rcor_thresh) if "year" in meta.columns else None
+    temporal = associate.temporal_signal(calls, left.withColumn("year", F.expr("try_cast(year AS double)")).where("year IS NOT NULL"), c.rcor_thresh) if "year" in meta.columns else None
 
     out, base = {}, f"{c.outdir}/{c.prefix}"
     # the root's marker lies in the middle of the longest conserved stretch

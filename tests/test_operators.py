@@ -332,8 +332,24 @@ def test_distances_within_and_outside_clades(blocks):
         assert r["closest_clade_id"] == met[0][sum(x == y for x, y in zip(*met)) - 1]  # noqa: B905
 
 
+def test_temporal_cells(blocks):
+    """Points of each pair both ways and each sample's last pair; of two samples of one ord, which is last is open, so ords differ here."""
+    calls, samples, _ = blocks
+    samples = samples.where("sample_id <> 's9'")
+    rows = [r for r in samples.collect() if r["ord"] is not None]
+    by_id = {r["sample_id"]: r for r in rows}
+    far = {(r["s1"], r["s2"]): r["d"] for r in distance.snp_distances(calls, samples).collect()}
+    far |= {(b, a): d for (a, b), d in far.items()}
+    points = [(by_id[a], by_id[b], d, by_id[b]["year"]) for (a, b), d in far.items()]
+    for a in rows:
+        b = max((r for r in rows if r["ord"] != a["ord"]), key=lambda r: r["ord"])
+        points.append((a, b, far[a["sample_id"], b["sample_id"]], a["year"]))
+    want = collections.Counter((c, d, year) for a, b, d, year in points for c in a["path"] if c in b["path"])
+    assert {(r["clade"], r["d"], r["year"]): r["w"] for r in associate.temporal_cells(calls, samples).collect()} == want
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="driver tables")
-@pytest.mark.parametrize("name", ["distance_histogram", "distance_troughs", "distance_partitions", "within_clade_distances", "distance_bins", "outside_clade_distances"])
+@pytest.mark.parametrize("name", ["distance_histogram", "distance_troughs", "distance_partitions", "within_clade_distances", "distance_bins", "outside_clade_distances", "temporal_signal"])
 def test_reductions_make_no_row_a_pair(spark, monkeypatch, name):
     monkeypatch.setattr(distance, "snp_distances", None)
     assert __spark_entry__.queries()[name](spark, str(DATA)).count() > 0
