@@ -353,3 +353,14 @@ def test_temporal_cells(blocks):
 def test_reductions_make_no_row_a_pair(spark, monkeypatch, name):
     monkeypatch.setattr(distance, "snp_distances", None)
     assert __spark_entry__.queries()[name](spark, str(DATA)).count() > 0
+
+
+def test_counted_kmers_around_positions(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "TILE", 16)
+    monkeypatch.setattr(kmers, "STRIP", 4)
+    rng = random.Random(5)
+    seqs = {name: "".join(rng.choices("ACGTN", [6, 6, 6, 6, 1], k=n)) for name, n in (("a", 40), ("b", 21), ("c", 4), ("d", 0), ("e", 40))}
+    frame, at = spark.createDataFrame([*seqs.items(), ("f", None)], "seq_id string, seq string"), spark.createDataFrame([(p,) for p in [0, 1, 4, 15, 16, 17, 20, 33, 39, 90]], "pos int")
+    want = collections.Counter((r["pos"], r["start"], r["end"], r["kmer"]) for r in kmers.extract_kmers(frame.where("seq IS NOT NULL"), at, 5, gapped=False).collect())
+    got = kmers.count_kmers(frame, at, 5).collect()
+    assert len(got) == len(want) and {(r["pos"], r["start"], r["end"], r["kmer"]): r["n"] for r in got} == want
