@@ -355,6 +355,46 @@ def test_reductions_make_no_row_a_pair(spark, monkeypatch, name):
     assert __spark_entry__.queries()[name](spark, str(DATA)).count() > 0
 
 
+def _sequences():
+    rng = random.Random(17)
+    seqs = [(f"q{i % 20}" if i else None, "".join(rng.choices("ACGTN", [6, 4, 4, 3, 1], k=rng.choice([0, 2, 3, 30, 700])))) for i in range(25)]
+    return [*seqs, ("q1", None), ("q2", "acgtnRYé-ACGT"), ("q3", "ACGTACGT")]
+
+
+def _hits(seqs, k):
+    """Windows of each id, and the same by what a k-mer or its reverse complement meets."""
+    windows = {}
+    for name, s in seqs:
+        for i in range(len(s or "") - k + 1):
+            windows.setdefault(name, collections.Counter())[s[i : i + k]] += 1
+    back = str.maketrans(sequence.CODES + sequence.CODES.lower(), sequence.COMPLEMENTS + sequence.COMPLEMENTS.lower())
+    return {(w, name): sum(own[x] for x in {w, w.translate(back)[::-1]}) for name, own in windows.items() for w in {y for v in own for y in (v, v.translate(back)[::-1])}}
+
+
+@pytest.mark.parametrize("k", [3, 4, 20, 33])
+def test_search_of_all_kmers(spark, k):
+    """Repeated, missing and short sequences, letters beyond A, C, G and T, and k-mers of one and of several words."""
+    seqs = _sequences()
+    frame = spark.createDataFrame(seqs, "seq_id string, seq string")
+    want = _hits(seqs, k)
+    asked = spark.createDataFrame([(w,) for w, _ in want] + [("",), ("ACG",)], "kmer string")
+    got = [tuple(r) for r in kmers.search_kmers(frame, asked, k).select("kmer", "seq_id", "n").collect()]
+    assert len(got) == len(want) and {(w, s): n for w, s, n in got} == want
+
+
+def test_portions_of_a_long_sequence(monkeypatch):
+    import pyarrow as pa
+
+    seqs = [("a", "ACGGT" * 9), ("b", "AACC"), ("c", "ACGGTTTACCGTA" * 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([n for n, _ in seqs]), pa.array([[s, s[::-1]] for _, s in seqs])], ["label", "seqs"])
+    rows = lambda fold: sorted(str(list(r.values())) for b in kmers._counts(iter([batch]), 4, fold) for r in b.to_pylist())
+    whole = {fold: rows(fold) for fold in ("each", "label")}
+    twice = {r for b in kmers._counts(iter([batch]), 4, "twice") for r in b.column("kmer").to_pylist()}
+    monkeypatch.setattr(kmers, "PORTION", 7)
+    assert all(rows(fold) == whole[fold] for fold in whole)
+    assert {r for b in kmers._counts(iter([batch]), 4, "twice") for r in b.column("kmer").to_pylist()} == twice
+
+
 def test_counted_kmers_around_positions(spark, monkeypatch):
     monkeypatch.setattr(kmers, "TILE", 16)
     monkeypatch.setattr(kmers, "STRIP", 4)
