@@ -395,6 +395,24 @@ def test_portions_of_a_long_sequence(monkeypatch):
     assert {r for b in kmers._counts(iter([batch]), 4, "twice") for r in b.column("kmer").to_pylist()} == twice
 
 
+def test_multi_hits_and_rules_of_kmers(spark):
+    seqs = _sequences()
+    frame = spark.createDataFrame(seqs, "seq_id string, seq string")
+    want = _hits(seqs, 4)
+    asked = spark.createDataFrame([(w,) for w, _ in want], "kmer string")
+    got = [r[0] for r in kmers.multi_hits(frame, asked, 4).collect()]
+    assert sorted(got) == sorted({w for (w, _), n in want.items() if n > 1})
+    own = {f"q{i}": f"g{i % 3}" for i in range(20)}
+    genotypes = spark.createDataFrame(list(own.items()), "sample_id string, genotype string")
+    held = collections.Counter((w, own[s]) for w, s in want if s)
+    hits = kmers.genotype_hits(frame, genotypes, asked, 4)
+    assert {(r["kmer"], r["genotype"]): r["k"] for r in hits.collect()} == held
+    size = collections.Counter(own.values())
+    for r in kmers.kmer_rules(hits, genotypes, 0.5).collect():
+        assert r["positive"] == sorted(g for g in size if held.get((r["kmer"], g), 0) >= 0.5 * size[g])
+        assert r["partial"] == sorted(g for g in size if 0 < held.get((r["kmer"], g), 0) < 0.5 * size[g])
+
+
 def test_counted_kmers_around_positions(spark, monkeypatch):
     monkeypatch.setattr(kmers, "TILE", 16)
     monkeypatch.setattr(kmers, "STRIP", 4)
