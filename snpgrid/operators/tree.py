@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distance import SIDE, STRIP
 from .lineage import cut, ranked
 
 
@@ -84,10 +89,73 @@ def shared_ancestors(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     return met.join(top, "ancestor", "left").select("a", "b", "ancestor", (F.col("a_length") + F.col("b_length") - 2 * F.col("_top")).alias("dist"))
 
 
-def leaf_distances(edges: DataFrame) -> DataFrame:
-    """(a, b, ancestor, dist) of all pairs of leaves with a before b by name.  Quadratic in the leaves by definition."""
+def _low(keys: np.ndarray, between: int, others: np.ndarray | None) -> np.ndarray:
+    """Of each two leaves the smallest key from the first one up to the one before the second: of one block (``others`` is None), or of two blocks with ``between`` for those in between."""
+    if others is not None:
+        first = np.minimum.accumulate(keys[::-1])[::-1]
+        before = np.append(between, np.minimum.accumulate(others)[:-1])
+        return np.minimum(first[:, None], np.minimum(before, between))
+    out = np.full((len(keys), len(keys)), -1, np.int64)
+    for r in range(len(keys) - 1):
+        out[r, r + 1 :] = np.minimum.accumulate(keys[r:-1])
+    return out
+
+
+def _leaf_pairs(left: pa.StructArray, right: pa.StructArray, between: dict | None, diagonal: bool, digits: int | None) -> Iterator[pa.RecordBatch]:
+    depth = [b.field("depth").to_numpy() for b in (left, right)]
+    n, m = len(left), len(right)
+    most = np.iinfo(np.int64).max
+    keys = [d << 32 | (np.arange(len(d)) + at) for d, at in zip(depth, (0, n), strict=True)]
+    low = _low(keys[0], most if between is None else between["depth"] << 32 | (n + m), None if diagonal else keys[1])
+    own = pa.array([between], left.type.field("low").type)
+    table = pa.concat_arrays([left.field("low"), right.field("low"), own])
+    names, length = pa.concat_arrays([left.field("node"), right.field("node")]), np.append(left.field("length").to_numpy(), right.field("length").to_numpy())
+    top = table.field("top").to_numpy(zero_copy_only=False)
+    rank = np.unique(np.array(names.to_pylist(), object), return_inverse=True)[1]
+    for at in range(0, n, STRIP):
+        i, j = np.nonzero(low[at : at + STRIP] >= 0)
+        of = low[at : at + STRIP][i, j] & 0xFFFFFFFF
+        x, y = i + at, j + (0 if diagonal else n)
+        turned = rank[y] < rank[x]
+        a, b = np.where(turned, y, x), np.where(turned, x, y)
+        dist = length[a] + length[b] - 2 * top[of]
+        dist = dist if digits is None else np.round(dist, digits)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), table.field("ancestor").take(pa.array(of)), pa.array(dist, mask=np.isnan(dist))], ["a", "b", "ancestor", "dist"])
+
+
+def _met_blocks(batches: Iterator[pa.RecordBatch], digits: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of the pair of blocks, the first block's before the second's."""
+    first, between = None, None
+    for batch in batches:
+        for r, (i, j, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("i", "j", "side")), strict=True)):
+            head = batch.column("head")[r].values
+            if side == 0:
+                first, between = pa.concat_arrays([head]), batch.column("between")[r].as_py()
+            else:
+                yield from _leaf_pairs(first, pa.concat_arrays([head]), between, i == j, digits)
+
+
+def leaf_distances(edges: DataFrame, digits: int | None = None) -> DataFrame:
+    """(a, b, ancestor, dist) of all pairs of leaves with a before b by name, rounded if asked for.  Quadratic in the leaves by definition.
+
+    Leaves are in pre-order, each with the ancestor that it shares with the next one; what two leaves share is the shallowest of those from the first to the second.  Two blocks
+    of leaves meet in one task, which needs of the blocks in between one row, and writes the pairs where it finds them.
+    """
     paths = cut(tree_paths(edges))
     inner = edges.where("parent IS NOT NULL").select(F.col("parent").cast("string").alias("node")).distinct()
-    leaves = paths.select("node").join(inner, "node", "left_anti")
-    pairs = leaves.select(F.col("node").alias("a")).join(leaves.select(F.col("node").alias("b")), F.col("a") < F.col("b"))
-    return shared_ancestors(pairs, paths)
+    leaves = cut(ranked(paths.join(inner, "node", "left_anti"), [F.col("path")], "at"))
+    blocks = -(-leaves.count() // SIDE)
+    after = leaves.select((F.col("at") - 1).alias("at"), F.col("path").alias("_next"))
+    common = F.size(F.filter(F.zip_with("path", "_next", lambda x, y: x == y), lambda same: same))
+    met = leaves.join(after, "at", "left").withColumn("depth", F.coalesce(F.when(F.col("_next").isNotNull(), common), F.lit(0)).cast("long"))
+    met = met.withColumn("ancestor", F.when(F.col("depth") > 0, F.get("path", (F.col("depth") - 1).cast("int"))))
+    met = met.join(paths.select(F.col("node").alias("ancestor"), F.col("length").alias("top")), "ancestor", "left")
+    met = met.select(F.floor(F.col("at") / SIDE).cast("int").alias("block"), "at", "node", "length", "depth", F.struct("depth", "ancestor", "top").alias("low"))
+    heads = cut(met.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "node", "length", "depth", "low"))).alias("head"), F.min("low").alias("low")))
+    sides = heads.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(max(blocks, 1) - 1))).alias("j"), F.lit(0).alias("side"), "head")
+    rights = heads.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "head", "low")
+    over = Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    between = rights.select("i", "j", F.min(F.when(F.col("j") > F.col("i"), F.col("low"))).over(over).alias("between"))
+    rows = sides.join(between, ["i", "j"]).unionByName(rights.drop("low"), allowMissingColumns=True)
+    dealt = rows.repartition(min(max(blocks * (blocks + 1) // 2, 1), 2000), "i", "j").sortWithinPartitions("i", "j", "side")
+    return dealt.mapInArrow(lambda b: _met_blocks(b, digits), "a string, b string, ancestor string, dist double")

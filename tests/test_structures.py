@@ -184,3 +184,18 @@ def test_expected_information(spark, monkeypatch):
     rows = [spark.createDataFrame(list(Counter(v).items()), f"{c} long, times long") for v, c in ((xs, "x"), (ys, "y"))]
     assert stats.expected_information(*rows, n).first()[0] == pytest.approx(want)
     assert stats.adjusted_mutual_info(spark.createDataFrame([], "p string, q string"), "p", "q").first()[0] == 1.0
+
+
+@pytest.mark.parametrize("side", [1, 3, 64])
+def test_leaf_distances_by_blocks(spark, monkeypatch, side):
+    """All pairs of leaves of a forest of uneven trees against shared ancestors pair by pair, in blocks of few leaves."""
+    monkeypatch.setattr(tree, "SIDE", side)
+    rng = random.Random(23)
+    edges = [(f"n{i}", None if i % 13 == 0 else f"n{rng.randrange(i // 13 * 13, i)}", rng.random()) for i in range(32)]
+    df = spark.createDataFrame(edges, "child string, parent string, length double")
+    got = [tuple(r) for r in tree.leaf_distances(df).select("a", "b", "ancestor", "dist").collect()]
+    leaves = sorted({c for c, _, _ in edges} - {p for _, p, _ in edges})
+    pairs = spark.createDataFrame(list(itertools.combinations(leaves, 2)), "a string, b string")
+    want = {(r["a"], r["b"]): (r["ancestor"], r["dist"]) for r in tree.shared_ancestors(pairs, tree.tree_paths(df)).collect()}
+    assert len(got) == len(want) and {(a, b) for a, b, _, _ in got} == set(want)
+    assert all(want[a, b][0] == up and want[a, b][1] == (d if d is None else pytest.approx(d)) for a, b, up, d in got)
